@@ -14,7 +14,7 @@ from .common import with_scores, words
 SYMBOLS = b"#*$%&|<>"
 BASE = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long"}
 #: Further counts that only the rules use.
-EXTRA = {"n_upper": "long", "n_letters": "long", "n_distinct": "long", "n_bare": "long", "n_exclaim": "long", "n_lines": "long"}
+EXTRA = {"word_bytes": "long", "n_upper": "long", "n_letters": "long", "n_distinct": "long", "n_bare": "long", "n_exclaim": "long", "n_lines": "long"}
 
 
 def _word_ids(ws: list[bytes]) -> tuple[np.ndarray, dict[bytes, int]]:
@@ -68,6 +68,7 @@ def text_counts(text: str | None) -> dict[str, int]:
         "n_symbols": len(raw) - len(raw.translate(None, SYMBOLS)),
         "n_dup_lines": dup,
         "n_repeat_words": repeated_words(ids, distinct),
+        "word_bytes": len(raw) - spaces,
         "n_upper": len(raw) - len(raw.translate(None, _CAPITALS)),
         "n_letters": len(raw) - len(raw.translate(None, _LETTERS)),
         "n_distinct": distinct,
@@ -110,7 +111,7 @@ RULES = (
     Rule("duplicate_lines", "n_dup_lines", "n_lines", 0.50),
     Rule("repeats", "n_repeat_words", "n_words", 0.40, 0.15),
     Rule("capitals", "n_upper", "n_letters", 0.30),
-    Rule("letters", "n_letters", "word_chars", 0.90, 0.94, True),
+    Rule("letters", "n_letters", "word_bytes", 0.90, 0.94, True),
     Rule("bare_symbols", "n_bare", "n_words", 0.15),
     Rule("variety", "n_distinct", "n_words", 0.08, None, True),
     Rule("shouting", "n_exclaim", "n_words", 0.10),
