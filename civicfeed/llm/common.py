@@ -43,7 +43,7 @@ def materialize(df: DataFrame, label: str, keep_order: bool = False) -> DataFram
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame; for file scans that is the size of the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
