@@ -12,7 +12,9 @@ is found in the manifest and its place by one probe of the hash.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 from bisect import bisect_left
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import partitions_for, shared_dir, words
 
 MAGIC = b"CFTOK\x00\x00\x01"
-#: Distinct words that a Python worker keeps at most; on overflow it starts anew.
-CACHE = 400_000
+#: Distinct words that each of a Python worker's two generations keeps.
+CACHE = 300_000
 #: Text bytes in a shard, roughly.
 SHARD_BYTES = 64 << 20
 
@@ -143,12 +145,39 @@ def _put(fs: pafs.FileSystem, path: str, data: bytes, attempt: str) -> None:
     fs.move(f"{path}.{attempt}", path)
 
 
+class Recent(dict):
+    """A dictionary of two generations: what is not asked for while ``most`` new keys come is forgotten."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.old = most, {}
+
+    def absent(self, keys: set) -> list:
+        """Those of ``keys`` that neither generation has; keys of the old one move to the new one."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        out = []
+        for k in keys:
+            if k not in self:
+                if (v := self.old.get(k)) is None:
+                    out.append(k)
+                else:
+                    self[k] = v
+        return out
+
+
+#: Fixed values of one tokenizer layout: pre-tokens of letters, single digits and the rest, without white space.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+
+
 class WordCoder:
     """A `tokenizers` file applied word by word.
 
     White space ends every pre-token of such tokenizers and no normaliser joins across it, so a text's ids
     are those of its words in turn; frequent words are encoded once. That holds for whitespace-dropping
-    vocabularies with word ends; for others pass ``whole=True``.
+    vocabularies with word ends; for others pass ``whole=True``. Printable ASCII words of the layout above are
+    cut into pre-tokens here, so that words share the library's BPE of their parts.
     """
 
     def __init__(self, path: str, end_id: int, dtype: str, whole: bool = False) -> None:
@@ -157,7 +186,32 @@ class WordCoder:
 
         self.model, self.dtype, self.whole = Tokenizer.from_file(path), dtype, whole
         self.end = np.array([end_id], dtype).tobytes()
-        self.seen: dict[bytes, bytes] = {}
+        self.seen, self.parts = Recent(CACHE), Recent(CACHE // 2)
+        layout = json.loads(self.model.to_str())
+        steps = (layout.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.ascii = None
+        if [x["type"] for x in (layout.get("normalizer") or {}).get("normalizers", [])] == NORMALIZERS and (steps[0].get("pattern") or {}).get("Regex") == SPLIT:
+            self.ascii = re.compile(SPLIT.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
+        self.special = tuple(x["content"] for x in layout.get("added_tokens", []))
+
+    def _learn(self, new: list[bytes]) -> None:
+        hard, easy, parts = [], [], set()
+        for w in new:
+            t = w.decode("utf-8", "surrogatepass")
+            if self.ascii and t.isascii() and t.isprintable() and not ("<" in t and any(x in t for x in self.special)):
+                cut = self.ascii(t.lower())
+                easy.append((w, cut))
+                parts.update(cut)
+            else:
+                hard.append((w, t))
+        bpe = self.model.model
+        for p in self.parts.absent(parts):
+            self.parts[p] = np.array([x.id for x in bpe.tokenize(p)], self.dtype).tobytes()
+        for w, cut in easy:
+            self.seen[w] = b"".join([self.parts[p] for p in cut])
+        for i in range(0, len(hard), 4096):
+            coded = self.model.encode_batch_fast([t for _, t in hard[i : i + 4096]], add_special_tokens=False)
+            self.seen.update((w, np.array(x.ids, self.dtype).tobytes()) for (w, _), x in zip(hard[i : i + 4096], coded, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id, as raw bytes; null is the empty text."""
@@ -165,15 +219,8 @@ class WordCoder:
             found = self.model.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
             return [np.array(x.ids, self.dtype).tobytes() + self.end for x in found]
         split = [words(t) for t in texts]
+        self._learn(self.seen.absent({w for ws in split for w in ws}))
         seen = self.seen
-        new = list({w for ws in split for w in ws if w not in seen})
-        if len(seen) + len(new) > CACHE:
-            seen.clear()
-            new = list({w for ws in split for w in ws})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            coded = self.model.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
-            seen.update((w, np.array(x.ids, self.dtype).tobytes()) for w, x in zip(part, coded, strict=True))
         return [b"".join([seen[w] for w in ws]) + self.end for ws in split]
 
 
