@@ -17,6 +17,7 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,11 +25,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .byte_bpe import byte_letters
 from .common import partitions_for, shared_dir, words
 
 MAGIC = b"CFTOK\x00\x00\x01"
@@ -151,11 +154,14 @@ class Recent(dict):
     def __init__(self, most: int) -> None:
         self.most, self.old = most, {}
 
-    def absent(self, keys: set) -> list:
-        """Those of ``keys`` that neither generation has; keys of the old one move to the new one."""
+    def turn(self) -> None:
+        """Begin a new generation if the present one is full."""
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
+
+    def absent(self, keys: set) -> list:
+        """Those of ``keys`` that neither generation has; keys of the old one move to the new one."""
         out = []
         for k in keys:
             if k not in self:
@@ -176,8 +182,8 @@ class WordCoder:
 
     White space ends every pre-token of such tokenizers and no normaliser joins across it, so a text's ids
     are those of its words in turn; frequent words are encoded once. That holds for whitespace-dropping
-    vocabularies with word ends; for others pass ``whole=True``. Printable ASCII words of the layout above are
-    cut into pre-tokens here, so that words share the library's BPE of their parts.
+    vocabularies with word ends; for others pass ``whole=True``. Latin words of the layout above are cut into
+    pre-tokens here, so that words share the library's BPE of their parts.
     """
 
     def __init__(self, path: str, end_id: int, dtype: str, whole: bool = False) -> None:
@@ -189,39 +195,63 @@ class WordCoder:
         self.seen, self.parts = Recent(CACHE), Recent(CACHE // 2)
         layout = json.loads(self.model.to_str())
         steps = (layout.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.ascii = None
-        if [x["type"] for x in (layout.get("normalizer") or {}).get("normalizers", [])] == NORMALIZERS and (steps[0].get("pattern") or {}).get("Regex") == SPLIT:
-            self.ascii = re.compile(SPLIT.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
-        self.special = tuple(x["content"] for x in layout.get("added_tokens", []))
+        self.plain = None
+        same = [x["type"] for x in (layout.get("normalizer") or {}).get("normalizers", [])] == NORMALIZERS
+        if same and (steps[0].get("pattern") or {}).get("Regex") == SPLIT:
+            # printable characters below U+0250, which NFC leaves alone; no special token within
+            special = "|".join(re.escape(x["content"]) for x in layout.get("added_tokens", []))
+            self.plain = re.compile(rf"(?!.*(?:{special or '(?!)'}))[!-~\xA1-\xAC\xAE-\u024F]+").fullmatch
+            self.cut_plain = re.compile(SPLIT.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
+            self.cut_latin = regex.compile(SPLIT).findall
+        self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
+        self.table = dict(enumerate(byte_letters()))
+
+    def _cut(self, w: bytes) -> list[bytes] | None:
+        """The lower-cased pre-tokens of a plain word; None for a word that the library must cut itself."""
+        if not self.plain:
+            return None
+        if w.isalpha():  # of bytes: ASCII letters only
+            return [w.lower()]
+        if w[-1:] in (b".", b",") and w[:-1].isalpha():
+            return [w[:-1].lower(), w[-1:]]
+        t = w.decode("utf-8", "surrogatepass")
+        if not self.plain(t):
+            return None
+        return [x.encode() for x in (self.cut_plain if len(t) == len(w) else self.cut_latin)(t.lower())]
 
     def _learn(self, new: list[bytes]) -> None:
         hard, easy, parts = [], [], set()
         for w in new:
-            t = w.decode("utf-8", "surrogatepass")
-            if self.ascii and t.isascii() and t.isprintable() and not ("<" in t and any(x in t for x in self.special)):
-                cut = self.ascii(t.lower())
+            if (cut := self._cut(w)) is None:
+                hard.append(w)
+            else:
                 easy.append((w, cut))
                 parts.update(cut)
-            else:
-                hard.append((w, t))
-        bpe = self.model.model
-        for p in self.parts.absent(parts):
-            self.parts[p] = np.array([x.id for x in bpe.tokenize(p)], self.dtype).tobytes()
+        bpe, known, code, table, seen = self.model.model.tokenize, self.parts, self.code, self.table, self.seen
+        for p in known.absent(parts):
+            known[p] = array(code, [x.id for x in bpe(p.decode("latin-1").translate(table))]).tobytes()
         for w, cut in easy:
-            self.seen[w] = b"".join([self.parts[p] for p in cut])
+            seen[w] = known[cut[0]] if len(cut) == 1 else b"".join([known[p] for p in cut])
         for i in range(0, len(hard), 4096):
-            coded = self.model.encode_batch_fast([t for _, t in hard[i : i + 4096]], add_special_tokens=False)
-            self.seen.update((w, np.array(x.ids, self.dtype).tobytes()) for (w, _), x in zip(hard[i : i + 4096], coded, strict=True))
+            texts = [w.decode("utf-8", "surrogatepass") for w in hard[i : i + 4096]]
+            coded = self.model.encode_batch_fast(texts, add_special_tokens=False)
+            seen.update((w, array(code, x.ids).tobytes()) for w, x in zip(hard[i : i + 4096], coded, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id, as raw bytes; null is the empty text."""
         if self.whole:
             found = self.model.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
             return [np.array(x.ids, self.dtype).tobytes() + self.end for x in found]
+        self.seen.turn()
+        self.parts.turn()
         split = [words(t) for t in texts]
-        self._learn(self.seen.absent({w for ws in split for w in ws}))
-        seen = self.seen
-        return [b"".join([seen[w] for w in ws]) + self.end for ws in split]
+        get = self.seen.get
+        got = [list(map(get, ws)) for ws in split]
+        new = {w for ws, ids in zip(split, got, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}
+        if new:
+            self._learn(self.seen.absent(new))
+            got = [list(map(get, ws)) if None in ids else ids for ws, ids in zip(split, got, strict=True)]
+        return [b"".join(ids) + self.end for ids in got]
 
 
 @lru_cache(maxsize=2)
