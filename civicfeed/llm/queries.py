@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, token_store
-from .common import table
+from . import byte_bpe, language, token_store, toxicity
+from .common import table, train_bucket
 from .quality_rules import quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,20 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_store, op3_quality_rules, op4_byte_bpe)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.trained(spark, sf_dir, docs)
+    held = (train_bucket("doc_id", 3) == 1).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held, "score", "predicted")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language.trained(docs)
+    held = (train_bucket("doc_id", 5) == 0).alias("held_out")
+    return language.identify(docs.drop("lang"), profiles).select("doc_id", held, "lang_pred", "score")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_store, op3_quality_rules, op4_byte_bpe, op8_toxicity, op9_language)}
 
 ORACLE_SQL: dict[str, str] = {}
