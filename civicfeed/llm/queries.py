@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, token_store, toxicity
+from . import byte_bpe, language, mixing, near_dup, token_store, toxicity
 from .common import table, train_bucket
 from .quality_rules import quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.jaccard_join(docs)
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = token_store.write_store(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, vocabulary=49_408)
@@ -42,6 +47,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.trained(spark, sf_dir, docs)
@@ -56,6 +67,44 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.drop("lang"), profiles).select("doc_id", held, "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_store, op3_quality_rules, op4_byte_bpe, op8_toxicity, op9_language)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard,
+        op2_token_store,
+        op3_quality_rules,
+        op4_byte_bpe,
+        op6_mixing,
+        op8_toxicity,
+        op9_language,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": r"""
+        WITH sized AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                coalesce(doc_id::VARCHAR, '') AS k, md5('11:' || coalesce(doc_id::VARCHAR, '')) AS h
+            FROM documents),
+        sources AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+            FROM sized GROUP BY source),
+        levels AS (
+            SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (
+                    ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                / sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM sources),
+        targets AS (
+            SELECT source, source_size, least(max(level) OVER () * weight, (3 * source_size)::DOUBLE) AS target FROM levels),
+        rests AS (
+            SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::INT ELSE 0 END AS whole FROM targets),
+        runs AS (
+            SELECT doc_id, size, source_size, target, whole, target - whole * source_size AS rest,
+                sum(size) OVER (PARTITION BY source ORDER BY h, k, size) AS upto,
+                sum(size) OVER (PARTITION BY source, h, k, size) AS own
+            FROM sized JOIN rests USING (source))
+        SELECT doc_id, size, source_size, target,
+            (size * (whole + CASE WHEN upto - own / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM runs""",
+}
