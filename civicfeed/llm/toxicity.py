@@ -71,40 +71,55 @@ class SubwordModel:
         return float(sigmoid(self.scale * total / (size + NEUTRAL) + self.bias))
 
 
+def _bag(text: str | None, low: int, high: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text and the part of its average that each has."""
+    counts = Counter(words(text))
+    if not counts:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    times = np.sqrt(np.fromiter(counts.values(), float, len(counts)))
+    got = [grams(w, low, high, buckets) for w in counts]
+    sizes = np.array([len(g) for g in got])
+    own, back = np.unique(np.concatenate(got), return_inverse=True)
+    part = np.bincount(back, np.repeat(times / (times.sum() + NEUTRAL) / sizes, sizes))
+    return own.astype(np.int32), part.astype(np.float32)
+
+
 def train(texts: list[str | None], labels: list[int], low: int = 3, high: int = 5, buckets: int = 1 << 17, dim: int = 4, least: int = 5, epochs: int = 40, rate: float = 1.0, decay: float = 1e-4, seed: int = 7) -> SubwordModel:
     """Embeddings and softmax weights together, by gradient steps with momentum over the whole sample.
 
     Every text is the average of its words (by the root of their counts, so that a text of one word
     repeated has no extreme average), every word the average of its n-grams; the classes weigh alike.
     Buckets that fewer than ``least`` texts use stay zero: they would only learn single texts by heart. Without
-    examples of both classes the model knows the share of toxic texts only.
+    examples of both classes, or without common n-grams, the model knows the share of toxic texts only.
     """
     y = np.array(labels, float)
+    prior = (y.sum() + 0.5) / (len(y) + 1)
+    flat = SubwordModel(low, high, np.zeros(buckets), float(np.log(prior / (1 - prior))), 1.0)
     if not len(y) or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1)
-        return SubwordModel(low, high, np.zeros(buckets), float(np.log(share / (1 - share))), 1.0)
-    cache: dict[bytes, np.ndarray] = {}
-    ids, part, row = [], [], []
-    for r, text in enumerate(texts):
-        counts = Counter(words(text))
-        times = np.sqrt(np.fromiter(counts.values(), float, len(counts)))
-        n = times.sum() + NEUTRAL
-        got = [cache[w] if w in cache else cache.setdefault(w, grams(w, low, high, buckets)) for w in counts]
-        if got:
-            each = np.concatenate([np.full(len(g), c / n / len(g)) for g, c in zip(got, times, strict=True)])
-            own, back = np.unique(np.concatenate(got), return_inverse=True)
-            ids.append(own)
-            part.append(np.bincount(back, each))
-            row.append(np.full(len(own), r))
-    ids, part, row = (np.concatenate([[], *x]) for x in (ids, part, row))
-    common = np.bincount(ids.astype(np.int64), minlength=buckets) >= least
-    keep = common[ids.astype(np.int64)]
-    used, ids = np.unique(ids[keep].astype(np.int64), return_inverse=True)
-    row = row[keep].astype(np.int64)
+        return flat
+    uses = np.zeros(buckets, np.int32)
+    bags = []
+    for text in texts:
+        own, part = _bag(text, low, high, buckets)
+        uses[own] += 1
+        bags.append((own, part))
+    # only common buckets are kept, in 12 bytes an entry
+    for r, (own, part) in enumerate(bags):
+        keep = uses[own] >= least
+        bags[r] = own[keep], part[keep]
+    row = np.repeat(np.arange(len(bags), dtype=np.int32), [len(own) for own, _ in bags])
+    part = np.concatenate([p for _, p in bags])
+    used = np.flatnonzero(uses >= least)
+    place = np.zeros(buckets, np.int32)
+    place[used] = np.arange(len(used))
+    ids = place[np.concatenate([own for own, _ in bags])]
+    del bags
+    if not len(ids):
+        return flat
     # frequent n-grams weigh less, by a smooth inverse of their share; texts have mean length one
-    share_of = np.bincount(ids, part[keep]) / len(y)
-    rarity = 1e-4 / (1e-4 + share_of)
-    part = part[keep] * rarity[ids]
+    share_of = np.bincount(ids, part, len(used)) / len(y)
+    rarity = (1e-4 / (1e-4 + share_of)).astype(np.float32)
+    part = part * rarity[ids]
     scale = float(len(y) / np.sqrt(np.bincount(row, part**2, len(y))).sum())
     part = (scale * part).astype(np.float32)
     rng = np.random.default_rng(seed)
@@ -115,16 +130,16 @@ def train(texts: list[str | None], labels: list[int], low: int = 3, high: int =
     target = np.stack([1 - y, y], 1)
     speed = [np.zeros_like(p) for p in (emb, out, bias)]
 
-    def sums(weights: np.ndarray, at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-        return np.stack([np.bincount(at, weights * rows[:, k], size) for k in range(dim)], 1)
+    def sums(at: np.ndarray, rows: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+        return np.stack([np.bincount(at, part * rows[of, k], size) for k in range(dim)], 1)
 
     for _ in range(epochs):
-        avg = sums(part, row, emb[ids], len(y))
+        avg = sums(row, emb, ids, len(y))
         z = avg @ out + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         dz = (p - target) * share
-        demb = sums(part, ids, (dz @ out.T)[row], len(used)) + decay * emb
+        demb = sums(ids, (dz @ out.T).astype(np.float32), row, len(used)) + decay * emb
         for value, move, grad in zip((emb, out, bias), speed, (demb, avg.T @ dz + decay * out, dz.sum(0)), strict=True):
             move *= 0.9
             move -= rate * grad
@@ -147,7 +162,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text
     return [(r.t, r.y) for r in rows]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", most: int = 3000) -> SubwordModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", most: int = 2400) -> SubwordModel:
     """A model from at most ``most`` labelled texts (a bounded sample; all else covers all rows)."""
     rows = training_rows(docs, labels, label, key, text, most)
     return train([t for t, _ in rows], [y for _, y in rows])
