@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, language, mixing, near_dup, token_store, toxicity
+from . import ann, byte_bpe, language, mixing, near_dup, quality_crf, suffix_tree, token_store, toxicity
 from .common import table, train_bucket
 from .quality_rules import quality_rules
 
@@ -57,6 +57,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_crf.trained(spark, sf_dir, docs)
+    held = (train_bucket("doc_id", 3) == 1).alias("held_out")
+    return quality_crf.score(docs, model).select("doc_id", held, "score", "predicted")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.trained(spark, sf_dir, docs)
@@ -71,6 +78,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.drop("lang"), profiles).select("doc_id", held, "lang_pred", "score")
 
 
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.production(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -80,8 +91,10 @@ QUERIES: dict[str, Query] = {
         op4_byte_bpe,
         op5_ann,
         op6_mixing,
+        op7_quality_crf,
         op8_toxicity,
         op9_language,
+        op10_suffix_tree,
     )
 }
 
