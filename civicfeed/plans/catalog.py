@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from . import feeds, records, texts
 
 FLAGSHIP = "c13_city_feed"
 
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = feeds.QUERIES | records.QUERIES | texts.QUERIES
+ORACLE_SQL = feeds.ORACLE_SQL | records.ORACLE_SQL | texts.ORACLE_SQL
