@@ -30,7 +30,7 @@ STEP = 32
 #: Members of a bucket whose pairs become rows, and of a block of a larger one.
 SMALL, BLOCK = 32, 512
 #: Distinct words that each of a Python worker's two generations keeps.
-CACHE = 300_000
+CACHE = 50_000
 
 _RNG = np.random.default_rng(20_240_601)
 _MUL = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -176,8 +176,8 @@ def compare_blocks(group: pd.DataFrame, threshold: float, tolerance: float) -> p
     links = np.zeros(len(group), np.int64)
     parent = list(range(len(group)))
     tree = []
-    for low in range(0, len(rows), 64):
-        part = rows[low : low + 64]
+    for low in range(0, len(rows), 32):
+        part = rows[low : low + 32]
         x, y = np.repeat(part, len(cols)), np.tile(cols, len(part))
         if first == second:
             keep = x < y
