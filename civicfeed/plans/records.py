@@ -1,8 +1,251 @@
-"""Queries of text functions, rules and chat."""
+"""Queries of records, addresses, members and notifications."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import ranking as R
+from ..functions import text as T
+from ..operators import addresses as A
+from ..operators import notify, records
+from .overlay import NOW, source, table, with_tables
 from .registry import Registry
 
 _R = Registry()
 QUERIES, ORACLE_SQL = _R.queries, _R.sql
+
+
+def _now():
+    return F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
+
+
+@_R.add(with_tables(" SELECT e.id, a.address_text FROM city_events e LEFT JOIN addresses a ON e.address_id = a.id", "addresses", "city_events"))
+def j2_event_address(spark, sf_dir):
+    a = table(spark, sf_dir, "addresses").select(F.col("id").alias("address_id"), "address_text")
+    return table(spark, sf_dir, "city_events").join(a, "address_id", "left").select("id", "address_text")
+
+
+@_R.add(with_tables(" SELECT DISTINCT user_id, chat_id, address_id FROM members WHERE chat_type = 'chat'", "members"))
+def j6_linked_groups(spark, sf_dir):
+    return notify.linked_groups(table(spark, sf_dir, "members"))
+
+
+@_R.add(with_tables(" SELECT id FROM addresses WHERE id IN (SELECT address_id FROM city_events WHERE importance = 1)", "addresses", "city_events"))
+def j7_exists(spark, sf_dir):
+    a = table(spark, sf_dir, "addresses")
+    e = table(spark, sf_dir, "city_events").filter("importance = 1").select(F.col("address_id").alias("id"))
+    return a.join(e, "id", "left_semi").select("id")
+
+
+@_R.add(with_tables(" SELECT id FROM city_events n WHERE id % 3 = 0 AND source_msg_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM city_events o WHERE o.id % 2 = 0 AND o.source = n.source AND o.source_msg_id = n.source_msg_id)", "city_events"))
+def j8_already_seen(spark, sf_dir):
+    e = table(spark, sf_dir, "city_events").filter("source_msg_id IS NOT NULL")
+    return records.absent(e.filter("id % 3 = 0"), e.filter("id % 2 = 0"), ["source", "source_msg_id"]).select("id")
+
+
+RECIPIENTS_SQL = """ , live AS (SELECT DISTINCT user_id, m.address_id, city, street FROM members m JOIN addresses a ON m.address_id = a.id WHERE chat_type = 'chat'),
+    own AS (SELECT e.id, geo_by, address_id, city, street FROM city_events e JOIN addresses a ON e.address_id = a.id WHERE importance IN (1, 2){more})
+    SELECT DISTINCT o.id AS event_id, l.user_id FROM own o JOIN live l ON (geo_by = 'home' AND l.address_id = o.address_id)
+        OR (geo_by = 'street' AND l.city = o.city AND l.street = o.street) OR (geo_by = 'city' AND l.city = o.city)"""
+
+
+@_R.add(with_tables(f"{RECIPIENTS_SQL.format(more='')}", "addresses", "city_events", "members"))
+def j15_recipients(spark, sf_dir):
+    e = table(spark, sf_dir, "city_events").filter("importance IN (1, 2)")
+    return notify.recipients(e, table(spark, sf_dir, "addresses"), table(spark, sf_dir, "members"))
+
+
+@_R.add(with_tables(f""" , found AS (SELECT * FROM ({with_tables(RECIPIENTS_SQL.format(more=' AND e.id > 5000'), 'addresses', 'city_events', 'members')}) r)
+    SELECT event_id, user_id FROM found f WHERE NOT EXISTS (SELECT 1 FROM deliveries d WHERE d.event_id = f.event_id AND d.user_id = f.user_id)""", "deliveries"))
+def c20_enqueue(spark, sf_dir):
+    new, _ = notify.enqueue(table(spark, sf_dir, "city_events"), table(spark, sf_dir, "addresses"), table(spark, sf_dir, "members"), table(spark, sf_dir, "deliveries"), 5000)
+    return new.select("event_id", "user_id")
+
+
+@_R.add(with_tables(f" SELECT id, attempts FROM deliveries WHERE acked_at IS NULL AND (last_sent_at IS NULL OR last_sent_at <= {NOW} - INTERVAL '86400' SECOND)", "deliveries"))
+def st6_due_deliveries(spark, sf_dir):
+    return notify.due(table(spark, sf_dir, "deliveries"), _now(), 86_400).select("id", "attempts")
+
+
+@_R.add(with_tables(f" SELECT id, attempts + CAST(id % 2 = 0 AND acked_at IS NULL AS INTEGER) AS attempts, CASE WHEN id % 2 = 0 AND acked_at IS NULL THEN {NOW} ELSE last_sent_at END AS last_sent_at FROM deliveries", "deliveries"))
+def c21_mark_sent(spark, sf_dir):
+    d = table(spark, sf_dir, "deliveries")
+    return notify.marked_sent(d, d.filter("id % 2 = 0"), _now()).select("id", "attempts", "last_sent_at")
+
+
+@_R.add(with_tables(" SELECT user_id, min_by(address_id, chat_id * 1000000 + address_id) AS address_id FROM members GROUP BY user_id", "members"))
+def j19_first_address(spark, sf_dir):
+    return notify.home_of(table(spark, sf_dir, "members"))
+
+
+@_R.add(with_tables(""" SELECT address_id, string_agg(title, ', ' ORDER BY title) AS titles FROM (SELECT DISTINCT address_id, 'chat ' || -chat_id AS title FROM members WHERE chat_type = 'chat'
+    UNION SELECT DISTINCT address_id % 50, 'chat ' || -chat_id FROM members WHERE chat_type = 'removed') u GROUP BY address_id""", "members"))
+def u1_titles_by_address(spark, sf_dir):
+    m = table(spark, sf_dir, "members").withColumn("title", F.concat(F.lit("chat "), (-F.col("chat_id")).cast("string")))
+    return notify.titles_by_address(m.filter("chat_type = 'chat'"), m.filter("chat_type = 'removed'").withColumn("address_id", F.col("address_id") % 50))
+
+
+@_R.add("""SELECT o_orderkey AS id, o_custkey AS user_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 2 DESC, o_orderdate DESC, o_orderkey DESC) AS n FROM orders WHERE o_orderstatus = 'O') x WHERE n = 1""")
+def w10_latest_request(spark, sf_dir):
+    o = source(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 2).alias("claimed"),
+        F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "O", "pending").alias("status"),
+    )
+    return notify.latest_request(o).select("id", "user_id")
+
+
+@_R.add(with_tables(""" SELECT city, district, street, house, count(*) AS n, CAST(grouping(city, district, street, house) AS BIGINT) AS g FROM addresses
+    WHERE NOT coalesce(is_private, false) GROUP BY ROLLUP (city, district, street, house) HAVING city IS NOT NULL""", "addresses"))
+def c17_hierarchy(spark, sf_dir):
+    return A.hierarchy(table(spark, sf_dir, "addresses"))
+
+
+@_R.add(with_tables(""" , d AS (SELECT id AS draft_id, city, CASE WHEN id % 4 <> 3 THEN street END AS street, CASE WHEN id % 2 = 0 THEN house ELSE '9999' END AS house FROM addresses)
+    SELECT draft_id, coalesce(h.id, s.id, c.id) AS address_id, CASE WHEN h.id IS NOT NULL THEN 'home' WHEN s.id IS NOT NULL THEN 'street' ELSE 'city' END AS geo_by FROM d
+    LEFT JOIN (SELECT city, street, house, min(id) AS id FROM addresses GROUP BY ALL) h ON d.city = h.city AND d.street = h.street AND d.house = h.house
+    LEFT JOIN (SELECT city, street, min(id) AS id FROM addresses GROUP BY ALL) s ON d.city = s.city AND d.street = s.street
+    LEFT JOIN (SELECT city, min(id) AS id FROM addresses GROUP BY ALL) c ON d.city = c.city""", "addresses"))
+def c8_bind(spark, sf_dir):
+    a = table(spark, sf_dir, "addresses")
+    d = a.select(F.col("id").alias("draft_id"), "city", F.when(F.col("id") % 4 != 3, F.col("street")).alias("street"), F.when(F.col("id") % 2 == 0, F.col("house")).otherwise("9999").alias("house"))
+    return A.bind(d, a)
+
+
+@_R.add(with_tables(""" SELECT msg_id, address_id, CASE WHEN n > 1 THEN msg_id || ':addr:' || address_id ELSE msg_id END AS source_msg_id FROM (
+    SELECT DISTINCT 'moek:' || (id // 5) AS msg_id, address_id, count(DISTINCT address_id) OVER (PARTITION BY id // 5) AS n FROM city_events) x""", "city_events"))
+def c7_fan_out(spark, sf_dir):
+    e = table(spark, sf_dir, "city_events")
+    notices = e.groupBy(F.concat(F.lit("moek:"), F.floor(F.col("id") / 5).cast("string")).alias("msg_id")).agg(F.collect_set("address_id").alias("address_ids"))
+    return A.fan_out(notices).select("msg_id", "address_id", "source_msg_id")
+
+
+@_R.add()
+def c16_address_search(spark, sf_dir):
+    a = table(spark, sf_dir, "addresses")
+    q = a.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.concat_ws(" ", "city", "street").alias("query"))
+    return A.search(q, a)
+
+
+@_R.add()
+def j12_street_lookup(spark, sf_dir):
+    a = table(spark, sf_dir, "addresses").filter("id % 2 = 0").withColumn("street", F.concat_ws(" ", "city", "street"))
+    return A.lookup(a.select(F.col("id").alias("hint_id"), F.col("street").alias("hint"), "house"), a)
+
+
+@_R.add(with_tables(""" SELECT CAST(a.id AS BIGINT) AS id, min(p.postal_code) AS postal_code FROM addresses a JOIN addresses p ON a.street = p.street AND a.house = p.house AND a.lat = p.lat AND a.lon = p.lon
+    GROUP BY a.id HAVING count(DISTINCT p.postal_code) = 1""", "addresses"))
+def j9_postcodes(spark, sf_dir):
+    a = table(spark, sf_dir, "addresses")
+    # places in these tables are equal or far apart
+    return A.match_postcodes(a, a, 1.0)
+
+
+@_R.add(""" SELECT k, n, CAST(agree AS BOOLEAN) AS agree FROM (SELECT c_name[1:14] || c_nationkey AS k, count(*) AS n, count(DISTINCT (c_mktsegment, c_custkey % 3 = 0)) = 1 AS agree FROM customer GROUP BY ALL) x""")
+def a7_conflicts(spark, sf_dir):
+    c = source(spark, sf_dir, "customer").select(
+        F.concat(F.left("c_name", F.lit(14)), F.col("c_nationkey").cast("string")).alias("k"), F.col("c_mktsegment").alias("a"), (F.col("c_custkey") % 3 == 0).alias("b"), "c_custkey"
+    )
+    agree, other = records.split_conflicts(c, "k", ["a", "b"], "c_custkey")
+    return agree.select("k", "n", F.lit(True).alias("agree")).unionByName(other.select("k", "n", F.lit(False).alias("agree")))
+
+
+@_R.add(with_tables(""" , old AS (SELECT id, city, postal_code FROM addresses WHERE id % 3 <> 0), new AS (SELECT id, city || '!' AS city, CASE WHEN id % 2 = 0 THEN '000000' END AS postal_code FROM addresses WHERE id % 5 = 0)
+    SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN o.city ELSE n.city END AS city, CASE WHEN n.id IS NULL THEN o.postal_code ELSE coalesce(n.postal_code, o.postal_code) END AS postal_code FROM old o FULL JOIN new n ON o.id = n.id""", "addresses"))
+def sk4_upsert(spark, sf_dir):
+    a = table(spark, sf_dir, "addresses").select("id", "city", "postal_code")
+    new = a.filter("id % 5 = 0").withColumns({"city": F.concat("city", F.lit("!")), "postal_code": F.when(F.col("id") % 2 == 0, "000000")})
+    return records.upsert(a.filter("id % 3 <> 0"), new, ["id"], ["postal_code"])
+
+
+@_R.add(with_tables(""" SELECT id, CASE WHEN id % 10 = 0 THEN 'changed' ELSE title END AS title, CASE WHEN id % 4 = 0 THEN NULL ELSE active_to END AS active_to FROM city_events""", "city_events"))
+def sk2_update(spark, sf_dir):
+    e = table(spark, sf_dir, "city_events")
+    patch = e.filter("id % 10 = 0 OR id % 4 = 0").select(
+        "id", F.when(F.col("id") % 10 == 0, "changed").alias("title"), F.lit(None).cast("timestamp_ntz").alias("active_to"), (F.col("id") % 4 == 0).alias("clear_active_to")
+    )
+    return records.update(e, patch, "id", ["active_to"]).select("id", "title", "active_to")
+
+
+@_R.add(with_tables(" SELECT id FROM city_events WHERE importance BETWEEN 1 AND 3 AND length(trim(coalesce(title, '') || body)) > 0 AND address_id <= 1000", "addresses", "city_events"))
+def sk1_checked_insert(spark, sf_dir):
+    e = table(spark, sf_dir, "city_events")
+    known = table(spark, sf_dir, "addresses").filter("id <= 1000").select(F.col("id").alias("address_id"), F.lit(True).alias("known"))
+    rows = e.join(known, "address_id", "left")
+    good, _ = records.checked(rows, {"importance": F.col("importance").isin(1, 2, 3), "text": F.length(F.trim(F.concat_ws("", "title", "body"))) > 0, "address": F.col("known")})
+    return good.select("id")
+
+
+@_R.add("""SELECT event_id FROM (SELECT *, max(over_) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (
+    SELECT *, CAST(sum(k) OVER (PARTITION BY user_id, island ORDER BY event_id ROWS UNBOUNDED PRECEDING) >= 2 AS INTEGER) AS over_ FROM (
+    SELECT *, sum(1 - k) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT event_id, user_id, CAST(event_type = 'view' AS INTEGER) AS k FROM events) a) b) c) d WHERE coalesce(seen, 0) = 0""")
+def w8_known_streak(spark, sf_dir):
+    e = source(spark, sf_dir, "events")
+    return records.first_streak(e, ["user_id"], "event_id", F.col("event_type") == "view", 2).select("event_id")
+
+
+@_R.add("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER w AS n, lead(value) OVER w AS nxt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value DESC)) x WHERE n = 1 AND value >= 400 AND (nxt IS NULL OR value - nxt >= 5)")
+def w4_margin(spark, sf_dir):
+    return records.by_margin(source(spark, sf_dir, "events"), ["user_id"], "value", 400.0, 5.0).select("user_id", "event_id", "value")
+
+
+@_R.add("SELECT event_type, user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS n FROM events) x WHERE n = 1")
+def w3_keep_first(spark, sf_dir):
+    return records.keep_first(source(spark, sf_dir, "events"), ["event_type", "user_id"], [F.asc("ts"), F.asc("event_id")]).select("event_type", "user_id", "event_id")
+
+
+@_R.add("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS new_id FROM orders")
+def sk10_sequential_ids(spark, sf_dir):
+    return records.sequential_ids(source(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "new_id")
+
+
+@_R.add(with_tables(" SELECT source, count(*) AS n, count(*) FILTER (title IS NOT NULL) AS with_title, min(published_at) AS oldest, max(published_at) AS newest, max(id) AS last_id FROM city_events GROUP BY source", "city_events"))
+def a2_counts_and_bounds(spark, sf_dir):
+    e = table(spark, sf_dir, "city_events")
+    return e.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("title").isNotNull()).alias("with_title"), F.min("published_at").alias("oldest"), F.max("published_at").alias("newest"), F.max("id").alias("last_id"))
+
+
+@_R.add(with_tables(" SELECT is_private, count(*) AS n, count(*) FILTER (postal_code < '100200') AS low_codes FROM addresses GROUP BY is_private", "addresses"))
+def a8_private_counts(spark, sf_dir):
+    a = table(spark, sf_dir, "addresses")
+    return a.groupBy("is_private").agg(F.count("*").alias("n"), F.count_if(F.col("postal_code") < "100200").alias("low_codes"))
+
+
+@_R.add(with_tables(" SELECT id, count(*) OVER (PARTITION BY city, street, house) AS same, row_number() OVER (PARTITION BY city ORDER BY CAST(house AS INTEGER), id) AS place FROM addresses", "addresses"))
+def a15_house_labels(spark, sf_dir):
+    from pyspark.sql import Window
+
+    a = table(spark, sf_dir, "addresses")
+    same = F.count("*").over(Window.partitionBy("city", "street", "house"))
+    place = F.row_number().over(Window.partitionBy("city").orderBy(A.natural_order(F.col("house")), "id"))
+    return a.select("id", same.alias("same"), place.cast("long").alias("place"))
+
+
+@_R.add(with_tables(" SELECT id, city FROM addresses ORDER BY id LIMIT 50 OFFSET 100", "addresses"))
+def l8_offset_page(spark, sf_dir):
+    return table(spark, sf_dir, "addresses").orderBy("id").offset(100).limit(50).select("id", "city")
+
+
+@_R.add(with_tables(" SELECT id FROM city_events WHERE id % 2 = 0 EXCEPT SELECT id FROM city_events WHERE importance = 3", "city_events"))
+def u5_except(spark, sf_dir):
+    e = table(spark, sf_dir, "city_events")
+    return e.filter("id % 2 = 0").select("id").exceptAll(e.filter("importance = 3").select("id"))
+
+
+@_R.add(with_tables(f""" SELECT id, round(exp(-ln(2::DOUBLE) * greatest(0, datesub('hour', coalesce(published_at, created_at), {NOW})) / 24.0::DOUBLE), 12) AS timeliness,
+    round(greatest(0.0, least(1.0, 0.5::DOUBLE * (CASE importance WHEN 1 THEN 1.0 WHEN 2 THEN 0.72 ELSE 0.42 END)::DOUBLE + 0.35::DOUBLE * 0.55::DOUBLE + 0.15::DOUBLE * (CASE geo_by WHEN 'home' THEN 1.0 WHEN 'street' THEN 0.78 ELSE 0.48 END)::DOUBLE)), 9) AS relevance FROM city_events""", "city_events"))
+def d6_timeliness(spark, sf_dir):
+    e = table(spark, sf_dir, "city_events")
+    return e.select("id", F.round(R.timeliness(F.col("published_at"), F.col("created_at"), _now()), 12).alias("timeliness"), F.round(R.relevance(F.col("importance"), None, F.col("geo_by")), 9).alias("relevance"))
+
+
+@_R.add(with_tables(""" SELECT id, CASE WHEN importance = 1 THEN '[!] ' ELSE '[i] ' END || CASE WHEN title IS NULL THEN body ELSE title || chr(10) || body END AS text FROM city_events WHERE importance < 3""", "city_events"))
+def x18_priority_text(spark, sf_dir):
+    e = table(spark, sf_dir, "city_events").filter("importance < 3")
+    return e.select("id", notify.priority_text(F.col("importance"), F.col("title"), F.col("body")).alias("text"))
+
+
+@_R.add(with_tables(""" SELECT id, CASE WHEN title IS NULL THEN NULL ELSE title END AS title, body FROM city_events""", "city_events"))
+def k16_title_body(spark, sf_dir):
+    e = table(spark, sf_dir, "city_events")
+    both = T.title_and_body(F.concat_ws("\n", "title", "body"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return e.select("id", both.alias("x")).select("id", "x.title", "x.body")
