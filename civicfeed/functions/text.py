@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 STREET_TYPES = ["улица", "проспект", "проезд", "переулок", "шоссе", "бульвар", "набережная", "площадь", "аллея", "тупик", "квартал", "микрорайон", "линия"]
 ADDRESS_ALIASES = [("ул", "улица"), ("пр-т", "проспект"), ("просп", "проспект"), ("пр-д", "проезд"), ("пер", "переулок"), ("ш", "шоссе"), ("б-р", "бульвар"), ("наб", "набережная"), ("пл", "площадь")]
 HOUSE_WORDS = [("д|дом", "дом"), ("к|корп|корпус", "корпус"), ("с|стр|строение", "строение")]
-STREET_PREFIX = r"(?i)^(ул\.?|улица|пр-?т\.?|проспект|пер\.?|переулок|б-?р\.?|бульвар|ш\.?|шоссе)\s+"
+STREET_PREFIX = r"(?iu)^(ул\.?|улица|пр-?т\.?|проспект|пер\.?|переулок|б-?р\.?|бульвар|ш\.?|шоссе)\s+"
 STEM_ENDINGS = ["ого", "ему", "ому", "ыми", "ими", "ых", "их", "ая", "яя", "ое", "ее", "ые", "ие", "ой", "ый", "ий", "ом", "ем", "ую", "юю", "ам", "ям", "ах", "ях"]
-BOILERPLATE_ONLY = r"(?is)^\s*(?:подробнее(?:\s+на\s+сайте)?|читать\s+далее|читайте\s+(?:также|далее)|материал\s+предоставлен|подписывайтесь|источник\s*:?\s*)\s*[.!]?\s*$"
-BOILERPLATE_SUFFIX = r"(?is)\s*(?:подробнее(?:\s+на\s+сайте)?|читать\s+далее|читайте\s+(?:также|далее))\s*[.!]?\s*$"
+BOILERPLATE_ONLY = r"(?isu)^\s*(?:подробнее(?:\s+на\s+сайте)?|читать\s+далее|читайте\s+(?:также|далее)|материал\s+предоставлен|подписывайтесь|источник\s*:?\s*)\s*[.!]?\s*$"
+BOILERPLATE_SUFFIX = r"(?isu)\s*(?:подробнее(?:\s+на\s+сайте)?|читать\s+далее|читайте\s+(?:также|далее))\s*[.!]?\s*$"
 POSTCODE = r"(?U)(?<!\w)[0-9]{6}(?!\w)"
 HOUSE_IN_TEXT = r"(?iu)(?:д\.?|дом)\s*([0-9]+[а-яА-Яa-zA-Z]?(?:\s*[кс]\s*[0-9]+[а-яА-Яa-zA-Z]?)?)"
 GREETINGS = ["привет", "здравствуйте", "здарова", "добрый день", "добрый вечер", "доброе утро", "привет всем", "всем привет", "ку", "хай", "+", "ок", "окей", "ладно"]
@@ -109,7 +109,7 @@ def alias_keys(c: Column) -> Column:
     full = address_text(c)
     tokens = F.split(full, " ")
     bare = F.filter(tokens, lambda t: ~t.isin(STREET_TYPES))
-    named = F.filter(bare, lambda t: ~t.rlike(r"(?i)^\d+-?[йяе]$"))
+    named = F.filter(bare, lambda t: ~t.rlike(r"(?iu)^\d+-?[йяе]$"))
     words = F.filter(named, lambda t: (F.length(t) >= 4) & ~t.rlike(r"^\d+$"))
     whole = F.array(full, F.array_join(bare, " "), F.array_join(named, " "), F.array_join(F.transform(bare, stem), " "), F.array_join(F.transform(named, stem), " "))
     keys = F.array_union(whole, F.array_union(words, F.transform(words, stem)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import feeds, records, texts
+from . import feeds, pages, records, texts
 
 FLAGSHIP = "c13_city_feed"
 
-QUERIES = feeds.QUERIES | records.QUERIES | texts.QUERIES
-ORACLE_SQL = feeds.ORACLE_SQL | records.ORACLE_SQL | texts.ORACLE_SQL
+QUERIES = feeds.QUERIES | pages.QUERIES | records.QUERIES | texts.QUERIES
+ORACLE_SQL = feeds.ORACLE_SQL | pages.ORACLE_SQL | records.ORACLE_SQL | texts.ORACLE_SQL
