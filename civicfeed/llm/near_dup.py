@@ -65,14 +65,18 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
 
 
 def minhash(s: np.ndarray) -> np.ndarray:
-    """HASHES minima of the shingles' hashes under as many multiply-add-shift functions."""
+    """HASHES minima of the shingles' hashes under as many multiply-add-shift functions, of each the low 16 bits.
+
+    Minima are small, so low bits tell them apart; two that differ agree in them once in 65,536 times, which only
+    lets a pair through to exact verification.
+    """
     low = (s >> np.uint64(32)).astype(np.uint32)
     sig = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(low), 512):
         m = low[i : i + 512, None] * _MUL + _ADD
         m ^= m >> np.uint32(15)
         np.minimum(sig, m.min(0), out=sig)
-    return sig
+    return sig.astype(np.uint16)
 
 
 @lru_cache(maxsize=8)
@@ -166,7 +170,7 @@ def compare_blocks(group: pd.DataFrame, threshold: float, tolerance: float) -> p
     if not len(group):
         return empty
     band, first, second = int(group["band"].iloc[0]), int(group["i"].iloc[0]), int(group["j"].iloc[0])
-    sig = _matrix(group["sig"], np.uint32, HASHES)
+    sig = _matrix(group["sig"], np.uint16, HASHES)
     sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
     size = np.array([len(x) for x in sets])
     copies = group["copies"].to_numpy()
@@ -232,7 +236,7 @@ def jaccard_classes(df: DataFrame, key: str, text: str, threshold: float = 0.8,
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                keys = bands(_matrix(part.column(1).to_pylist(), np.uint32, HASHES))
+                keys = bands(_matrix(part.column(1).to_pylist(), np.uint16, HASHES))
                 count = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -262,7 +266,7 @@ def jaccard_classes(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            x, y = (_matrix(get[f"sig_{s}"].to_pylist(), np.uint32, HASHES) for s in "ab")
+            x, y = (_matrix(get[f"sig_{s}"].to_pylist(), np.uint16, HASHES) for s in "ab")
             both = get["large_a"].to_numpy() & get["large_b"].to_numpy()
             elsewhere = (both >> first_band(x, y).clip(max=BANDS - 1)) & 1 == 1  # a large bucket has this pair first
             keep = likely(x, y, threshold, tolerance)
