@@ -52,6 +52,18 @@ def partitions_for(df: DataFrame, bytes_each: int) -> int:
     return max(least, min(1_000_000, plan_bytes(df) // bytes_each + 1))
 
 
+#: Rows of keys up to which a side of a join goes to all tasks by broadcast (some tens of MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(keys: DataFrame) -> DataFrame:
+    """``keys``, to be broadcast if it has at most BROADCAST_ROWS rows of a few short columns; else joined by shuffle.
+
+    It is counted, so it should be materialised.
+    """
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def train_bucket(column: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, words
+from .common import broadcast_if_small, free_name, materialize, words
 from .components import connected
 from .token_store import Recent
 
@@ -279,7 +279,8 @@ def jaccard_classes(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     # the texts of the representatives that are still needed are shingled again
     needed = near.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct()
     wanted = known.select("rep", "copies", "th").join(needed, "rep", "left_semi")
-    own = rows.select("text", "th").join(wanted.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
+    hashes = broadcast_if_small(materialize(wanted.select("th").distinct(), "needed-texts"))
+    own = rows.select("text", "th").join(hashes, "th", "left_semi").dropDuplicates(["th"])
 
     def resign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,7 +353,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     first = found.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "th")).alias("x")).select("x.key", "x.th")
     k, h, n = (free_name(df, x) for x in ("cf_key", "cf_hash", "cf_n"))
     other = found.alias("f").join(first.alias("g"), F.expr("f.key <=> g.key and f.th = g.th"), "left_anti")
-    gone = other.select(F.col("key").alias(k), F.col("th").alias("_" + h)).distinct()
+    gone = broadcast_if_small(materialize(other.select(F.col("key").alias(k), F.col("th").alias("_" + h)).distinct(), "gone"))
     hashed = df.withColumn(h, F.xxhash64(text))
     out = hashed.join(gone, F.col(key).eqNullSafe(F.col(k)) & (F.col(h) == F.col("_" + h)), "left_anti")
     if not found.groupBy("key", "th").count().filter("count > 1").isEmpty():
