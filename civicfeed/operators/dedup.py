@@ -113,9 +113,10 @@ def resolve(drafts: DataFrame, events: DataFrame, duplicate: float = DUPLICATE,
     Both sides have id, source, source_msg_id, title, body, address_id and v.
     """
     known = events.filter(F.col("source_msg_id").isNotNull()).groupBy("source", "source_msg_id").agg(F.max("id").alias("same_id"))
-    seen = drafts.join(known, ["source", "source_msg_id"], "left")
+    keyed = known.select(F.col("source").alias("k_source"), F.col("source_msg_id").alias("k_msg"), "same_id")
+    seen = drafts.join(keyed, (F.col("source") == F.col("k_source")) & (F.col("source_msg_id") == F.col("k_msg")), "left").drop("k_source", "k_msg")
     best = best_matches(seen.filter(F.col("same_id").isNull()), events)
-    out = seen.join(best, F.col("id") == F.col("draft_id"), "left")
+    out = seen.join(best.withColumnRenamed("draft_id", "id"), "id", "left")
     hint = T.has_update_hint(F.concat_ws(" ", "title", "body"))
     decided = F.when(F.col("same_id").isNotNull(), "duplicate").otherwise(action(F.col("score"), hint, duplicate, update))
     why = F.when(F.col("same_id").isNotNull(), "same_message").otherwise(reason(F.col("score"), hint, duplicate, update))
