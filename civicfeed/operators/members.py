@@ -45,10 +45,10 @@ def promote(members: DataFrame, homes: DataFrame) -> DataFrame:
 
 
 def upsert_users(old: DataFrame, new: DataFrame) -> DataFrame:
-    """SK11: users by max_user_id; an empty new name or user name leaves the old one."""
-    n = new.select("max_user_id", *[F.nullif(F.trim(c), F.lit("")).alias(f"cf_{c}") for c in ("name", "username")])
-    joined = old.join(n, "max_user_id", "full_outer")
-    return joined.select("max_user_id", *[F.coalesce(f"cf_{c}", c).alias(c) for c in ("name", "username")])
+    """SK11: users by external_id; an empty new name or user name leaves the old one."""
+    n = new.select("external_id", *[F.nullif(F.trim(c), F.lit("")).alias(f"cf_{c}") for c in ("name", "username")])
+    joined = old.join(n, "external_id", "full_outer")
+    return joined.select("external_id", *[F.coalesce(f"cf_{c}", c).alias(c) for c in ("name", "username")])
 
 
 def residence(members: DataFrame, asked: DataFrame) -> DataFrame:

@@ -142,12 +142,12 @@ def sk3_delete(spark, sf_dir):
     return e.join(e.filter("importance = 1").select("id"), "id", "left_anti").select("id")
 
 
-@_R.add("""SELECT c_custkey AS max_user_id, CASE WHEN c_custkey % 2 = 0 THEN c_name || '!' ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS username FROM customer""")
+@_R.add("""SELECT c_custkey AS external_id, CASE WHEN c_custkey % 2 = 0 THEN c_name || '!' ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS username FROM customer""")
 def sk11_user_upsert(spark, sf_dir):
     c = source(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    old = c.select(k.alias("max_user_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("username"))
-    new = c.select(k.alias("max_user_id"), F.when(k % 2 == 0, F.concat("c_name", F.lit("!"))).otherwise(" ").alias("name"), F.when(k % 3 == 0, "new").otherwise("").alias("username"))
+    old = c.select(k.alias("external_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("username"))
+    new = c.select(k.alias("external_id"), F.when(k % 2 == 0, F.concat("c_name", F.lit("!"))).otherwise(" ").alias("name"), F.when(k % 3 == 0, "new").otherwise("").alias("username"))
     return members.upsert_users(old, new)
 
 
