@@ -119,3 +119,43 @@ def match_postcodes(addresses: DataFrame, points: DataFrame, metres: float = 100
     p = points.select(T.street_key(F.col("street")).alias("k"), T.house(F.col("house")).alias("h"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "postal_code")
     close = a.join(p, ["k", "h"]).filter(R.haversine(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) <= metres)
     return close.groupBy("id").agg(F.min("postal_code").alias("postal_code"), F.max("postal_code").alias("other")).filter(F.col("postal_code") == F.col("other")).drop("other")
+
+
+def street_score(street: str, words: list[str]) -> float:
+    """The best likeness of a street to as many words in a row, where both have the same numbers."""
+    want = street.split()
+    digits = lambda t: "".join(c if c.isdigit() else " " for c in t).split()
+    best = 0.0
+    for i in range(len(words) - len(want) + 1):
+        part = " ".join(words[i : i + len(want)])
+        if digits(part) == digits(street):
+            best = max(best, indel_ratio(street, part))
+    return best
+
+
+@F.pandas_udf(DoubleType())
+def likeness(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """``street_score`` as a column of a street and a text."""
+    for x, y in pairs:
+        yield pd.Series([street_score(p or "", (q or "").split()) for p, q in zip(x, y, strict=True)])
+
+
+def match_text(texts: DataFrame, addresses: DataFrame, threshold: float = 90.0, margin: float = 5.0) -> DataFrame:
+    """(text_id, text) to the one address that its house and street name, by likeness.
+
+    Candidates have the text's house number; the best must reach ``threshold`` and lead the next by ``margin``. A
+    text with several houses or postcodes names none.
+    """
+    from .records import by_margin
+
+    number = r"(?U)\bдом\s+([0-9]+[а-я]?(?:/[0-9]+[а-я]?)?)"
+    norm = T.address_text(F.col("text"))
+    rows = texts.withColumns({"norm": norm, "houses": F.regexp_extract_all(norm, F.lit(number), F.lit(1)), "codes": T.postcodes(F.col("text"))})
+    rows = rows.filter((F.size("houses") == 1) & (F.size("codes") <= 1)).withColumns({"h": F.get("houses", F.lit(0)), "code": F.get("codes", F.lit(0))})
+    types = F.array(*[F.lit(t) for t in T.STREET_TYPES])
+    named = F.array_join(F.array_except(F.split(T.address_text(F.col("street")), " "), types), " ")
+    known = addresses.select("id", "postal_code", T.house(F.col("house")).alias("h"), named.alias("name")).filter("name <> ''")
+    pairs = rows.join(known, "h").filter(F.col("code").isNull() | (F.col("code") == F.col("postal_code")))
+    bare = F.array_join(F.filter(F.split(F.regexp_replace("norm", number, " "), " "), lambda w: ~F.array_contains(types, w) & (w != "")), " ")
+    scored = pairs.withColumn("score", likeness("name", bare)).select("text_id", F.col("id").alias("address_id"), "score")
+    return by_margin(scored, ["text_id"], "score", threshold, margin)

@@ -130,3 +130,31 @@ def test_indel_ratio():
     assert indel_ratio("abc", "abc") == 100
     assert indel_ratio("abc", "") == 0
     assert abs(indel_ratio("kitten", "sitting") - 200 * 4 / 13) < 1e-9
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Отключение ГВС с 01.02.2024 10:00 по 03.02.2024 18:00", ("2024-02-01 10:00:00", "2024-02-03 18:00:00", "dmy_range")),
+        ("работы с 1 мая по 3 мая", ("2024-05-01 00:00:00", "2024-05-03 23:59:00", "day_month_range")),
+        ("опрессовка 7 - 21 июля 2026", ("2026-07-07 00:00:00", "2026-07-21 23:59:00", "day_dash_day_month")),
+        ("6.07-8.07 не будет воды", ("2024-07-06 00:00:00", "2024-07-08 23:59:00", "dmy_dash_dmy")),
+        ("завтра с 10:00 до 12:30", ("2024-01-11 10:00:00", "2024-01-11 12:30:00", "rel_day_time_range")),
+        ("послезавтра в 23:00", ("2024-01-12 23:00:00", "2024-01-13 03:00:00", "rel_day_time_start")),
+        ("воды нет до 15.01", (None, "2024-01-15 23:59:00", "until")),
+        ("просто текст", None),
+    ],
+)
+def test_windows(spark, text, want):
+    from civicfeed.functions import windows
+
+    ref = F.lit("2024-01-10 09:00:00").cast("timestamp_ntz")
+    got = one(spark, windows.window(F.col("t"), ref), t=text)
+    assert (got and tuple(None if x is None else str(x) for x in (got.active_from, got.active_to, got.pattern))) == want
+
+
+def test_places(spark):
+    assert one(spark, rules.is_foreign(F.col("t")), t="Встреча в Берлине")
+    assert not one(spark, rules.is_foreign(F.col("t")), t="Ремонт на улице Мира")
+    assert one(spark, rules.elsewhere(F.col("t")), t="В Самаре снег") and not one(spark, rules.elsewhere(F.col("t")), t="В Москве и Самаре снег")
+    assert one(spark, rules.bare_city(F.col("t")), t="Казань") and not one(spark, rules.bare_city(F.col("t")), t="улица Казань")

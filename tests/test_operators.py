@@ -166,3 +166,16 @@ def test_cursors():
     assert cursors.next_page("2", 0, False, 0, 2) == "3" and cursors.next_page("2", 0, False, 1, 2) is None
     assert cursors.next_probe(5, False, 49) == (None, 50) and cursors.next_probe(5, True, 49) == (4, 0)
     assert cursors.next_sitemap("1:40", 50, 20, 0) == "2:0" and cursors.next_sitemap("1:0", 50, 20, 3) == "gnews:0"
+
+
+def test_match_text(spark):
+    a = spark.createDataFrame([(1, "улица Мира", "5", "123456"), (2, "улица Мирная", "5", None), (3, "Садовая улица", "7", None)], "id long, street string, house string, postal_code string")
+    t = spark.createDataFrame([(1, "Авария на ул. Мира, д. 5"), (2, "Садовая 7, дом 7 и дом 8"), (3, "ул. Садовая, дом 7"), (4, "без адреса")], "text_id long, text string")
+    assert {r.text_id: r.address_id for r in addresses.match_text(t, a).collect()} == {1: 1, 3: 3}
+
+
+def test_resolved_boundaries():
+    from civicfeed.operators.boundaries import stitch
+
+    assert [sorted(set(r)) for r in stitch([[1, 2], [4, 3], [3, 2], [4, 1]])] == [[1, 2, 3, 4]]
+    assert stitch([[1, 2], [2, 3]]) == []
