@@ -12,6 +12,7 @@ is found in the manifest and its place by one probe of the hash.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -36,7 +37,7 @@ from .common import partitions_for, shared_dir, words
 
 MAGIC = b"CFTOK\x00\x00\x01"
 #: Distinct words that each of a Python worker's two generations keeps.
-CACHE = 300_000
+CACHE = 400_000
 #: Text bytes in a shard, roughly.
 SHARD_BYTES = 64 << 20
 
@@ -162,10 +163,10 @@ class Recent(dict):
 
     def absent(self, keys: set) -> list:
         """Those of ``keys`` that neither generation has; keys of the old one move to the new one."""
-        out = []
+        out, get = [], self.old.get
         for k in keys:
             if k not in self:
-                if (v := self.old.get(k)) is None:
+                if (v := get(k)) is None:
                     out.append(k)
                 else:
                     self[k] = v
@@ -205,15 +206,14 @@ class WordCoder:
             self.cut_latin = regex.compile(SPLIT).findall
         self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.table = dict(enumerate(byte_letters()))
+        self.tokenize = self.model.model.tokenize
+        # of bytes, isalpha means ASCII letters; a stop or comma after them is a pre-token of its own
+        self.points = {p: self._bpe(p) for p in (b".", b",")} if self.plain else {}
 
     def _cut(self, w: bytes) -> list[bytes] | None:
         """The lower-cased pre-tokens of a plain word; None for a word that the library must cut itself."""
         if not self.plain:
             return None
-        if w.isalpha():  # of bytes: ASCII letters only
-            return [w.lower()]
-        if w[-1:] in (b".", b",") and w[:-1].isalpha():
-            return [w[:-1].lower(), w[-1:]]
         t = w.decode("utf-8", "surrogatepass")
         if not self.plain(t):
             return None
@@ -221,21 +221,37 @@ class WordCoder:
 
     def _learn(self, new: list[bytes]) -> None:
         hard, easy, parts = [], [], set()
+        known, old, seen, points = self.parts, self.parts.old, self.seen, self.points
         for w in new:
+            if self.plain:  # most new words are new spellings of parts that are known
+                end = b""
+                p = w
+                if w[-1:] in points:
+                    p, end = w[:-1], points[w[-1:]]
+                if p.isalpha():
+                    p = p.lower()
+                    got = known.get(p) or old.get(p)
+                    if got is None:
+                        got = known[p] = self._bpe(p)
+                    seen[w] = got + end
+                    continue
             if (cut := self._cut(w)) is None:
                 hard.append(w)
             else:
                 easy.append((w, cut))
                 parts.update(cut)
-        bpe, known, code, table, seen = self.model.model.tokenize, self.parts, self.code, self.table, self.seen
         for p in known.absent(parts):
-            known[p] = array(code, [x.id for x in bpe(p.decode("latin-1").translate(table))]).tobytes()
+            known[p] = self._bpe(p)
         for w, cut in easy:
-            seen[w] = known[cut[0]] if len(cut) == 1 else b"".join([known[p] for p in cut])
+            seen[w] = b"".join([known[p] for p in cut])
         for i in range(0, len(hard), 4096):
             texts = [w.decode("utf-8", "surrogatepass") for w in hard[i : i + 4096]]
             coded = self.model.encode_batch_fast(texts, add_special_tokens=False)
-            seen.update((w, array(code, x.ids).tobytes()) for w, x in zip(hard[i : i + 4096], coded, strict=True))
+            seen.update((w, array(self.code, x.ids).tobytes()) for w, x in zip(hard[i : i + 4096], coded, strict=True))
+
+    def _bpe(self, part: bytes) -> bytes:
+        """The ids of one pre-token as raw bytes."""
+        return array(self.code, [x.id for x in self.tokenize(part.decode("latin-1").translate(self.table))]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id, as raw bytes; null is the empty text."""
@@ -245,13 +261,11 @@ class WordCoder:
         self.seen.turn()
         self.parts.turn()
         split = [words(t) for t in texts]
-        get = self.seen.get
-        got = [list(map(get, ws)) for ws in split]
-        new = {w for ws, ids in zip(split, got, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}
+        new = set().union(*split).difference(self.seen)
         if new:
             self._learn(self.seen.absent(new))
-            got = [list(map(get, ws)) if None in ids else ids for ws, ids in zip(split, got, strict=True)]
-        return [b"".join(ids) + self.end for ids in got]
+        get = self.seen.__getitem__
+        return [b"".join(map(get, ws)) + self.end for ws in split]
 
 
 @lru_cache(maxsize=2)
@@ -282,6 +296,7 @@ def write_store(df: DataFrame, tokenizer: str, end_id: int, vocabulary: int, pat
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard, attempt = context.partitionId(), f"{context.taskAttemptId()}.tmp"
+        gc.disable()  # no cycles arise here, and the word tables are large
         coder = word_coder(tokenizer, end_id, dtype, whole)
         fs, root = filesystem(path)
         name = f"{root}/shard-{shard:05d}"
@@ -298,6 +313,7 @@ def write_store(df: DataFrame, tokenizer: str, end_id: int, vocabulary: int, pat
                 stream = stream or fs.open_output_stream(f"{name}.bin.{attempt}")
                 stream.write(b"".join(coded))
                 n += len(coded)
+        gc.enable()
         if not n:
             return
         stream.close()
