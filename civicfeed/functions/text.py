@@ -240,3 +240,24 @@ def greeting_only(c: Column) -> Column:
 def has_update_hint(c: Column, hints: list[str] | None = None) -> Column:
     """Whether a text says that something known has changed."""
     return F.coalesce(F.lower(c).rlike("(?u)" + "|".join(hints or UPDATE_HINTS)), F.lit(False))
+
+
+# Words for kinds of streets in any case, and what a street's name looks like.
+STREET_TYPE = r"(?:ул\.?|улиц[аеыу]|пр-?т\.?|проспект[аеу]?|пер\.?|переул(?:ок|ке|ка)|ш\.?|шоссе|б-?р\.?|бульвар[аеу]?|наб\.?|набережн(?:ая|ой|ую)|пл\.?|площад[ьи]|проезд[аеу]?|алле[яию])"
+STREET_NAME = r"(?:\d+-?[йяе]\s+)?[А-ЯЁ][а-яё0-9\-]*(?:\s+[А-ЯЁ][а-яё0-9\-]*){0,2}"
+NAKED_STREET = r"(?:^|[\s,.;:(])(?:на|по|у)\s+([А-ЯЁ][а-яё]{3,20})(?=\s|,|\.|$)"
+HINT_STOPS = ["в", "на", "по", "у", "и", "или", "дом", "корпус", "строение", "д", "к", "стр", "года", "году", "москве", "москва", "районе", "район", "сегодня", "вечера", "утра"]
+
+
+def street_hints(c: Column) -> Column:
+    """Names that can be streets: after a word for a street, before one, and after "на", "по" or "у" (K24).
+
+    In this order, each once; without stop words and shorter than three letters not at all.
+    """
+    word = r"(?U)(?<![\w])"
+    after = F.regexp_extract_all(c, F.lit(rf"{word}{STREET_TYPE}\s+({STREET_NAME})"), F.lit(1))
+    before = F.regexp_extract_all(c, F.lit(rf"({STREET_NAME})\s+{STREET_TYPE}(?![\w])"), F.lit(1))
+    naked = F.regexp_extract_all(c, F.lit(NAKED_STREET), F.lit(1))
+    stops = F.array(*[F.lit(w) for w in HINT_STOPS])
+    clean = F.transform(F.concat(after, before, naked), lambda h: F.array_join(F.filter(F.split(h, r"\s+"), lambda w: ~F.array_contains(stops, F.lower(w))), " "))
+    return F.array_distinct(F.filter(clean, lambda h: F.length(h) >= 3))

@@ -159,3 +159,45 @@ def match_text(texts: DataFrame, addresses: DataFrame, threshold: float = 90.0,
     bare = F.array_join(F.filter(F.split(F.regexp_replace("norm", number, " "), " "), lambda w: ~F.array_contains(types, w) & (w != "")), " ")
     scored = pairs.withColumn("score", likeness("name", bare)).select("text_id", F.col("id").alias("address_id"), "score")
     return by_margin(scored, ["text_id"], "score", threshold, margin)
+
+
+def article_places(articles: DataFrame, addresses: DataFrame, local_outlets: dict[str, str]) -> DataFrame:
+    """Articles (id, outlet, text, city, street, house) to (id, address_id, geo_by), those with a place only.
+
+    Articles about elsewhere have none. Then, by the first that gives one: the source's own fields, if in the
+    project's cities; a postcode of the text; a street that the text hints at, where the outlet is local or the
+    text names the city; the city, where the text names it; the city of a local outlet.
+    """
+    from ..functions import ranking as R
+    from ..functions import rules
+
+    default = R.pick(F.col("outlet"), local_outlets, None).cast("string")
+    here = articles.filter(~F.coalesce(rules.elsewhere(F.col("text")), F.lit(False))).withColumns({"cf_city": default, "cf_named": F.coalesce(rules.in_moscow(F.col("text")), F.lit(False))})
+    own = here.filter(rules.project_city(F.col("city"))).select(F.col("id").alias("draft_id"), "city", "street", "house")
+    by_fields = bind(own, addresses).select(F.col("draft_id").alias("id"), F.lit(1).alias("turn"), "address_id", "geo_by")
+    codes = addresses.filter(F.col("postal_code").isNotNull()).groupBy("postal_code").agg(F.min("id").alias("address_id"))
+    near = here.filter(F.col("cf_city").isNotNull() | F.col("cf_named"))
+    by_code = near.select("id", F.explode(T.postcodes(F.col("text"))).alias("postal_code")).join(codes, "postal_code").groupBy("id").agg(F.min("address_id").alias("address_id"))
+    by_code = by_code.select("id", F.lit(2).alias("turn"), "address_id", F.lit("street").alias("geo_by"))
+    hints = near.select("id", T.house_in_text(F.col("text")).alias("house"), F.posexplode(rules.local_hints(T.street_hints(F.col("text")))).alias("place", "hint"))
+    named = hints.withColumn("hint_id", F.concat_ws("/", F.col("id").cast("string"), F.col("place").cast("string")))
+    found = lookup(named.select("hint_id", "hint", "house"), addresses)
+    ranked = found.join(named.select("hint_id", "id", "place"), "hint_id")
+    best = ranked.groupBy("id").agg(F.min_by(F.struct(F.coalesce("address_id", "pin_id").alias("a"), "geo_by"), F.struct(F.col("geo_by") != "home", "place")).alias("x"))
+    by_hint = best.select("id", F.lit(3).alias("turn"), F.col("x.a").alias("address_id"), F.col("x.geo_by").alias("geo_by"))
+    cities = addresses.groupBy("city").agg(F.min("id").alias("address_id"))
+    wanted = here.select("id", F.coalesce(F.when(F.col("cf_named"), F.lit("Москва")), "cf_city").alias("city")).filter("city IS NOT NULL")
+    by_city = wanted.join(cities, "city").select("id", F.lit(4).alias("turn"), "address_id", F.lit("city").alias("geo_by"))
+    every = by_fields.unionByName(by_code).unionByName(by_hint).unionByName(by_city).filter("address_id IS NOT NULL")
+    first = every.groupBy("id").agg(F.min_by(F.struct("address_id", "geo_by"), "turn").alias("x"))
+    return first.select("id", "x.address_id", "x.geo_by")
+
+
+def to_drafts(candidates: DataFrame) -> DataFrame:
+    """C4: candidates (id, source, source_msg_id, raw_text, title, body, published_at) to drafts: title and body, importance, window."""
+    from ..functions import rules, windows
+
+    both = T.title_and_body(F.col("raw_text"), F.col("title"), F.col("body"))
+    rows = candidates.withColumn("tb", both).withColumn("full", F.concat_ws(" ", "tb.title", "tb.body"))
+    rows = rows.withColumns({"r": rules.importance(F.col("full")), "w": windows.window(F.col("full"), F.col("published_at"))})
+    return rows.select("id", "source", "source_msg_id", "tb.title", "tb.body", "r.importance", "r.disaster_flag", "published_at", "w.active_from", "w.active_to")

@@ -31,16 +31,25 @@ def content_key(title: Column, body: Column) -> Column:
 
 
 def dedupe(df: DataFrame, key: Column, prefer: list[Column], id_column: str = "id", position: str = "pos") -> DataFrame:
-    """The preferred row of each key, at the position of the key's first row (W1, W2). Rows with a null key all stay.
+    """The row of each key that is first by ``prefer`` (all ascending), at the position of the key's first row.
 
-    A null key is its own group by id, so missing keys do not meet in one task.
+    Rows with a null key all stay. Keys are reduced by partial aggregation, so a key with very many rows is no burden
+    to one task; a null key is its own group by id, so missing keys do not meet.
     """
     group = F.coalesce(F.concat(F.lit("k"), key), F.concat(F.lit("#"), F.col(id_column).cast("string")))
-    keyed = df.withColumn("cf_group", group)
-    first = F.min(position).over(Window.partitionBy("cf_group"))
-    place = F.row_number().over(Window.partitionBy("cf_group").orderBy(*prefer))
-    out = keyed.withColumn("cf_first", first).withColumn("cf_place", place).filter(F.col("cf_place") == 1)
-    return out.withColumn(position, F.col("cf_first")).drop("cf_group", "cf_first", "cf_place")
+    others = [c for c in df.columns if c != position]
+    best = F.min_by(F.struct(*others), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(prefer)]))
+    kept = df.groupBy(group.alias("cf_group")).agg(F.min(position).alias(position), best.alias("cf_row"))
+    return kept.select("cf_row.*", position)
+
+
+def _preference(by: str) -> list[Column]:
+    heavy = [-F.col("weight"), -F.col("id")]
+    return [F.col("distance").isNull(), F.round("distance", 6), *heavy] if by == "distance" else heavy
+
+
+def _positioned(df: DataFrame) -> DataFrame:
+    return df.withColumn("pos", F.struct((-F.col("weight")).alias("w"), (-F.col("id")).alias("i")))
 
 
 def dedupe_feed(df: DataFrame, by: str = "weight") -> DataFrame:
@@ -49,11 +58,9 @@ def dedupe_feed(df: DataFrame, by: str = "weight") -> DataFrame:
     ``by`` "distance" prefers the nearest (to a millionth of a metre), else the heaviest; ids break ties. The
     position is the rank by weight before either pass, kept as a struct so that nothing is ranked in one task.
     """
-    order = [F.desc("weight"), F.desc("id")]
-    prefer = [F.asc_nulls_last(F.round("distance", 6)), *order] if by == "distance" else order
-    ranked = df.withColumn("pos", F.struct((-F.col("weight")).alias("w"), (-F.col("id")).alias("i")))
     sibling = F.when(F.col("source_msg_id").isNotNull(), T.sibling_key(F.col("source"), F.col("source_msg_id")))
-    return dedupe(dedupe(ranked, sibling, prefer), content_key(F.col("title"), F.col("body")), prefer)
+    once = dedupe(_positioned(df), sibling, _preference(by))
+    return dedupe(once, content_key(F.col("title"), F.col("body")), _preference(by))
 
 
 def scored(events: DataFrame, now: Column, distance: Column | None = None, scale_m: float = 6000.0) -> DataFrame:
@@ -85,20 +92,18 @@ def nearby_feed(events: DataFrame, addresses: DataFrame, origins: DataFrame, now
     close = near(rows, origins, radius_m).groupBy(user, "id").agg(F.min("distance").alias("distance"), F.max("same_street").alias("same_street"))
     full = scored(rows.join(close, "id"), now, F.col("distance"), radius_m)
     active = R.active_now(F.col("active_from"), F.col("active_to"), now)
-    full = full.withColumn("weight", R.boosted(F.col("weight"), F.col("same_street"), active)).withColumn("cf_id", F.col("id"))
+    full = full.withColumn("weight", R.boosted(F.col("weight"), F.col("same_street"), active))
     return dedupe_users(full, user)
 
 
 def dedupe_users(df: DataFrame, user: str) -> DataFrame:
-    """dedupe_feed within each user."""
-    order = [F.desc("weight"), F.desc("id")]
-    prefer = [F.asc_nulls_last(F.round("distance", 6)), *order]
-    ranked = df.withColumn("pos", F.struct((-F.col("weight")).alias("w"), (-F.col("id")).alias("i")))
+    """dedupe_feed by distance within each user."""
     who = F.concat(F.col(user).cast("string"), F.lit("/"))
-    ranked = ranked.withColumn("cf_row", F.concat(who, F.col("id").cast("string")))
+    ranked = _positioned(df).withColumn("cf_row_id", F.concat(who, F.col("id").cast("string")))
     sibling = F.when(F.col("source_msg_id").isNotNull(), F.concat(who, T.sibling_key(F.col("source"), F.col("source_msg_id"))))
-    out = dedupe(ranked, sibling, prefer, "cf_row")
-    return dedupe(out, F.concat(who, content_key(F.col("title"), F.col("body"))), prefer, "cf_row").drop("cf_row", "cf_id")
+    once = dedupe(ranked, sibling, _preference("distance"), "cf_row_id")
+    content = F.concat(who, content_key(F.col("title"), F.col("body")))
+    return dedupe(once, content, _preference("distance"), "cf_row_id").drop("cf_row_id")
 
 
 def cursor(weight: Column, event_id: Column) -> Column:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("cf_n", place).filter(F.col("cf_n") == 1).drop("cf_n")
+    """The row of each key that is first by ``order``, all ascending; reduced by partial aggregation."""
+    best = F.min_by(F.struct(*df.columns), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    return df.groupBy(*[F.col(k).alias(f"cf_{k}") for k in keys]).agg(best.alias("cf_row")).select("cf_row.*")
 
 
 def absent(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:

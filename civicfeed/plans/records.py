@@ -190,7 +190,7 @@ def w4_margin(spark, sf_dir):
 
 @_R.add("SELECT event_type, user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS n FROM events) x WHERE n = 1")
 def w3_keep_first(spark, sf_dir):
-    return records.keep_first(source(spark, sf_dir, "events"), ["event_type", "user_id"], [F.asc("ts"), F.asc("event_id")]).select("event_type", "user_id", "event_id")
+    return records.keep_first(source(spark, sf_dir, "events"), ["event_type", "user_id"], [F.col("ts"), F.col("event_id")]).select("event_type", "user_id", "event_id")
 
 
 @_R.add("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS new_id FROM orders")

@@ -179,3 +179,47 @@ def test_resolved_boundaries():
 
     assert [sorted(set(r)) for r in stitch([[1, 2], [4, 3], [3, 2], [4, 1]])] == [[1, 2, 3, 4]]
     assert stitch([[1, 2], [2, 3]]) == []
+
+
+def test_article_source(spark, tmp_path):
+    from civicfeed.sources.connector import ArticleSource
+
+    for day in ("20240103", "20240101"):
+        (tmp_path / f"{day}.jsonl").write_text("\n".join(f'{{"external_id": "{day}-{i}", "title": "t"}}' for i in range(2)))
+    spark.dataSource.register(ArticleSource)
+    rows = spark.readStream.format("articles").options(path=str(tmp_path), source_key="s", walk="day", today="2024-01-03", since="2024-01-01").load()
+    q = rows.writeStream.format("memory").queryName("articles").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(r.external_id for r in spark.table("articles").collect()) == ["20240101-0", "20240101-1", "20240103-0", "20240103-1"]
+
+
+def test_article_places(spark):
+    a = spark.createDataFrame([(1, "Москва", "улица Мира", "5", "123456"), (2, "Москва", "Садовая улица", "7", "654321"), (3, "Москва", "улица Мира", "9", None)], "id long, city string, street string, house string, postal_code string")
+    t = [
+        (1, "m24", "Авария на ул. Мира, дом 9", None, None, None),
+        (2, "tass", "Снег в Берлине", "Москва", "Мира", "5"),
+        (3, "tass", "Новость", "Москва", "ул. Мира", "5"),
+        (4, "m24", "Новость без места", None, None, None),
+        (5, "tass", "Новость без места", None, None, None),
+        (6, "m24", "Отключение, индекс 654321", None, None, None),
+        (7, "m24", "Событие в Самаре", None, None, None),
+    ]
+    rows = spark.createDataFrame(t, "id long, outlet string, text string, city string, street string, house string")
+    got = {r.id: (r.address_id, r.geo_by) for r in addresses.article_places(rows, a, {"m24": "Москва"}).collect()}
+    assert got == {1: (3, "home"), 3: (1, "home"), 4: (1, "city"), 6: (2, "street")}
+
+
+def test_drafts(spark):
+    rows = spark.createDataFrame([(1, "mc", "x:1", "Отключение газа\nзавтра с 10:00 до 12:00", None, None, datetime(2024, 1, 10))], "id long, source string, source_msg_id string, raw_text string, title string, body string, published_at timestamp_ntz")
+    r = addresses.to_drafts(rows).first()
+    assert (r.title, r.importance, r.disaster_flag) == ("Отключение газа", 2, False) and str(r.active_from) == "2024-01-11 10:00:00"
+
+
+def test_street_hints(spark):
+    from civicfeed.functions import text as T
+
+    got = spark.createDataFrame([("На Тверской улице и на ул. Мира, по Арбату.",)], "t string").select(T.street_hints(F.col("t")).alias("h")).first().h
+    assert "Мира" in got and "Тверской" in got and "Арбату" in got
