@@ -1,8 +1,9 @@
 """Language-model scoring by a probabilistic suffix tree over bytes, beside a smoothed unigram base.
 
 A text is its words, ASCII lower-cased, each followed by a space, and an end symbol. The tree keeps a context
-(the bytes before a symbol) if it is frequent and the symbols after it diverge from those after its suffix; a
-symbol is predicted from the longest kept suffix of what came before.
+(the bytes before a symbol) if the symbols after it diverge from those after its suffix by more than chance gives; a
+symbol is predicted from the longest kept suffix of what came before. That suffix is part of the last DEPTH bytes, so
+the prediction is a function of the window of DEPTH + 1 bytes: the tree is evaluated on Spark, as a table of all windows.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, train_bucket
@@ -28,8 +29,14 @@ END = 0xFF
 END_KEY = xxhash.xxh3_64_intdigest(b"") - (1 << 63)
 #: Most frequent tokens whose counts go to all tasks; the others' counts are joined (about 2 MB).
 FREQUENT = 100_000
-#: Words in each of the two generations that a Python worker keeps, and transitions.
-CACHE, MOVES = 150_000, 1_000_000
+#: Most frequent windows, at most, whose predictions go to all tasks; the others' are joined (16 MB).
+WINDOWS = 1_000_000
+#: Words in each of the two generations that a Python worker keeps.
+CACHE = 150_000
+#: Transitions that a plain tree keeps; symbols of which the windows are looked up at once.
+MOVES, AT_ONCE = 1_000_000, 1_000_000
+#: Times that a context must occur in what is learnt from, whatever its size.
+LEAST = 2
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -82,9 +89,10 @@ class Counts:
 
 
 def count_corpus(texts: DataFrame) -> DataFrame:
-    """(kind, key, n): how often each token (kind 0) and each window (kind 1) occurs in the one column of texts.
+    """(kind, key, n): how often each token (kind 0) and each window (kind 1) occurs in the learnt of texts (learns, text).
 
-    Each task sums what it reads; a task's tables are handed on when they reach two million keys.
+    Windows that only the others have are there with an n of 0. Each task sums what it reads; a task's tables are
+    handed on when they reach two million keys.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,15 +107,23 @@ def count_corpus(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                split = [tokens(t) for t in batch.column(0).slice(at, 512).to_pylist()]
+                part = batch.slice(at, 512)
+                split: tuple[list, list] = [], []
+                for learns, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    split[learns].append(tokens(t))
+                other, learnt = split
                 seen: dict[bytes, int] = {}
-                for ws in split:
+                for ws in learnt:
                     for w in ws:
                         seen[w] = seen.get(w, 0) + 1
-                keys = np.fromiter(map(word_key, seen), np.int64, len(seen))
-                order = np.argsort(keys)
-                found[0].add(np.append(keys[order], END_KEY), np.append(np.fromiter(seen.values(), np.int64, len(seen))[order], len(split)))
-                found[1].add(windows([symbols(ws) for ws in split]))
+                if learnt:
+                    keys = np.fromiter(map(word_key, seen), np.int64, len(seen))
+                    order = np.argsort(keys)
+                    found[0].add(np.append(keys[order], END_KEY), np.append(np.fromiter(seen.values(), np.int64, len(seen))[order], len(learnt)))
+                    found[1].add(windows([symbols(ws) for ws in learnt]))
+                if other:
+                    keys = np.unique(windows([symbols(ws) for ws in other]))
+                    found[1].add(keys, np.zeros(len(keys), np.int64))
                 for kind in (0, 1):
                     if sum(len(k) for k, _ in found[kind].parts) > 4_000_000:
                         yield from out(kind)
@@ -119,7 +135,7 @@ def count_corpus(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class SuffixTree:
-    """Kept contexts and what follows them.
+    """Kept contexts and what follows them, in one process: the plain form of ``predictions``, for small corpora.
 
     ``logs`` has the log10 probability of a symbol after a context where that symbol was seen there (key: context
     number << 8 | symbol), ``back`` what is added when it was not and the context's suffix decides.
@@ -261,114 +277,204 @@ def grow(levels: list[dict[bytes, dict[int, int]]], divergence: float, across: f
     return SuffixTree(contexts, np.array(keys, np.int64), np.array(logs), np.array(back), np.array(suffix, np.int64))
 
 
-def fit_tree(counted: DataFrame, share: float = 2e-6, divergence: float = 0.05) -> SuffixTree:
-    """A tree from counted windows.
+def low(key: str | Column, n: int) -> Column:
+    """The last ``n`` bytes of a packed key."""
+    return (F.col(key) if isinstance(key, str) else key).bitwiseAND(F.lit((1 << 8 * n) - 1))
 
-    Only contexts that precede at least ``share`` of all symbols come to the driver: 1 / share of each length at
-    most, whatever the corpus. Shorter windows' counts are summed from the longer ones' on Spark.
+
+def predictions(counted: DataFrame, divergence: float = 0.05, across: float = 0.3, strength: float = 4.0) -> DataFrame:
+    """(key, n, log): each counted window, and the log10 probability of its last byte after the others.
+
+    The tree of ``grow``, level by level on Spark: windows of each length with their context's count, then from the
+    longest down the contexts that are kept, then from the shortest up the predictions. Contexts have no bound but
+    LEAST and grow with the corpus; nothing comes to the driver.
     """
-    level = counted.filter(F.col("kind") == 1).select("key", "n")
-    total = level.agg(F.sum("n")).first()[0] or 0
-    least = max(2, int(np.ceil(share * total)))
-    levels: list[dict[bytes, dict[int, int]]] = []
+    window, context = counted.filter(F.col("kind") == 1).select("key", "n"), F.shiftright("key", 8)
+    levels: list[DataFrame] = []
     for length in range(DEPTH, -1, -1):
         if length < DEPTH:
-            level = level.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (length + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-            level = materialize(level, f"windows-{length}")
-        context = F.shiftright("key", 8).alias("context")
-        follow = F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255)).alias("s"), "n"))  # 256 at most
-        frequent = level.groupBy(context).agg(F.sum("n").alias("all"), follow.alias("follow")).filter(F.col("all") >= least)
-        found = frequent.select("context", F.col("follow.s").alias("s"), F.col("follow.n").alias("n")).toArrow()
-        columns = (found.column(c).to_pylist() for c in ("context", "s", "n"))
-        levels.append({int(c).to_bytes(length, "big"): dict(zip(s, n, strict=True)) for c, s, n in zip(*columns, strict=True)})
-    return grow(levels, divergence)
-
-
-def lm_score(df: DataFrame, training, key: str = "doc_id", text: str = "text", share: float = 2e-6) -> DataFrame:
+            window = window.groupBy(low("key", length + 1).alias("key")).agg(F.sum("n").alias("n"))
+        every = F.sum("n").over(Window.partitionBy(context))  # 256 rows at most
+        window = materialize(window.select("key", "n", every.alias("every")), f"windows-{length}")
+        levels.insert(0, window)
+        window = window.select("key", "n")
+
+    kept: dict[int, DataFrame] = {}
+    for length in range(DEPTH, 0, -1):
+        shorter = levels[length - 1].select(F.col("key").alias("below"), F.col("n").alias("m"), F.col("every").alias("over"))
+        pair = levels[length].filter("n > 0").join(shorter, low("key", length) == F.col("below"))
+        here = F.col("n") / F.col("every")
+        kl = F.sum(here * F.log(here * F.col("over") / F.col("m"))).alias("kl")
+        own = pair.groupBy(context.alias("context")).agg(F.first("every").alias("every"), kl, F.count("*").alias("follow"))
+        reaches = F.lit(False)
+        for i in range(length - 1):
+            reaches = reaches | low(F.shiftright("context", 8 * i), 1).isin(ord(" "), END)
+        own = own.filter((F.col("every") >= LEAST) & (F.col("kl") >= F.when(reaches, across).otherwise(divergence)))
+        own = own.filter(F.col("every") * F.col("kl") >= 2 * F.col("follow") + 10).select("context")
+        if length < DEPTH:
+            longer = kept[length + 1]
+            own = own.union(longer.select(low("context", length))).union(longer.select(F.shiftright("context", 8))).distinct()
+        kept[length] = materialize(own, f"contexts-{length}")
+
+    n, every = F.col("n"), F.col("every")
+    got = levels[0].select("key", "n", ((n + strength / 256) / (every + strength)).alias("p"))
+    for length in range(1, DEPTH + 1):
+        under = got.select(F.col("key").alias("below"), F.col("p").alias("under"))
+        pair = levels[length].join(under, low("key", length) == F.col("below"))
+        pair = pair.join(kept[length].withColumn("kept", F.lit(True)), context == F.col("context"), "left")
+        got = pair.select("key", "n", F.when(F.col("kept"), (n + strength * F.col("under")) / (every + strength)).otherwise(F.col("under")).alias("p"))
+    return materialize(got.select("key", "n", F.log10("p").alias("log")), "predictions")
+
+
+class Frequent:
+    """Values of packed windows, most frequent first, by a hash of one try and a binary search for those it misses."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values = keys, values
+        self.order = np.argsort(keys)
+        self.sorted = keys[self.order]
+        self.slots = np.zeros(1 << 22, np.int32)
+        self.slots[self.slot(keys[::-1])] = np.arange(len(keys), dtype=np.int32)[::-1]  # the last one stays
+
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values, 0 where there is none, and the positions of those without."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.arange(len(keys))
+        at = self.slots[self.slot(keys)]
+        out = self.values[at]
+        miss = np.flatnonzero(self.keys[at] != keys)
+        i = np.minimum(np.searchsorted(self.sorted, keys[miss]), len(self.sorted) - 1)
+        there = self.sorted[i] == keys[miss]
+        out[miss] = np.where(there, self.values[self.order[i]], 0.0)
+        return out, miss[~there]
+
+
+def frequent_windows(predicted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and logs of the most frequent windows: WINDOWS at most, all of a count or none of it."""
+    counts = predicted.groupBy("n").count().toArrow().sort_by([("n", "descending")])
+    fit = np.cumsum(counts.column("count").to_numpy()) <= WINDOWS
+    least = int(counts.column("n").to_numpy()[fit].min()) if fit.any() else None
+    top = predicted.filter(F.col("n") >= F.lit(least)).toArrow().sort_by([("n", "descending"), ("key", "ascending")])
+    return top.column("key").to_numpy(), top.column("log").to_numpy()
+
+
+def spelt(words: list[list[bytes]], frequent: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts: the sum of their frequent windows' logs; then text, window and times of the others."""
+    texts, sums, rest, at = [symbols(ws) for ws in words], [], [], 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= AT_ONCE:
+            size += len(texts[end])
+            end += 1
+        lengths = np.array([len(t) for t in texts[at:end]])
+        keys = windows(texts[at:end])
+        logs, miss = frequent.find(keys)
+        sums.append(np.add.reduceat(logs, np.cumsum(lengths) - lengths))
+        if len(miss):
+            owner, key = np.repeat(np.arange(at, end), lengths)[miss], keys[miss]
+            order = np.lexsort((key, owner))
+            owner, key = owner[order], key[order]
+            first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])))
+            rest.append((owner[first], key[first], np.diff(np.append(first, len(key)))))
+        at = end
+    none = np.zeros(0, np.int64)
+    return np.concatenate(sums), *(np.concatenate(x) for x in (zip(*rest, strict=True) if rest else ([none],) * 3))
+
+
+def lm_score(df: DataFrame, training, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: its key, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     ``training`` (a Column of the key) marks the rows that are learnt from. Tokens are words and one end for each
     text; null and empty texts are the end alone. base_score sums log10((c + 0.5) / (N + 0.5 (V + 1))); score
     is the tree's log10 probability. Without training rows N is 0 and the tree has the 256 bytes alike. Repeated
     rows and ties are scored alike, each for itself; an empty frame stays empty; other columns are ignored.
-    Counts of the FREQUENT most frequent tokens go to all tasks, the others' are joined by token.
+    Counts of the FREQUENT most frequent tokens and predictions of the WINDOWS most frequent windows go to all tasks,
+    the others' are joined.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("key"), F.coalesce(training, F.lit(False)).alias("learns"), F.col(text).alias("text"))
-    counted = materialize(count_corpus(rows.filter("learns").select("text")), "corpus-counts")
+    counted = materialize(count_corpus(rows.select("learns", "text")), "corpus-counts")
     vocabulary = counted.filter(F.col("kind") == 0).select("key", "n")
     sums = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = int(sums.n or 0), int(sums.v)
     top = vocabulary.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
     known = dict(zip(top.column("key").to_pylist(), top.column("n").to_pylist(), strict=True))
-    shared = spark.sparkContext.broadcast((known, fit_tree(counted, share)))
+    predicted = predictions(counted)
+    shared = spark.sparkContext.broadcast((known, frequent_windows(predicted)))
     floor = n + 0.5 * (v + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        frequent, tree = shared.value
+        counts, likely = shared.value[0], Frequent(*shared.value[1])
         uid = TaskContext.get().partitionId() << 33
         cache = Recent(CACHE)
-        begin = tree.start()
-        logs = {c: np.log10((c + 0.5) / floor) for c in set(frequent.values())}
+        logs = {c: np.log10((c + 0.5) / floor) for c in set(counts.values())}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 cache.turn()
-                firsts: list[tuple] = []
+                begin, firsts = uid, []
                 rare: list[tuple[int, int, int]] = []
-                for text in part.column(2).to_pylist():
-                    ws = tokens(text)
-                    base, seen, spelt, state, rest = 0.0, 0, 0.0, begin, {}
+                words = [tokens(text) for text in part.column(2).to_pylist()]
+                for ws in words:
+                    base, seen, rest = 0.0, 0, {}
                     for w in ws:
                         got = cache.get(w)
                         if got is None:
                             got = cache.old.get(w)
                             if got is None:
                                 k = word_key(w)
-                                c = frequent.get(k, 0)
-                                got = (k, logs[c] if c else None, tree.spell(w))
+                                c = counts.get(k, 0)
+                                got = (k, logs[c] if c else None)
                             cache[w] = got
-                        k, log, own = got
-                        more, state = tree.follow(state, own)
-                        spelt += more
+                        k, log = got
                         if log is None:
                             rest[k] = rest.get(k, 0) + 1
                         else:
                             base += log
                             seen += 1
-                    end = frequent.get(END_KEY, 0)
+                    end = counts.get(END_KEY, 0)
                     base += logs[end] if end else np.log10(0.5 / floor)
-                    firsts.append((uid, len(ws) + 1, seen + (end > 0), base, spelt + tree.move(state, END)[0]))
+                    firsts.append((uid, len(ws) + 1, seen + (end > 0), base))
                     rare += [(uid, k, c) for k, c in rest.items()]
                     uid += 1
-                h, r = len(firsts), len(rare)
+                spelling, at_text, window, often = spelt(words, likely)
+                h, r, q = len(firsts), len(rare), len(window)
                 columns = list(zip(*firsts, strict=True))
                 owner, token, times = (np.array(x, np.int64) for x in (zip(*rare, strict=True) if r else ((), (), ())))
-                none = pa.nulls(r, part.column(0).type)
+                null = lambda kind, n: pa.nulls(n, kind)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.concat_arrays([pa.array(columns[0], pa.int64()), pa.array(owner)]),
-                        pa.concat_arrays([part.column(0), none]),
-                        pa.concat_arrays([part.column(1), pa.nulls(r, pa.bool_())]),
-                        pa.concat_arrays([pa.array(columns[1], pa.int64()), pa.array(times)]),
-                        pa.concat_arrays([pa.array(columns[2], pa.int64()), pa.nulls(r, pa.int64())]),
-                        pa.concat_arrays([pa.array(columns[3], pa.float64()), pa.nulls(r, pa.float64())]),
-                        pa.concat_arrays([pa.array(columns[4], pa.float64()), pa.nulls(r, pa.float64())]),
-                        pa.concat_arrays([pa.nulls(h, pa.int64()), pa.array(token)]),
+                        pa.concat_arrays([pa.array(columns[0], pa.int64()), pa.array(owner), pa.array(begin + at_text)]),
+                        pa.concat_arrays([part.column(0), null(part.column(0).type, r + q)]),
+                        pa.concat_arrays([part.column(1), null(pa.bool_(), r + q)]),
+                        pa.concat_arrays([pa.array(columns[1], pa.int64()), pa.array(times), pa.array(often)]),
+                        pa.concat_arrays([pa.array(columns[2], pa.int64()), null(pa.int64(), r + q)]),
+                        pa.concat_arrays([pa.array(columns[3], pa.float64()), null(pa.float64(), r + q)]),
+                        pa.concat_arrays([pa.array(spelling), null(pa.float64(), r + q)]),
+                        pa.concat_arrays([null(pa.int64(), h), pa.array(token), null(pa.int64(), q)]),
+                        pa.concat_arrays([null(pa.int64(), h + r), pa.array(window)]),
                     ],
-                    names=["uid", "key", "learns", "times", "known", "base", "score", "token"],
+                    names=["uid", "key", "learns", "times", "known", "base", "score", "token", "window"],
                 )
 
     kind = rows.schema["key"].dataType.simpleString()
-    scored = rows.mapInArrow(score, f"uid long, key {kind}, learns boolean, times long, known long, base double, score double, token long")
+    scored = rows.mapInArrow(score, f"uid long, key {kind}, learns boolean, times long, known long, base double, score double, token long, window long")
     scored = materialize(scored, "scored")
-    head = scored.filter(F.col("token").isNull())
+    head = scored.filter(F.col("token").isNull() & F.col("window").isNull())
     counts = vocabulary.select(F.col("key").alias("token"), "n")
     rare = scored.filter(F.col("token").isNotNull()).select("uid", "token", "times").join(counts, "token", "left")
     each = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(floor)))
-    rest = rare.groupBy("uid").agg(F.sum(each).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("also"))
+    rare = rare.select("uid", each.alias("more"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("also"), F.lit(0.0).alias("spelt"))
+    logs = predicted.select(F.col("key").alias("window"), "log")
+    seldom = scored.filter(F.col("window").isNotNull()).select("uid", "window", "times").join(logs, "window")
+    seldom = seldom.select("uid", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("also"), (F.col("times") * F.col("log")).alias("spelt"))
+    rest = rare.union(seldom).groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("more", "also", "spelt")))
     out = head.join(rest, "uid", "left")
     return out.select(
         F.col("key").alias(key),
@@ -377,7 +483,7 @@ def lm_score(df: DataFrame, training, key: str = "doc_id", text: str = "text", s
         (F.col("known") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("spelt", F.lit(0.0))).alias("score"),
     )
 
 

@@ -460,6 +460,28 @@ def test_tree_is_a_distribution_and_matches_a_plain_walk():
     assert abs(total - tree.score(text.split())) < 1e-9
 
 
+@pytest.mark.parametrize("shared", [suffix_tree.WINDOWS, 20])
+def test_scores_are_those_of_a_tree_of_all_contexts(spark, monkeypatch, shared):
+    """Contexts seen 25 times among 18 million symbols count, and what is joined is as what is broadcast."""
+    monkeypatch.setattr(suffix_tree, "WINDOWS", shared)
+    learnt = ["word " * 60_000] * 60 + ["xqzj vk", "aqzm vk"] * 25 + ["the cat sat on the mat", "a dog"] * 10
+    asked = ["xqzj vk", "aqzm", "the dog sat", "\xe9 new", "", None]
+    counts = suffix_tree.Counts()
+    counts.add(suffix_tree.windows([suffix_tree.symbols(suffix_tree.tokens(t)) for t in learnt]))
+    levels = [defaultdict(Counter) for _ in range(suffix_tree.DEPTH + 1)]
+    for k, c in zip(*(x.tolist() for x in counts.merged()), strict=True):
+        w = k.to_bytes(suffix_tree.DEPTH + 1, "big")
+        for length, level in enumerate(levels):
+            level[w[suffix_tree.DEPTH - length : -1]][w[-1]] += c
+    tree = suffix_tree.grow([{c: f for c, f in x.items() if sum(f.values()) >= 2} for x in levels], 0.05)
+    assert b"xqz" in tree.contexts
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(learnt + asked)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.score for r in suffix_tree.lm_score(df, F.col("doc_id") < len(learnt)).collect()}
+    for i in [0, *range(60, len(got))]:
+        want = tree.score(suffix_tree.tokens((learnt + asked)[i]))
+        assert abs(got[i] - want) < 1e-6 * abs(want)
+
+
 def test_tree_beats_the_base(spark):
     got = Q.op10_suffix_tree(spark, "/root/testdata/sf0.1").toPandas()
     out = got[got.held_out]
