@@ -221,13 +221,13 @@ class SuffixTree:
         return total + self.move(state, END)[0]
 
 
-def grow(levels: list[dict[bytes, dict[int, int]]], divergence: float, across: float = 0.3, strength: float = 4.0) -> SuffixTree:
+def grow(levels: list[dict[bytes, dict[int, int]]], divergence: float, strength: float = 4.0) -> SuffixTree:
     """A tree from the frequent contexts of each length and the counts of what follows them.
 
     A context is kept if the Kullback-Leibler divergence of its next symbols from those of its suffix is at least
-    ``divergence`` nats (``across``, if it reaches into the word before) and more than chance gives so many symbols
-    (twice their number and ten, over its count), or if a kept one needs it as a suffix or prefix: then the longest kept suffix of a state
-    and a symbol is that of the whole past. Counts are smoothed towards the suffix's distribution, which has the
+    ``divergence`` nats and more than chance gives so many symbols (twice their number and ten, over its count), or
+    if a kept one needs it as a suffix or prefix: then the longest kept suffix of a state and a symbol is that of the
+    whole past. Counts are smoothed towards the suffix's distribution, which has the
     weight of ``strength`` symbols; the empty context is smoothed towards the 256 bytes alike.
     """
     after = reduce(lambda a, b: a | b, levels, {})
@@ -237,8 +237,7 @@ def grow(levels: list[dict[bytes, dict[int, int]]], divergence: float, across: f
         if c and c[1:] in after:
             n, m = sum(follow.values()), sum(after[c[1:]].values())
             kl = sum(k / n * np.log(k / n * m / after[c[1:]][s]) for s, k in follow.items() if s in after[c[1:]])
-            reaches = b" " in c[1:] or END in c[1:]
-            if kl >= (across if reaches else divergence) and n * kl >= 2 * len(follow) + 10:
+            if kl >= divergence and n * kl >= 2 * len(follow) + 10:
                 kept.add(c)
     todo = list(kept)
     while todo:
@@ -277,12 +276,12 @@ def grow(levels: list[dict[bytes, dict[int, int]]], divergence: float, across: f
     return SuffixTree(contexts, np.array(keys, np.int64), np.array(logs), np.array(back), np.array(suffix, np.int64))
 
 
-def low(key: str | Column, n: int) -> Column:
+def low(key: str, n: int) -> Column:
     """The last ``n`` bytes of a packed key."""
-    return (F.col(key) if isinstance(key, str) else key).bitwiseAND(F.lit((1 << 8 * n) - 1))
+    return F.col(key).bitwiseAND(F.lit((1 << 8 * n) - 1))
 
 
-def predictions(counted: DataFrame, divergence: float = 0.05, across: float = 0.3, strength: float = 4.0) -> DataFrame:
+def predictions(counted: DataFrame, divergence: float = 0.05, strength: float = 4.0) -> DataFrame:
     """(key, n, log): each counted window, and the log10 probability of its last byte after the others.
 
     The tree of ``grow``, level by level on Spark: windows of each length with their context's count, then from the
@@ -306,10 +305,7 @@ def predictions(counted: DataFrame, divergence: float = 0.05, across: float = 0.
         here = F.col("n") / F.col("every")
         kl = F.sum(here * F.log(here * F.col("over") / F.col("m"))).alias("kl")
         own = pair.groupBy(context.alias("context")).agg(F.first("every").alias("every"), kl, F.count("*").alias("follow"))
-        reaches = F.lit(False)
-        for i in range(length - 1):
-            reaches = reaches | low(F.shiftright("context", 8 * i), 1).isin(ord(" "), END)
-        own = own.filter((F.col("every") >= LEAST) & (F.col("kl") >= F.when(reaches, across).otherwise(divergence)))
+        own = own.filter((F.col("every") >= LEAST) & (F.col("kl") >= divergence))
         own = own.filter(F.col("every") * F.col("kl") >= 2 * F.col("follow") + 10).select("context")
         if length < DEPTH:
             longer = kept[length + 1]

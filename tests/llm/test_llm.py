@@ -482,6 +482,14 @@ def test_scores_are_those_of_a_tree_of_all_contexts(spark, monkeypatch, shared):
         assert abs(got[i] - want) < 1e-6 * abs(want)
 
 
+def test_the_word_before_counts(spark):
+    """A context that reaches into it needs no more divergence (0.08 nats here) than others."""
+    learnt = ["a bx"] * 350 + ["a by"] * 150 + ["c bx"] * 150 + ["c by"] * 350
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(learnt + ["a bx", "a by"])], "doc_id long, text string")
+    got = {r.text: r.score for r in suffix_tree.lm_score(df, F.col("doc_id") < len(learnt)).join(df, "doc_id").collect()}
+    assert got["a bx"] - got["a by"] > 0.3
+
+
 def test_tree_beats_the_base(spark):
     got = Q.op10_suffix_tree(spark, "/root/testdata/sf0.1").toPandas()
     out = got[got.held_out]
