@@ -119,45 +119,62 @@ RULES = (
 )
 
 
+#: Documents that the belief about a rule before any votes weighs as much as.
+BELIEF = 20.0
+
+
+def belief(rule: Rule) -> np.ndarray:
+    """P(bad vote, abstention, good vote) in good and in bad documents, as held before any votes.
+
+    A bad vote is rare in good documents; a rule that knows one defect only sees it in a fifth of the bad ones.
+    """
+    if rule.good is None:
+        return np.array([[0.005, 0.995, 0.0], [0.2, 0.8, 0.0]])
+    return np.array([[0.005, 0.295, 0.7], [0.2, 0.5, 0.3]])
+
+
 @dataclass(frozen=True)
 class LabelModel:
-    """P(good) before votes, and for each rule P(it votes good | it votes) in good and in bad documents."""
+    """P(good) before votes, and for each rule what its bad vote, abstention and good vote add to the log odds of good."""
 
     prior: float
-    good: tuple[float, ...]
-    bad: tuple[float, ...]
+    adds: tuple[tuple[float, float, float], ...]
 
     def posterior(self, votes: list):
-        """The posterior of good as a column of the vote columns; an abstention says nothing."""
+        """The posterior of good as a column of the vote columns."""
         odds = F.lit(float(np.log(self.prior / (1 - self.prior))))
-        for vote, g, b in zip(votes, self.good, self.bad, strict=True):
-            odds = odds + F.when(vote > 0, float(np.log(g / b))).when(vote < 0, float(np.log((1 - g) / (1 - b)))).otherwise(0.0)
+        for vote, (down, none, up) in zip(votes, self.adds, strict=True):
+            odds = odds + F.when(vote > 0, up).when(vote < 0, down).otherwise(none)
         return 1 / (1 + F.exp(-odds))
 
 
-def fit_em(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, smooth: float = 1.0) -> LabelModel:
+def fit_em(votes: np.ndarray, counts: np.ndarray, beliefs: np.ndarray, rounds: int = 200) -> LabelModel:
     """Expectation-maximisation over vote patterns (rows of -1, 0, 1) and how many documents have each.
 
-    A document starts as bad if any rule votes bad, since each rule knows one defect only. Without
-    documents the prior is one half and no vote counts.
+    Estimated are the share of good documents and, for good and for bad ones, how often each rule votes bad,
+    abstains and votes good (``beliefs``: rules x 2 x 3, BELIEF documents strong). So a rule that never votes good
+    has accuracies like any other: its bad votes and its abstentions are each set against the two classes. A document
+    starts as bad if any rule votes bad. Rules are no worse than chance: a bad vote never speaks for a
+    document, a good one never against it. Without documents the prior is one half and the beliefs decide.
     """
-    rules = votes.shape[1]
-    if not len(counts):
-        return LabelModel(0.5, (0.5,) * rules, (0.5,) * rules)
-    up, down = (votes == 1).astype(float), (votes == -1).astype(float)
-    good = np.where(down.any(1), 0.1, 0.9)
+    seen = np.stack([votes == -1, votes == 0, votes == 1], 2).astype(float)  # patterns, rules, outcomes
+    good = np.where((votes == -1).any(1), 0.1, 0.9)
     for _ in range(rounds):
-        wg, wb = good * counts, (1 - good) * counts
-        prior = (wg.sum() + 1) / (counts.sum() + 2)
-        pg = (wg @ up + smooth) / (wg @ (up + down) + 2 * smooth)
-        pb = (wb @ up + smooth) / (wb @ (up + down) + 2 * smooth)
-        pb = np.minimum(pb, pg)  # rules are better than chance: a bad vote never speaks for a document
-        odds = np.log(prior / (1 - prior)) + up @ np.log(pg / pb) + down @ np.log((1 - pg) / (1 - pb))
+        weight = np.stack([good * counts, (1 - good) * counts])
+        prior = (weight[0].sum() + 1) / (counts.sum() + 2)
+        share = np.einsum("cp,prs->rcs", weight, seen) + BELIEF * beliefs
+        share /= share.sum(2, keepdims=True)
+        possible = share.min(1) > 0
+        adds = np.log(np.where(possible, share[:, 0], 1) / np.where(possible, share[:, 1], 1))
+        adds[:, 0] = np.minimum(adds[:, 0], 0)
+        adds[:, 2] = np.maximum(adds[:, 2], 0)
+        odds = np.log(prior / (1 - prior)) + np.einsum("prs,rs->p", seen, adds)
         new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-        if np.abs(new - good).max() < 1e-9:
-            break
+        change = np.abs(new - good).max(initial=0.0)
         good = new
-    return LabelModel(float(prior), tuple(map(float, pg)), tuple(map(float, pb)))
+        if change < 1e-9:
+            break
+    return LabelModel(float(prior), tuple(tuple(map(float, a)) for a in adds))
 
 
 def text_features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -175,7 +192,8 @@ def fit(features: DataFrame, rules: tuple[Rule, ...] = RULES) -> LabelModel:
     named = features.filter(F.col("n_words") > 0).select(*[r.vote().alias(f"v{i}") for i, r in enumerate(rules)])
     rows = named.groupBy(*named.columns).count().collect()
     rows.sort(key=tuple)
-    return fit_em(np.array([r[:-1] for r in rows], int).reshape(-1, len(rules)), np.array([r[-1] for r in rows], float))
+    votes = np.array([r[:-1] for r in rows], int).reshape(-1, len(rules))
+    return fit_em(votes, np.array([r[-1] for r in rows], float), np.stack([belief(r) for r in rules]))
 
 
 def judge(features: DataFrame, model: LabelModel, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
