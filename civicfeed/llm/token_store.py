@@ -296,24 +296,26 @@ def write_store(df: DataFrame, tokenizer: str, end_id: int, vocabulary: int, pat
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard, attempt = context.partitionId(), f"{context.taskAttemptId()}.tmp"
-        gc.disable()  # no cycles arise here, and the word tables are large
         coder = word_coder(tokenizer, end_id, dtype, whole)
         fs, root = filesystem(path)
         name = f"{root}/shard-{shard:05d}"
         keys, lengths, known, n = [], [], [], 0
         stream = None
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids = part.column(0)
-                keys.append(ids.fill_null(0).to_numpy())
-                known.append(ids.is_valid().to_numpy(zero_copy_only=False))
-                coded = coder.encode(part.column(1).to_pylist())
-                lengths.append(np.array([len(x) for x in coded], np.int64) // np.dtype(dtype).itemsize)
-                stream = stream or fs.open_output_stream(f"{name}.bin.{attempt}")
-                stream.write(b"".join(coded))
-                n += len(coded)
-        gc.enable()
+        gc.disable()  # no cycles arise here, and the word tables are large
+        try:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 256):
+                    part = batch.slice(i, 256)
+                    ids = part.column(0)
+                    keys.append(ids.fill_null(0).to_numpy())
+                    known.append(ids.is_valid().to_numpy(zero_copy_only=False))
+                    coded = coder.encode(part.column(1).to_pylist())
+                    lengths.append(np.array([len(x) for x in coded], np.int64) // np.dtype(dtype).itemsize)
+                    stream = stream or fs.open_output_stream(f"{name}.bin.{attempt}")
+                    stream.write(b"".join(coded))
+                    n += len(coded)
+        finally:
+            gc.enable()
         if not n:
             return
         stream.close()
@@ -341,7 +343,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Shard:
-    """One shard open for reading."""
+    """One shard open for reading all of it."""
 
     def __init__(self, fs: pafs.FileSystem, name: str) -> None:
         with fs.open_input_stream(f"{name}.idx") as f:
@@ -365,12 +367,25 @@ class Shard:
         row = self.index.rows(keys)
         return np.where((row >= 0) & (self.keys[row.clip(min=0)] == keys), row, -1) if len(self.keys) else row
 
+    def keyed_rows(self) -> np.ndarray:
+        """The rows of all documents, keys ascending: where the index leads a key, and the rows after it if it repeats.
+
+        Documents without a key come last; the index does not have them.
+        """
+        own = self.keys[self.known]
+        distinct, times = np.unique(own, return_counts=True)
+        first = self.rows(distinct)
+        if (first < 0).any():
+            raise ValueError("the index lacks a key of its shard")
+        after = np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)
+        return np.concatenate([np.repeat(first, times) + after, np.flatnonzero(~self.known)])
+
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """All documents: key, start, n_tokens and ids (binary, little-endian unsigned 32 bits).
 
-    Each task opens shards, finds every key's place through the hash index and reads the raw ids there, in
-    blocks of documents.
+    Each task opens shards, asks the hash index for every key's row and reads the raw ids of that row; rows that
+    follow one another are read at once.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,18 +393,10 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for number, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(fs, f"{root}/shard-{number:05d}")
-                place = np.arange(len(shard.keys))
-                found = shard.rows(shard.keys[shard.known])
-                # a repeated key leads to its first row; the others follow it
-                own = place[shard.known]
-                head = np.concatenate([[True], shard.keys[own][1:] != shard.keys[own][:-1]]) if len(own) else np.zeros(0, bool)
-                if (found < 0).any() or (found[head] != own[head]).any():
-                    raise ValueError(f"shard {number}: the index does not lead to its documents")
-                cuts = [0]
-                for i in range(1, len(place) + 1):
-                    if i == len(place) or shard.begins[i + 1] - shard.begins[cuts[-1]] > 1 << 20:
-                        cuts.append(i)
-                for a, b in zip(cuts, cuts[1:], strict=False):
+                row = shard.keyed_rows()
+                apart = (np.diff(row) != 1) | (np.diff(shard.begins[row] >> 20) != 0)
+                cuts = np.concatenate([[0], np.flatnonzero(apart) + 1, [len(row)]])
+                for a, b in zip(row[cuts[:-1]].tolist(), (row[cuts[1:] - 1] + 1).tolist(), strict=True):
                     ids = shard.ids(a, b).astype("<u4")
                     off = (shard.begins[a : b + 1] - shard.begins[a]) * 4
                     data = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(off.astype("<i4")), pa.py_buffer(ids)])
@@ -408,22 +415,64 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return shards.repartition(max(1, n), "shard").mapInArrow(read, "key long, start long, n_tokens long, ids binary")
 
 
+class Probe:
+    """One shard open for keyed reads: a few short reads at known places for each key, whatever the shard's size."""
+
+    def __init__(self, fs: pafs.FileSystem, name: str) -> None:
+        self.idx, self.mph, self.bin = (fs.open_input_file(f"{name}.{kind}") for kind in ("idx", "mph", "bin"))
+        self.n, self.width = struct.unpack("<2q", self._read(self.idx, 8, 16))
+        self.size, levels, words_, rest = struct.unpack("<4q", self._read(self.mph, 8, 32))
+        self.words = 40 + 8 * levels
+        self.before = self.words + 8 * words_
+        self.rows = self.before + 8 * (words_ + 1) + 8 * rest
+        self.prints = self.rows + 8 * self.size
+        self.levels = np.frombuffer(self._read(self.mph, 40, 8 * levels), "<i8").tolist()
+        self.rest = np.frombuffer(self._read(self.mph, self.rows - 8 * rest, 8 * rest), "<i8").tolist()
+
+    @staticmethod
+    def _read(file, at: int, size: int) -> bytes:
+        file.seek(at)
+        return file.read(size)
+
+    def _number(self, file, at: int) -> int:
+        return int.from_bytes(self._read(file, at, 8), "little")
+
+    def slot(self, key: np.ndarray) -> int:
+        """PerfectHash.slots of one key, by reads of single words."""
+        base = 0
+        for level, size in enumerate(self.levels):
+            at = int(mix(key, level)[0] % np.uint64(size))
+            word = self._number(self.mph, self.words + 8 * (base + at // 64))
+            if word >> at % 64 & 1:
+                return self._number(self.mph, self.before + 8 * (base + at // 64)) + (word & (1 << at % 64) - 1).bit_count()
+            base += size // 64
+        return self.size - len(self.rest) + self.rest.index(int(key[0])) if int(key[0]) in self.rest else -1
+
+    def get(self, key: int) -> np.ndarray | None:
+        k = np.array([key], np.int64)
+        slot = self.slot(k)
+        if slot < 0 or self._read(self.mph, self.prints + 4 * slot, 4) != fingerprints(k).tobytes():
+            return None
+        row = self._number(self.mph, self.rows + 8 * slot)
+        if self._read(self.idx, 24 + 8 * row, 8) != k.astype("<i8").tobytes():  # a stranger with the same fingerprint
+            return None
+        begin, end = struct.unpack("<2q", self._read(self.idx, 24 + 8 * self.n + 8 * row, 16))
+        return np.frombuffer(self._read(self.bin, begin * self.width, (end - begin) * self.width), f"<u{self.width}")
+
+
 class TokenStore:
-    """Keyed reads from any process: two steps to a document whatever the store's size."""
+    """Keyed reads from any process: the manifest names the shard, its hash the row; ``most`` shards stay open."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, most: int = 64) -> None:
         self.fs, self.root = filesystem(path)
         rows = spark.read.parquet(f"{path}/manifest").filter(F.col("first_key").isNotNull()).orderBy("shard").collect()
         self.shards = [(r.shard, r.first_key) for r in rows]
         self.last = [r.last_key for r in rows]
-        self.open: dict[int, Shard] = {}
+        self.probe = lru_cache(maxsize=most)(lambda number: Probe(self.fs, f"{self.root}/shard-{number:05d}"))
 
     def get(self, key: int) -> np.ndarray | None:
-        """The ids of the document with this key, or None."""
+        """The ids of the document with this key, or None; of a repeated key, of its first document."""
         i = bisect_left(self.last, key)
         if i == len(self.shards) or self.shards[i][1] > key:
             return None
-        number = self.shards[i][0]
-        shard = self.open.get(number) or self.open.setdefault(number, Shard(self.fs, f"{self.root}/shard-{number:05d}"))
-        row = int(shard.rows(np.array([key]))[0])
-        return None if row < 0 else shard.ids(row, row + 1)
+        return self.probe(self.shards[i][0]).get(key)
