@@ -19,6 +19,8 @@ from .token_store import Recent
 LETTERS = regex.compile(r"\p{L}+").findall
 #: The longest n-gram, and how many n-grams a profile ranks.
 LONGEST, RANKS = 3, 300
+#: Bits of an id's hash that name a slice of a language's rows.
+SLICE_BITS = 16
 #: Distinct words that each of a Python worker's two generations keeps.
 CACHE = 100_000
 
@@ -97,9 +99,15 @@ def fit(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_i
     Rows without a language or text teach nothing. Counting and ranking run on Spark; a profile is RANKS rows.
     """
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(key).alias("k"), F.col(text).alias("t"))
-    # ids first, so that texts are not shuffled to rank them
+    # ids first, so that texts are not shuffled to rank them; counts of slices of the hash tell up to which slice a
+    # language's rows are needed, so that only about ``most`` of them are ranked
+    hashed = rows.select("lang", "k", F.xxhash64("k").alias("h")).withColumn("slice", F.shiftright("h", 64 - SLICE_BITS))
+    run = Window.partitionBy("lang").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("count").over(run), F.lit(0))
+    slices = hashed.groupBy("lang", "slice").count().withColumn("before", before).filter(F.col("before") < most)
+    last = F.broadcast(slices.groupBy("lang").agg(F.max("slice").alias("last")))
     place = Window.partitionBy("lang").orderBy("h", "k")
-    chosen = rows.select("lang", "k", F.xxhash64("k").alias("h")).withColumn("n", F.row_number().over(place)).filter(F.col("n") <= most)
+    chosen = hashed.join(last, "lang").filter(F.col("slice") <= F.col("last")).withColumn("n", F.row_number().over(place)).filter(F.col("n") <= most)
     sample = rows.join(F.broadcast(chosen.select("lang", "k").distinct()), ["lang", "k"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
