@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, free_name, materialize, words
@@ -351,14 +351,15 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     """
     found = materialize(jaccard_classes(df, key, text, threshold).filter(F.col("root").isNotNull()).select("key", "th", "root"), "classes")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "th")).alias("x")).select("x.key", "x.th")
-    k, h, n = (free_name(df, x) for x in ("cf_key", "cf_hash", "cf_n"))
+    k, h = (free_name(df, x) for x in ("cf_key", "cf_hash"))
     other = found.alias("f").join(first.alias("g"), F.expr("f.key <=> g.key and f.th = g.th"), "left_anti")
     gone = broadcast_if_small(materialize(other.select(F.col("key").alias(k), F.col("th").alias("_" + h)).distinct(), "gone"))
     hashed = df.withColumn(h, F.xxhash64(text))
     out = hashed.join(gone, F.col(key).eqNullSafe(F.col(k)) & (F.col(h) == F.col("_" + h)), "left_anti")
-    if not found.groupBy("key", "th").count().filter("count > 1").isEmpty():
-        bare = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
-        place = Window.partitionBy(key, h).orderBy(F.lit(1))
-        out = out.withColumn(h, F.when(bare, F.monotonically_increasing_id()).otherwise(F.col(h)))
-        out = out.withColumn(n, F.row_number().over(place)).filter(F.col(n) == 1).drop(n)
+    # rows that repeat in key and text, if any: one of each stays, by partial aggregation
+    again = materialize(found.groupBy("key", "th").count().filter("count > 1").select(F.col("key").alias(k), F.col("th").alias("_" + h)), "repeated")
+    if not again.isEmpty():
+        again = broadcast_if_small(again)
+        same = F.col(key).eqNullSafe(F.col(k)) & (F.col(h) == F.col("_" + h))
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([key, h]))
     return out.drop(h)
