@@ -15,25 +15,44 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes a core under which a table's own splits are too few.
+SPLIT_BYTES = 4 << 20
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8; bytes.split() cuts at exactly the six ASCII white-space characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. A small one, which may be a single split, is dealt out to all cores."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan_bytes(df) < cores * SPLIT_BYTES else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """This application's folder in the one that driver and executors share (``spark.checkpoint.dir``).
+
+    In local mode a temporary folder takes its place if the session names none; on a cluster that is an error, since
+    executors would write to their own disks. Results are read from it lazily; ``clear`` removes it after they were used.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="civicfeed-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return f"{path.rstrip('/')}/civicfeed-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what this application wrote to the shared folder; frames returned before can no longer be read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, label: str, keep_order: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that later jobs neither repeat nor lose it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -92,7 +111,8 @@ def with_scores(df: DataFrame, text: str, fn: Callable[[list[str | None]], dict[
     """All columns of ``df`` and those that ``fn`` derives from the texts of a batch.
 
     A result replaces an input column of the same name (whatever the case), as withColumn does.
-    Only Arrow batches are held, so memory does not depend on the number of rows.
+    Only Arrow batches are held (Spark bounds them in rows and, at 64 MB, in bytes), so memory does not depend on
+    the number of rows.
     """
     gone = {c.lower() for c in schema}
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone or c == text])

@@ -175,10 +175,34 @@ def test_token_store(spark, odd, none):
     keyed = token_store.TokenStore(spark, store)
     assert tuple(keyed.get(5).tolist()) == tuple(plain.encode(ODD[8][1], add_special_tokens=False).ids + [1])
     assert keyed.get(99) is None and keyed.get(-5) is None
+    first = min((t for k, t in ordered if k == 1), key=lambda t: -1 if t is None else spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])
+    assert tuple(keyed.get(1).tolist()) == tuple(plain.encode(first, add_special_tokens=False).ids + [1])
     empty = token_store.write_store(none, path, 1, 49_408)
     assert token_store.read_store(spark, empty).count() == 0
 
 
+def test_keyed_reads_by_offset(spark, docs, texts):
+    """Keys are found by short reads at their places, in shards that are opened and forgotten."""
+    store = token_store.write_store(docs.select("doc_id", "text"), P.path("word_bpe_49k.json"), 1, 49_408)
+    want = {r.key: r.ids for r in token_store.read_store(spark, store).collect()}
+    keyed = token_store.TokenStore(spark, store, most=1)
+    for k in texts:
+        assert keyed.get(k).astype("<u4").tobytes() == want[k]
+    assert all(keyed.get(k) is None for k in (-1, max(texts) + 1))
+
+
+def test_op2_on_documents(spark, sf_dir, texts):
+    from tokenizers import Tokenizer
+
+    plain, at = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0
+    got = {r.doc_id: r for r in Q.op2_token_store(spark, sf_dir).collect()}
+    assert len(got) == len(texts)
+    for k in sorted(texts):
+        ids = np.array(plain.encode(texts[k] or "", add_special_tokens=False).ids + [1], "<u4")
+        assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 def test_word_coder_is_the_tokenizer():
     coder = token_store.WordCoder(P.path("word_bpe_49k.json"), 1, "<u2")
     for t in ["a's we're I'M 'll'd don't", "<|endoftext|> a<|endoftext|>b", "Ünḯ İ ẞ \x01\x7f x12³ ٣", "", "naïve Σς ﬁ é", "''s'" * 9, "ª º ½ Ⅷ 漢字、 안녕"]:
@@ -351,9 +375,20 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(none).count() == 0
 
 
-def test_water_fill_against_a_loop(spark):
+def test_mixing_passes_any_names_on(spark, odd):
+    names = ["whole", "last_slice", "last_row", "cf_own", "cf_hash", "cf_key", "cf_source", "rest", "weight", "part", "in_0", "place"]
+    more = odd.select("*", *[F.col("lang").alias(c) for c in names])
+    got = mixing.mix(more).toPandas()
+    assert list(got.columns) == [*more.columns, "size", "source_size", "target", "repeats"]
+    assert all(got[c].equals(got["lang"]) for c in names)
+    key = lambda d: sorted(map(str, d.itertuples(index=False)))
+    assert key(got.drop(columns=names)) == key(mixing.mix(odd).toPandas())
+
+
+def test_water_fill_against_a_loop(spark, monkeypatch):
     rng = np.random.default_rng(6)
-    for n in (1, 2, 7, 23):
+    for n, most in ((1, 100), (2, 1), (7, 3), (23, 100), (40, 7)):
+        monkeypatch.setattr(mixing, "RANGE_SOURCES", most)
         sizes = rng.integers(0, 1000, n)
         df = spark.createDataFrame([(f"s{i:02}", int(s)) for i, s in enumerate(sizes)], "source string, source_size long")
         got = {r.source: r.target for r in mixing.water_fill(df, (5, 2, 1), 3).collect()}
