@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import sqrt
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,7 +73,7 @@ class SubwordModel:
         return float(sigmoid(self.scale * total / (size + NEUTRAL) + self.bias))
 
 
-def _bag(text: str | None, low: int, high: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def bag(text: str | None, low: int, high: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a text and the part of its average that each has."""
     counts = Counter(words(text))
     if not counts:
@@ -84,8 +86,8 @@ def _bag(text: str | None, low: int, high: int, buckets: int) -> tuple[np.ndarra
     return own.astype(np.int32), part.astype(np.float32)
 
 
-def train(texts: list[str | None], labels: list[int], low: int = 3, high: int = 5, buckets: int = 1 << 17, dim: int = 4, least: int = 5, epochs: int = 40, rate: float = 1.0, decay: float = 1e-4, seed: int = 7) -> SubwordModel:
-    """Embeddings and softmax weights together, by gradient steps with momentum over the whole sample.
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], low: int = 3, high: int = 5, buckets: int = 1 << 17, dim: int = 4, least: int = 5, epochs: int = 40, rate: float = 1.0, decay: float = 1e-4, seed: int = 7) -> SubwordModel:
+    """Embeddings and softmax weights together, by gradient steps with momentum over the whole sample of ``bag``s.
 
     Every text is the average of its words (by the root of their counts, so that a text of one word
     repeated has no extreme average), every word the average of its n-grams; the classes weigh alike.
@@ -98,15 +100,10 @@ def train(texts: list[str | None], labels: list[int], low: int = 3, high: int =
     if not len(y) or y.min() == y.max():
         return flat
     uses = np.zeros(buckets, np.int32)
-    bags = []
-    for text in texts:
-        own, part = _bag(text, low, high, buckets)
+    for own, _ in bags:
         uses[own] += 1
-        bags.append((own, part))
     # only common buckets are kept, in 12 bytes an entry
-    for r, (own, part) in enumerate(bags):
-        keep = uses[own] >= least
-        bags[r] = own[keep], part[keep]
+    bags = [(own[keep], part[keep]) for own, part in bags for keep in (uses[own] >= least,)]
     row = np.repeat(np.arange(len(bags), dtype=np.int32), [len(own) for own, _ in bags])
     part = np.concatenate([p for _, p in bags])
     used = np.flatnonzero(uses >= least)
@@ -149,23 +146,29 @@ def train(texts: list[str | None], labels: list[int], low: int = 3, high: int =
     return SubwordModel(low, high, weight, float(bias[1] - bias[0]), scale)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, most: int) -> list[tuple[str | None, int]]:
-    """At most ``most`` labelled texts, half of each class: those with the least hash of their id.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", most: int = 3000, low: int = 3, high: int = 5, buckets: int = 1 << 17) -> SubwordModel:
+    """A model from at most ``most`` labelled texts, half of each class: those with the least hash of their id.
 
-    The chosen labels are bounded, so they go to the texts by broadcast; a label is 0 or 1, others are left out.
+    That is a bounded sample; all else covers all rows. The chosen labels go to the texts by broadcast; a label is 0
+    or 1, others are left out. Tasks turn the whole texts into bags, so that the driver gets numbers only, ``buckets``
+    entries a text at most.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     half = [known.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(most // 2) for y in (0, 1)]
     chosen = half[0].unionByName(half[1])
     found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
-    rows = found.orderBy(F.xxhash64("k"), "k", F.xxhash64("t"), "y").limit(2 * most).collect()
-    return [(r.t, r.y) for r in rows]
 
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", most: int = 2400) -> SubwordModel:
-    """A model from at most ``most`` labelled texts (a bounded sample; all else covers all rows)."""
-    rows = training_rows(docs, labels, label, key, text, most)
-    return train([t for t, _ in rows], [y for _, y in rows])
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [bag(t, low, high, buckets) for t in batch.column(3).to_pylist()]
+            own, part = ([b[i].tobytes() for b in got] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary()), pa.array(part, pa.binary())], names=["k", "h", "y", "own", "part"])
+
+    kind = found.schema["k"].dataType.simpleString()
+    rows = found.select("k", F.xxhash64("t").alias("h"), "y", "t").mapInArrow(bags, f"k {kind}, h long, y int, own binary, part binary")
+    rows = rows.orderBy(F.xxhash64("k"), "k", "h", "y").limit(2 * most).select("y", "own", "part").toArrow()
+    sample = [(np.frombuffer(o, np.int32), np.frombuffer(p, np.float32)) for o, p in zip(rows.column("own").to_pylist(), rows.column("part").to_pylist(), strict=True)]
+    return train(sample, rows.column("y").to_pylist(), low, high, buckets)
 
 
 def score(df: DataFrame, model: SubwordModel, text: str = "text", threshold: float = 0.7) -> DataFrame:
