@@ -19,8 +19,9 @@ from .common import materialize
 
 #: Dimensions of a subspace, and codes of each (four bits).
 WIDTH, CODES = 2, 16
-#: Points of a block, distinct query vectors of a block.
-POINT_BLOCK, QUERY_BLOCK = 16_384, 4_096
+#: Points of a block, which decide what is found, and distinct query vectors of a block at most and, where tasks are
+#: fewer than the session's shuffle partitions, at least; these only deal out the work.
+POINT_BLOCK, QUERY_BLOCK, QUERY_LEAST = 16_384, 16_384, 256
 
 
 @dataclass(frozen=True)
@@ -195,9 +196,9 @@ def nearest(
     index = points.select("vkey", "v", "ids").mapInPandas(encode, "vkey string, v array<double>, ids array<long>, codes binary")
     asking = points.filter("asks").select(F.col("vkey").alias("qkey"), "v")
     n, nq = points.count(), asking.count()
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    point_blocks = max(1, -(-n // POINT_BLOCK), min(most, n // 1024))
-    query_blocks = max(1, -(-nq // QUERY_BLOCK))
+    point_blocks = max(1, -(-n // POINT_BLOCK))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    query_blocks = max(1, -(-nq // QUERY_BLOCK), min(-(-nq // QUERY_LEAST), -(-tasks // point_blocks)))
     left = index.withColumn("i", F.pmod(F.xxhash64("vkey"), F.lit(point_blocks)).cast("int"))
     left = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     right = asking.withColumn("j", F.pmod(F.xxhash64("qkey"), F.lit(query_blocks)).cast("int"))
