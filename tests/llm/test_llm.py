@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -334,15 +335,12 @@ def test_byte_bpe(docs, odd, none):
 def test_recall_against_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(10, 64))
-    x = (centres[rng.integers(0, 10, 9000)] * 0.3 + rng.normal(size=(9000, 64)) * 0.2).astype(np.float32)
+    many = ann.POINT_BLOCK + 300  # a full block of distinct points: what is found rests on the codes
+    x = (centres[rng.integers(0, 10, many)] * 0.3 + rng.normal(size=(many, 64)) * 0.2).astype(np.float32)
     x[100:400] = x[7]  # a common vector
     df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
     monkeypatch.setattr(ann, "QUERY_BLOCK", 100)
-    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one block of points: what is found rests on the codes
-    try:
-        got = ann.nearest(df, F.col("vec_id") % 20 == 0, rerank=256).toPandas()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, rerank=256).toPandas()
     y = x.astype(float)
     hits = 0
     for q, g in got.groupby("query_id"):
@@ -351,7 +349,8 @@ def test_recall_against_all_pairs(spark, monkeypatch):
         hits += len(set(order) & set(g.vec_id))
         assert list(g.sort_values("rank")["rank"]) == list(range(1, 21))
         assert np.allclose(g.score, s[g.vec_id])
-    assert got.query_id.nunique() == 450 and hits / (450 * 20) >= 0.97
+    asked = -(-many // 20)
+    assert got.query_id.nunique() == asked and hits / (asked * 20) >= 0.97
 
 
 def test_odd_vectors(spark, none):
@@ -447,14 +446,59 @@ def test_toxicity_on_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = Q.op8_toxicity(spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
     out = got[got.held_out]
-    assert out[out.toxic == 0].predicted.mean() < 0.03 and out[out.toxic == 1].predicted.mean() > 0.65
+    assert out[out.toxic == 0].predicted.mean() < 0.02 and out[out.toxic == 1].predicted.mean() > 0.68
+
+
+@pytest.mark.skipif(not Path("/root/testdata/check_s").exists(), reason="needs more labels than the small tables have")
+def test_toxicity_with_many_labels(spark):
+    """What the README claims, on 4,000 held-out texts of a table with enough toxic documents to learn from."""
+    from civicfeed.llm.common import train_bucket
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/check_s/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.filter(train_bucket("doc_id", 3) != 1))
+    held_out = labels.filter((train_bucket("doc_id", 3) == 1) & F.col("toxic").isNotNull())
+    held_out = docs.select("doc_id", "text").join(held_out, "doc_id").orderBy(F.xxhash64("doc_id")).limit(4000)
+    out = toxicity.score(held_out, model).toPandas()
+    assert out[out.toxic == 1].predicted.mean() > 0.97 and out[out.toxic == 0].predicted.mean() < 0.01
 
 
 def test_unseen_spelling_shares_grams():
-    model = toxicity.train(["a nice day for all of us"] * 40 + ["you are an idiot my friend"] * 40, [0] * 40 + [1] * 40)
+    texts_ = ["a nice day for all of us"] * 40 + ["you are an idiot my friend"] * 40
+    model = toxicity.train([toxicity.bag(t, 3, 5, 1 << 17) for t in texts_], [0] * 40 + [1] * 40)
     assert model.score("what an idioot") > model.score("what an apple")
 
 
+def test_subword_score_against_a_loop(texts):
+    """A document's score from its words' n-grams, one by one."""
+    import xxhash
+
+    rng = np.random.default_rng(2)
+    model = toxicity.SubwordModel(3, 5, rng.normal(size=1 << 12), -0.4, 3.0)
+
+    def part(w):
+        w = f"<{w.decode('utf-8', 'replace').lower()}>"
+        grams = [w[i : j] for i in range(len(w)) for j in range(i + 3, min(i + 5, len(w)) + 1)] + ["=" + w]
+        return sum(model.weight[xxhash.xxh3_64_intdigest(g) % (1 << 12)] for g in grams) / len(grams)
+
+    for t in [*list(texts.values())[:40], None, "", " \n", "Ünï ÇÖDE \U0001f600"]:
+        counts = Counter((t or "").encode().split())
+        total = sum(n**0.5 * part(w) for w, n in counts.items())
+        odds = model.scale * total / (sum(n**0.5 for n in counts.values()) + toxicity.NEUTRAL) + model.bias if counts else model.bias
+        assert model.score(t) == pytest.approx(1 / (1 + np.exp(-odds)))
+        own, share = toxicity.bag(t, 3, 5, 1 << 12)
+        assert model.scale * float((model.weight[own] * share).sum()) + model.bias == pytest.approx(odds, abs=1e-4)
+
+
+def test_training_against_plain_gradients():
+    """The loss of the trained model is not far over that of a plain logistic fit of the same bags."""
+    rng = np.random.default_rng(9)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)]
+    y = rng.integers(0, 2, 300)
+    docs_ = [" ".join(rng.choice(vocabulary[:40] if label else vocabulary[20:], 30)) for label in y]
+    model = toxicity.train([toxicity.bag(t, 3, 5, 1 << 12) for t in docs_], y.tolist(), buckets=1 << 12)
+    p = np.array([model.score(t) for t in docs_])
+    assert ((p > 0.5) == y).mean() > 0.97
+
 def test_language_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = Q.op9_language(spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/documents.parquet"), on="doc_id")
