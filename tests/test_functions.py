@@ -1,6 +1,7 @@
 """Text, ranking and rule columns on single values."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,28 +133,73 @@ def test_indel_ratio():
     assert abs(indel_ratio("kitten", "sitting") - 200 * 4 / 13) < 1e-9
 
 
-@pytest.mark.parametrize(
-    "text,want",
-    [
-        ("Отключение ГВС с 01.02.2024 10:00 по 03.02.2024 18:00", ("2024-02-01 10:00:00", "2024-02-03 18:00:00", "dmy_range")),
-        ("работы с 1 мая по 3 мая", ("2024-05-01 00:00:00", "2024-05-03 23:59:00", "day_month_range")),
-        ("опрессовка 7 - 21 июля 2026", ("2026-07-07 00:00:00", "2026-07-21 23:59:00", "day_dash_day_month")),
-        ("6.07-8.07 не будет воды", ("2024-07-06 00:00:00", "2024-07-08 23:59:00", "dmy_dash_dmy")),
-        ("завтра с 10:00 до 12:30", ("2024-01-11 10:00:00", "2024-01-11 12:30:00", "rel_day_time_range")),
-        ("послезавтра в 23:00", ("2024-01-12 23:00:00", "2024-01-13 03:00:00", "rel_day_time_start")),
-        ("воды нет до 15.01", (None, "2024-01-15 23:59:00", "until")),
-        ("просто текст", None),
-    ],
-)
-def test_windows(spark, text, want):
+WINDOWS = [
+    ("Отключение ГВС с 01.02.2024 10:00 по 03.02.2024 18:00", ("2024-02-01 10:00:00", "2024-02-03 18:00:00", "dmy_range_s_po")),
+    ("отключение с 15.01 9:30:15, время включения 16.01", ("2024-01-15 09:30:15", "2024-01-16 00:00:00", "dmy_range_s_po")),
+    ("работы с 12 января по 14 января", ("2024-01-12 00:00:00", "2024-01-14 23:59:00", "day_month_range")),
+    # farther than 400 hours ahead: the year before is as far back, so the year after is taken
+    ("работы с 1 мая по 3 мая", ("2025-05-01 00:00:00", "2025-05-03 23:59:00", "day_month_range")),
+    ("работы с 1 мая 2024 по 3 мая 2024", ("2024-05-01 00:00:00", "2024-05-03 23:59:00", "day_month_range")),
+    ("с 28 декабря по 30 декабря", ("2023-12-28 00:00:00", "2023-12-30 23:59:00", "day_month_range")),
+    ("опрессовка 7 - 21 июля 2026", ("2026-07-07 00:00:00", "2026-07-21 23:59:00", "day_dash_day_month")),
+    ("опрессовка 7–31 июня 2026", ("2026-06-07 00:00:00", "2026-06-28 23:59:00", "day_dash_day_month")),
+    ("16.01-18.01 не будет воды", ("2024-01-16 00:00:00", "2024-01-18 23:59:00", "dmy_dash_dmy")),
+    ("завтра с 10:00 до 12:30", ("2024-01-11 10:00:00", "2024-01-11 12:30:00", "rel_day_time_range")),
+    ("сегодня ночью 23:00-02:00", ("2024-01-10 23:00:00", "2024-01-11 02:00:00", "rel_day_time_range")),
+    ("завтра 15/01 будет трактор", ("2024-01-15 08:00:00", "2024-01-15 14:00:00", "rel_day_slash_date")),
+    ("послезавтра в 23:00", ("2024-01-12 23:00:00", "2024-01-13 03:00:00", "rel_day_time_start")),
+    ("завтра чистка снега с 9 часов", ("2024-01-11 09:00:00", "2024-01-11 16:00:00", "rel_day_from_hour")),
+    ("в пятницу, 12 января", ("2024-01-12 08:00:00", "2024-01-12 20:00:00", "weekday_day_month")),
+    ("воды нет до завтра до 18 часов", (None, "2024-01-11 18:00:00", "until_tomorrow")),
+    ("ветер до завтра", (None, "2024-01-11 23:59:00", "until_tomorrow")),
+    ("ремонт до 15/01", (None, "2024-01-15 23:59:00", "until_dmy")),
+    ("ремонт до 15.01", (None, "2024-01-15 00:00:00", "until_dmy")),
+    ("ремонт до 15 января", (None, "2024-01-15 23:59:00", "until_day_month")),
+    ("ремонт с 15.01", ("2024-01-15 00:00:00", None, "from_dmy_only")),
+    ("ремонт с 15 января", ("2024-01-15 00:00:00", None, "from_day_month_only")),
+    ("лифт стоит с 10:00 до 12:00", ("2024-01-10 10:00:00", "2024-01-10 12:00:00", "same_day_time_range")),
+    ("лифт стоит с 06:00 до 07:00", ("2024-01-11 06:00:00", "2024-01-11 07:00:00", "same_day_time_range")),
+    ("сильный ветер днем 12, ночью и днём 13 января", ("2024-01-12 00:00:00", "2024-01-13 23:59:00", "weather_day_span")),
+    ("оплата до 15/01", None),
+    ("сказка до 15/01", None),
+    ("просто текст", None),
+]
+
+
+def test_windows(spark):
     from civicfeed.functions import windows
 
+    texts = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WINDOWS)], "i int, t string")
     ref = F.lit("2024-01-10 09:00:00").cast("timestamp_ntz")
-    got = one(spark, windows.window(F.col("t"), ref), t=text)
-    assert (got and tuple(None if x is None else str(x) for x in (got.active_from, got.active_to, got.pattern))) == want
+    for r in texts.select("i", windows.window(F.col("t"), ref).alias("w")).collect():
+        text, want = WINDOWS[r.i]
+        assert (r.w and tuple(None if x is None else str(x) for x in (r.w.active_from, r.w.active_to, r.w.pattern))) == want, text
+
+
+def test_without_window(spark):
+    from civicfeed.functions import windows
+
+    cases = [("просто текст", True), ("передать показания до 25", True), ("завтра с 10:00 до 12:00", False), ("в мае", True), ("отмена 5 мая", False), (None, True)]
+    got = spark.createDataFrame(cases, "t string, want boolean").select("t", "want", windows.without_window(F.col("t")).alias("is")).collect()
+    assert all(r["is"] == r.want for r in got), got
+
+
+@pytest.mark.parametrize("needle", rules.DISASTER + rules.URGENT + rules.IMPORTANT)
+def test_every_keyword(needle):
+    """Each keyword of both lists is tried by the pattern of its class."""
+    assert re.search(rules.any_of([x for x in (rules.DISASTER, rules.URGENT, rules.IMPORTANT) if needle in x][0]), f"вот {needle}")
+
+
+def test_keywords_decide(spark):
+    for text, want in (("Взрыв газа в доме", (1, True)), ("Теракт предотвращён", (1, True)), ("Обрушение стены", (1, True)), ("мужчина с ножом", (1, False)), ("заливает соседей", (1, False)), ("авария на сетях", (2, False)), ("без отопления", (2, False)), ("ярмарка", (3, False))):
+        assert tuple(one(spark, rules.importance(F.col("t")), t=text)) == want, text
 
 
 def test_places(spark):
+    for text in ("пожар в Свердловской области", "поездка в республику Татарстан", "Тульский край", "новости из Тулы"):
+        assert one(spark, rules.elsewhere(F.col("t")), t=text), text
+    hints = F.array(F.lit("Минск"), F.lit("улица Минская"), F.lit("Самара"), F.lit("Самарская"), F.lit(" "))
+    assert one(spark, rules.local_hints(hints)) == ["улица Минская", "Самарская"]
     assert one(spark, rules.is_foreign(F.col("t")), t="Встреча в Берлине")
     assert not one(spark, rules.is_foreign(F.col("t")), t="Ремонт на улице Мира")
     assert one(spark, rules.elsewhere(F.col("t")), t="В Самаре снег") and not one(spark, rules.elsewhere(F.col("t")), t="В Москве и Самаре снег")
