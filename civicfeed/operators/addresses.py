@@ -112,13 +112,16 @@ def natural_order(house: Column) -> Column:
 
 
 def match_postcodes(addresses: DataFrame, points: DataFrame, metres: float = 100.0) -> DataFrame:
-    """The postcode of the points with the same street words and house within a distance, if they agree on one."""
+    """Address to the one register point (guid, street, house, lat, lon, postal_code) with its street words and house within
+    a distance: its guid and postcode. Several points, or a code that is not six digits, give none.
+    """
     from ..functions import ranking as R
 
     a = addresses.select(F.col("id"), "lat", "lon", T.street_key(F.col("street")).alias("k"), T.house(F.col("house")).alias("h"))
-    p = points.select(T.street_key(F.col("street")).alias("k"), T.house(F.col("house")).alias("h"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "postal_code")
+    p = points.select(T.street_key(F.col("street")).alias("k"), T.house(F.col("house")).alias("h"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "guid", "postal_code")
     close = a.join(p, ["k", "h"]).filter(R.haversine(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) <= metres)
-    return close.groupBy("id").agg(F.min("postal_code").alias("postal_code"), F.max("postal_code").alias("other")).filter(F.col("postal_code") == F.col("other")).drop("other")
+    one = close.groupBy("id").agg(F.min("guid").alias("gar_guid"), F.max("guid").alias("other"), F.min_by("postal_code", "guid").alias("postal_code"))
+    return one.filter((F.col("gar_guid") == F.col("other")) & F.col("postal_code").rlike("^[0-9]{6}$")).drop("other")
 
 
 def street_score(street: str, words: list[str]) -> float:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ranking as R
 from ..functions import text as T
 
 # Two texts are the same from DUPLICATE, and news of the same from UPDATE.
@@ -41,15 +42,22 @@ def reason(score: Column, hint: Column, duplicate: float = DUPLICATE, update: fl
 def best_matches(drafts: DataFrame, events: DataFrame, block: int = 4096) -> DataFrame:
     """Each draft's most similar event whose address does not conflict; the higher id among equals.
 
-    Both sides have id, address_id and v (an array). Missing addresses conflict with none, so blocks of drafts meet
-    blocks of events, and each pair of blocks is one matrix product; only a best row for each draft leaves a task.
+    Both sides have id, address_id and v (an array). Rows meet in lanes. Addresses are hashed into as many lanes as
+    there are blocks of events, so a draft with an address meets about one block of events, and those without an
+    address in a lane of their own; a draft without one meets all events. Lanes are cut into blocks, so that a hot
+    address is many tasks; a pair of blocks is one matrix product, of which a best row for each draft leaves the task.
     """
-    n_drafts, n_events = max(1, -(-drafts.count() // block)), max(1, -(-events.count() // block))
+    lanes = max(1, -(-events.count() // block))
     columns = ["id", F.col("address_id").cast("long").alias("address_id"), F.col("v").cast("array<double>").alias("v")]
-    left = drafts.select(*columns, F.pmod(F.xxhash64("id"), F.lit(n_drafts)).alias("i"))
-    left = left.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_events - 1).cast("long"))))
-    right = events.select(*columns, F.pmod(F.xxhash64("id"), F.lit(n_events)).alias("j"))
-    right = right.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_drafts - 1).cast("long"))))
+    own, alone, every = F.pmod(F.xxhash64("address_id"), F.lit(lanes)), F.lit(-1).cast("long"), F.lit(-2).cast("long")
+    missing = F.col("address_id").isNull()
+    left = drafts.select(*columns).withColumn("lane", F.explode(F.when(missing, F.array(every)).otherwise(F.array(own, alone))))
+    right = events.select(*columns).withColumn("lane", F.explode(F.array(F.when(missing, alone).otherwise(own), every)))
+    blocks = lambda df, name: df.groupBy("lane").agg(F.ceil(F.count("*") / block).alias(name))
+    cuts = blocks(left, "ni").join(blocks(right, "nj"), "lane")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = left.join(cuts, "lane").withColumn("i", F.pmod(F.xxhash64("id"), F.col("ni"))).withColumn("j", spread("nj"))
+    right = right.join(cuts, "lane").withColumn("j", F.pmod(F.xxhash64("id"), F.col("nj"))).withColumn("i", spread("ni"))
 
     def compare(d: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"draft_id": [], "best_id": [], "score": []}).astype({"draft_id": "int64", "best_id": "int64"})
@@ -67,7 +75,9 @@ def best_matches(drafts: DataFrame, events: DataFrame, block: int = 4096) -> Dat
         some = np.isfinite(top)
         return pd.DataFrame({"draft_id": d["id"].to_numpy()[some], "best_id": e["id"].to_numpy()[best][some], "score": top[some]})
 
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(compare, "draft_id long, best_id long, score double")
+    own_columns = ("id", "address_id", "v", "lane", "i", "j")  # as columns of their own, since both sides come from one plan of cuts
+    left, right = (df.select(*[F.col(c).alias(c) for c in own_columns]) for df in (left, right))
+    found = left.groupBy("lane", "i", "j").cogroup(right.groupBy("lane", "i", "j")).applyInPandas(compare, "draft_id long, best_id long, score double")
     return found.groupBy("draft_id").agg(F.max(F.struct("score", "best_id")).alias("x")).select("draft_id", "x.best_id", "x.score")
 
 
@@ -99,6 +109,19 @@ def hashed_embedding(dim: int = 256):
     return embed
 
 
+def geo_nearby(a_address: Column, b_address: Column, a_lat: Column, a_lon: Column, b_lat: Column, b_lon: Column, radius_m: float = 3000.0) -> Column:
+    """equal addresses where both have one, else points within a radius where both have one, else neither has an address."""
+    points = a_lat.isNotNull() & a_lon.isNotNull() & b_lat.isNotNull() & b_lon.isNotNull()
+    both = a_address.isNotNull() & b_address.isNotNull()
+    close = R.haversine(a_lat, a_lon, b_lat, b_lon) <= radius_m
+    return F.when(both, a_address == b_address).when(points, close).otherwise(a_address.isNull() & b_address.isNull())
+
+
+def conflict(a_address: Column, b_address: Column) -> Column:
+    """both addresses are known and differ."""
+    return F.coalesce(a_address != b_address, F.lit(False))
+
+
 def merge_payload(old_body: Column, new_body: Column, old_importance: Column, new_importance: Column, old_disaster: Column, new_disaster: Column) -> Column:
     """The new body unless the old one holds it, the graver importance, and either's disaster flag."""
     held = F.coalesce(F.lower(old_body).contains(F.lower(F.trim(new_body))), F.lit(False))

@@ -36,6 +36,16 @@ def due(deliveries: DataFrame, now: Column, retry_seconds: int) -> DataFrame:
     return deliveries.filter(F.col("acked_at").isNull() & (F.col("last_sent_at").isNull() | (F.col("last_sent_at") <= before)))
 
 
+def due_priority(deliveries: DataFrame, users: DataFrame, events: DataFrame, now: Column, retry_seconds: int) -> DataFrame:
+    """due deliveries to users (user_id, max_user_id, chat_id, notify_blocked_at) that have a chat and have not blocked
+    the bot, of events that are still of importance 1 or 2; with what is to be sent.
+    """
+    open_ = users.filter(F.col("chat_id").isNotNull() & F.col("notify_blocked_at").isNull()).select("user_id", "max_user_id", "chat_id")
+    grave = events.filter(F.col("importance").isin(1, 2)).select(F.col("id").alias("event_id"), "title", "body", "importance")
+    ready = due(deliveries, now, retry_seconds).select(F.col("id").alias("delivery_id"), "user_id", "event_id")
+    return ready.join(open_, "user_id").join(grave, "event_id")
+
+
 def marked_sent(deliveries: DataFrame, sent: DataFrame, now: Column) -> DataFrame:
     """One attempt more and the time of it for the deliveries that went out; acked ones stay as they are."""
     out = deliveries.join(sent.select("id", F.lit(True).alias("cf_sent")), "id", "left")

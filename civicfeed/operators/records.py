@@ -86,11 +86,20 @@ def by_margin(df: DataFrame, keys: list[str], score: str, least: float, margin:
     return rows.filter((F.col(score) >= least) & clear).drop("cf_n", "cf_next")
 
 
-def sequential_ids(df: DataFrame, order: list[str], name: str = "new_id", parts: int = 64) -> DataFrame:
-    """SK10: ids from 1 in the given order, without sorting in one task: counts of range partitions, then their offsets."""
-    sorted_ = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("cf_part", F.spark_partition_id())
-    local = sorted_.withColumn("cf_at", F.monotonically_increasing_id() - F.shiftleft(F.col("cf_part").cast("long"), 33))
-    sizes = local.groupBy("cf_part").count()
+def sequential_ids(df: DataFrame, order: list[str], name: str = "new_id", parts: int | None = None) -> DataFrame:
+    """SK10: ids from 1 in the given order, without sorting in one task; ``order`` has no ties.
+
+    Ranges have their bounds from quantiles of the first order column, which are taken once: counts of ranges and ids
+    within them then agree, whatever columns either plan reads. A range is a task's rows; the first order column is a
+    number or a time of which no single value has a large share.
+    """
+    lead = F.unix_micros(F.col(order[0]).cast("timestamp")) if dict(df.dtypes)[order[0]] in ("date", "timestamp", "timestamp_ntz") else F.col(order[0])
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.select(lead.cast("double").alias("x")).agg(F.percentile_approx("x", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
+    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts or []))]).cast("array<double>")
+    placed = df.withColumn("cf_part", F.size(F.filter(bounds, lambda b: b < F.coalesce(lead.cast("double"), F.lit(float("-inf"))))))
+    sizes = placed.groupBy("cf_part").count()
     before = sizes.withColumn("cf_before", F.coalesce(F.sum("count").over(Window.orderBy("cf_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = local.join(F.broadcast(before.select("cf_part", "cf_before")), "cf_part")
-    return out.withColumn(name, F.col("cf_before") + F.col("cf_at") + 1).drop("cf_part", "cf_at", "cf_before")
+    within = F.row_number().over(Window.partitionBy("cf_part").orderBy(*order))
+    out = placed.join(F.broadcast(before.select("cf_part", "cf_before")), "cf_part")
+    return out.withColumn(name, F.col("cf_before") + within).drop("cf_part", "cf_before")

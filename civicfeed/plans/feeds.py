@@ -59,7 +59,7 @@ def c13_city_feed(spark, sf_dir):
     return top.select("id", F.round("weight", 9).alias("weight"), "source", F.col("n").alias("place"))
 
 
-ORIGINS = """(SELECT DISTINCT m.user_id, a.lat, a.lon, a.street FROM members m JOIN addresses a ON m.address_id = a.id WHERE m.user_id < 20 AND m.chat_type = 'chat')"""
+ORIGINS = """(SELECT DISTINCT m.user_id, a.lat, a.lon, a.street FROM members m JOIN addresses a ON m.address_id = a.id WHERE m.chat_type = 'chat')"""
 NEARBY_ROWS = f"""SELECT e.*, x.user_id, x.distance, greatest(0.0, least(1.0, {_weight_sql('greatest(0.0, 1 - least(x.distance, 1500.0) / 1500.0)')}
         + CASE WHEN x.same_street THEN 0.07 ELSE 0.0 END::DOUBLE
         + CASE WHEN active_from IS NULL AND active_to IS NULL THEN 0.0 WHEN active_from > {NOW} THEN -0.20 WHEN active_to IS NULL OR active_to >= {NOW} THEN 0.12 ELSE -0.20 END::DOUBLE)) AS weight
@@ -72,7 +72,7 @@ NEARBY_ROWS = f"""SELECT e.*, x.user_id, x.distance, greatest(0.0, least(1.0, {_
 @_R.add(with_tables(f" SELECT user_id, id, round(weight, 9) AS weight, round(distance, 4) AS distance FROM ({_dedupe_sql(NEARBY_ROWS, 'round(distance, 6), weight DESC, id DESC', 'user_id')}) f", "addresses", "city_events", "members"))
 def c12_nearby_feed(spark, sf_dir):
     addresses = table(spark, sf_dir, "addresses")
-    members = table(spark, sf_dir, "members").filter("user_id < 20 AND chat_type = 'chat'").withColumnRenamed("address_id", "id")
+    members = table(spark, sf_dir, "members").filter("chat_type = 'chat'").withColumnRenamed("address_id", "id")
     origins = members.join(addresses, "id").select("user_id", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), F.col("street").alias("o_street")).distinct()
     rows = feed.nearby_feed(table(spark, sf_dir, "city_events"), addresses, origins, _now(), 1500.0)
     return rows.select("user_id", "id", F.round("weight", 9).alias("weight"), F.round("distance", 4).alias("distance"))
@@ -142,19 +142,19 @@ def a1_street_centres(spark, sf_dir):
 
 @_R.add(with_tables(f""" SELECT o.id AS origin_id, a.id, round({HAVERSINE.format(a='o.', b='a.')}, 4) AS distance,
         CASE WHEN {HAVERSINE.format(a='o.', b='a.')} <= 250 THEN 'home' WHEN {HAVERSINE.format(a='o.', b='a.')} <= 800 THEN 'block' WHEN {HAVERSINE.format(a='o.', b='a.')} <= 1500 THEN 'street' ELSE 'district' END AS band
-    FROM addresses a JOIN addresses o ON o.id % 10 = 0 AND {HAVERSINE.format(a='o.', b='a.')} <= 2000""", "addresses"))
+    FROM addresses a JOIN addresses o ON {HAVERSINE.format(a='o.', b='a.')} <= 2000""", "addresses"))
 def j3_within_radius(spark, sf_dir):
     a = table(spark, sf_dir, "addresses")
-    o = a.filter("id % 10 = 0").select(F.col("id").alias("origin_id"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), F.col("street").alias("o_street"))
+    o = a.select(F.col("id").alias("origin_id"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), F.col("street").alias("o_street"))
     return geo.near(a, o, 2000.0).select("origin_id", "id", F.round("distance", 4).alias("distance"), R.band(F.col("distance")).alias("band"))
 
 
 @_R.add(with_tables(f""" SELECT origin_id, id, rank FROM (SELECT o.id AS origin_id, a.id, CAST(row_number() OVER (PARTITION BY o.id
         ORDER BY pow(a.lat - o.lat, 2) + pow((a.lon - o.lon) * cos(radians(o.lat)), 2), a.id) AS INTEGER) AS rank
-    FROM addresses a JOIN addresses o ON o.id % 7 = 0 AND {HAVERSINE.format(a='o.', b='a.')} <= 1500) n WHERE rank <= 5""", "addresses"))
+    FROM addresses a JOIN addresses o ON {HAVERSINE.format(a='o.', b='a.')} <= 1500) n WHERE rank <= 5""", "addresses"))
 def j24_nearest(spark, sf_dir):
     a = table(spark, sf_dir, "addresses")
-    o = a.filter("id % 7 = 0").select(F.col("id").alias("origin_id"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
+    o = a.select(F.col("id").alias("origin_id"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
     return geo.nearest(a, o, 5, 1500.0).select("origin_id", "id", "rank")
 
 
@@ -204,12 +204,12 @@ def _cos(x: str, y: str) -> str:
         WHEN score >= 0.30 AND (hint OR score >= 0.35) THEN 'update' ELSE 'new' END AS action FROM (
     SELECT d.vec_id AS draft_id, e.vec_id AS best_id, d.vec_id % 7 = 0 AS hint, {_cos('d.embedding', 'e.embedding')} AS score,
         row_number() OVER (PARTITION BY d.vec_id ORDER BY round({_cos('d.embedding', 'e.embedding')}, 9) DESC, e.vec_id DESC) AS rn
-    FROM embeddings d JOIN embeddings e ON d.vec_id < 100 AND e.vec_id >= 100 AND (d.vec_id % 3 = 0 OR e.vec_id % 5 = 0 OR d.label = e.label)) x WHERE rn = 1""")
+    FROM embeddings d JOIN embeddings e ON d.vec_id % 20 = 0 AND e.vec_id % 20 <> 0 AND (d.vec_id % 3 = 0 OR e.vec_id % 5 = 0 OR d.label = e.label)) x WHERE rn = 1""")
 def c9_relation(spark, sf_dir):
     v = source(spark, sf_dir, "embeddings")
     rows = v.select(F.col("vec_id").alias("id"), F.col("label"), F.col("embedding").alias("v"))
-    drafts = rows.filter("id < 100").withColumn("address_id", F.when(F.col("id") % 3 != 0, F.col("label")))
-    events = rows.filter("id >= 100").withColumn("address_id", F.when(F.col("id") % 5 != 0, F.col("label")))
+    drafts = rows.filter("id % 20 = 0").withColumn("address_id", F.when(F.col("id") % 3 != 0, F.col("label")))
+    events = rows.filter("id % 20 <> 0").withColumn("address_id", F.when(F.col("id") % 5 != 0, F.col("label")))
     best = dedup.best_matches(drafts, events)
     score, hint = F.round("score", 9), F.col("draft_id") % 7 == 0
     return best.select("draft_id", "best_id", F.round(score, 6).alias("score"), dedup.action(score, hint, 0.40, 0.30).alias("action"))

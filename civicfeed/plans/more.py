@@ -40,18 +40,27 @@ def f33_address_filter(spark, sf_dir):
     return a.select("id")
 
 
-@_R.add(with_tables(" SELECT a.id AS a_id, b.id AS b_id FROM city_events a JOIN city_events b ON b.id = a.id + 1 WHERE a.address_id IS NOT DISTINCT FROM b.address_id OR a.geo_by = b.geo_by", "city_events"))
+PLACED = """ , p AS (SELECT e.id, CASE WHEN e.id % 3 = 0 THEN e.address_id END AS address_id, CASE WHEN e.id % 4 <> 0 THEN lat END AS lat, CASE WHEN e.id % 4 <> 0 THEN lon END AS lon FROM city_events e LEFT JOIN addresses a ON a.id = e.address_id)
+    SELECT a.id AS a_id, b.id AS b_id, CASE WHEN a.address_id IS NOT NULL AND b.address_id IS NOT NULL THEN a.address_id = b.address_id WHEN a.lat IS NOT NULL AND b.lat IS NOT NULL
+        THEN 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 9000
+        ELSE a.address_id IS NULL AND b.address_id IS NULL END AS near, coalesce(a.address_id <> b.address_id, false) AS conflict FROM p a JOIN p b ON b.id = a.id + 3"""
+
+
+@_R.add(with_tables(PLACED, "addresses", "city_events"))
 def f26_compatible(spark, sf_dir):
-    e = table(spark, sf_dir, "city_events").select("id", "address_id", "geo_by")
-    b = e.select((F.col("id") - 1).alias("k"), F.col("id").alias("b_id"), F.col("address_id").alias("b_address"), F.col("geo_by").alias("b_geo"))
-    pairs = e.join(b, F.col("id") == F.col("k"))
-    return pairs.filter(F.col("address_id").eqNullSafe(F.col("b_address")) | (F.col("geo_by") == F.col("b_geo"))).select(F.col("id").alias("a_id"), "b_id")
+    a = table(spark, sf_dir, "addresses").select(F.col("id").alias("address_id"), "lat", "lon")
+    e = table(spark, sf_dir, "city_events").select("id", "address_id").join(a, "address_id", "left")
+    part = lambda c, keep: F.when(keep, F.col(c)).alias(c)
+    p = e.select("id", part("address_id", F.col("id") % 3 == 0), part("lat", F.col("id") % 4 != 0), part("lon", F.col("id") % 4 != 0))
+    b = p.select((F.col("id") - 3).alias("id"), F.col("id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in ("address_id", "lat", "lon")])
+    near = dedup.geo_nearby(*[F.col(c) for c in ("address_id", "b_address_id", "lat", "lon", "b_lat", "b_lon")], radius_m=9000.0)
+    return p.join(b, "id").select(F.col("id").alias("a_id"), "b_id", near.alias("near"), dedup.conflict(F.col("address_id"), F.col("b_address_id")).alias("conflict"))
 
 
-@_R.add(with_tables(" SELECT m.user_id, m.chat_id, a.city, count(*) AS n FROM members m JOIN addresses a ON a.id = m.address_id WHERE coalesce(m.chat_type, 'chat') = 'chat' AND m.user_id < 50 GROUP BY ALL", "addresses", "members"))
+@_R.add(with_tables(" SELECT m.user_id, m.chat_id, a.city, count(*) AS n FROM members m JOIN addresses a ON a.id = m.address_id WHERE coalesce(m.chat_type, 'chat') = 'chat' GROUP BY ALL", "addresses", "members"))
 def j5_memberships(spark, sf_dir):
-    users = spark.range(50).withColumnRenamed("id", "user_id")
-    rows = members.memberships(users, table(spark, sf_dir, "members"), table(spark, sf_dir, "addresses"))
+    m = table(spark, sf_dir, "members")
+    rows = members.memberships(m.select("user_id").distinct(), m, table(spark, sf_dir, "addresses"))
     return rows.groupBy("user_id", "chat_id", "city").agg(F.count("*").alias("n"))
 
 
@@ -111,11 +120,11 @@ def a14_mean_similarity(spark, sf_dir):
     return table(spark, sf_dir, "pairs").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("score"), 9).alias("mean"))
 
 
-@_R.add("""WITH v AS (SELECT left(md5(c_name), 6) AS v FROM customer WHERE c_custkey < 300), p AS (SELECT length, upper(left(v, length)) AS prefix, count(*) AS n FROM v, (VALUES (1), (2), (3), (4)) l(length) GROUP BY ALL),
-    f AS (SELECT length FROM p GROUP BY length HAVING count(*) BETWEEN 2 AND 20 AND max(n) <= 72 ORDER BY length LIMIT 1) SELECT prefix, n FROM p JOIN f USING (length)""")
+@_R.add("""WITH v AS (SELECT left(md5(c_name), 6) AS v FROM customer), p AS (SELECT length, upper(left(v, length)) AS prefix, count(*) AS n FROM v, (VALUES (1), (2), (3), (4)) l(length) GROUP BY ALL),
+    f AS (SELECT length FROM p GROUP BY length HAVING count(*) BETWEEN 2 AND 20 AND max(n) <= 10000 ORDER BY length LIMIT 1) SELECT prefix, n FROM p JOIN f USING (length)""")
 def a16_prefix_groups(spark, sf_dir):
-    c = source(spark, sf_dir, "customer").filter("c_custkey < 300").select(F.left(F.md5(F.col("c_name").cast("binary")), F.lit(6)).alias("v"))
-    return labels.prefix_groups(c, "v", groups=(2, 20)).select("prefix", "n")
+    c = source(spark, sf_dir, "customer").select(F.left(F.md5(F.col("c_name").cast("binary")), F.lit(6)).alias("v"))
+    return labels.prefix_groups(c, "v", groups=(2, 20), largest=10_000).select("prefix", "n")
 
 
 @_R.add(with_tables(""" SELECT user_id, address_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN address_id % 3 <> 0 THEN address_id % 17 END NULLS LAST, chat_id, address_id) AS place FROM members""", "members"))
@@ -212,13 +221,27 @@ def d5_days_backward(spark, sf_dir):
     return spark.range(1).select(F.explode(days).alias("d")).select(F.concat(F.lit("d"), F.date_format("d", "yyyy-MM-dd")).alias("day"))
 
 
-@_R.add(with_tables(""" SELECT d.id, CASE WHEN d.source_msg_id = e.source_msg_id THEN 'duplicate' END AS action FROM city_events d JOIN city_events e ON e.id = d.id WHERE d.id < 200 AND d.source_msg_id IS NOT NULL""", "city_events"))
-def c11_same_message(spark, sf_dir):
-    def rows():
-        e = table(spark, sf_dir, "city_events").filter("id < 200 AND source_msg_id IS NOT NULL")
-        return e.withColumn("v", F.array(F.lit(1.0), F.col("id").cast("double")))
+DRAFTS = """ , d AS (SELECT id, source, CASE WHEN id % 40 = 0 THEN 'draft:' || id ELSE 'known:' || (id + 1) END AS source_msg_id, address_id, id % 7 + 1 AS x, id % 11 AS y, id % 13 AS z FROM city_events WHERE id % 20 = 0),
+    e AS (SELECT id, CASE WHEN id % 20 = 1 THEN (SELECT source FROM city_events p WHERE p.id = c.id - 1) ELSE source END AS source, 'known:' || id AS source_msg_id, CASE WHEN id % 9 <> 0 THEN address_id END AS address_id, id % 7 + 1 AS x, id % 11 AS y, id % 13 AS z FROM city_events c WHERE id % 20 <> 0),
+    same AS (SELECT d.id, max(e.id) AS same_id FROM d JOIN e USING (source, source_msg_id) GROUP BY d.id),
+    pairs AS (SELECT d.id, e.id AS event_id, round((d.x * e.x + d.y * e.y + d.z * e.z)::DOUBLE / (sqrt((d.x * d.x + d.y * d.y + d.z * d.z)::DOUBLE) * sqrt((e.x * e.x + e.y * e.y + e.z * e.z)::DOUBLE)), 9) AS score FROM d JOIN e ON d.address_id = e.address_id
+        UNION ALL SELECT d.id, e.id, round((d.x * e.x + d.y * e.y + d.z * e.z)::DOUBLE / (sqrt((d.x * d.x + d.y * d.y + d.z * d.z)::DOUBLE) * sqrt((e.x * e.x + e.y * e.y + e.z * e.z)::DOUBLE)), 9) FROM d JOIN e ON e.address_id IS NULL),
+    best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, event_id DESC) = 1)
+    SELECT d.id, CASE WHEN same_id IS NOT NULL OR score >= 0.82 THEN 'duplicate' WHEN score >= 0.7 THEN 'update' ELSE 'new' END AS action, coalesce(same_id, event_id) AS match_id FROM d LEFT JOIN same USING (id) LEFT JOIN best USING (id)"""
 
-    return dedup.resolve(rows(), rows()).select("id", "action")
+
+@_R.add(with_tables(DRAFTS, "city_events"))
+def c11_same_message(spark, sf_dir):
+    e = table(spark, sf_dir, "city_events")
+    i = F.col("id")
+    rows = e.withColumn("v", F.array(*[x.cast("double") for x in (i % 7 + 1, i % 11, i % 13)]))
+    known = F.concat(F.lit("known:"), (i + (i % 20 == 0).cast("int")).cast("string"))
+    drafts = rows.filter("id % 20 = 0").withColumn("source_msg_id", F.when(i % 40 == 0, F.concat(F.lit("draft:"), i.cast("string"))).otherwise(known))
+    before = e.select((i + 1).alias("id"), F.col("source").alias("before"))
+    events = rows.filter("id % 20 <> 0").join(before, "id", "left").withColumns({
+        "source": F.when(i % 20 == 1, F.col("before")).otherwise(F.col("source")), "source_msg_id": known, "address_id": F.when(i % 9 != 0, F.col("address_id")),
+    })
+    return dedup.resolve(drafts, events).select("id", "action", "match_id")
 
 
 @_R.add(with_tables(""" SELECT id, CASE WHEN lat < 55.75 THEN 'South' ELSE 'North' END AS district FROM addresses WHERE lat <> 55.75 AND lon BETWEEN 37.0 AND 38.5 AND lat BETWEEN 55.0 AND 56.5""", "addresses"))

@@ -8,6 +8,7 @@ from ..functions import ranking as R
 from ..functions import text as T
 from ..operators import addresses as A
 from ..operators import notify, records
+from .feeds import HAVERSINE
 from .overlay import NOW, source, table, with_tables
 from .registry import Registry
 
@@ -132,12 +133,31 @@ def j12_street_lookup(spark, sf_dir):
     return A.lookup(a.select(F.col("id").alias("hint_id"), F.col("street").alias("hint"), "house"), a)
 
 
-@_R.add(with_tables(""" SELECT CAST(a.id AS BIGINT) AS id, min(p.postal_code) AS postal_code FROM addresses a JOIN addresses p ON a.street = p.street AND a.house = p.house AND a.lat = p.lat AND a.lon = p.lon
-    GROUP BY a.id HAVING count(DISTINCT p.postal_code) = 1""", "addresses"))
+POINTS = f""" , p AS (SELECT 'g' || id AS guid, street, house, lat + CASE WHEN id % 3 = 0 THEN 0.002 ELSE 0.0004 END::DOUBLE AS lat, lon, CASE WHEN id % 11 = 0 THEN '12' ELSE postal_code END AS postal_code FROM addresses
+        UNION ALL SELECT 'h' || id, street, house, lat, lon + 0.0005::DOUBLE, postal_code FROM addresses WHERE id % 5 = 0)
+    SELECT a.id, min(guid) AS gar_guid, min(p.postal_code) AS postal_code FROM addresses a JOIN p ON a.street = p.street AND a.house = p.house AND {HAVERSINE.format(a='a.', b='p.')} <= 100
+    GROUP BY a.id HAVING count(DISTINCT guid) = 1 AND length(min(p.postal_code)) = 6"""
+
+
+@_R.add(with_tables(POINTS, "addresses"))
 def j9_postcodes(spark, sf_dir):
     a = table(spark, sf_dir, "addresses")
-    # places in these tables are equal or far apart
-    return A.match_postcodes(a, a, 1.0)
+    i, guid = F.col("id"), lambda k: F.concat(F.lit(k), F.col("id").cast("string")).alias("guid")
+    first = a.select(guid("g"), "street", "house", (F.col("lat") + F.when(i % 3 == 0, 0.002).otherwise(0.0004)).alias("lat"), "lon", F.when(i % 11 == 0, "12").otherwise(F.col("postal_code")).alias("postal_code"))
+    second = a.filter("id % 5 = 0").select(guid("h"), "street", "house", "lat", (F.col("lon") + 0.0005).alias("lon"), "postal_code")
+    return A.match_postcodes(a, first.unionByName(second))
+
+
+USERS_SQL = """ , u AS (SELECT user_id, user_id * 7 AS max_user_id, CASE WHEN user_id % 6 <> 0 THEN user_id + 1000 END AS chat_id, user_id % 8 = 0 AS blocked FROM (SELECT DISTINCT user_id FROM deliveries) x)"""
+
+
+@_R.add(with_tables(USERS_SQL + f""" SELECT d.id AS delivery_id, user_id, event_id, max_user_id, chat_id, e.title, e.body, e.importance FROM deliveries d JOIN u USING (user_id) JOIN city_events e ON e.id = d.event_id
+    WHERE acked_at IS NULL AND chat_id IS NOT NULL AND NOT blocked AND e.importance IN (1, 2) AND (last_sent_at IS NULL OR last_sent_at <= {NOW} - INTERVAL '86400' SECOND)""", "city_events", "deliveries"))
+def f27_due_priority(spark, sf_dir):
+    d = table(spark, sf_dir, "deliveries")
+    u = F.col("user_id")
+    users = d.select("user_id").distinct().select("user_id", (u * 7).alias("max_user_id"), F.when(u % 6 != 0, u + 1000).alias("chat_id"), F.when(u % 8 == 0, _now()).alias("notify_blocked_at"))
+    return notify.due_priority(d, users, table(spark, sf_dir, "city_events"), _now(), 86_400)
 
 
 @_R.add(""" SELECT k, n, CAST(agree AS BOOLEAN) AS agree FROM (SELECT c_name[1:14] || c_nationkey AS k, count(*) AS n, count(DISTINCT (c_mktsegment, c_custkey % 3 = 0)) = 1 AS agree FROM customer GROUP BY ALL) x""")
@@ -166,10 +186,10 @@ def sk2_update(spark, sf_dir):
     return records.update(e, patch, "id", ["active_to"]).select("id", "title", "active_to")
 
 
-@_R.add(with_tables(" SELECT id FROM city_events WHERE importance BETWEEN 1 AND 3 AND length(trim(coalesce(title, '') || body)) > 0 AND address_id <= 1000", "addresses", "city_events"))
+@_R.add(with_tables(" SELECT id FROM city_events WHERE importance BETWEEN 1 AND 3 AND length(trim(coalesce(title, '') || body)) > 0 AND address_id IN (SELECT id FROM addresses WHERE postal_code < '100300')", "addresses", "city_events"))
 def sk1_checked_insert(spark, sf_dir):
     e = table(spark, sf_dir, "city_events")
-    known = table(spark, sf_dir, "addresses").filter("id <= 1000").select(F.col("id").alias("address_id"), F.lit(True).alias("known"))
+    known = table(spark, sf_dir, "addresses").filter("postal_code < '100300'").select(F.col("id").alias("address_id"), F.lit(True).alias("known"))
     rows = e.join(known, "address_id", "left")
     good, _ = records.checked(rows, {"importance": F.col("importance").isin(1, 2, 3), "text": F.length(F.trim(F.concat_ws("", "title", "body"))) > 0, "address": F.col("known")})
     return good.select("id")
@@ -193,9 +213,9 @@ def w3_keep_first(spark, sf_dir):
     return records.keep_first(source(spark, sf_dir, "events"), ["event_type", "user_id"], [F.col("ts"), F.col("event_id")]).select("event_type", "user_id", "event_id")
 
 
-@_R.add("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS new_id FROM orders")
+@_R.add("SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS new_id FROM orders")
 def sk10_sequential_ids(spark, sf_dir):
-    return records.sequential_ids(source(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "new_id")
+    return records.sequential_ids(source(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"])
 
 
 @_R.add(with_tables(" SELECT source, count(*) AS n, count(*) FILTER (title IS NOT NULL) AS with_title, min(published_at) AS oldest, max(published_at) AS newest, max(id) AS last_id FROM city_events GROUP BY source", "city_events"))

@@ -84,9 +84,15 @@ def once(messages: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame
 
 
 def daily_counts(messages: DataFrame, tz: str = "Europe/Moscow", late: str = "1 hour") -> DataFrame:
-    """ST7: messages of each chat and local day."""
-    local = messages.withWatermark("ts", late).withColumn("local", F.col("ts"))
-    return local.groupBy("chat_id", F.window("ts", "1 day", startTime="21 hours" if tz == "Europe/Moscow" else "0 hours")).agg(F.count("*").alias("n")).select("chat_id", F.col("window.start").alias("day_start"), "n")
+    """ST7: messages of each chat and local day of a time zone; ``day_start`` is the instant at which that day begins.
+
+    Days are windows of local time, so that those of 23 and 25 hours are days too; a day is out once the watermark has
+    passed its end by the widest offset of a zone.
+    """
+    local = messages.withColumn("cf_local", F.from_utc_timestamp(F.to_utc_timestamp("ts", F.current_timezone()), tz)).withWatermark("cf_local", late)
+    days = local.groupBy("chat_id", F.window("cf_local", "1 day")).agg(F.count("*").alias("n"))
+    start = F.from_utc_timestamp(F.to_utc_timestamp(F.col("window.start"), tz), F.current_timezone())
+    return days.select("chat_id", start.alias("day_start"), "n")
 
 
 def high_water(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, existing: Callable[[], DataFrame], keys: list[str]):
