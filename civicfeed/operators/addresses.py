@@ -1,4 +1,4 @@
-"""The address catalogue: hierarchy, lookup by street and house, binding of events, fuzzy search."""
+"""The address catalogue: hierarchy, lookup by street and house, binding of events, matching of texts."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from ..functions.likeness import indel_ratio, weighted_ratio
+from .records import by_margin
 
 
 def hierarchy(addresses: DataFrame, postal_code: str | None = None) -> DataFrame:
@@ -26,21 +28,77 @@ def street_entries(addresses: DataFrame) -> DataFrame:
     return streets.withColumn("keys", T.alias_keys(F.col("street")))
 
 
-def lookup(hints: DataFrame, addresses: DataFrame) -> DataFrame:
-    """J12, exact step: hints (hint_id, hint, house) to streets by equal keys, one street only; with the house where it exists.
+def _pieces(key: Column, n: int, first_only: bool = False) -> Column:
+    """The runs of ``n`` letters of a key, or its first one."""
+    if first_only:
+        return F.array(F.left(key, F.lit(n)))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - (n - 1), F.lit(1))), lambda i: F.substr(key, i, F.lit(n))))
 
-    A hint that leads to two streets leads to none.
+
+@F.pandas_udf(DoubleType())
+def likeness_of(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """K29's weighted ratio of two columns."""
+    for x, y in pairs:
+        yield pd.Series([weighted_ratio(p or "", q or "") for p, q in zip(x, y, strict=True)])
+
+
+def lookup(hints: DataFrame, addresses: DataFrame, least: float = 82.0, margin: float = 5.0) -> DataFrame:
+    """Hints (hint_id, hint, house) to one street each, and to the house there if it exists.
+
+    In turn, the first step that finds streets decides, and if it finds several that are equally good there is none:
+    equal keys, most of them first; keys of four letters or more that contain one another, the longest shared first;
+    the likeness of the longest key to each street's own longest key, if ``least`` is reached and the next is
+    ``margin`` behind. Keys that contain one another share the first four letters of the shorter one, and like ones
+    three letters in a row, so that both steps are equi joins.
     """
-    entries = street_entries(addresses).withColumn("key", F.explode("keys"))
-    wanted = hints.withColumn("key", F.explode(F.array_distinct(F.array(T.address_text(F.col("hint")), F.array_join(F.transform(F.split(T.address_text(F.col("hint")), " "), T.stem), " ")))))
-    found = wanted.join(entries.select("key", "city", "street", "pin_id"), "key").select("hint_id", "house", "city", "street", "pin_id").distinct()
-    alone = found.withColumn("n", F.count("*").over(Window.partitionBy("hint_id"))).filter(F.col("n") == 1).drop("n")
-    keyed = alone.withColumn("h", F.explode_outer(T.house_keys(F.col("house"))))
-    houses = addresses.select("city", "street", T.house(F.col("house")).alias("h"), F.col("id").alias("address_id")).groupBy("city", "street", "h").agg(F.min("address_id").alias("address_id"))
-    hit = keyed.join(houses, ["city", "street", "h"], "left")
-    exact = F.col("h") == T.house(F.col("house"))
-    best = hit.groupBy("hint_id", "city", "street", "pin_id").agg(F.min_by("address_id", F.when(F.col("address_id").isNotNull(), F.when(exact, 0).otherwise(1))).alias("address_id"))
-    return best.withColumn("geo_by", F.when(F.col("address_id").isNotNull(), "home").otherwise("street"))
+    entries = street_entries(addresses)
+    asked = hints.select("hint_id", T.alias_keys(F.col("hint")).alias("keys")).filter(F.size("keys") > 0)
+    flat = lambda df: df.select("hint_id", F.explode("keys").alias("key"))
+    known = entries.select("pin_id", F.explode("keys").alias("known"))
+
+    def best(found: DataFrame, score: str) -> DataFrame:
+        """(hint_id, pin_id, alone): the streets of the highest score, and whether it is one."""
+        top = found.groupBy("hint_id", "pin_id").agg(F.max(score).alias("s")).groupBy("hint_id", "s").agg(F.count("*").alias("n"), F.min("pin_id").alias("pin_id"))
+        return top.groupBy("hint_id").agg(F.max_by(F.struct("pin_id", (F.col("n") == 1).alias("alone")), "s").alias("x")).select("hint_id", "x.*")
+
+    equal = flat(asked).join(known, F.col("key") == F.col("known")).groupBy("hint_id", "pin_id").agg(F.count("*").alias("same"))
+    exact = best(equal, "same")
+    left = asked.join(exact, "hint_id", "left_anti")
+
+    long_ = lambda c: F.length(c) >= 4
+    ours = flat(left).filter(long_("key"))
+    theirs = known.filter(long_("known"))
+    within = ours.withColumn("g", F.explode(_pieces(F.col("key"), 4, True))).join(theirs.withColumn("g", F.explode(_pieces(F.col("known"), 4))), "g").filter(F.contains("known", "key"))
+    around = ours.withColumn("g", F.explode(_pieces(F.col("key"), 4))).join(theirs.withColumn("g", F.explode(_pieces(F.col("known"), 4, True))), "g").filter(F.contains("key", "known"))
+    parts = within.unionByName(around).filter("key <> known").withColumn("length", F.least(F.length("key"), F.length("known")))
+    contained = best(parts, "length")
+    left = left.join(contained, "hint_id", "left_anti")
+
+    # a street's longest key without short words, if it has one, stands for it
+    longest = lambda keys: F.array_sort(keys, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).otherwise(F.when(a < b, -1).when(a > b, 1).otherwise(0)))[0]
+    whole = F.filter("keys", lambda k: ~k.contains(" ") | F.forall(F.split(k, " "), lambda w: F.length(w) >= 3))
+    choices = entries.select("pin_id", F.coalesce(F.get(F.array(longest(whole)), 0), longest(F.col("keys"))).alias("known"))
+    wanted = left.select("hint_id", longest(F.col("keys")).alias("key")).filter(long_("key"))
+    padded = lambda c: _pieces(F.concat(F.lit("^"), F.col(c), F.lit("$")), 3)
+    pairs = wanted.withColumn("g", F.explode(padded("key"))).join(choices.withColumn("g", F.explode(padded("known"))), "g").select("hint_id", "key", "pin_id", "known").distinct()
+    alike = pairs.withColumn("s", likeness_of("key", "known")).select("hint_id", "pin_id", "s")
+    fuzzy = by_margin(alike, ["hint_id"], "s", least, margin).select("hint_id", "pin_id", F.col("s").alias("score"))
+
+    sure = lambda df: df.filter("alone").select("hint_id", "pin_id", F.lit(100.0).alias("score"))
+    found = sure(exact).unionByName(sure(contained)).unionByName(fuzzy.withColumn("score", F.lit(100.0)))
+    hit = found.join(hints.select("hint_id", "house"), "hint_id").join(entries.select("pin_id", "city", "street"), "pin_id")
+    keyed = hit.withColumns({"h": T.house_keys(F.col("house"))}).select("*", F.posexplode_outer("h").alias("turn", "hk"))
+    houses = addresses.select("city", "street", F.col("id").alias("address_id"), F.explode(T.house_keys(F.col("house"))).alias("hk")).groupBy("city", "street", "hk").agg(F.min("address_id").alias("address_id"))
+    at = keyed.join(houses, ["city", "street", "hk"], "left")
+    first = at.groupBy("hint_id", "city", "street", "pin_id").agg(F.min_by("address_id", F.when(F.col("address_id").isNotNull(), F.col("turn"))).alias("address_id"))
+    return first.withColumn("geo_by", F.when(F.col("address_id").isNotNull(), "home").otherwise("street"))
+
+
+def lookup_all(hints: DataFrame, addresses: DataFrame) -> DataFrame:
+    """The distinct streets that a text's hints (text_id, hint_id, hint, house) lead to; a hit with a house comes before one without."""
+    found = lookup(hints.select("hint_id", "hint", "house"), addresses).join(hints.select("hint_id", "text_id"), "hint_id")
+    w = Window.partitionBy("text_id", "pin_id").orderBy(F.col("geo_by") != "home", "hint_id")
+    return found.withColumn("n", F.row_number().over(w)).filter("n = 1").select("text_id", "pin_id", "city", "street", "address_id", "geo_by")
 
 
 def bind(drafts: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -64,49 +122,6 @@ def fan_out(notices: DataFrame) -> DataFrame:
     return rows.withColumn("source_msg_id", F.when(many, F.concat(F.col("msg_id"), F.lit(":addr:"), F.col("address_id").cast("string"))).otherwise(F.col("msg_id")))
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """100 times twice the longest common subsequence over both lengths."""
-    if not a or not b:
-        return 100.0 if a == b else 0.0
-    # bit-parallel longest common subsequence
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    row = (1 << len(a)) - 1
-    for c in b:
-        u = row & places.get(c, 0)
-        row = (row + u) | (row - u)
-    common = (~row & (1 << len(a)) - 1).bit_count()
-    return 200.0 * common / (len(a) + len(b))
-
-
-@F.pandas_udf(DoubleType())
-def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """K29 as a column of two texts."""
-    for x, y in pairs:
-        yield pd.Series([indel_ratio(p or "", q or "") for p, q in zip(x, y, strict=True)])
-
-
-def search(queries: DataFrame, addresses: DataFrame, least: float = 58.0, limit: int = 12) -> DataFrame:
-    """Addresses that answer free text (query_id, query), best first.
-
-    Streets are found by the first three letters of any word (V11) and scored before houses are: share of words
-    found, likeness of the whole, likeness of the street. Ties go to the text, then the id.
-    """
-    entries = street_entries(addresses).withColumn("norm", T.search_text(F.concat_ws(" ", "city", "street")))
-    heads = lambda c: F.array_distinct(F.transform(F.split(c, " "), lambda w: F.left(w, F.lit(3))))
-    q = queries.withColumn("q", T.search_text(F.col("query"))).withColumn("head", F.explode(heads(F.col("q"))))
-    e = entries.select("*", F.explode(heads(F.col("norm"))).alias("head"))
-    pairs = q.join(e, "head").select("query_id", "q", "city", "street", "norm").distinct()
-    words = F.split("q", " ")
-    covered = F.size(F.filter(words, lambda w: F.array_contains(F.split("norm", " "), w))) / F.size(words)
-    scored = pairs.withColumn("score", 58 * covered + 0.27 * ratio("q", "norm") + 0.15 * ratio("q", T.search_text(F.col("street"))))
-    streets = scored.filter(F.col("score") >= least)
-    rows = streets.join(addresses.filter(~F.coalesce("is_private", F.lit(False))), ["city", "street"])
-    place = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "address_text", "id")
-    return rows.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= limit).select("query_id", "rank", "id", "address_text", F.round("score", 6).alias("score"))
-
-
 def natural_order(house: Column) -> Column:
     return T.natural_key(house)
 
@@ -149,8 +164,6 @@ def match_text(texts: DataFrame, addresses: DataFrame, threshold: float = 90.0,
     Candidates have the text's house number; the best must reach ``threshold`` and lead the next by ``margin``. A
     text with several houses or postcodes names none.
     """
-    from .records import by_margin
-
     number = r"(?U)\bдом\s+([0-9]+[а-я]?(?:/[0-9]+[а-я]?)?)"
     norm = T.address_text(F.col("text"))
     rows = texts.withColumns({"norm": norm, "houses": F.regexp_extract_all(norm, F.lit(number), F.lit(1)), "codes": T.postcodes(F.col("text"))})

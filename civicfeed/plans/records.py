@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ranking as R
 from ..functions import text as T
 from ..operators import addresses as A
-from ..operators import notify, records
+from ..operators import address_search, notify, records
 from .feeds import HAVERSINE
 from .overlay import NOW, source, table, with_tables
 from .registry import Registry
@@ -122,15 +122,21 @@ def c7_fan_out(spark, sf_dir):
 
 @_R.add()
 def c16_address_search(spark, sf_dir):
+    """Every address with an id divisible by 20 asks for itself: by street and house, by a named house, by a street with a typo."""
     a = table(spark, sf_dir, "addresses")
-    q = a.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.concat_ws(" ", "city", "street").alias("query"))
-    return A.search(q, a)
+    i = F.col("id")
+    wrong = F.concat_ws(" ", F.col("city"), F.replace("street", F.lit("Street"), F.lit("Stret")))
+    asked = F.when(i % 60 == 0, wrong).when(i % 60 == 20, F.concat_ws(" ", "city", "street", F.lit("дом"), "house")).otherwise(F.concat_ws(" ", "district", "street", "city"))
+    return address_search.search(a.filter("id % 20 = 0").select(i.alias("query_id"), asked.alias("query")), a)
 
 
-@_R.add()
+@_R.add(with_tables(""" , s AS (SELECT city, street, min(id) AS pin_id FROM addresses GROUP BY ALL), h AS (SELECT a.id AS hint_id, city || ' ' || street AS hint, house FROM addresses a),
+    found AS (SELECT h.hint_id, h.house, s.* FROM h JOIN s ON lower(h.hint) = lower(s.city || ' ' || s.street))
+    SELECT f.hint_id, f.pin_id, min(a.id) AS address_id, 'home' AS geo_by FROM found f JOIN addresses a ON a.city = f.city AND a.street = f.street AND a.house = f.house GROUP BY f.hint_id, f.pin_id""", "addresses"))
 def j12_street_lookup(spark, sf_dir):
-    a = table(spark, sf_dir, "addresses").filter("id % 2 = 0").withColumn("street", F.concat_ws(" ", "city", "street"))
-    return A.lookup(a.select(F.col("id").alias("hint_id"), F.col("street").alias("hint"), "house"), a)
+    """All addresses' own streets, each under a name of its own (city and street), looked up with their houses."""
+    a = table(spark, sf_dir, "addresses").withColumn("street", F.concat_ws(" ", "city", "street"))
+    return A.lookup(a.select(F.col("id").alias("hint_id"), F.col("street").alias("hint"), "house"), a).select("hint_id", "pin_id", "address_id", "geo_by")
 
 
 POINTS = f""" , p AS (SELECT 'g' || id AS guid, street, house, lat + CASE WHEN id % 3 = 0 THEN 0.002 ELSE 0.0004 END::DOUBLE AS lat, lon, CASE WHEN id % 11 = 0 THEN '12' ELSE postal_code END AS postal_code FROM addresses

@@ -10,7 +10,7 @@ from civicfeed.functions import ranking as R
 from civicfeed.functions import rules
 from civicfeed.functions import text as T
 from civicfeed.operators import evaluate
-from civicfeed.operators.addresses import indel_ratio
+from civicfeed.functions.likeness import indel_ratio
 from civicfeed.sources import pages as P
 
 
