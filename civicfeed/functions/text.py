@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The forms that users write, the words of addresses and of messages.
 STREET_TYPES = ["улица", "проспект", "проезд", "переулок", "шоссе", "бульвар", "набережная", "площадь", "аллея", "тупик", "квартал", "микрорайон", "линия"]
 ADDRESS_ALIASES = [("ул", "улица"), ("пр-т", "проспект"), ("просп", "проспект"), ("пр-д", "проезд"), ("пер", "переулок"), ("ш", "шоссе"), ("б-р", "бульвар"), ("наб", "набережная"), ("пл", "площадь")]
 HOUSE_WORDS = [("д|дом", "дом"), ("к|корп|корпус", "корпус"), ("с|стр|строение", "строение")]
 STREET_PREFIX = r"(?iu)^(ул\.?|улица|пр-?т\.?|проспект|пер\.?|переулок|б-?р\.?|бульвар|ш\.?|шоссе)\s+"
+HOUSE_PART = r"(?iU)^(?:д\.?|дом)\s*(.+)$"
+HOUSE_INLINE = r"(?iU)\b(?:д\.?|дом)\s+([0-9]+[а-яА-Яa-zA-Z]?(?:\s*[кк]\s*[0-9]+[а-яА-Я]?)?(?:\s*[сc]\s*[0-9]+[а-яА-Я]?)?)\s*$"
 STEM_ENDINGS = ["ого", "ему", "ому", "ыми", "ими", "ых", "их", "ая", "яя", "ое", "ее", "ые", "ие", "ой", "ый", "ий", "ом", "ем", "ую", "юю", "ам", "ям", "ах", "ях"]
 BOILERPLATE_ONLY = r"(?isu)^\s*(?:подробнее(?:\s+на\s+сайте)?|читать\s+далее|читайте\s+(?:также|далее)|материал\s+предоставлен|подписывайтесь|источник\s*:?\s*)\s*[.!]?\s*$"
 BOILERPLATE_SUFFIX = r"(?isu)\s*(?:подробнее(?:\s+на\s+сайте)?|читать\s+далее|читайте\s+(?:также|далее))\s*[.!]?\s*$"
@@ -40,8 +46,19 @@ def normalize_component(c: Column) -> Column:
     return blank_to_null(normalize_text(c))
 
 
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def compatible(c: Column) -> Column:
+    """The NFKC form. Only texts with characters outside those that are their own form go to Python."""
+    return F.when(c.rlike(r"[^\x00-\x7F\xAB\xBB\u0401\u0410-\u044F\u0451\u2013\u2014]"), _composed(c)).otherwise(c)
+
+
 def ui_text(c: Column) -> Column:
-    """K2 without zero-width and bidirectional marks; null as the empty text (K4; full-width forms are left alone)."""
+    """K2 of the NFKC form without zero-width and bidirectional marks; null as the empty text (K4)."""
+    c = compatible(c)
     return normalize_text(F.coalesce(F.regexp_replace(c, "[​-‏‪-‮⁠﻿]", ""), F.lit("")))
 
 
@@ -117,16 +134,23 @@ def alias_keys(c: Column) -> Column:
 
 
 def parse_address(c: Column) -> Column:
-    """"city, [district,] street, д. N" to its parts (K11): the last is the house if it starts with its word."""
+    """"city, [districts,] street, д. N" to its parts.
+
+    After the city, a part that starts with the word for a house is the house, the last other one the street, those
+    before it the district. A street's end may repeat the house, or name it if nothing else does.
+    """
     parts = F.filter(F.transform(F.split(c, ","), lambda p: F.trim(p)), lambda p: p != "")
-    last = F.try_element_at(parts, F.lit(-1))
-    number = blank_to_null(F.regexp_extract(last, r"(?iu)^(?:д\.?|дом)\s*(.+)$", 1))
-    named = F.when(number.isNotNull(), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    number = F.regexp_extract(F.try_element_at(F.filter(rest, lambda p: p.rlike(HOUSE_PART)), F.lit(-1)), HOUSE_PART, 1)
+    names = F.filter(rest, lambda p: ~p.rlike(HOUSE_PART))
+    last = F.try_element_at(names, F.lit(-1))
+    inline = blank_to_null(F.trim(F.regexp_extract(last, HOUSE_INLINE, 1)))
+    bare = F.when(inline.isNotNull(), F.btrim(F.regexp_replace(last, HOUSE_INLINE, ""), F.lit(" ,"))).otherwise(last)
     return F.struct(
-        F.try_element_at(named, F.lit(1)).alias("city"),
-        F.when(F.size(named) > 2, F.try_element_at(named, F.lit(2))).alias("district"),
-        F.when(F.size(named) > 1, F.try_element_at(named, F.lit(-1))).alias("street"),
-        number.alias("house"),
+        F.try_element_at(parts, F.lit(1)).alias("city"),
+        F.when(F.size(names) > 1, F.array_join(F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0))), ", ")).alias("district"),
+        blank_to_null(F.when(number.isNotNull(), street_without_house(last, number)).otherwise(bare)).alias("street"),
+        F.coalesce(blank_to_null(F.trim(number)), inline).alias("house"),
     )
 
 
@@ -261,3 +285,97 @@ def street_hints(c: Column) -> Column:
     stops = F.array(*[F.lit(w) for w in HINT_STOPS])
     clean = F.transform(F.concat(after, before, naked), lambda h: F.array_join(F.filter(F.split(h, r"\s+"), lambda w: ~F.array_contains(stops, F.lower(w))), " "))
     return F.array_distinct(F.filter(clean, lambda h: F.length(h) >= 3))
+
+
+# Names of no city or district, other spellings of the city, what precedes a district's name, and what no district is called.
+CITY_ALIASES = {"moscow": "Москва", "москва": "Москва", "город москва": "Москва", "москва город": "Москва"}
+INVALID_LOCALITIES = ["город не указан", "район не указан", "не указан", "unknown"]
+DISTRICT_PREFIXES = ["вн.тер.г. муниципальный округ ", "внутригородская территория города федерального значения ", "внутригородское муниципальное образование ", "муниципальный округ ", "район "]
+NO_DISTRICT = ["жилой комплекс", "снт ", "дск ", "мкад", "московская железная дорога", "мжд ", "километр"]
+HOUSE_SUFFIX = r"(?iU)(?:\s+|,\s*)(?:д(?:ом)?\.?\s*)?\d+[а-яА-Яa-zA-Z]?\s*(?:/\s*\d+[а-яА-Яa-zA-Z]?|(?:к(?:орп(?:ус)?)?|[сc](?:тр(?:оение)?)?|стр(?:оение)?|строение)\.?\s*\d+[а-яА-Яa-zA-Z]?)\s*$"
+LOGO_MARKS = ["logo", "favicon", "sprite", "icon", "apple-touch", "brand", "default_share", "default-share", "og_image_default", "social-default", "placeholder", "/static/i/", "cover-default"]
+
+
+def _folded(c: Column) -> Column:
+    return F.translate(F.lower(c), "ё", "е")
+
+
+def city_label(c: Column) -> Column:
+    """A city's name in its usual spelling; null for none."""
+    name = collapse_ws(c)
+    out = F.when((name == "") | _folded(name).isin(INVALID_LOCALITIES), F.lit(None).cast("string"))
+    for other, usual in CITY_ALIASES.items():
+        out = out.when(_folded(name) == other, usual)
+    return out.otherwise(name)
+
+
+def _bare_district(c: Column) -> Column:
+    """A district's name without what precedes it."""
+    out = None
+    for prefix in DISTRICT_PREFIXES:
+        rest = F.btrim(F.substr(c, F.lit(len(prefix) + 1)), F.lit(" -—"))
+        out = F.when(F.startswith(_folded(c), F.lit(prefix)), rest) if out is None else out.when(F.startswith(_folded(c), F.lit(prefix)), rest)
+    return out.otherwise(c)
+
+
+def district_label(c: Column, city: Column) -> Column:
+    """A district's name; null for names of the city, of no district, and of estates, roads and the like."""
+    name = F.btrim(collapse_ws(c), F.lit(" ,"))
+    none = lambda x: (x == "") | _folded(x).isin(INVALID_LOCALITIES + list(CITY_ALIASES))
+    same = F.coalesce(_folded(name) == _folded(city_label(city)), F.lit(False))
+    bare = _bare_district(name)
+    noisy = F.lit(False)
+    for mark in NO_DISTRICT:
+        noisy = noisy | F.contains(_folded(bare), F.lit(mark))
+    return F.when(~(none(name) | same | none(bare) | noisy), bare)
+
+
+def district_name(c: Column) -> Column:
+    """The name of an administrative boundary's district; null for the city itself."""
+    bare = _bare_district(collapse_ws(c))
+    return F.when((bare != "") & ~_folded(bare).isin(list(CITY_ALIASES)), bare)
+
+
+def street_without_house(street: Column, number: Column) -> Column:
+    """A street without the house that its field repeats at its end.
+
+    The last one to four words go if they are the house; else a compound number ("4 к1", "4/1") at the end goes,
+    but no plain number, which may be the street's name.
+    """
+    own = F.trim(street)
+    parts = F.split(own, r"(?U)\s+")
+    starts = F.sequence(F.greatest(F.lit(1), F.size(parts) - 4), F.greatest(F.size(parts) - 1, F.lit(1)))
+    tail = lambda i: house(F.array_join(F.slice(parts, i + 1, F.greatest(F.size(parts) - i, F.lit(0))), " "))
+    head = lambda i: F.btrim(F.array_join(F.slice(parts, 1, i), " "), F.lit(" ,"))
+    fits = F.filter(starts, lambda i: (i < F.size(parts)) & (tail(i) == house(number)) & (head(i) != ""))
+    by_house = F.when(F.size(fits) > 0, head(F.get(fits, 0)))
+    cut = F.btrim(F.regexp_replace(own, HOUSE_SUFFIX, ""), F.lit(" ,"))
+    return F.when(own == "", own).otherwise(F.coalesce(by_house, blank_to_null(cut), own))
+
+
+def is_logo(url: Column) -> Column:
+    """Whether a picture's URL is one of a site's own marks (F23): by its path and host."""
+    hay = F.lower(F.concat_ws(" ", F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))))
+    return F.coalesce(hay.rlike("|".join(LOGO_MARKS)), F.lit(False))
+
+
+def date_in_path(url: Column) -> Column:
+    """The date that a news site has in its articles' paths, /text/rubric/year/month/day/number/."""
+    got = [F.nullif(F.regexp_extract(url, r"/text/[^/]+/(\d{4})/(\d{2})/(\d{2})/(\d+)/?", i), F.lit("")).cast("int") for i in (1, 2, 3)]
+    return F.try_make_timestamp_ntz(*got, F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"))
+
+
+def has_location(geo_by: Column, lat: Column, lon: Column) -> Column:
+    """Whether an event can be pinned on a map (F35): a street or a house, at a place on earth."""
+    fine = lambda x, most: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= most)
+    return F.coalesce(geo_by.isin("street", "home"), F.lit(False)) & F.coalesce(fine(lat, 90.0) & fine(lon, 180.0), F.lit(False))
+
+
+def first_field(json: Column, *paths: str) -> Column:
+    """The first field of a JSON text that is there and not blank, by paths in order."""
+    return F.coalesce(*[blank_to_null(F.trim(F.get_json_object(json, p))) for p in paths])
+
+
+def shared_keys(a: Column, b: Column) -> Column:
+    """How many alias keys two streets have in common (U4)."""
+    return F.size(F.array_intersect(alias_keys(a), alias_keys(b)))

@@ -138,3 +138,8 @@ def map_page(events: DataFrame, addresses: DataFrame, now: Column, after_id: int
     at = lambda c: F.when(F.col("geo_by") == "street", F.col(f"c_{c}")).when(F.col("geo_by") == "home", F.col(c))
     label = F.when(F.col("geo_by") == "street", F.concat_ws(", ", "city", "street")).when(F.col("geo_by") == "home", F.col("address_text"))
     return placed.select("id", R.map_category(F.col("disaster_flag"), F.col("importance")).alias("category"), label.alias("place"), at("lat").alias("lat"), at("lon").alias("lon"))
+
+
+def capped(rows: DataFrame, cap: int | None = None) -> DataFrame:
+    """At most ``cap`` candidates, those of the highest ids, so that reruns agree; all without a cap."""
+    return rows if cap is None else rows.orderBy(F.desc("id")).limit(cap)

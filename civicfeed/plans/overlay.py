@@ -54,8 +54,37 @@ PAIRS = """SELECT a.vec_id AS a_id, b.vec_id AS b_id,
   CAST((a.vec_id * 37 + b.vec_id * 101) % 1000 AS DOUBLE) / 1000 AS score
 FROM embeddings a JOIN embeddings b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 3"""
 
-SQL = {"addresses": ADDRESSES, "city_events": EVENTS, "messages": MESSAGES, "members": MEMBERS, "deliveries": DELIVERIES, "pairs": PAIRS}
-READS = {"addresses": ("customer", "nation"), "city_events": ("events",), "messages": ("conversations",), "members": ("customer",), "deliveries": ("events",), "pairs": ("embeddings",)}
+CHATS = """SELECT -k - 1 AS chat_id, concat('Chat ', CAST(k AS STRING)) AS title, CASE WHEN k % 6 = 0 THEN 'removed' ELSE 'chat' END AS chat_type,
+  CASE WHEN k % 3 = 0 THEN NULL ELSE concat('https://chat.example/', CAST(k AS STRING)) END AS invite_link, a AS address_id
+FROM (SELECT c_custkey % 40 AS k, min(c_custkey) + 1 AS a FROM customer GROUP BY c_custkey % 40) g"""
+
+CHAT_ADDRESSES = """SELECT -(c_custkey % 40) - 1 AS chat_id, c_custkey + 1 AS address_id FROM customer WHERE c_custkey % 40 % 5 <> 1 OR c_custkey < 40"""
+
+USERS_CHAT = """SELECT u AS user_id, -k - 1 AS chat_id, CASE WHEN u % 3 = 0 THEN a WHEN u % 3 = 1 THEN 999999 END AS address_id
+FROM (SELECT c_custkey % 100 AS u, c_custkey % 40 AS k, min(c_custkey) + 1 AS a FROM customer GROUP BY c_custkey % 100, c_custkey % 40) g"""
+
+REGISTRY = """SELECT DISTINCT -(c_custkey % 50) - 1 AS chat_id, concat('Group ', CAST(c_custkey % 50 AS STRING)) AS title, c_custkey % 50 % 9 AS added_by_user_id, c_custkey % 50 % 4 <> 0 AS is_active FROM customer"""
+
+#: What the messenger says of groups and their members.
+FACTS = """SELECT DISTINCT -(c_custkey % 60) - 1 AS chat_id, c_custkey % 300 AS user_id, CASE WHEN c_custkey % 60 % 10 = 7 THEN 'dialog' ELSE 'chat' END AS type,
+  CASE WHEN c_custkey % 60 % 3 = 0 THEN concat('New ', CAST(c_custkey % 60 AS STRING)) END AS title, CASE WHEN c_custkey % 60 % 4 = 1 THEN 'https://new.example' END AS link,
+  c_custkey % 60 % 7 <> 3 AS readable, c_custkey % 300 % 2 = 0 AS is_admin, c_custkey % 300 % 5 = 0 AS is_owner FROM customer"""
+
+#: Russian notices: a subject, a place and a time each.
+SUBJECTS = ["Взрыв в жилом доме", "Объявлен режим ЧС", "Запах газа в подъезде", "Мужчина с ножом во дворе", "Отключение воды", "Ремонт теплосети", "Перекрыт проезд", "Авария на сетях", "Собрание собственников", "Ярмарка выходного дня", "Эвакуация школы", "Сильный ураган", "Идёт пожар на складе", "Концерт в парке", "Не работает лифт", "Заливает подвал"]
+PLACES = ["в Москве", "в Самаре", "в Берлине", "в Свердловской области", "на улице Мира", "в Москве и Казани", "в республике Татарстан", "у метро", "в Подмосковье", "в Минске", "в США"]
+TIMES = ["с 01.02.2024 10:00 по 03.02.2024 18:00", "завтра с 10:00 до 12:30", "с 12 января по 14 января", "до завтра", "скоро", "16.01-18.01", "в пятницу, 12 января", "послезавтра в 23:00"]
+
+
+def _one_of(key: str, values: list[str]) -> str:
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+NOTES = f"""SELECT event_id AS id, {_one_of('event_id', SUBJECTS)} AS subject, {_one_of('event_id', PLACES)} AS place, {_one_of('event_id', TIMES)} AS time,
+  event_id % {len(PLACES)} AS place_no, event_id % {len(TIMES)} AS time_no FROM events"""
+
+SQL = {"chats": CHATS, "chat_addresses": CHAT_ADDRESSES, "users_chat": USERS_CHAT, "registry": REGISTRY, "facts": FACTS, "notes": NOTES, "addresses": ADDRESSES, "city_events": EVENTS, "messages": MESSAGES, "members": MEMBERS, "deliveries": DELIVERIES, "pairs": PAIRS}
+READS = {"chats": ("customer",), "chat_addresses": ("customer",), "users_chat": ("customer",), "registry": ("customer",), "facts": ("customer",), "notes": ("events",), "addresses": ("customer", "nation"), "city_events": ("events",), "messages": ("conversations",), "members": ("customer",), "deliveries": ("events",), "pairs": ("embeddings",)}
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
