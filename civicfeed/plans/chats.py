@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import ranking as R
 from ..functions import rules, windows
 from ..functions import text as T
-from ..operators import candidates, chats, feed
-from .overlay import table, with_tables
+from ..operators import candidates, chats, corpus, feed
+from .overlay import NOW, source, table, with_tables
 from .registry import Registry
 
 _R = Registry()
@@ -294,8 +294,6 @@ def x23_personal_addresses(spark, sf_dir):
 @_R.add(with_tables(""" SELECT coalesce(d.user_id, w.user_id) AS user_id, coalesce(d.event_id, w.event_id) AS event_id, CASE WHEN w.event_id IS NULL THEN acked_at END AS acked_at FROM deliveries d FULL JOIN (SELECT event_id, user_id FROM events WHERE event_id % 7 = 0) w ON w.user_id = d.user_id AND w.event_id = d.event_id""", "deliveries"))
 def x17_demo_deliveries(spark, sf_dir):
     """Deliveries with demonstrations among them, which are there without an answer."""
-    from .overlay import source
-
     wanted = source(spark, sf_dir, "events").filter("event_id % 7 = 0").select("user_id", "event_id")
     return chats.demo_deliveries(table(spark, sf_dir, "deliveries").select("user_id", "event_id", "acked_at"), wanted)
 
@@ -322,3 +320,65 @@ def l5_capped(spark, sf_dir):
 def u4_shared_keys(spark, sf_dir):
     """How many keys a street shares with its own name and the number beside it."""
     return table(spark, sf_dir, "addresses").select("id", T.shared_keys(F.concat_ws(" ", "street"), F.concat_ws(" ", "street")).alias("shared"))
+
+
+@_R.add(with_tables(""" SELECT id, t AS text FROM (SELECT id, CASE WHEN title IS NULL THEN body WHEN id % 2 = 0 THEN title || ' ' || body WHEN id % 5 = 1 THEN title ELSE title || '. ' || body END AS t FROM city_events) e WHERE length(t) >= 20""", "city_events"))
+def x33_event_texts(spark, sf_dir):
+    """Titles and bodies as one text each; every second body holds its title."""
+    e = table(spark, sf_dir, "city_events")
+    body = F.when((C("id") % 2 == 0) & C("title").isNotNull(), F.concat_ws(" ", F.lower("title"), "body")).when((C("id") % 5 == 1) & C("title").isNotNull(), " ").otherwise(C("body"))
+    e = e.withColumns({"body": body}).withColumn("body", F.when(F.startswith("body", F.lower("title")), F.concat("title", F.substr("body", F.length("title") + 1))).otherwise(C("body")))
+    return corpus.event_texts(e).select("id", "text")
+
+
+@_R.add(with_tables(""" SELECT min(id) AS id, lower(title) AS text FROM city_events WHERE title IS NOT NULL AND lower(title) NOT IN (SELECT lower(title) FROM city_events WHERE title IS NOT NULL AND id % 40 < 7) GROUP BY lower(title)""", "city_events"))
+def x35_unseen(spark, sf_dir):
+    """Texts that a training file does not have yet."""
+    e = table(spark, sf_dir, "city_events").filter("title IS NOT NULL")
+    known = e.filter("id % 40 < 7").select(F.upper("title").alias("text"))
+    return corpus.unseen(e.select("id", F.concat("title", F.lit(" ")).alias("text")), known).select("id", F.lower(F.trim("text")).alias("text"))
+
+
+@_R.add("""WITH p AS (SELECT event_id FROM events WHERE event_type = 'error'), n AS (SELECT event_id FROM events WHERE event_type <> 'error' ORDER BY md5('3:' || event_id), event_id LIMIT (SELECT CAST(floor(count(*) * 0.7) AS BIGINT) FROM p))
+    SELECT event_id FROM p UNION ALL SELECT event_id FROM n""")
+def x37_negatives(spark, sf_dir):
+    """Errors, and seven tenths as many of the other events."""
+    e = source(spark, sf_dir, "events").select("event_id", "event_type")
+    return corpus.negatives_to_ratio(e.filter("event_type = 'error'"), e.filter("event_type <> 'error'"), 0.7, "event_id", 3).select("event_id")
+
+
+@_R.add(with_tables(""" , g AS (SELECT DISTINCT id, md5(substr(lower(title), i, 3)) AS h FROM city_events, range(1, 200) r(i) WHERE title IS NOT NULL AND i <= greatest(length(title) - 2, 1)) SELECT id, count(DISTINCT right(h, 2)) AS n, 1.0::DOUBLE AS size FROM g GROUP BY id""", "city_events"))
+def v4_trigram_rows(spark, sf_dir):
+    """How many groups each title's vector has, and that it is a unit vector."""
+    e = table(spark, sf_dir, "city_events").filter("title IS NOT NULL").select("id", F.col("title").alias("text"))
+    v = corpus.trigram_embedding(e, "id")
+    return v.groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum(C("value") * C("value")), 9).alias("size"))
+
+
+@_R.add(with_tables(""" SELECT city, 'STREET ' || upper(split_part(street, ' ', 2)) AS street, lower(street) AS sort_key FROM (SELECT city, street, min(id) AS i FROM addresses GROUP BY ALL) a""", "addresses"))
+def x3_ui_values(spark, sf_dir):
+    """The streets of each city, of several spellings the first."""
+    a = table(spark, sf_dir, "addresses")
+    both = a.select("city", F.concat(F.upper("street"), F.lit("\u200b")).alias("street"), (C("id") * 2 + 1).alias("id")).unionByName(a.select("city", F.upper("street").alias("street"), (C("id") * 2).alias("id")))
+    return corpus.ui_values(both, ["city"], "street")
+
+
+@_R.add(with_tables(" SELECT id FROM addresses WHERE address_text IN (SELECT address_text FROM addresses WHERE id % 9 = 0)", "addresses"))
+def x4_by_text(spark, sf_dir):
+    """Addresses by their exact texts."""
+    a = table(spark, sf_dir, "addresses")
+    return corpus.by_text(a, a.filter("id % 9 = 0")).select("id")
+
+
+@_R.add(with_tables(f""" SELECT id, (active_to IS NULL OR active_to >= {NOW}) AND (published_at IS NULL OR published_at >= {NOW} - INTERVAL 20 DAY OR created_at >= {NOW} - INTERVAL 20 DAY OR active_from IS NULL OR active_from >= {NOW} - INTERVAL 20 DAY) AS maybe FROM city_events""", "city_events"))
+def f12_maybe_active(spark, sf_dir):
+    """Events that may count for duplicates, by the coarse test."""
+    now = F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
+    return table(spark, sf_dir, "city_events").select("id", corpus.maybe_active(now, 20).alias("maybe"))
+
+
+@_R.add(with_tables(""" SELECT count(*) FILTER (id % 3 <> 0) AS created, count(*) + count(*) FILTER (id % 10 = 1) - count(*) FILTER (id % 3 <> 0) AS skipped, min(published_at) AS oldest, max(published_at) AS newest FROM city_events WHERE source_msg_id IS NOT NULL""", "city_events"))
+def sk9_flushed(spark, sf_dir):
+    """Counters of a batch of which a third is there already and some rows come twice."""
+    e = table(spark, sf_dir, "city_events").filter("source_msg_id IS NOT NULL")
+    return corpus.flushed(e.unionByName(e.filter("id % 10 = 1")), e.filter("id % 3 = 0"), ["id"])[1]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..operators import chat, evaluate
+from ..operators import chat, corpus, evaluate
 from .overlay import source, table, with_tables
 from .registry import Registry
 
@@ -180,6 +180,18 @@ def a12_grid_search(spark, sf_dir):
     return best.select("duplicate", "update", F.round("macro_f1", 9).alias("macro_f1"))
 
 
+@_R.add(with_tables(f""", t AS (SELECT CAST(0.70 + i * 0.01 AS DOUBLE) AS duplicate FROM range(21) r(i)), u AS (SELECT CAST(0.45 + i * 0.01 AS DOUBLE) AS "update" FROM range(41) r(i)),
+    w AS (SELECT round(duplicate, 2) AS duplicate, round("update", 2) AS "update", label, CASE WHEN score >= round(duplicate, 2) THEN 'duplicate' WHEN score >= round("update", 2) THEN 'update' ELSE 'unrelated' END AS guess FROM pairs, t, u WHERE round(duplicate, 2) >= round("update", 2)),
+    b AS (SELECT duplicate AS best_duplicate, "update" AS best_update, round({_MACRO}, 9) AS best_macro_f1 FROM w GROUP BY duplicate, "update" ORDER BY round({_MACRO}, 12) DESC, duplicate, "update" LIMIT 1),
+    n AS (SELECT count(*) AS n_pairs, round(avg(score), 9) AS sim_mean, count(*) FILTER (label = 'duplicate') AS n_duplicate, count(*) FILTER (label = 'update') AS n_update, count(*) FILTER (label = 'unrelated') AS n_unrelated FROM pairs),
+    g AS (SELECT label, CASE WHEN score >= 0.88 THEN 'duplicate' WHEN score >= 0.72 THEN 'update' ELSE 'unrelated' END AS guess FROM pairs), d AS (SELECT round({_MACRO}, 9) AS macro_f1 FROM g)
+    SELECT * FROM n, d, b""", "pairs"))
+def c25_report(spark, sf_dir):
+    """The report on pairs at the default thresholds and the best of the grid."""
+    r = corpus.report(table(spark, sf_dir, "pairs"), [round(0.70 + i / 100, 2) for i in range(21)], [round(0.45 + i / 100, 2) for i in range(41)])
+    return r.select("n_pairs", "n_duplicate", "n_update", "n_unrelated", "best_duplicate", "best_update", *[F.round(c, 9).alias(c) for c in ("sim_mean", "macro_f1", "best_macro_f1")])
+
+
 @_R.add(with_tables(" SELECT label, n, round(sum(n) OVER () / (count(*) OVER () * n), 9) AS weight FROM (SELECT label, count(*) AS n FROM pairs GROUP BY label) c", "pairs"))
 def a17_class_weights(spark, sf_dir):
     w = evaluate.class_weights(table(spark, sf_dir, "pairs"), "label")
