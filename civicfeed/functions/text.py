@@ -19,6 +19,7 @@ HOUSE_INLINE = r"(?iU)\b(?:д\.?|дом)\s+([0-9]+[а-яА-Яa-zA-Z]?(?:\s*[кк
 STEM_ENDINGS = ["ого", "ему", "ому", "ыми", "ими", "ых", "их", "ая", "яя", "ое", "ее", "ые", "ие", "ой", "ый", "ий", "ом", "ем", "ую", "юю", "ам", "ям", "ах", "ях"]
 BOILERPLATE_ONLY = r"(?isu)^\s*(?:подробнее(?:\s+на\s+сайте)?|читать\s+далее|читайте\s+(?:также|далее)|материал\s+предоставлен|подписывайтесь|источник\s*:?\s*)\s*[.!]?\s*$"
 BOILERPLATE_SUFFIX = r"(?isu)\s*(?:подробнее(?:\s+на\s+сайте)?|читать\s+далее|читайте\s+(?:также|далее))\s*[.!]?\s*$"
+BULLET = r"^\s*(?:[-*•–—]|\d+[.)])\s*(.+?)\s*$"
 POSTCODE = r"(?U)(?<!\w)[0-9]{6}(?!\w)"
 HOUSE_IN_TEXT = r"(?iu)(?:д\.?|дом)\s*([0-9]+[а-яА-Яa-zA-Z]?(?:\s*[кс]\s*[0-9]+[а-яА-Яa-zA-Z]?)?)"
 GREETINGS = ["привет", "здравствуйте", "здарова", "добрый день", "добрый вечер", "доброе утро", "привет всем", "всем привет", "ку", "хай", "+", "ок", "окей", "ладно"]
@@ -222,10 +223,17 @@ def compact(c: Column, limit: int) -> Column:
 
 
 def bullets(c: Column, least: int = 3, most: int = 5) -> Column:
-    """The bullet lines of a digest, ``most`` at most; null with fewer than ``least``."""
-    lines = F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: F.trim(x))
-    found = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^(?:[-*•–]|\d+[.)])\s+", ""))), lambda x: x != "")
-    return F.when(F.size(found) >= least, F.concat(F.lit("• "), F.array_join(F.slice(found, 1, most), "\n• ")))
+    """The bullet lines of a digest, ``most`` at most; null with fewer than ``least`` (K26). Other lines are left out."""
+    lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"\R"), lambda x: F.trim(x))
+    items = F.transform(F.filter(lines, lambda x: x.rlike(BULLET)), lambda x: collapse_ws(F.regexp_extract(x, BULLET, 1)))
+    found = F.slice(F.filter(items, lambda x: x != ""), 1, most)
+    return F.when(F.size(found) >= least, F.concat(F.lit("• "), F.array_join(found, "\n• ")))
+
+
+def decorated(c: Column, link: str | None) -> Column:
+    """A digest under its tag, once, and above a link to the bot."""
+    body = blank_to_null(F.regexp_replace(F.trim(c), r"(?U)^(?:#итого\s*)?", ""))
+    return F.concat_ws("\n", F.lit("#итого"), F.concat(F.lit("\n"), body), F.lit(f"\n[Присоединиться к боту]({link})" if link else None))
 
 
 def payload_id(c: Column, kind: str) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 def memberships(users: DataFrame, members: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -72,12 +76,17 @@ def move(status: Column, event: Column) -> Column:
     return out.otherwise(status)
 
 
-def digest_minute(chat_id: Column, hour: int, jitter: int) -> Column:
-    """The minute of the day of a chat's digest: the hour, moved by a hash of the chat up to ``jitter`` minutes.
+@F.pandas_udf(LongType())
+def _spread(chat_ids: pd.Series, sizes: pd.Series) -> pd.Series:
+    """BLAKE2b of an id's digits, eight bytes as a big-endian number, modulo a size."""
+    return pd.Series([int.from_bytes(hashlib.blake2b(str(c).encode(), digest_size=8).digest(), "big") % n for c, n in zip(chat_ids, sizes, strict=True)], dtype="int64")
 
-    Any even hash serves; the built-in one is used.
-    """
-    return F.lit(hour * 60) + F.pmod(F.xxhash64(chat_id), F.lit(2 * jitter + 1)) - jitter
+
+def digest_minute(chat_id: Column, hour: int, jitter: int) -> Column:
+    """The minute of the day of a chat's digest: the hour, moved by a hash of the chat up to ``jitter`` minutes."""
+    if jitter <= 0:
+        return F.lit(hour * 60)
+    return F.lit(hour * 60) + _spread(chat_id, F.lit(2 * jitter + 1)) - jitter
 
 
 def due_chats(chats: DataFrame, now: Column, hour: int, jitter: int, tz: str = "Europe/Moscow") -> DataFrame:

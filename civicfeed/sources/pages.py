@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # Month names, the patterns of article ids in addresses, words of logos.
 MONTHS = ["января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря"]
 ID_PATTERNS = [r"/doc/(\d+)", r"/materials/(\d+)", r"/news/\d{8}/(\d+)", r"/text/[^/]+/\d{4}/\d{2}/\d{2}/(\d+)/?", r"/(\d{5,})/?$", r"-(\d{6,})\.html?", r"/(\d{6,})\.html?"]
@@ -93,63 +97,108 @@ def listing_rows(html: Column) -> Column:
     return F.arrays_zip(ids.alias("material_id"), days.alias("day"), times.alias("time"))
 
 
+# Metas of a page's picture and date, the parts of a page that are its article, and what marks a date.
+IMAGE_METAS = ["og:image", "twitter:image", "vk:image"]
+DATE_METAS = ["article:published_time", "pubdate", "publish_date"]
+CONTENT_CLASSES = {"article__text", "article__content", "js-mediator-article"}
+DATE_CLASSES = {"date", "article__date", "news-date"}
+ISO_STAMP = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2})?(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
+VOID = {"br", "img", "link", "input", "hr", "meta", "source", "wbr"}
+
+
 class _Article(HTMLParser):
-    """The title, heading, metas, paragraphs of the article (else of the page), and times."""
+    """The title, heading, metas, paragraphs of the article (else of the page), pictures, linked data and dates."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[str] = []
+        self.stack: list[tuple[str, bool, bool]] = []  # tag, whether it holds the article, whether it holds a date
         self.meta: dict[str, str] = {}
         self.text: dict[str, list[str]] = {"title": [], "h1": [], "article": [], "page": []}
+        self.marked: list[str] = []
+        self.pictures: list[str] = []
+        self.linked: list[str] = []
+        self.dates: list[str] = []
         self.time: str | None = None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
+        classes = set(a.get("class", "").split())
         if tag == "meta" and a.get("content"):
             self.meta.setdefault(a.get("property") or a.get("name") or a.get("itemprop", ""), a["content"])
-        elif tag == "time" and a.get("datetime"):
+        if a.get("itemprop") == "image" or (tag == "link" and a.get("rel") == "image_src"):
+            self.marked.append(a.get("content") or a.get("href") or a.get("src") or "")
+        if tag == "img" and any(inside for _, inside, _ in self.stack):
+            self.pictures.append(a.get("src") or "")
+        if tag == "time" and a.get("datetime"):
             self.time = self.time or a["datetime"]
-        elif tag not in ("br", "img", "link", "input", "hr", "meta"):
-            self.stack.append(tag)
+        if tag == "script" and a.get("type") == "application/ld+json":
+            self.linked.append("")
+        if tag not in VOID:
+            dated = tag == "time" or bool(classes & DATE_CLASSES)
+            if dated:
+                self.dates.append("")
+            self.stack.append((tag, tag == "article" or bool(classes & CONTENT_CLASSES) or a.get("itemprop") == "articleBody", dated))
             if tag == "p":
-                self.text["article" if "article" in self.stack else "page"].append("")
+                self.text["article" if any(t == "article" for t, _, _ in self.stack) else "page"].append("")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.stack:
-            while self.stack.pop() != tag:
+        if any(t == tag for t, _, _ in self.stack):
+            while self.stack.pop()[0] != tag:
                 pass
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1] in ("script", "style"):
+        tags = [t for t, _, _ in self.stack]
+        if tags and tags[-1] in ("script", "style"):
+            if tags[-1] == "script" and self.linked:
+                self.linked[-1] += data
             return
+        if any(d for _, _, d in self.stack) and self.dates:
+            self.dates[-1] += data
         for tag in ("title", "h1"):
-            if tag in self.stack:
+            if tag in tags:
                 self.text[tag].append(data)
-        if "p" in self.stack:
-            into = self.text["article" if "article" in self.stack else "page"]
+        if "p" in tags:
+            into = self.text["article" if "article" in tags else "page"]
             if into:
                 into[-1] += data
 
+    def date(self) -> str | None:
+        """The first of the metas, the linked data's datePublished, any stamp there, the page's times and dates."""
+        stamps = [x for text in self.linked for x in (*re.findall(r'"datePublished"\s*:\s*"([^"]+)"', text)[:1], *re.findall(ISO_STAMP, text)[:1])]
+        shown = [" ".join(d.split()) for d in self.dates]
+        found = [*(self.meta.get(k) for k in DATE_METAS), *stamps, self.meta.get("datePublished"), self.time, *shown]
+        return next((x for x in found if x), None)
 
-def read_article(html: str | None) -> tuple[str | None, str | None, str | None, str | None]:
-    """SC7: title, body, image and date of a page, each by its first source that has one; a broken page gives what it has."""
+    def images(self) -> list[str]:
+        """X11: pictures in the order in which they are tried: of metas, marked as the page's, of the article."""
+        return [x.strip() for x in (*(self.meta.get(k) or "" for k in IMAGE_METAS), *self.marked, *self.pictures) if x.strip()]
+
+
+def read_article(html: str | None) -> tuple[str | None, str | None, list[str], str | None]:
+    """SC7: title, body, pictures and date of a page, each by its first source that has one; a broken page gives what it has."""
     p = _Article()
     p.feed(html or "")
     join = lambda parts: " ".join(" ".join(parts).split()) or None
     paragraphs = [t for t in (" ".join(x.split()) for x in p.text["article"] or p.text["page"]) if t][:12]
     title = p.meta.get("og:title") or join(p.text["h1"]) or join(p.text["title"])
     body = "\n".join(paragraphs) or p.meta.get("og:description") or p.meta.get("description")
-    image = p.meta.get("og:image") or p.meta.get("twitter:image")
-    return title, body, image, p.meta.get("article:published_time") or p.meta.get("datePublished") or p.time
+    return title, body, p.images(), p.date()
+
 
+def articles(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """SC7, X11, D4: ``pages`` with title, body, image_url and published_at, read in Arrow batches.
 
-def articles(pages: DataFrame, html: str = "html") -> DataFrame:
-    """SC7: ``pages`` with title, body, image_url and published, read in Arrow batches."""
+    The picture is the first that is of the web, made absolute by the page's ``url``, and no mark of the site.
+    """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             got = [read_article(x) for x in f[html]]
-            yield f.drop(columns=[html]).assign(**{c: [g[i] for g in got] for i, c in enumerate(("title", "body", "image_url", "published"))})
+            images = [[urljoin(base or "", x) for x in g[2]] for g, base in zip(got, f[url], strict=True)]
+            yield f.drop(columns=[html]).assign(cf_title=[g[0] for g in got], cf_body=[g[1] for g in got], cf_images=images, cf_date=[g[3] for g in got])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html]
-    return pages.mapInPandas(read, ", ".join([*kept, "title string, body string, image_url string, published string"]))
+    rows = pages.mapInPandas(read, ", ".join([*kept, "cf_title string, cf_body string, cf_images array<string>, cf_date string"]))
+    image = F.get(F.filter("cf_images", lambda u: u.rlike("^https?://") & ~T.is_logo(u)), 0)
+    own = [c for c in pages.columns if c not in (html, "title", "body", "image_url", "published_at")]
+    return rows.select(*own, F.col("cf_title").alias("title"), F.col("cf_body").alias("body"), image.alias("image_url"), parse_ru_date(F.col("cf_date")).alias("published_at"))

@@ -155,8 +155,8 @@ def test_rss_and_sitemap(spark):
 
 def test_article():
     html = "<html><head><title>T</title><meta property='og:image' content='i'></head><body><h1>H</h1><p>out</p><article><p>one <b>two</b></p><p></p></article><time datetime='2024'>x</time></body></html>"
-    assert pages.read_article(html) == ("H", "one two", "i", "2024")
-    assert pages.read_article(None) == (None, None, None, None)
+    assert pages.read_article(html) == ("H", "one two", ["i"], "2024")
+    assert pages.read_article(None) == (None, None, [], None)
 
 
 def test_cursors():
