@@ -1,33 +1,60 @@
-"""Sources of articles as a streaming data source whose offset is the collection cursor."""
+"""Sources of articles as a streaming data source whose offset is the collection cursor (CN1 to CN11, ST1)."""
 
 from __future__ import annotations
 
 import importlib
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import date
 from pathlib import Path
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.errors import PySparkNotImplementedError
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 from . import cursors
 
 SCHEMA = "source_key string, external_id string, title string, body string, url string, published_at string"
 FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
+#: How each source's listings are walked: by days or months back in time, by pages, by ids downwards, or through a sitemap.
+WALKS = {
+    "tass": "sitemap", "ria": "day", "kommersant": "day", "m24": "probe", "msk1": "page", "mskagency": "page",
+    "pik_comfort": "page", "granel": "page", "zhil_nagatino": "page", "gbu_portal": "page", "moek": "month",
+}
 
 
 def local_pages(options: dict[str, str], cursor: str) -> list[dict]:
-    """The rows of one listing from a folder that has a JSON-lines file for each day, month or page."""
-    file = Path(options["path"]) / f"{cursor}.jsonl"
+    """The rows of one listing from a folder that has a JSON-lines file for each day, month, page or id."""
+    file = Path(options["path"]) / f"{cursor.replace(':', '_')}.jsonl"
     return [json.loads(x) for x in file.read_text().splitlines() if x.strip()] if file.exists() else []
 
 
+def fetch(options: dict[str, str], listing: str) -> list[dict]:
+    """The rows of a listing, by the function that the options name."""
+    module, _, name = options.get("fetch", f"{__name__}:local_pages").partition(":")
+    return getattr(importlib.import_module(module), name)(options, listing)
+
+
+def tuples(options: dict[str, str], rows: list[dict]) -> Iterator[tuple]:
+    """Rows in the order of SCHEMA, less those that were published before ``since``."""
+    since, key = options.get("since", ""), options.get("source_key")
+    fresh = (r for r in rows if not r.get("published_at") or r["published_at"][: len(since)] >= since)
+    return iter([tuple(r.get(f, key) if f == "source_key" else r.get(f) for f in FIELDS) for r in fresh])
+
+
+def all_old(options: dict[str, str], rows: list[dict]) -> bool:
+    """Whether a listing has rows and all of them are from before ``since``."""
+    since = options.get("since", "")
+    return bool(rows) and all((r.get("published_at") or "9")[: len(since) or 1] < since for r in rows)
+
+
 class ArticleSource(DataSource):
     """``spark.readStream.format("articles")``, after ``spark.dataSource.register(ArticleSource)``.
 
-    Options: source_key; walk ("day", "month" or "page"); since and today (ISO dates) for a walk back in time; fetch,
-    "module:function" of (options, cursor) to rows, by default files under path. Each micro-batch reads one
-    listing; the offset holds the next cursor, or that the walk is over.
+    Options: source_key; walk (by default that of the source); since and today (ISO dates); fetch, "module:function" of
+    (options, cursor) to rows, by default files under path. Days and months are known beforehand: all that are due are
+    one micro-batch, a task for each listing. Pages, ids and sitemaps are read one listing a batch, since what one has
+    decides about the next. Rows from before ``since`` are left out, and listings that have nothing else end a walk.
     """
 
     @classmethod
@@ -37,43 +64,79 @@ class ArticleSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    def _walk(self) -> str:
+        return self.options.get("walk") or WALKS.get(self.options.get("source_key", ""), "page")
+
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        if self._walk() not in ("day", "month"):
+            raise PySparkNotImplementedError(errorClass="NOT_IMPLEMENTED", messageParameters={"feature": "streamReader"})
+        return DatedReader(dict(self.options), self._walk())
+
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
-        return ArticleReader(dict(self.options))
+        return ListingReader(dict(self.options), self._walk())
+
+
+@dataclass
+class Listing(InputPartition):
+    cursor: str
 
 
-class ArticleReader(SimpleDataSourceStreamReader):
-    def __init__(self, options: dict[str, str]) -> None:
+class DatedReader(DataSourceStreamReader):
+    """Days or months from ``today`` back to ``since``; an offset is how many of them have been read."""
+
+    def __init__(self, options: dict[str, str], walk: str) -> None:
         self.options = options
-        self.walk = options.get("walk", "page")
-        module, _, name = options.get("fetch", f"{__name__}:local_pages").partition(":")
-        self.fetch = getattr(importlib.import_module(module), name)
+        today, since = (date.fromisoformat(options[k]) for k in ("today", "since"))
+        self.listings, cursor = [], None
+        while not self.listings or cursor is not None:
+            if walk == "day":
+                day, cursor = cursors.next_day(cursor, today, since)
+                self.listings.append(day.strftime("%Y%m%d"))
+            else:
+                month, cursor = cursors.next_month(cursor, today, since)
+                self.listings.append(month)
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"read": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"read": len(self.listings)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [Listing(x) for x in self.listings[start["read"] : end["read"]]]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return tuples(self.options, fetch(self.options, partition.cursor))
+
+
+class ListingReader(SimpleDataSourceStreamReader):
+    """Pages from the first, ids downwards from ``first``, or a sitemap in steps; the offset has the next cursor, or that the walk is over."""
+
+    def __init__(self, options: dict[str, str], walk: str) -> None:
+        self.options, self.walk = options, walk
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"cursor": None, "over": False}
-
-    def _step(self, cursor: str | None) -> tuple[str, list[dict], str | None]:
-        """The listing that a cursor stands for, its rows, and the cursor after it."""
-        if self.walk == "page":
-            listing = cursor or "1"
-            rows = self.fetch(self.options, listing)
-            return listing, rows, cursors.next_page(listing, len(rows), False)
-        today, since = (date.fromisoformat(self.options[k]) for k in ("today", "since"))
-        if self.walk == "day":
-            day, after = cursors.next_day(cursor, today, since)
-            listing = day.strftime("%Y%m%d")
+        first = {"probe": self.options.get("first", "1"), "sitemap": "0:0"}.get(self.walk, "1")
+        return {"cursor": first, "misses": 0, "over": False}
+
+    def _after(self, start: dict, rows: list[dict]) -> dict:
+        cursor, misses = start["cursor"], start["misses"]
+        if self.walk == "probe":
+            number, misses = cursors.next_probe(int(cursor), bool(rows), misses, int(self.options.get("misses", "50")))
+            after = None if number is None else str(number)
+        elif self.walk == "sitemap":
+            misses = 0 if rows else misses + 1
+            size, step = int(self.options.get("size", "0")), int(self.options.get("step", "100"))
+            after = cursors.next_sitemap(cursor, size, step, misses)
         else:
-            listing, after = cursors.next_month(cursor, today, since)
-        return listing, self.fetch(self.options, listing), after
+            after = cursors.next_page(cursor, len(rows), all_old(self.options, rows))
+        return {"cursor": after or cursor, "misses": misses, "over": after is None or (self.walk != "page" and all_old(self.options, rows))}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         if start["over"]:
             return iter([]), start
-        _, rows, after = self._step(start["cursor"])
-        return self._tuples(rows), {"cursor": after, "over": after is None}
+        rows = fetch(self.options, start["cursor"])
+        return tuples(self.options, rows), self._after(start, rows)
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter([]) if start["over"] else self._tuples(self._step(start["cursor"])[1])
-
-    def _tuples(self, rows: list[dict]) -> Iterator[tuple]:
-        key = self.options.get("source_key")
-        return iter([tuple(r.get(f, key) if f == "source_key" else r.get(f) for f in FIELDS) for r in rows])
+        return iter([]) if start["over"] else tuples(self.options, fetch(self.options, start["cursor"]))

@@ -3,6 +3,7 @@
 import random
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from civicfeed.operators import addresses, chat, dedup, feed, records
@@ -181,19 +182,38 @@ def test_resolved_boundaries():
     assert stitch([[1, 2], [2, 3]]) == []
 
 
-def test_article_source(spark, tmp_path):
+@pytest.mark.parametrize(
+    "walk,files,options,want",
+    [
+        ("day", ["20240103", "20240101"], {"today": "2024-01-03", "since": "2024-01-01"}, ["20240101-0", "20240101-1", "20240103-0", "20240103-1"]),
+        ("month", ["2024-01", "2023-12", "2023-10"], {"today": "2024-01-03", "since": "2023-11-01"}, ["2023-12-0", "2023-12-1", "2024-01-0", "2024-01-1"]),
+        ("page", ["1", "2", "4"], {}, ["1-0", "1-1", "2-0", "2-1"]),
+        ("probe", ["9", "7"], {"first": "9", "misses": "2"}, ["7-0", "7-1", "9-0", "9-1"]),
+    ],
+)
+def test_article_source(spark, tmp_path, walk, files, options, want):
     from civicfeed.sources.connector import ArticleSource
 
-    for day in ("20240103", "20240101"):
-        (tmp_path / f"{day}.jsonl").write_text("\n".join(f'{{"external_id": "{day}-{i}", "title": "t"}}' for i in range(2)))
+    for name in files:
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(f'{{"external_id": "{name}-{i}", "title": "t"}}' for i in range(2)))
     spark.dataSource.register(ArticleSource)
-    rows = spark.readStream.format("articles").options(path=str(tmp_path), source_key="s", walk="day", today="2024-01-03", since="2024-01-01").load()
-    q = rows.writeStream.format("memory").queryName("articles").option("checkpointLocation", str(tmp_path / "cp")).start()
+    rows = spark.readStream.format("articles").options(path=str(tmp_path), source_key="s", walk=walk, **options).load()
+    q = rows.writeStream.format("memory").queryName(f"articles_{walk}").option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    assert sorted(r.external_id for r in spark.table("articles").collect()) == ["20240101-0", "20240101-1", "20240103-0", "20240103-1"]
+    assert sorted(r.external_id for r in spark.table(f"articles_{walk}").collect()) == want
+
+
+def test_walks_stop_at_old_rows():
+    from civicfeed.sources.connector import WALKS, all_old, tuples
+
+    rows = [{"external_id": "1", "published_at": "2024-01-05T10:00"}, {"external_id": "2", "published_at": "2023-12-31"}, {"external_id": "3"}]
+    options = {"since": "2024-01-01", "source_key": "k"}
+    assert [t[1] for t in tuples(options, rows)] == ["1", "3"]
+    assert all_old(options, rows[1:2]) and not all_old(options, rows) and not all_old({}, rows) and not all_old(options, [])
+    assert len(WALKS) == 11
 
 
 def test_article_places(spark):
