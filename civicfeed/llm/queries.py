@@ -16,11 +16,21 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near copies and how many documents it is linked to.
+
+    Null, empty and blank texts are classes of their own; copies and repeated rows are linked to each other; ties in
+    naming a class go to the least id; an empty table gives no rows; other columns are not read.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dup.jaccard_join(docs)
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and digest, read back from the store that was written.
+
+    Null and empty texts are the end id alone; documents without an id come last, by position; repeated ids follow each
+    other by a hash of their text; long texts are encoded whole; an empty table gives an empty store.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = token_store.write_store(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, vocabulary=49_408)
     return token_store.read_store(spark, path).select(
@@ -29,6 +39,11 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, base verdict, posterior of good and final verdict.
+
+    Null, empty and blank texts have counts of 0 and fail the base; repeated rows get equal verdicts; long texts are counted
+    whole; an empty table gives no rows and a model of beliefs alone.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"
@@ -36,6 +51,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of ids, their digest, and that of the bytes that they decode to.
+
+    Null and empty texts have no ids and the digest of nothing; texts are encoded whole; rows are coded one by one, so
+    repeated rows agree; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
@@ -48,16 +68,31 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every query vector.
+
+    Null, zero and non-finite vectors take no part; ties go to the smaller id; rows equal in id and vector count once; fewer
+    candidates give fewer rows; an empty table gives none.
+    """
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes, beside its source's size and target.
+
+    A null source is the last source; null and empty texts have size 0 and give nothing; rows equal in id and size are taken
+    alike; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix(docs)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score and prediction.
+
+    Null, empty and blank texts have the share of good labels; repeated rows agree; without labels of both classes all
+    lines have that share; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_crf.trained(spark, sf_dir, docs)
     held = (train_bucket("doc_id", 3) == 1).alias("held_out")
@@ -65,6 +100,11 @@ def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score and prediction.
+
+    Null and empty texts have the model's bias alone; repeated rows agree; without labels of both classes the score is their
+    share; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.trained(spark, sf_dir, docs)
     held = (train_bucket("doc_id", 3) == 1).alias("held_out")
@@ -72,6 +112,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language and how near its profile is.
+
+    Null, empty and letterless texts are ``und`` with 0; ties go to the first language by name; repeated rows agree; without
+    languages to learn from all are ``und``; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = language.trained(docs)
     held = (train_bucket("doc_id", 5) == 0).alias("held_out")
@@ -79,6 +124,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability by the tree, beside the base's by single tokens.
+
+    Null and empty texts are the end alone; repeated rows agree; without rows to learn from N is 0 and all bytes are
+    alike; an empty table gives no rows.
+    """
     return suffix_tree.production(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

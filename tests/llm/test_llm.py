@@ -155,6 +155,26 @@ def test_components(spark):
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_op1_against_all_pairs(spark, sf_dir, texts):
+    """The registered query: classes and links of every document, by the Jaccard similarity of all pairs."""
+    sets = {i: {tuple(w) for w in (ws[k : k + 5] for k in range(max(1, len(ws) - 4)))} if (ws := (t or "").encode().split()) else set() for i, t in texts.items()}
+    ids = sorted(i for i in sets if sets[i])
+    root, links = {i: i for i in sets}, Counter()
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                links.update((a, b))
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r.doc_id: (r.class_id, r.n_links) for r in Q.op1_ngram_jaccard(spark, sf_dir).collect()}
+    assert got == {i: (find(i), links[i]) for i in sets}
+
+
 # 2: token store
 
 
@@ -442,6 +462,34 @@ def test_forward_backward_against_all_labellings():
     assert np.allclose(p[0], good / total) and np.allclose(counts, pairs / total)
 
 
+def test_line_features_and_document_mean(texts):
+    """Each line's features in plain string terms, and a document's score as the mean of its lines by their lengths."""
+    letter = lambda c: c.isascii() and c.isalpha()
+    model = quality_crf.Chain(np.linspace(-1, 1, quality_crf.WIDTH), np.array([[0.3, -0.2], [-0.1, 0.4]]), 0.7)
+    for text in [*list(texts.values())[:25], "A!! b!!\n\n# x #\nA!! b!!\n 12 12 ok.", None, "", " \n"]:
+        lines = [x for x in (text or "").split("\n") if re.search(WORD, x)]
+        x, sizes = quality_crf.line_features(text)
+        assert len(x) == len(lines) and sizes.tolist() == [len(l) for l in lines]
+        own = []
+        for i, line in enumerate(lines):
+            ws = WORD.findall(line)
+            raw = line.encode("utf-8", "surrogatepass")
+            letters = sum(letter(c) for c in line) + sum(b > 127 for b in raw)
+            size = sum(len(w.encode("utf-8", "surrogatepass")) for w in ws)
+            own.append([
+                min(1, sum(c in "#*$%&|<>" for c in line) / len(ws)), sum(w in list("#*$%&|<>") for w in ws) / len(ws), sum(c.isascii() and c.isupper() for c in line) / max(1, letters),
+                min(1, line.count("!!") / len(ws)), float(line in lines[:i]), 1 - len(set(ws)) / len(ws), sum(a == b for a, b in zip(ws, ws[1:])) / len(ws), np.log(1 + len(ws)) / 5,
+                min(2, size / len(ws) / 10), float(ws[-1][-1] in ".!?"), letters / size, sum(c.isascii() and c.isdigit() for c in line) / size, float(len(ws) <= 3),
+            ])
+        zero = [0.0] * len(quality_crf.OWN)
+        for i in range(len(lines)):
+            around = [1.0, *own[i], *(own[i - 1] if i else zero), *(own[i + 1] if i + 1 < len(own) else zero)]
+            assert np.allclose(x[i], around, atol=1e-6)
+        good = quality_crf.line_marginals([x], model)[0]
+        want = sum(g * n for g, n in zip(good, sizes)) / sum(sizes) if len(sizes) else 0.7
+        assert quality_crf.document_quality([text], model)[0] == pytest.approx(want)
+
+
 def test_toxicity_on_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = Q.op8_toxicity(spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
@@ -584,6 +632,34 @@ def test_tree_is_a_distribution_and_matches_a_plain_walk():
     assert abs(total - tree.score(text.split())) < 1e-9
 
 
+def test_kept_contexts_against_plain_counting(texts):
+    """Which contexts stay, counted from the texts' symbols with no window arithmetic."""
+    docs_ = [suffix_tree.symbols(suffix_tree.tokens(t)) for t in list(texts.values())[:60]]
+    after = defaultdict(Counter)
+    for d in docs_:
+        padded = b"\xff" * suffix_tree.DEPTH + d
+        for i in range(suffix_tree.DEPTH, len(padded)):
+            for length in range(suffix_tree.DEPTH + 1):
+                after[padded[i - length : i]][padded[i]] += 1
+    after = {c: f for c, f in after.items() if sum(f.values()) >= suffix_tree.LEAST}
+    kept = {b""}
+    for c, f in after.items():
+        if c:
+            n, up = sum(f.values()), after[c[1:]]
+            gain = sum(k / n * np.log((k / n) / (up[s] / sum(up.values()))) for s, k in f.items())
+            if gain >= 0.05 and n * gain >= 2 * len(f) + 10:
+                kept |= {c[i:j] for i in range(len(c)) for j in range(i + 1, len(c) + 1)}
+    counts = suffix_tree.Counts()
+    counts.add(suffix_tree.windows(docs_))
+    levels = [defaultdict(Counter) for _ in range(suffix_tree.DEPTH + 1)]
+    for k, n in zip(*(x.tolist() for x in counts.merged()), strict=True):
+        w = k.to_bytes(suffix_tree.DEPTH + 1, "big")
+        for length, level in enumerate(levels):
+            level[w[suffix_tree.DEPTH - length : -1]][w[-1]] += n
+    tree = suffix_tree.grow([{c: f for c, f in x.items() if sum(f.values()) >= suffix_tree.LEAST} for x in levels], 0.05)
+    assert len(kept) > 100 and set(tree.contexts) == kept
+
+
 @pytest.mark.parametrize("shared", [suffix_tree.WINDOWS, 20])
 def test_scores_are_those_of_a_tree_of_all_contexts(spark, monkeypatch, shared):
     """Contexts seen 25 times among 18 million symbols count, and what is joined is as what is broadcast."""
