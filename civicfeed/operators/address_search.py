@@ -91,19 +91,31 @@ def word_likeness(asked: str, known: str) -> float:
     return max(indel_ratio(asked, known), 0.92 * partial_ratio(asked, known))
 
 
+@lru_cache(maxsize=20_000)
+def _weighed(city: str, district: str, street: str) -> tuple[tuple[str, float], ...]:
+    """An address's words, each with what it adds to a likeness: streets tell more than districts, and these more than cities."""
+    return tuple((w, bonus) for value, bonus in ((street, 3.0), (district, 1.5), (city, 0.0)) for w in meaningful(value))
+
+
+@lru_cache(maxsize=50_000)
+def _best_ratio(query: str, text: str) -> float:
+    by_words = token_set_ratio(query, text)
+    return by_words if by_words == 100.0 else max(by_words, weighted_ratio(query, text))
+
+
 def text_score(query: str, city: str, district: str, street: str) -> float | None:
     """The score of a query against an address's words; None if it is too low. A query without words fits all."""
     asked = meaningful(query)
     if not asked:
         return 100.0
-    known = [(w, bonus) for value, bonus in ((street, 3.0), (district, 1.5), (city, 0.0)) for w in meaningful(value)]
+    known = _weighed(city, district, street)
     if not known:
         return None
     coverage = sum(max(min(100.0, word_likeness(q, w) + bonus) for w, bonus in known) for q in asked) / len(asked)
     if len(asked) > 1 and coverage < LEAST_COVERAGE:
         return None
     whole = " ".join(x for x in (city, district, street) if x)
-    phrase, focus = (max(weighted_ratio(query, x), token_set_ratio(query, x)) for x in (whole, street))
+    phrase, focus = _best_ratio(query, whole), _best_ratio(query, street)
     score = coverage * COVERAGE + phrase * PHRASE + focus * STREET
     return None if score < LEAST_TEXT else min(100.0, score)
 
@@ -154,10 +166,14 @@ def search(queries: DataFrame, addresses: DataFrame, limit: int = 12) -> DataFra
     grams = grams.withColumn("n", F.row_number().over(rarest)).filter((F.col("n") == 1) | (F.col("city").isNull() & (F.col("count") <= common)))
     pairs = grams.select("query_id", "gram").join(named.select("gram", "place_id"), "gram").select("query_id", "place_id").distinct()
     pairs = pairs.join(asked, "query_id").join(streets, "place_id")
+    # a house that is asked for must be there (or be a number in the street's name): that is known before any score
+    in_name = F.array_contains(F.array_except(split("street"), stops), T.house(F.col("house")))
+    pairs = pairs.withColumns({"in_name": F.coalesce(in_name & ~F.col("named"), F.lit(False)), "key": T.house_search(F.col("house"))})
+    there = offered.select(F.xxhash64(place).alias("place_id"), F.explode(F.array_union(F.array(T.house_search(F.col("house"))), T.house_keys(F.col("house")))).alias("key")).distinct()
+    pairs = pairs.join(there.withColumn("there", F.lit(True)), ["place_id", "key"], "left").filter(F.col("house").isNull() | F.col("in_name") | F.col("there"))
     scored = pairs.withColumn("s", text_scores("words", "bare", "city", "district", "street"))
     whole, bare = F.col("s.whole"), F.when(F.col("bare") == F.col("words"), F.col("s.whole")).otherwise(F.col("s.bare"))
-    in_name = F.array_contains(F.array_except(split("street"), stops), T.house(F.col("house")))
-    scored = scored.select("query_id", "place_id", F.col("house").alias("asked"), "named", whole.alias("whole"), bare.alias("text"), F.coalesce(in_name, F.lit(False)).alias("in_name"))
+    scored = scored.select("query_id", "place_id", F.col("house").alias("asked"), "named", whole.alias("whole"), bare.alias("text"), "in_name")
     scored = scored.filter(F.coalesce("whole", "text").isNotNull())
     # without a house, an address has its street's score: streets behind the first ``limit`` have none to offer
     behind = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("whole")))
