@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..functions.likeness import indel_ratio, weighted_ratio
-from .records import by_margin
+from .records import by_margin, split_conflicts
 
 
 def hierarchy(addresses: DataFrame, postal_code: str | None = None) -> DataFrame:
@@ -217,3 +217,21 @@ def to_drafts(candidates: DataFrame) -> DataFrame:
     rows = candidates.withColumn("tb", both).withColumn("full", F.concat_ws(" ", "tb.title", "tb.body"))
     rows = rows.withColumns({"r": rules.importance(F.col("full")), "w": windows.window(F.col("full"), F.col("published_at"))})
     return rows.select("id", "source", "source_msg_id", "tb.title", "tb.body", "r.importance", "r.disaster_flag", "published_at", "w.active_from", "w.active_to")
+
+
+def prepare(rows: DataFrame, bounds: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(accepted, rejected, report) of address rows (source_key, address_text, city, street, house, lat, lon, postal_code, is_private).
+
+    Texts whose rows disagree are rejected whole; the others get the district that they lie in, and where they have no
+    postcode that of the one register point at their house. The report is one row of counts.
+    """
+    from . import geo
+
+    compared = ["city", "street", "house", "lat", "lon", "postal_code", "is_private"]
+    agree, rejected = split_conflicts(rows, "address_text", compared, "source_key")
+    placed = geo.districts(agree.drop("n").withColumn("id", F.xxhash64("address_text")), bounds)
+    codes = match_postcodes(placed.filter("postal_code IS NULL"), points).select("id", "gar_guid", F.col("postal_code").alias("cf_code"))
+    accepted = placed.join(codes, "id", "left").withColumn("postal_code", F.coalesce("postal_code", "cf_code")).drop("cf_code", "id")
+    given = accepted.agg(F.count("*").alias("accepted"), F.count("gar_guid").alias("filled"), F.count_if(F.col("postal_code").isNull()).alias("missing"))
+    lost = rejected.agg(F.count("*").alias("rejected_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rejected_rows"))
+    return accepted, rejected, given.join(lost)  # one row each

@@ -158,17 +158,22 @@ def j24_nearest(spark, sf_dir):
     return geo.nearest(a, o, 5, 1500.0).select("origin_id", "id", "rank")
 
 
-@_R.add(with_tables(""" SELECT id, CASE WHEN lat BETWEEN 55.6 AND 55.7 AND lon BETWEEN 37.5 AND 37.7 THEN 'A square'
-        WHEN lat BETWEEN 55.65 AND 55.8 AND lon BETWEEN 37.4 AND 37.6 AND NOT (lat BETWEEN 55.72 AND 55.74 AND lon BETWEEN 37.42 AND 37.5) THEN 'B square' END AS district_name FROM addresses""", "addresses"))
-def j10_point_in_polygon(spark, sf_dir):
+def squares(spark):
+    """Two boundaries that overlap, the second with a hole."""
+
     def ring(a, b, c, d):
         return "array(" + ", ".join(f"named_struct('lon', {x}D, 'lat', {y}D)" for x, y in ((c, a), (d, a), (d, b), (c, b), (c, a))) + ")"
 
-    bounds = spark.sql(
+    return spark.sql(
         f"SELECT 'A square' AS name, array({ring(55.6, 55.7, 37.5, 37.7)}) AS outer, filter(array({ring(0, 1, 0, 1)}), x -> false) AS inner"
         f" UNION ALL SELECT 'B square', array({ring(55.65, 55.8, 37.4, 37.6)}), array({ring(55.72, 55.74, 37.42, 37.5)})"
     )
-    return geo.districts(table(spark, sf_dir, "addresses"), bounds).select("id", "district_name")
+
+
+@_R.add(with_tables(""" SELECT id, CASE WHEN lat BETWEEN 55.6 AND 55.7 AND lon BETWEEN 37.5 AND 37.7 THEN 'A square'
+        WHEN lat BETWEEN 55.65 AND 55.8 AND lon BETWEEN 37.4 AND 37.6 AND NOT (lat BETWEEN 55.72 AND 55.74 AND lon BETWEEN 37.42 AND 37.5) THEN 'B square' END AS district_name FROM addresses""", "addresses"))
+def j10_point_in_polygon(spark, sf_dir):
+    return geo.districts(table(spark, sf_dir, "addresses"), squares(spark)).select("id", "district_name")
 
 
 @_R.add(with_tables(" SELECT count(*) AS n, CAST(sum(e_id) AS BIGINT) AS ids FROM (SELECT a.id AS e_id FROM addresses a JOIN (SELECT lat, lon FROM addresses GROUP BY lat, lon HAVING count(*) = 1) u USING (lat, lon)) x", "addresses"))

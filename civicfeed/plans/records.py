@@ -8,7 +8,7 @@ from ..functions import ranking as R
 from ..functions import text as T
 from ..operators import addresses as A
 from ..operators import address_search, notify, records
-from .feeds import HAVERSINE
+from .feeds import HAVERSINE, squares
 from .overlay import NOW, source, table, with_tables
 from .registry import Registry
 
@@ -275,3 +275,20 @@ def k16_title_body(spark, sf_dir):
     e = table(spark, sf_dir, "city_events")
     both = T.title_and_body(F.concat_ws("\n", "title", "body"), F.lit(None).cast("string"), F.lit(None).cast("string"))
     return e.select("id", both.alias("x")).select("id", "x.title", "x.body")
+
+
+PREPARED = f""" , g AS (SELECT address_text, min('node/' || id) AS source_key, min(street) AS street, min(house) AS house, min(lat) AS lat, min(lon) AS lon, min(CASE WHEN id % 2 = 0 THEN postal_code END) AS code FROM addresses GROUP BY address_text HAVING count(*) = 1),
+    p AS (SELECT 'g' || id AS guid, street, house, lat + 0.0004::DOUBLE AS lat, lon, postal_code FROM addresses WHERE id % 3 <> 0),
+    c AS (SELECT address_text, min(guid) AS gar_guid, min(p.postal_code) AS filled FROM g JOIN p ON g.street = p.street AND g.house = p.house AND g.code IS NULL AND {HAVERSINE.format(a='g.', b='p.')} <= 100 GROUP BY address_text HAVING count(DISTINCT guid) = 1)
+    SELECT source_key, coalesce(code, filled) AS postal_code, gar_guid, CASE WHEN lat BETWEEN 55.6 AND 55.7 AND lon BETWEEN 37.5 AND 37.7 THEN 'A square' WHEN lat BETWEEN 55.65 AND 55.8 AND lon BETWEEN 37.4 AND 37.6 AND NOT (lat BETWEEN 55.72 AND 55.74 AND lon BETWEEN 37.42 AND 37.5) THEN 'B square' END AS district_name
+    FROM g LEFT JOIN c USING (address_text)"""
+
+
+@_R.add(with_tables(PREPARED, "addresses"))
+def c18_addresses(spark, sf_dir):
+    """Addresses prepared in all steps: conflicts rejected, districts and postcodes filled in."""
+    a = table(spark, sf_dir, "addresses")
+    i, key = F.col("id"), lambda k: F.concat(F.lit(k), F.col("id").cast("string"))
+    rows = a.select(key("node/").alias("source_key"), "address_text", "city", "street", "house", "lat", "lon", F.when(i % 2 == 0, F.col("postal_code")).alias("postal_code"), "is_private")
+    points = a.filter("id % 3 <> 0").select(key("g").alias("guid"), "street", "house", (F.col("lat") + 0.0004).alias("lat"), "lon", "postal_code")
+    return A.prepare(rows, squares(spark), points)[0].select("source_key", "postal_code", "gar_guid", "district_name")

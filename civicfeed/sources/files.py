@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +94,22 @@ def osm_addresses(elements: DataFrame) -> DataFrame:
         F.when(t("addr:postcode").rlike("^[0-9]{6}$"), t("addr:postcode")).alias("postal_code"),
     ).filter("street IS NOT NULL AND house IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
     return rows.withColumn("address_text", F.concat_ws(", ", "city", "street", F.concat(F.lit("д. "), F.col("house"))))
+
+
+def load_order(references: dict[str, list[str]]) -> list[str]:
+    """Tables in an order in which each comes after those that it refers to; a circle is an error."""
+    from graphlib import TopologicalSorter
+
+    return list(TopologicalSorter(references).static_order())
+
+
+def load_tables(spark: SparkSession, path: str, schemas: dict[str, str], references: dict[str, list[str]], current: dict[str, DataFrame], forced: bool = False) -> Iterator[tuple[str, DataFrame]]:
+    """X38, SC11: the dumped tables that are to be loaded, in ``load_order``; those that have rows already only if ``forced``."""
+    for name in load_order(references):
+        if name in schemas and (forced or name not in current or current[name].isEmpty()):
+            yield name, read_csv(spark, f"{path}/{name}.csv.gz", schemas[name])
+
+
+def missing_columns(df: DataFrame, manifest_row: dict) -> list[str]:
+    """Columns that a dump's manifest counts and its file lacks."""
+    return sorted(c.removeprefix("with_") for c in manifest_row if c.startswith("with_") and c.removeprefix("with_") not in df.columns)

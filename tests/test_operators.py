@@ -243,3 +243,17 @@ def test_street_hints(spark):
 
     got = spark.createDataFrame([("На Тверской улице и на ул. Мира, по Арбату.",)], "t string").select(T.street_hints(F.col("t")).alias("h")).first().h
     assert "Мира" in got and "Тверской" in got and "Арбату" in got
+
+
+def test_load_order(spark, tmp_path):
+    references = {"users_chat": ["users", "chats"], "chats": ["addresses"], "users": [], "addresses": []}
+    order = files.load_order(references)
+    assert order.index("addresses") < order.index("chats") < order.index("users_chat") and order.index("users") < order.index("users_chat")
+    users = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string")
+    for name in ("users", "addresses"):
+        files.write_csv(users, f"{tmp_path}/{name}.csv.gz")
+    schemas = {"users": "id long, name string", "addresses": "id long, name string"}
+    got = dict(files.load_tables(spark, str(tmp_path), schemas, references, {"users": users, "addresses": users.limit(0)}))
+    assert list(got) == ["addresses"] and sorted(got["addresses"].collect()) == sorted(users.collect())
+    assert set(dict(files.load_tables(spark, str(tmp_path), schemas, references, {"users": users}, True))) == {"users", "addresses"}
+    assert files.missing_columns(users, {"rows": 2, "with_name": 1, "with_city": 1}) == ["city"]
