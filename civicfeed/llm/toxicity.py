@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from math import sqrt
 
@@ -13,10 +13,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sigmoid, table, train_bucket, with_scores, words
+from .common import materialize, sigmoid, table, train_bucket, with_scores, words
 
 #: Distinct words that a Python worker keeps at most; on overflow it starts anew.
 CACHE = 300_000
+#: Entries of bags that are added up at once.
+AT_ONCE = 1 << 19
 #: Words of no meaning that every text has besides its own, so that a few words alone decide little.
 NEUTRAL = 15
 
@@ -86,9 +88,20 @@ def bag(text: str | None, low: int, high: int, buckets: int) -> tuple[np.ndarray
     return own.astype(np.int32), part.astype(np.float32)
 
 
+def added(at: np.ndarray, weights: Callable[[slice], np.ndarray], size: int) -> np.ndarray:
+    """bincount of weights that are made AT_ONCE at a time."""
+    out = np.zeros(size)
+    for i in range(0, len(at), AT_ONCE):
+        cut = slice(i, i + AT_ONCE)
+        out += np.bincount(at[cut], weights(cut), size)
+    return out
+
+
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], low: int = 3, high: int = 5, buckets: int = 1 << 17, dim: int = 4, least: int = 5, epochs: int = 40, rate: float = 1.0, decay: float = 1e-4, seed: int = 7) -> SubwordModel:
     """Embeddings and softmax weights together, by gradient steps with momentum over the whole sample of ``bag``s.
 
+    The list of bags is emptied, so that the driver does not hold them twice.
+
     Every text is the average of its words (by the root of their counts, so that a text of one word
     repeated has no extreme average), every word the average of its n-grams; the classes weigh alike.
     Buckets that fewer than ``least`` texts use stay zero: they would only learn single texts by heart. Without
@@ -102,23 +115,26 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], low: int
     uses = np.zeros(buckets, np.int32)
     for own, _ in bags:
         uses[own] += 1
-    # only common buckets are kept, in 12 bytes an entry
-    bags = [(own[keep], part[keep]) for own, part in bags for keep in (uses[own] >= least,)]
-    row = np.repeat(np.arange(len(bags), dtype=np.int32), [len(own) for own, _ in bags])
-    part = np.concatenate([p for _, p in bags])
+    # only common buckets are kept, in 12 bytes an entry; the bags go as they are read
     used = np.flatnonzero(uses >= least)
-    place = np.zeros(buckets, np.int32)
+    place = np.full(buckets, -1, np.int32)
     place[used] = np.arange(len(used))
-    ids = place[np.concatenate([own for own, _ in bags])]
-    del bags
+    sizes = [int((place[own] >= 0).sum()) for own, _ in bags]
+    ids, part = np.empty(sum(sizes), np.int32), np.empty(sum(sizes), np.float32)
+    row, at = np.repeat(np.arange(len(bags), dtype=np.int32), sizes), len(ids)
+    while bags:
+        own, own_part = bags.pop()
+        own = place[own]
+        at -= sizes[len(bags)]
+        ids[at : at + sizes[len(bags)]], part[at : at + sizes[len(bags)]] = own[own >= 0], own_part[own >= 0]
     if not len(ids):
         return flat
     # frequent n-grams weigh less, by a smooth inverse of their share; texts have mean length one
-    share_of = np.bincount(ids, part, len(used)) / len(y)
+    share_of = added(ids, lambda cut: part[cut], len(used)) / len(y)
     rarity = (1e-4 / (1e-4 + share_of)).astype(np.float32)
-    part = part * rarity[ids]
-    scale = float(len(y) / np.sqrt(np.bincount(row, part**2, len(y))).sum())
-    part = (scale * part).astype(np.float32)
+    part *= rarity[ids]
+    scale = float(len(y) / np.sqrt(added(row, lambda cut: part[cut] ** 2, len(y))).sum())
+    part *= np.float32(scale)
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.01, (len(used), dim)).astype(np.float32)
     out = rng.normal(0, 1, (dim, 2)).astype(np.float32)
@@ -128,7 +144,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], low: int
     speed = [np.zeros_like(p) for p in (emb, out, bias)]
 
     def sums(at: np.ndarray, rows: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
-        return np.stack([np.bincount(at, part * rows[of, k], size) for k in range(dim)], 1)
+        return np.stack([added(at, lambda cut: part[cut] * rows[of[cut], k], size) for k in range(dim)], 1)
 
     for _ in range(epochs):
         avg = sums(row, emb, ids, len(y))
@@ -166,9 +182,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
 
     kind = found.schema["k"].dataType.simpleString()
     rows = found.select("k", F.xxhash64("t").alias("h"), "y", "t").mapInArrow(bags, f"k {kind}, h long, y int, own binary, part binary")
-    rows = rows.orderBy(F.xxhash64("k"), "k", "h", "y").limit(2 * most).select("y", "own", "part").toArrow()
-    sample = [(np.frombuffer(o, np.int32), np.frombuffer(p, np.float32)) for o, p in zip(rows.column("own").to_pylist(), rows.column("part").to_pylist(), strict=True)]
-    return train(sample, rows.column("y").to_pylist(), low, high, buckets)
+    # an id's texts count once each label; what is read, a partition at a time, is as many rows as labels were chosen
+    one = materialize(rows, "bags").groupBy("k", "y").agg(F.min(F.struct("h", "own", "part")).alias("x"))
+    labels_, sample = [], []
+    for r in one.orderBy(F.xxhash64("k"), "k", "y").select("y", "x.own", "x.part").toLocalIterator():
+        labels_.append(r.y)
+        sample.append((np.frombuffer(bytes(r.own), np.int32), np.frombuffer(bytes(r.part), np.float32)))
+    return train(sample, labels_, low, high, buckets)
 
 
 def score(df: DataFrame, model: SubwordModel, text: str = "text", threshold: float = 0.7) -> DataFrame:
