@@ -20,7 +20,7 @@ LETTERS = regex.compile(r"\p{L}+").findall
 #: The longest n-gram, and how many n-grams a profile ranks.
 LONGEST, RANKS = 3, 300
 #: Bits of an id's hash that name a slice of a language's rows.
-SLICE_BITS = 16
+SLICE_BITS = 10
 #: Distinct words that each of a Python worker's two generations keeps.
 CACHE = 100_000
 
