@@ -195,10 +195,17 @@ def g1_geometry(spark, sf_dir):
     )
 
 
-@_R.add()
+CIRCLES = """ , c AS (SELECT id, i, radians(lat) AS phi, radians(lon) AS lam, 800.0::DOUBLE / 6371000.0::DOUBLE AS d, 2 * pi() * i / 64 AS turn FROM addresses, range(65) r(i)),
+    y AS (SELECT *, asin(sin(phi) * cos(d) + cos(phi) * sin(d) * cos(turn)) AS y FROM c)
+    SELECT id, CAST(i AS INTEGER) AS corner, round(degrees(lam + atan2(sin(turn) * sin(d) * cos(phi), cos(d) - sin(phi) * sin(y))), 8) AS lon, round(degrees(y), 8) AS lat FROM y"""
+
+
+@_R.add(with_tables(CIRCLES, "addresses"))
 def g8_circles(spark, sf_dir):
+    """The corners of a circle of 800 m around every address."""
     a = table(spark, sf_dir, "addresses")
-    return a.select("id", R.circle(F.col("lat"), F.col("lon"), 800.0).alias("ring"))
+    rows = a.select("id", F.posexplode(R.circle(F.col("lat"), F.col("lon"), 800.0)).alias("corner", "p"))
+    return rows.select("id", "corner", F.round("p.lon", 8).alias("lon"), F.round("p.lat", 8).alias("lat"))
 
 
 def _cos(x: str, y: str) -> str:

@@ -29,6 +29,13 @@ def sc8_links(spark, sf_dir):
     return p.select("page_id", F.posexplode(P.links(F.col("html"), F.col("url"), ".")).alias("place", "link"))
 
 
-@_R.add()
+BARE = "regexp_replace(url, '[?#].*$', '')"
+IDS = ", ".join(f"nullif(regexp_extract({BARE}, '{p}', 1), '')" for p in P.ID_PATTERNS)
+SLUGS = f"""SELECT page_id, coalesce({IDS}) AS id, coalesce(nullif(trim(translate(regexp_replace(regexp_replace(last_, '-\\d{{6,}}$', ''), '^\\d+$', ''), '-', ' ')), ''), nullif(last_, ''), url) AS slug
+    FROM (SELECT *, regexp_extract({BARE}, '([^/]*)/?$', 1) AS last_ FROM pages) p"""
+
+
+@_R.add(SLUGS)
 def k19_url_ids(spark, sf_dir):
+    """Ids and words in the pages' addresses."""
     return source(spark, sf_dir, "pages").select("page_id", P.id_from_url(F.col("url")).alias("id"), P.title_from_slug(F.col("url")).alias("slug"))
