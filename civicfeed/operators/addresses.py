@@ -235,3 +235,23 @@ def prepare(rows: DataFrame, bounds: DataFrame, points: DataFrame) -> tuple[Data
     given = accepted.agg(F.count("*").alias("accepted"), F.count("gar_guid").alias("filled"), F.count_if(F.col("postal_code").isNull()).alias("missing"))
     lost = rejected.agg(F.count("*").alias("rejected_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rejected_rows"))
     return accepted, rejected, given.join(lost)  # one row each
+
+
+def filtered(addresses: DataFrame, **tests: Column | None) -> DataFrame:
+    """addresses that pass the tests that are given; a test that is None is none."""
+    for test in tests.values():
+        addresses = addresses if test is None else addresses.filter(test)
+    return addresses
+
+
+def by_postcode(addresses: DataFrame, texts: DataFrame) -> DataFrame:
+    """Addresses with one of the postcodes that texts (text) name."""
+    wanted = texts.select(F.explode(T.postcodes(F.col("text"))).alias("postal_code")).distinct()
+    return addresses.join(wanted, "postal_code", "left_semi")
+
+
+def house_labels(addresses: DataFrame) -> DataFrame:
+    """How many addresses share a house's label on its street, and its place in the city's natural order."""
+    same = F.count("*").over(Window.partitionBy("city", "street", "house"))
+    place = F.row_number().over(Window.partitionBy("city").orderBy(natural_order(F.col("house")), "id"))
+    return addresses.select("id", same.alias("same"), place.cast("long").alias("place"))

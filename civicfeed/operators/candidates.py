@@ -132,3 +132,8 @@ def event_fields(source: Column, title: Column, body: Column) -> Column:
 def chat_type(recipient: Column) -> Column:
     """The kind of chat in a message's recipient (JSON), in lower case."""
     return F.lower(F.get_json_object(recipient, "$.chat_type"))
+
+
+def fanned_out(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Base ids of notices, without what fanning out to addresses added, that are among the known ones (base)."""
+    return rows.select(T.base_id(F.col("source_msg_id")).alias("base")).distinct().join(known.select("base").distinct(), "base", "left_semi")

@@ -56,3 +56,8 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     every = Window.partitionBy()
     return counts.withColumn("weight", F.sum("n").over(every) / (F.count("*").over(every) * F.col("n")))
+
+
+def mean_similarity(df: DataFrame, truth: str = "label", score: str = "score") -> DataFrame:
+    """How many pairs each label has and how alike they are on average."""
+    return df.groupBy(truth).agg(F.count("*").alias("n"), F.avg(score).alias("mean"))

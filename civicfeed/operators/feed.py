@@ -143,3 +143,18 @@ def map_page(events: DataFrame, addresses: DataFrame, now: Column, after_id: int
 def capped(rows: DataFrame, cap: int | None = None) -> DataFrame:
     """At most ``cap`` candidates, those of the highest ids, so that reruns agree; all without a cap."""
     return rows if cap is None else rows.orderBy(F.desc("id")).limit(cap)
+
+
+def legacy_city(importance: Column, disaster: Column) -> Column:
+    """F8: the old city rule: trifles never, the gravest only if they are disasters."""
+    return F.when(importance == 3, False).when(importance == 1, F.coalesce(disaster, F.lit(False))).otherwise(True)
+
+
+def on_map(importance: Column) -> Column:
+    """what the map shows."""
+    return (importance > 0) & (importance < 3)
+
+
+def with_address(events: DataFrame, addresses: DataFrame, *columns: str) -> DataFrame:
+    """Events with columns of their address, null without one."""
+    return events.join(addresses.select(F.col("id").alias("address_id"), *columns), "address_id", "left")

@@ -82,3 +82,16 @@ def prefix_groups(values: DataFrame, name: str, longest: int = 4, groups: tuple[
     by = rows.groupBy("length", F.expr("left(v, length)").alias("prefix")).agg(F.count("*").alias("n"))
     fit = by.groupBy("length").agg(F.count("*").alias("g"), F.max("n").alias("m")).filter(F.col("g").between(*groups) & (F.col("m") <= largest))
     return by.join(F.broadcast(fit.agg(F.min("length").alias("length")).filter("length IS NOT NULL")), "length").select("prefix", "n")
+
+
+def capped_classes(df: DataFrame, label: str, trust: str, key: str, most: int, seed: int = 7) -> DataFrame:
+    """At most ``most`` rows of each class, of the sources that are trusted first, by a seeded hash within a source; ``n`` is their place."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    place = F.row_number().over(Window.partitionBy(label).orderBy(trust, order)).cast("long")
+    return df.withColumn("n", place).filter(F.col("n") <= most)
+
+
+def bound_counts(df: DataFrame, start: str = "active_from", end: str = "active_to") -> DataFrame:
+    """How many windows have both ends, one of them, or none."""
+    a, b = F.col(start).isNotNull(), F.col(end).isNotNull()
+    return df.agg(F.count_if(a & b).alias("both_ends"), F.count_if(a & ~b).alias("only_from"), F.count_if(~a & b).alias("only_to"), F.count_if(~a & ~b).alias("neither"))

@@ -78,3 +78,21 @@ def priority_text(importance: Column, title: Column, body: Column) -> Column:
     t, b = T.compact(title, 240), T.compact(body, 3000)
     more = F.coalesce(F.lower(t) != F.lower(b), F.lit(True))
     return F.concat(mark, F.coalesce(t, b), F.when(t.isNotNull() & more, F.concat(F.lit("\n"), b)).otherwise(F.lit("")))
+
+
+def delivery_view(deliveries: DataFrame, events: DataFrame, users: DataFrame) -> DataFrame:
+    """users' own open deliveries with their events; users without a chat have none."""
+    e = events.filter(F.col("importance").isin(1, 2)).select(F.col("id").alias("event_id"), "title", "importance")
+    owners = users.select("user_id").distinct()
+    return deliveries.filter("acked_at IS NULL").join(e, "event_id").join(owners, "user_id").select("id", "title", "importance")
+
+
+def chat_addresses(members: DataFrame) -> DataFrame:
+    """Each user's chats with the chat's first address and how often the user is in it."""
+    chats = members.groupBy("chat_id").agg(F.min("address_id").alias("address_id"))
+    return members.groupBy("user_id", "chat_id").agg(F.count("*").alias("n")).join(chats, "chat_id", "left")
+
+
+def first_added(members: DataFrame) -> DataFrame:
+    """The first chat of each address and how many users it has."""
+    return members.groupBy("address_id").agg(F.min("chat_id").alias("first_chat"), F.count_distinct("user_id").alias("users"))

@@ -103,3 +103,44 @@ def sequential_ids(df: DataFrame, order: list[str], name: str = "new_id", parts:
     within = F.row_number().over(Window.partitionBy("cf_part").orderBy(*order))
     out = placed.join(F.broadcast(before.select("cf_part", "cf_before")), "cf_part")
     return out.withColumn(name, F.col("cf_before") + within).drop("cf_part", "cf_before")
+
+
+def delete(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """SK3: rows whose keys are not among those that are gone."""
+    return old.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def existing(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys occur in another table."""
+    return rows.join(others.select(*keys), keys, "left_semi")
+
+
+def without(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows that the other table, of the same columns, does not have."""
+    return rows.exceptAll(others)
+
+
+def keyset_page(rows: DataFrame, key: str, after: int, size: int) -> DataFrame:
+    """L4: the page after a key, with one row more than it holds if there is a next one."""
+    return rows.filter(F.col(key) > after).orderBy(key).limit(size + 1)
+
+
+def offset_page(rows: DataFrame, order: list[str], page: int, size: int) -> DataFrame:
+    """Page ``page`` (from 0) of rows in an order; ``rows.count()`` is the total."""
+    return rows.orderBy(*order).offset(page * size).limit(size)
+
+
+def numbered_page(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
+    """Page ``page`` (from 1, the nearest there is) of a short list, with each row's number in all of it as ``n``.
+
+    The list is what one person pages through, such as a city's addresses in a menu; it is numbered in one task.
+    """
+    last = max(1, -(-rows.count() // size))
+    first = (min(max(page, 1), last) - 1) * size
+    n = F.row_number().over(Window.orderBy(*order)).cast("long")
+    return rows.withColumn("n", n).filter((F.col("n") > first) & (F.col("n") <= first + size))
+
+
+def counts_by(rows: DataFrame, keys: list[str], **tests: Column) -> DataFrame:
+    """The rows of each value of the keys, and how many of them pass each test."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.count_if(t).alias(name) for name, t in tests.items()])

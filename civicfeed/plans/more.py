@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from datetime import date
+
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..operators import boundaries, dedup, labels, members, records
+from ..operators import addresses, boundaries, candidates, dedup, evaluate, labels, members, notify, records
+from ..sources import cursors
 from .overlay import NOW, source, table, with_tables
 from .registry import Registry
 
@@ -27,17 +28,14 @@ def f1_feed_predicates(spark, sf_dir):
     i = F.col("importance")
     return e.select(
         "id", i.isin(1, 2).alias("in_feed"), feed.geo_matches("nearby", F.col("geo_by")).alias("nearby"), feed.geo_matches("city", F.col("geo_by")).alias("city"),
-        F.when(i == 3, False).when(i == 1, F.col("disaster_flag")).otherwise(True).alias("legacy_city"), ((i > 0) & (i < 3)).alias("on_map"), feed.not_expired(_now()).alias("current"),
+        feed.legacy_city(i, F.col("disaster_flag")).alias("legacy_city"), feed.on_map(i).alias("on_map"), feed.not_expired(_now()).alias("current"),
     )
 
 
 @_R.add(with_tables(" SELECT id FROM addresses WHERE city = 'NATION_3' AND street LIKE 'Street 1%' AND postal_code >= '100100'", "addresses"))
 def f33_address_filter(spark, sf_dir):
     wanted = {"city": F.col("city") == "NATION_3", "street": F.col("street").startswith("Street 1"), "postal_code": F.col("postal_code") >= "100100", "district": None}
-    a = table(spark, sf_dir, "addresses")
-    for test in wanted.values():
-        a = a if test is None else a.filter(test)
-    return a.select("id")
+    return addresses.filtered(table(spark, sf_dir, "addresses"), **wanted).select("id")
 
 
 PLACED = """ , p AS (SELECT e.id, CASE WHEN e.id % 3 = 0 THEN e.address_id END AS address_id, CASE WHEN e.id % 4 <> 0 THEN lat END AS lat, CASE WHEN e.id % 4 <> 0 THEN lon END AS lon FROM city_events e LEFT JOIN addresses a ON a.id = e.address_id)
@@ -73,51 +71,47 @@ def c14_feed_origins(spark, sf_dir):
 
 @_R.add(with_tables(" SELECT id, address_text FROM addresses WHERE postal_code IN ('100001', '100007', '100123')", "addresses"))
 def j14_by_postcode(spark, sf_dir):
-    wanted = spark.createDataFrame([("100001 100007",), ("100123",)], "text string").select(F.explode(T.postcodes(F.col("text"))).alias("postal_code"))
-    return table(spark, sf_dir, "addresses").join(F.broadcast(wanted), "postal_code", "left_semi").select("id", "address_text")
+    texts = spark.createDataFrame([("100001 100007",), ("100123",)], "text string")
+    return addresses.by_postcode(table(spark, sf_dir, "addresses"), texts).select("id", "address_text")
 
 
 @_R.add(with_tables(f""" SELECT d.id, e.title, e.importance FROM deliveries d JOIN city_events e ON e.id = d.event_id JOIN (SELECT DISTINCT user_id FROM members WHERE chat_type = 'chat') u ON u.user_id = d.user_id
     WHERE acked_at IS NULL AND e.importance IN (1, 2)""", "city_events", "deliveries", "members"))
 def j16_delivery_view(spark, sf_dir):
-    users = table(spark, sf_dir, "members").filter("chat_type = 'chat'").select("user_id").distinct()
-    e = table(spark, sf_dir, "city_events").filter("importance IN (1, 2)").select(F.col("id").alias("event_id"), "title", "importance")
-    return table(spark, sf_dir, "deliveries").filter("acked_at IS NULL").join(e, "event_id").join(users, "user_id").select("id", "title", "importance")
+    users = table(spark, sf_dir, "members").filter("chat_type = 'chat'")
+    return notify.delivery_view(table(spark, sf_dir, "deliveries"), table(spark, sf_dir, "city_events"), users)
 
 
 @_R.add(with_tables(" SELECT user_id, chat_id, (SELECT min(address_id) FROM members x WHERE x.chat_id = m.chat_id) AS address_id, count(*) AS n FROM members m GROUP BY user_id, chat_id", "members"))
 def j20_chat_address(spark, sf_dir):
-    m = table(spark, sf_dir, "members")
-    chats = m.groupBy("chat_id").agg(F.min("address_id").alias("address_id"))
-    return m.groupBy("user_id", "chat_id").agg(F.count("*").alias("n")).join(chats, "chat_id", "left")
+    return notify.chat_addresses(table(spark, sf_dir, "members"))
 
 
 @_R.add(with_tables(r""" SELECT DISTINCT regexp_replace(source_msg_id, ':addr:\d+$', '') AS base FROM city_events WHERE source = 'mc' AND regexp_replace(source_msg_id, ':addr:\d+$', '') IN (SELECT 'moek:' || (id * 8) FROM city_events)""", "city_events"))
 def j25_fan_out_match(spark, sf_dir):
     e = table(spark, sf_dir, "city_events")
     known = e.select(F.concat(F.lit("moek:"), (F.col("id") * 8).cast("string")).alias("base")).distinct()
-    return e.filter("source = 'mc'").select(T.base_id(F.col("source_msg_id")).alias("base")).distinct().join(known, "base", "left_semi")
+    return candidates.fanned_out(e.filter("source = 'mc'"), known)
 
 
 @_R.add(with_tables(" SELECT address_id, min(chat_id) AS first_chat, count(DISTINCT user_id) AS users FROM members GROUP BY address_id % 100, address_id", "members"))
 def a5_first_added(spark, sf_dir):
-    return table(spark, sf_dir, "members").groupBy("address_id").agg(F.min("chat_id").alias("first_chat"), F.count_distinct("user_id").alias("users"))
+    return notify.first_added(table(spark, sf_dir, "members"))
 
 
 @_R.add("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
 def a9_label_counts(spark, sf_dir):
-    return source(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+    return records.counts_by(source(spark, sf_dir, "labels"), ["quality", "toxic"])
 
 
 @_R.add(with_tables(" SELECT count(*) FILTER (active_from IS NOT NULL AND active_to IS NOT NULL) AS both_ends, count(*) FILTER (active_from IS NOT NULL AND active_to IS NULL) AS only_from, count(*) FILTER (active_from IS NULL AND active_to IS NOT NULL) AS only_to, count(*) FILTER (active_from IS NULL AND active_to IS NULL) AS neither FROM city_events", "city_events"))
 def a13_bound_counts(spark, sf_dir):
-    a, b = F.col("active_from").isNotNull(), F.col("active_to").isNotNull()
-    return table(spark, sf_dir, "city_events").agg(F.count_if(a & b).alias("both_ends"), F.count_if(a & ~b).alias("only_from"), F.count_if(~a & b).alias("only_to"), F.count_if(~a & ~b).alias("neither"))
+    return labels.bound_counts(table(spark, sf_dir, "city_events"))
 
 
 @_R.add(with_tables(" SELECT label, count(*) AS n, round(avg(score), 9) AS mean FROM pairs GROUP BY label", "pairs"))
 def a14_mean_similarity(spark, sf_dir):
-    return table(spark, sf_dir, "pairs").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("score"), 9).alias("mean"))
+    return evaluate.mean_similarity(table(spark, sf_dir, "pairs")).withColumn("mean", F.round("mean", 9))
 
 
 @_R.add("""WITH v AS (SELECT left(md5(c_name), 6) AS v FROM customer), p AS (SELECT length, upper(left(v, length)) AS prefix, count(*) AS n FROM v, (VALUES (1), (2), (3), (4)) l(length) GROUP BY ALL),
@@ -135,20 +129,19 @@ def w9_ordered_addresses(spark, sf_dir):
 
 @_R.add(with_tables(" SELECT id, source FROM city_events WHERE id > 500 ORDER BY id LIMIT 101", "city_events"))
 def l4_keyset_page(spark, sf_dir):
-    return table(spark, sf_dir, "city_events").filter("id > 500").orderBy("id").limit(101).select("id", "source")
+    return records.keyset_page(table(spark, sf_dir, "city_events"), "id", 500, 100).select("id", "source")
 
 
 @_R.add(with_tables(" SELECT n, id FROM (SELECT row_number() OVER (ORDER BY lower(address_text), id) AS n, id FROM addresses WHERE city = 'NATION_5') x WHERE n BETWEEN 11 AND 20", "addresses"))
 def l9_page_by_number(spark, sf_dir):
     a = table(spark, sf_dir, "addresses").filter("city = 'NATION_5'")
-    n = F.row_number().over(Window.partitionBy("city").orderBy(F.lower("address_text"), "id"))  # one city's addresses
-    return a.withColumn("n", n.cast("long")).filter("n BETWEEN 11 AND 20").select("n", "id")
+    return records.numbered_page(a, [F.lower("address_text"), F.col("id")], 2, 10).select("n", "id")
 
 
 @_R.add(with_tables(" SELECT id FROM city_events WHERE id NOT IN (SELECT id FROM city_events WHERE importance = 1)", "city_events"))
 def sk3_delete(spark, sf_dir):
     e = table(spark, sf_dir, "city_events")
-    return e.join(e.filter("importance = 1").select("id"), "id", "left_anti").select("id")
+    return records.delete(e, e.filter("importance = 1"), ["id"]).select("id")
 
 
 @_R.add("""SELECT c_custkey AS external_id, CASE WHEN c_custkey % 2 = 0 THEN c_name || '!' ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS username FROM customer""")
@@ -217,8 +210,8 @@ def d8_bounds(spark, sf_dir):
 
 @_R.add("SELECT 'd' || i AS day FROM (SELECT strftime(TIMESTAMP '2024-01-31' - to_days(CAST(i AS INTEGER)), '%Y-%m-%d') AS i FROM range(31) r(i)) x")
 def d5_days_backward(spark, sf_dir):
-    days = F.sequence(F.to_date(F.lit("2024-01-31")), F.to_date(F.lit("2024-01-01")), F.expr("interval -1 day"))
-    return spark.range(1).select(F.explode(days).alias("d")).select(F.concat(F.lit("d"), F.date_format("d", "yyyy-MM-dd")).alias("day"))
+    days = cursors.days_back(spark, date(2024, 1, 31), date(2024, 1, 1))
+    return days.select(F.concat(F.lit("d"), F.date_format("day", "yyyy-MM-dd")).alias("day"))
 
 
 DRAFTS = """ , d AS (SELECT id, source, CASE WHEN id % 40 = 0 THEN 'draft:' || id ELSE 'known:' || (id + 1) END AS source_msg_id, address_id, id % 7 + 1 AS x, id % 11 AS y, id % 13 AS z FROM city_events WHERE id % 20 = 0),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ranking as R
 from ..functions import text as T
 from ..operators import addresses as A
-from ..operators import address_search, notify, records
+from ..operators import address_search, feed, notify, records
 from .feeds import HAVERSINE, squares
 from .overlay import NOW, source, table, with_tables
 from .registry import Registry
@@ -22,8 +22,7 @@ def _now():
 
 @_R.add(with_tables(" SELECT e.id, a.address_text FROM city_events e LEFT JOIN addresses a ON e.address_id = a.id", "addresses", "city_events"))
 def j2_event_address(spark, sf_dir):
-    a = table(spark, sf_dir, "addresses").select(F.col("id").alias("address_id"), "address_text")
-    return table(spark, sf_dir, "city_events").join(a, "address_id", "left").select("id", "address_text")
+    return feed.with_address(table(spark, sf_dir, "city_events"), table(spark, sf_dir, "addresses"), "address_text").select("id", "address_text")
 
 
 @_R.add(with_tables(" SELECT DISTINCT user_id, chat_id, address_id FROM members WHERE chat_type = 'chat'", "members"))
@@ -35,7 +34,7 @@ def j6_linked_groups(spark, sf_dir):
 def j7_exists(spark, sf_dir):
     a = table(spark, sf_dir, "addresses")
     e = table(spark, sf_dir, "city_events").filter("importance = 1").select(F.col("address_id").alias("id"))
-    return a.join(e, "id", "left_semi").select("id")
+    return records.existing(a, e, ["id"]).select("id")
 
 
 @_R.add(with_tables(" SELECT id FROM city_events n WHERE id % 3 = 0 AND source_msg_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM city_events o WHERE o.id % 2 = 0 AND o.source = n.source AND o.source_msg_id = n.source_msg_id)", "city_events"))
@@ -233,28 +232,23 @@ def a2_counts_and_bounds(spark, sf_dir):
 @_R.add(with_tables(" SELECT is_private, count(*) AS n, count(*) FILTER (postal_code < '100200') AS low_codes FROM addresses GROUP BY is_private", "addresses"))
 def a8_private_counts(spark, sf_dir):
     a = table(spark, sf_dir, "addresses")
-    return a.groupBy("is_private").agg(F.count("*").alias("n"), F.count_if(F.col("postal_code") < "100200").alias("low_codes"))
+    return records.counts_by(a, ["is_private"], low_codes=F.col("postal_code") < "100200")
 
 
 @_R.add(with_tables(" SELECT id, count(*) OVER (PARTITION BY city, street, house) AS same, row_number() OVER (PARTITION BY city ORDER BY CAST(house AS INTEGER), id) AS place FROM addresses", "addresses"))
 def a15_house_labels(spark, sf_dir):
-    from pyspark.sql import Window
-
-    a = table(spark, sf_dir, "addresses")
-    same = F.count("*").over(Window.partitionBy("city", "street", "house"))
-    place = F.row_number().over(Window.partitionBy("city").orderBy(A.natural_order(F.col("house")), "id"))
-    return a.select("id", same.alias("same"), place.cast("long").alias("place"))
+    return A.house_labels(table(spark, sf_dir, "addresses"))
 
 
 @_R.add(with_tables(" SELECT id, city FROM addresses ORDER BY id LIMIT 50 OFFSET 100", "addresses"))
 def l8_offset_page(spark, sf_dir):
-    return table(spark, sf_dir, "addresses").orderBy("id").offset(100).limit(50).select("id", "city")
+    return records.offset_page(table(spark, sf_dir, "addresses"), ["id"], 2, 50).select("id", "city")
 
 
 @_R.add(with_tables(" SELECT id FROM city_events WHERE id % 2 = 0 EXCEPT SELECT id FROM city_events WHERE importance = 3", "city_events"))
 def u5_except(spark, sf_dir):
     e = table(spark, sf_dir, "city_events")
-    return e.filter("id % 2 = 0").select("id").exceptAll(e.filter("importance = 3").select("id"))
+    return records.without(e.filter("id % 2 = 0").select("id"), e.filter("importance = 3").select("id"))
 
 
 @_R.add(with_tables(f""" SELECT id, round(exp(-ln(2::DOUBLE) * greatest(0, datesub('hour', coalesce(published_at, created_at), {NOW})) / 24.0::DOUBLE), 12) AS timeliness,

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..operators import chat, corpus, evaluate
+from ..operators import chat, corpus, evaluate, labels
 from .overlay import source, table, with_tables
 from .registry import Registry
 
@@ -200,6 +199,4 @@ def a17_class_weights(spark, sf_dir):
 
 @_R.add("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY source, md5('7:' || doc_id)) AS n, lang FROM documents QUALIFY n <= 30")
 def w11_capped_classes(spark, sf_dir):
-    place = Window.partitionBy("lang").orderBy("source", F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string")).cast("binary")))
-    d = source(spark, sf_dir, "documents").withColumn("n", F.row_number().over(place).cast("long"))
-    return d.filter("n <= 30").select("doc_id", "n", "lang")
+    return labels.capped_classes(source(spark, sf_dir, "documents"), "lang", "source", "doc_id", 30).select("doc_id", "n", "lang")

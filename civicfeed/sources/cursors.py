@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -70,3 +70,9 @@ def latest_first(pages: DataFrame, since: Column, most: int | None = None) -> Da
     """SC9, U6: pages from a time on, newest first, ``most`` of them."""
     rows = pages.filter(F.col("published_at").isNull() | (F.col("published_at") >= since)).orderBy(F.desc_nulls_last("published_at"), "external_id")
     return rows if most is None else rows.limit(most)
+
+
+def days_back(spark: SparkSession, today: date, since: date) -> DataFrame:
+    """The days from one back to another, the latest first."""
+    days = F.sequence(F.lit(today), F.lit(since), F.expr("interval -1 day"))
+    return spark.range(1).select(F.explode(days).alias("day"))
