@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, language, mixing, near_dup, quality_crf, suffix_tree, token_store, toxicity
+from . import ann, byte_bpe, language, lexical, mixing, near_dup, quality_crf, suffix_tree, token_store, toxicity
 from .common import table, train_bucket
 from .quality_rules import quality_rules
 
@@ -132,6 +132,16 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.production(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item.
+
+    Null, empty and termless texts find nothing and are not found; equal scores come by ascending id, null ids last; repeated
+    documents are found as often as they are there, repeated items are one; empty tables give no rows.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.rank(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -145,6 +155,7 @@ QUERIES: dict[str, Query] = {
         op8_toxicity,
         op9_language,
         op10_suffix_tree,
+        op11_lexical,
     )
 }
 
@@ -187,4 +198,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
             (size * (whole + CASE WHEN upto - own / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM runs""",
+    "op11_lexical": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+        items AS (
+            SELECT row_number() OVER () AS i, item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        totals AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM docs WHERE len(ts) > 0),
+        tokens AS (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS t FROM docs),
+        counts AS (SELECT r, doc_id, n, t, count(*) AS tf FROM tokens GROUP BY ALL),
+        weights AS (
+            SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM counts, totals GROUP BY t, n_docs),
+        scores AS (
+            SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM items JOIN counts USING (t) JOIN weights USING (t), totals GROUP BY ALL)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM scores WHERE score > 0)
+        WHERE rank <= 50""",
 }
