@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, language, lexical, mixing, near_dup, quality_crf, suffix_tree, token_store, toxicity
+from . import ann, byte_bpe, hard_negatives, language, lexical, mixing, near_dup, quality_crf, suffix_tree, token_store, toxicity
 from .common import table, train_bucket
 from .quality_rules import quality_rules
 
@@ -142,6 +142,17 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to five rows of other labels for each of the five positives of every anchor, within the positive's window of scores.
+
+    Null labels, null vectors and non-finite components take no part; ties go to the smaller id; rows equal in id, vector and
+    label are one; anchors without positives or with empty windows give no rows; an empty table gives none.
+    """
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -156,6 +167,7 @@ QUERIES: dict[str, Query] = {
         op9_language,
         op10_suffix_tree,
         op11_lexical,
+        op13_hard_negatives,
     )
 }
 
@@ -217,4 +229,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
             SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM scores WHERE score > 0)
         WHERE rank <= 50""",
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM (
+            SELECT p.anchor_id, p.positive_id, p.positive_score, s.other_id AS negative_id, s.score AS negative_score,
+                row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS rank
+            FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
+                AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+        WHERE rank <= 5""",
 }
