@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, hard_negatives, language, lexical, mixing, near_dup, quality_crf, suffix_tree, token_store, toxicity
+from . import ann, byte_bpe, hard_negatives, language, lexical, mixing, near_dup, packing, quality_crf, suffix_tree, token_store, toxicity
 from .common import table, train_bucket
 from .quality_rules import quality_rules
 
@@ -142,6 +142,17 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document's ids, each with its place in a sequence of at most 4,096 ids.
+
+    Null and empty texts are the end id alone; repeated documents and ids are packed as often as they are there; long texts are
+    cut into whole sequences and a rest; an empty table gives no rows.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocabulary=49_408)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to five rows of other labels for each of the five positives of every anchor, within the positive's window of scores.
 
@@ -167,6 +178,7 @@ QUERIES: dict[str, Query] = {
         op9_language,
         op10_suffix_tree,
         op11_lexical,
+        op12_packing,
         op13_hard_negatives,
     )
 }
