@@ -3,7 +3,7 @@
 The index is a table of postings: a row for each term that is asked for and each document that holds it, dealt out by
 term, long lists in pieces, each piece in order of impact. All items are ranked together:
 
-1. the heads of the lists give each document partial scores; an item's k-th best partial score bounds its k-th score;
+1. the heads of the lists give documents partial scores; an item's k-th best partial score bounds its k-th score;
 2. that bound, shared out equally among the item's terms, is the threshold down to which every list is read. What a
    list has not shown of a document is less than the threshold, so a document whose partial score and these rests
    cannot reach the k-th best partial score is out;
@@ -142,14 +142,16 @@ def rank(docs: DataFrame, items: DataFrame, k: int = 50, key: str = "doc_id", it
     limits = materialize(limits.select("item", "term", "w", "down_to", "rest", "bound"), "limits")
     lowest = limits.groupBy("term").agg(F.min("down_to").alias("lowest"))
     shown = postings.join(to_all(lowest), "term").filter(F.col("impact") >= F.col("lowest")).select("term", "row", "impact")
+    # postings go to their document once, whatever the items that ask for them; sums by document and item need no more shuffle
+    shown = shown.repartition(partitions_for(postings, INDEX_BYTES // 4), "row")
     shown = shown.join(to_all(limits), "term").filter(F.col("impact") >= F.col("down_to"))
-    seen = shown.groupBy("item", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("score"), F.sum("rest").alias("known"))
-    seen = materialize(seen, "seen")
+    seen = shown.groupBy("row", "item").agg(F.sum(F.col("w") * F.col("impact")).alias("score"), F.sum("rest").alias("known"))
     rests = limits.groupBy("item").agg(F.sum("rest").alias("rests"), F.max("bound").alias("bound"))
-    level = rests.join(_kth(seen, k, "second"), "item", "left")
-    level = level.select("item", "rests", F.greatest("bound", F.coalesce("second", F.lit(0))).alias("level"))
-    hopeful = seen.join(broadcast_if_small(materialize(level, "level")), "item").filter(F.col("score") + F.col("rests") - F.col("known") >= F.col("level"))
-    hopeful = materialize(hopeful.select("item", "row"), "hopeful")
+    able = seen.join(broadcast_if_small(materialize(rests, "rests")), "item").select("item", "row", "score", (F.col("score") + F.col("rests") - F.col("known")).alias("most"), "bound")
+    able = materialize(able.filter(F.col("most") >= F.col("bound")).drop("bound"), "able")
+    level = materialize(_kth(able, k, "level"), "level")
+    hopeful = able.join(broadcast_if_small(level), "item", "left").filter(F.col("most") >= F.coalesce("level", F.lit(0))).select("item", "row")
+    hopeful = materialize(hopeful, "hopeful")
     # 3: exact scores of what is left
     looked = postings.select("term", "row", "impact").join(broadcast_if_small(hopeful), "row")
     exact = looked.join(to_all(wanted.select("item", "term", "w")), ["item", "term"])
