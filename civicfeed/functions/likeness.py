@@ -8,16 +8,25 @@ from __future__ import annotations
 from functools import lru_cache
 
 
-def common_length(a: str, b: str) -> int:
-    """The length of the longest common subsequence, a bit for each character of ``a``."""
+@lru_cache(maxsize=20_000)
+def _places(a: str) -> dict[str, int]:
+    """For each character of a text, a bit for each place of it."""
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
-    row = (1 << len(a)) - 1
+    return places
+
+
+def common_length(a: str, b: str) -> int:
+    """The length of the longest common subsequence, a bit for each character of ``a``."""
+    get = _places(a).get
+    whole = row = (1 << len(a)) - 1
     for c in b:
-        u = row & places.get(c, 0)
-        row = (row + u) | (row - u)
-    return (~row & (1 << len(a)) - 1).bit_count()
+        p = get(c)
+        if p is not None:
+            u = row & p
+            row = (row + u) | (row - u)
+    return (~row & whole).bit_count()
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -27,17 +36,41 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * common_length(a, b) / (len(a) + len(b))
 
 
-@lru_cache(maxsize=100_000)
-def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text to a window of its length in the longer one; windows may stick out at the ends."""
+def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """The best ratio of the shorter text to a window of its length in the longer one; windows may stick out at the ends.
+
+    A best of no more than ``least`` is given as ``least``. Letters in common, whatever their order, bound a window's ratio;
+    they are counted along the windows, and only windows whose bound is above the best so far are compared.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
-        return 100.0 if not b else 0.0
+        return max(least, 100.0 if not b else 0.0)
     if a in b:
         return 100.0
-    n = len(a)
-    return max(indel_ratio(a, b[max(0, i) : i + n]) for i in range(1 - n, len(b)))
+    n, best = len(a), least
+    spare: dict[str, int] = {}
+    for c in a:
+        spare[c] = spare.get(c, 0) + 1
+    common = 0
+    for end in range(1, len(b) + n):
+        if end <= len(b):
+            c = b[end - 1]
+            k = spare.get(c)
+            if k is not None:
+                spare[c] = k - 1
+                common += k > 0
+        begin = end - n
+        if begin > 0:
+            c = b[begin - 1]
+            k = spare.get(c)
+            if k is not None:
+                spare[c] = k + 1
+                common -= k >= 0
+        size = n + min(end, len(b)) - max(begin, 0)
+        if 200.0 * common > best * size:
+            best = max(best, indel_ratio(a, b[max(0, begin) : end]))
+    return best
 
 
 def _sorted(words: set[str] | list[str]) -> str:
@@ -62,22 +95,31 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-def partial_token_ratio(a: str, b: str) -> float:
+def partial_token_ratio(a: str, b: str, least: float = 0.0) -> float:
     """100 for a word in common; else the best partial ratio of the sorted words, repeated ones counted or not."""
     x, y = a.split(), b.split()
     if set(x) & set(y):
         return 100.0
-    return max(partial_ratio(_sorted(x), _sorted(y)), partial_ratio(_sorted(set(x)), _sorted(set(y))))
+    best = partial_ratio(_sorted(x), _sorted(y), least)
+    return best if len(set(x)) == len(x) and len(set(y)) == len(y) else partial_ratio(_sorted(set(x)), _sorted(set(y)), best)
+
 
+def weighted_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """The best of several ratios; those by words count a little less, and partial ones where lengths differ much.
 
-@lru_cache(maxsize=100_000)
-def weighted_ratio(a: str, b: str) -> float:
-    """The best of several ratios; those by words count a little less, and partial ones where lengths differ much."""
+    A best of no more than ``least`` is given as ``least``; ratios that cannot be above the best so far are not worked out.
+    """
     if not a or not b:
-        return 0.0
+        return max(least, 0.0)
     longer = max(len(a), len(b)) / min(len(a), len(b))
-    best = indel_ratio(a, b)
+    best = max(least, indel_ratio(a, b))
     if longer < 1.5:
         return max(best, 0.95 * indel_ratio(_sorted(a.split()), _sorted(b.split())), 0.95 * token_set_ratio(a, b))
     scale = 0.9 if longer <= 8 else 0.6
-    return max(best, scale * partial_ratio(a, b), 0.95 * scale * partial_token_ratio(a, b))
+    if best < 95 * scale:
+        by_words = partial_token_ratio(a, b, best / (0.95 * scale))
+        best = max(best, 0.95 * scale * by_words) if by_words > best / (0.95 * scale) else best
+    if best < 100 * scale:
+        part = partial_ratio(a, b, best / scale)
+        best = max(best, scale * part) if part > best / scale else best
+    return best

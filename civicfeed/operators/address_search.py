@@ -88,7 +88,9 @@ def word_likeness(asked: str, known: str) -> float:
         return 91.0
     if min(len(asked), len(known)) < 3:
         return 0.0
-    return max(indel_ratio(asked, known), 0.92 * partial_ratio(asked, known))
+    whole = indel_ratio(asked, known)
+    part = partial_ratio(asked, known, whole / 0.92)
+    return max(whole, 0.92 * part) if part > whole / 0.92 else whole
 
 
 @lru_cache(maxsize=20_000)
@@ -100,7 +102,7 @@ def _weighed(city: str, district: str, street: str) -> tuple[tuple[str, float],
 @lru_cache(maxsize=50_000)
 def _best_ratio(query: str, text: str) -> float:
     by_words = token_set_ratio(query, text)
-    return by_words if by_words == 100.0 else max(by_words, weighted_ratio(query, text))
+    return by_words if by_words == 100.0 else weighted_ratio(query, text, by_words)
 
 
 def text_score(query: str, city: str, district: str, street: str) -> float | None:
@@ -115,7 +117,10 @@ def text_score(query: str, city: str, district: str, street: str) -> float | Non
     if len(asked) > 1 and coverage < LEAST_COVERAGE:
         return None
     whole = " ".join(x for x in (city, district, street) if x)
-    phrase, focus = _best_ratio(query, whole), _best_ratio(query, street)
+    focus = _best_ratio(query, street)
+    if coverage * COVERAGE + 100 * PHRASE + focus * STREET < LEAST_TEXT:
+        return None
+    phrase = _best_ratio(query, whole)
     score = coverage * COVERAGE + phrase * PHRASE + focus * STREET
     return None if score < LEAST_TEXT else min(100.0, score)
 

@@ -161,7 +161,7 @@ def likeness(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
 def match_text(texts: DataFrame, addresses: DataFrame, threshold: float = 90.0, margin: float = 5.0) -> DataFrame:
     """(text_id, text) to the one address that its house and street name, by likeness.
 
-    Candidates have the text's house number; the best must reach ``threshold`` and lead the next by ``margin``. A
+    Candidates have the text's house number and a letter group of its words; the best must reach ``threshold`` and lead the next by ``margin``. A
     text with several houses or postcodes names none.
     """
     number = r"(?U)\bдом\s+([0-9]+[а-я]?(?:/[0-9]+[а-я]?)?)"
@@ -171,9 +171,18 @@ def match_text(texts: DataFrame, addresses: DataFrame, threshold: float = 90.0,
     types = F.array(*[F.lit(t) for t in T.STREET_TYPES])
     named = F.array_join(F.array_except(F.split(T.address_text(F.col("street")), " "), types), " ")
     known = addresses.select("id", "postal_code", T.house(F.col("house")).alias("h"), named.alias("name")).filter("name <> ''")
-    pairs = rows.join(known, "h").filter(F.col("code").isNull() | (F.col("code") == F.col("postal_code")))
     bare = F.array_join(F.filter(F.split(F.regexp_replace("norm", number, " "), " "), lambda w: ~F.array_contains(types, w) & (w != "")), " ")
-    scored = pairs.withColumn("score", likeness("name", bare)).select("text_id", F.col("id").alias("address_id"), "score")
+    # a name cut in as many parts as edits are allowed and one more has a part that no edit touches: its letter groups are asked for
+    n = F.length("name")
+    edits = F.floor((1 - threshold / 100) * 2 * n / (threshold / 100)) if threshold > 0 else n
+    known = known.withColumn("width", F.greatest(F.lit(1), F.least(F.lit(3), F.floor(n / (edits + 1)).cast("int"))))
+    groups = lambda c, w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - w + 1, F.lit(1))), lambda i: F.substr(c, i, w)))
+    known = known.withColumn("gram", F.explode(groups(F.col("name"), F.col("width"))))
+    rows = rows.withColumn("bare", bare).filter("bare <> ''")
+    asked = rows.withColumn("gram", F.explode(F.array_union(F.array_union(groups(F.col("bare"), F.lit(1)), groups(F.col("bare"), F.lit(2))), groups(F.col("bare"), F.lit(3)))))
+    pairs = asked.join(known, ["h", "gram"]).filter(F.col("code").isNull() | (F.col("code") == F.col("postal_code")))
+    pairs = pairs.select("text_id", "id", "name", "bare").distinct()
+    scored = pairs.withColumn("score", likeness("name", "bare")).select("text_id", F.col("id").alias("address_id"), "score")
     return by_margin(scored, ["text_id"], "score", threshold, margin)
 
 
@@ -251,7 +260,16 @@ def by_postcode(addresses: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def house_labels(addresses: DataFrame) -> DataFrame:
-    """How many addresses share a house's label on its street, and its place in the city's natural order."""
+    """How many addresses share a house's label on its street, and its place in the city's natural order.
+
+    A place is the number of the city's addresses with a label that comes before, which is worked out over labels, and
+    the place among those with an equal one.
+    """
     same = F.count("*").over(Window.partitionBy("city", "street", "house"))
-    place = F.row_number().over(Window.partitionBy("city").orderBy(natural_order(F.col("house")), "id"))
-    return addresses.select("id", same.alias("same"), place.cast("long").alias("place"))
+    keyed = addresses.select("id", "city", natural_order(F.col("house")).alias("k"), same.alias("same"))
+    labels = keyed.groupBy("city", "k").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("city").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    labels = labels.select(F.col("city").alias("l_city"), F.col("k").alias("l_k"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    among = keyed.withColumn("among", F.row_number().over(Window.partitionBy("city", "k").orderBy("id")))
+    placed = among.join(labels, F.col("city").eqNullSafe(F.col("l_city")) & F.col("k").eqNullSafe(F.col("l_k")))
+    return placed.select("id", "same", (F.col("before") + F.col("among")).cast("long").alias("place"))

@@ -86,24 +86,31 @@ def city_feed(events: DataFrame, addresses: DataFrame, now: Column, city: str |
 def nearby_feed(events: DataFrame, addresses: DataFrame, origins: DataFrame, now: Column, radius_m: float, user: str = "user_id") -> DataFrame:
     """For each user, current important events near one of their addresses, nearest address first.
 
-    The radius join runs on grid cells; weights know the distance, the user's own street and what is on now.
+    Places meet first: the radius join pairs addresses that have events with origins, once for all of an address's events. Weights
+    know the distance, the user's own street and what is on now. Ids and keys are deduplicated; bodies come last.
     """
-    rows = addressed(events.filter(F.col("importance").isin(1, 2) & not_expired(now) & geo_matches("nearby", F.col("geo_by"))), addresses)
-    close = near(rows, origins, radius_m).groupBy(user, "id").agg(F.min("distance").alias("distance"), F.max("same_street").alias("same_street"))
-    full = scored(rows.join(close, "id"), now, F.col("distance"), radius_m)
+    current = events.filter(F.col("importance").isin(1, 2) & not_expired(now) & geo_matches("nearby", F.col("geo_by")))
+    known = addresses.filter(F.length(F.trim("address_text")) > 0)
+    used = known.join(current.select(F.col("address_id").alias("id")).distinct(), "id", "left_semi")
+    close = near(used, origins, radius_m).groupBy(user, F.col("id").alias("address_id")).agg(F.min("distance").alias("distance"), F.max("same_street").alias("same_street"))
+    keyed = current.select(
+        "id", "address_id", "importance", "source", "source_msg_id", "geo_by", "published_at", "created_at", "active_from", "active_to",
+        F.when(F.col("source_msg_id").isNotNull(), T.sibling_key(F.col("source"), F.col("source_msg_id"))).alias("sibling"),
+        F.md5(content_key(F.col("title"), F.col("body"))).alias("content"),
+    )
+    full = scored(keyed.join(close, "address_id"), now, F.col("distance"), radius_m)
     active = R.active_now(F.col("active_from"), F.col("active_to"), now)
     full = full.withColumn("weight", R.boosted(F.col("weight"), F.col("same_street"), active))
-    return dedupe_users(full, user)
+    kept = dedupe_users(full.select(user, "id", "weight", "distance", "same_street", "sibling", "content"), user)
+    return kept.join(current, "id").join(known.withColumnRenamed("id", "address_id"), "address_id")
 
 
 def dedupe_users(df: DataFrame, user: str) -> DataFrame:
-    """dedupe_feed by distance within each user."""
+    """dedupe_feed by distance within each user, by the keys ``sibling`` and ``content``."""
     who = F.concat(F.col(user).cast("string"), F.lit("/"))
     ranked = _positioned(df).withColumn("cf_row_id", F.concat(who, F.col("id").cast("string")))
-    sibling = F.when(F.col("source_msg_id").isNotNull(), F.concat(who, T.sibling_key(F.col("source"), F.col("source_msg_id"))))
-    once = dedupe(ranked, sibling, _preference("distance"), "cf_row_id")
-    content = F.concat(who, content_key(F.col("title"), F.col("body")))
-    return dedupe(once, content, _preference("distance"), "cf_row_id").drop("cf_row_id")
+    once = dedupe(ranked, F.concat(who, "sibling"), _preference("distance"), "cf_row_id")
+    return dedupe(once.drop("sibling"), F.concat(who, "content"), _preference("distance"), "cf_row_id").drop("cf_row_id", "content")
 
 
 def cursor(weight: Column, event_id: Column) -> Column:

@@ -81,10 +81,15 @@ def priority_text(importance: Column, title: Column, body: Column) -> Column:
 
 
 def delivery_view(deliveries: DataFrame, events: DataFrame, users: DataFrame) -> DataFrame:
-    """users' own open deliveries with their events; users without a chat have none."""
-    e = events.filter(F.col("importance").isin(1, 2)).select(F.col("id").alias("event_id"), "title", "importance")
-    owners = users.select("user_id").distinct()
-    return deliveries.filter("acked_at IS NULL").join(e, "event_id").join(owners, "user_id").select("id", "title", "importance")
+    """What is shown of a delivery to who asks for it (``asked_by``, a messenger's id): nothing to others than its owner.
+
+    Users without a chat see none. An event that is of no importance by now is shown as of the first, since it was sent.
+    """
+    shown = F.when(F.col("importance").isin(1, 2), F.col("importance")).otherwise(1).alias("importance")
+    e = events.select(F.col("id").alias("event_id"), "title", F.coalesce("body", F.lit("")).alias("body"), shown)
+    owners = users.filter(F.col("chat_id").isNotNull()).select("user_id", "max_user_id", "chat_id")
+    own = deliveries.join(owners, "user_id").filter(F.col("asked_by") == F.col("max_user_id"))
+    return own.join(e, "event_id").select("id", "user_id", "max_user_id", "chat_id", "title", "body", "importance")
 
 
 def chat_addresses(members: DataFrame) -> DataFrame:

@@ -131,14 +131,14 @@ def offset_page(rows: DataFrame, order: list[str], page: int, size: int) -> Data
 
 
 def numbered_page(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """Page ``page`` (from 1, the nearest there is) of a short list, with each row's number in all of it as ``n``.
+    """Page ``page`` (from 1, the nearest there is) of a list, with each row's number in all of it as ``n``.
 
-    The list is what one person pages through, such as a city's addresses in a menu; it is numbered in one task.
+    Only the rows up to the page's end are sorted out of each task and numbered.
     """
     last = max(1, -(-rows.count() // size))
-    first = (min(max(page, 1), last) - 1) * size
+    end = min(max(page, 1), last) * size
     n = F.row_number().over(Window.orderBy(*order)).cast("long")
-    return rows.withColumn("n", n).filter((F.col("n") > first) & (F.col("n") <= first + size))
+    return rows.orderBy(*order).limit(end).withColumn("n", n).filter(F.col("n") > end - size)
 
 
 def counts_by(rows: DataFrame, keys: list[str], **tests: Column) -> DataFrame:

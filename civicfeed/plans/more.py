@@ -75,11 +75,14 @@ def j14_by_postcode(spark, sf_dir):
     return addresses.by_postcode(table(spark, sf_dir, "addresses"), texts).select("id", "address_text")
 
 
-@_R.add(with_tables(f""" SELECT d.id, e.title, e.importance FROM deliveries d JOIN city_events e ON e.id = d.event_id JOIN (SELECT DISTINCT user_id FROM members WHERE chat_type = 'chat') u ON u.user_id = d.user_id
-    WHERE acked_at IS NULL AND e.importance IN (1, 2)""", "city_events", "deliveries", "members"))
+@_R.add(with_tables(""" SELECT d.id, d.user_id, u.chat_id, e.title, e.body, CASE WHEN e.importance IN (1, 2) THEN e.importance ELSE 1 END AS importance
+    FROM deliveries d JOIN city_events e ON e.id = d.event_id JOIN (SELECT user_id, min(CASE WHEN chat_type = 'chat' THEN chat_id END) AS chat_id FROM members GROUP BY user_id) u ON u.user_id = d.user_id
+    WHERE u.chat_id IS NOT NULL AND d.user_id % 2 = 0""", "city_events", "deliveries", "members"))
 def j16_delivery_view(spark, sf_dir):
-    users = table(spark, sf_dir, "members").filter("chat_type = 'chat'")
-    return notify.delivery_view(table(spark, sf_dir, "deliveries"), table(spark, sf_dir, "city_events"), users)
+    """What is shown of deliveries that users ask for; odd users ask for the deliveries of the user before them and get none."""
+    users = table(spark, sf_dir, "members").groupBy("user_id").agg(F.min(F.when(F.col("chat_type") == "chat", F.col("chat_id"))).alias("chat_id"))
+    asked = table(spark, sf_dir, "deliveries").withColumn("asked_by", F.col("user_id") - F.col("user_id") % 2)
+    return notify.delivery_view(asked, table(spark, sf_dir, "city_events"), users.withColumn("max_user_id", F.col("user_id"))).drop("max_user_id")
 
 
 @_R.add(with_tables(" SELECT user_id, chat_id, (SELECT min(address_id) FROM members x WHERE x.chat_id = m.chat_id) AS address_id, count(*) AS n FROM members m GROUP BY user_id, chat_id", "members"))
@@ -132,7 +135,8 @@ def l4_keyset_page(spark, sf_dir):
     return records.keyset_page(table(spark, sf_dir, "city_events"), "id", 500, 100).select("id", "source")
 
 
-@_R.add(with_tables(" SELECT n, id FROM (SELECT row_number() OVER (ORDER BY lower(address_text), id) AS n, id FROM addresses WHERE city = 'NATION_5') x WHERE n BETWEEN 11 AND 20", "addresses"))
+@_R.add(with_tables(""" SELECT n, id FROM (SELECT row_number() OVER (ORDER BY lower(address_text), id) AS n, id, least(2, greatest(1, ceil(count(*) OVER () / 10))) AS page
+    FROM addresses WHERE city = 'NATION_5') x WHERE n > 10 * (page - 1) AND n <= 10 * page""", "addresses"))
 def l9_page_by_number(spark, sf_dir):
     a = table(spark, sf_dir, "addresses").filter("city = 'NATION_5'")
     return records.numbered_page(a, [F.lower("address_text"), F.col("id")], 2, 10).select("n", "id")
