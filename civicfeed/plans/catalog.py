@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cases, chats, feeds, more, pages, records, texts
+from . import cases, chats, corpus, feeds, more, pages, records, texts
 
 FLAGSHIP = "c13_city_feed"
 
-QUERIES = cases.QUERIES | chats.QUERIES | feeds.QUERIES | more.QUERIES | pages.QUERIES | records.QUERIES | texts.QUERIES
-ORACLE_SQL = cases.ORACLE_SQL | chats.ORACLE_SQL | feeds.ORACLE_SQL | more.ORACLE_SQL | pages.ORACLE_SQL | records.ORACLE_SQL | texts.ORACLE_SQL
+QUERIES = cases.QUERIES | chats.QUERIES | corpus.QUERIES | feeds.QUERIES | more.QUERIES | pages.QUERIES | records.QUERIES | texts.QUERIES
+ORACLE_SQL = cases.ORACLE_SQL | chats.ORACLE_SQL | corpus.ORACLE_SQL | feeds.ORACLE_SQL | more.ORACLE_SQL | pages.ORACLE_SQL | records.ORACLE_SQL | texts.ORACLE_SQL

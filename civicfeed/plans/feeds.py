@@ -227,6 +227,33 @@ def c9_relation(spark, sf_dir):
     return best.select("draft_id", "best_id", F.round(score, 6).alias("score"), dedup.action(score, hint, 0.40, 0.30).alias("action"))
 
 
+BATCH_SQL = """WITH RECURSIVE rows AS (SELECT vec_id AS id, vec_id % 3 = 0 AS is_event, CASE WHEN vec_id % 5 <> 0 THEN label END AS address_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    numbered AS (SELECT *, row_number() OVER (ORDER BY id) AS turn FROM rows WHERE NOT is_event),
+    pairs AS (SELECT d.id AS d, o.id AS o, round(list_cosine_similarity(d.v, o.v), 9) AS score FROM numbered d JOIN rows o
+        ON (o.is_event OR o.id < d.id) AND (d.address_id IS NULL OR o.address_id IS NULL OR d.address_id = o.address_id)
+        WHERE round(list_cosine_similarity(d.v, o.v), 9) >= 0.30),
+    blocking AS (SELECT d, list(o) AS os FROM pairs WHERE score >= 0.35 GROUP BY d),
+    turns AS (SELECT turn, id, coalesce(os, []::BIGINT[]) AS os FROM numbered LEFT JOIN blocking ON d = id),
+    steps(turn, made) AS (
+        SELECT 0::BIGINT, (SELECT list(id) FROM rows WHERE is_event)
+        UNION ALL SELECT t.turn, CASE WHEN list_has_any(s.made, t.os) THEN s.made ELSE list_append(s.made, t.id) END FROM steps s JOIN turns t ON t.turn = s.turn + 1),
+    made AS (SELECT unnest(made) AS o FROM (SELECT made FROM steps ORDER BY turn DESC LIMIT 1)),
+    best AS (SELECT d, max(score) AS score, max_by(o, (score, o)) AS o FROM pairs JOIN made USING (o) GROUP BY d)
+SELECT n.id, CASE WHEN n.id IN (SELECT o FROM made) THEN 'new' WHEN score >= 0.40 THEN 'duplicate' ELSE 'update' END AS action,
+    CASE WHEN n.id IN (SELECT o FROM made) THEN -1 ELSE o END AS match_id, round(score, 6) AS score
+FROM numbered n LEFT JOIN best ON d = n.id"""
+
+
+@_R.add(BATCH_SQL)
+def c11_batch_order(spark, sf_dir):
+    """Two thirds of all vectors as drafts of one batch, each decided after those before it; the others are events."""
+    v = source(spark, sf_dir, "embeddings")
+    absent = [F.lit(None).cast("string").alias(c) for c in ("source", "source_msg_id", "title", "body")]
+    rows = v.select(F.col("vec_id").alias("id"), *absent, F.when(F.col("vec_id") % 5 != 0, F.col("label")).alias("address_id"), F.col("embedding").alias("v"))
+    decided = dedup.resolve_batch(rows.filter("id % 3 <> 0"), rows.filter("id % 3 = 0"), 0.40, 0.30)
+    return decided.select("id", "action", F.coalesce("match_id", F.lit(-1)).alias("match_id"), F.round("score", 6).alias("score"))
+
+
 @_R.add(f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, round({_cos('a.embedding', 'b.embedding')}, 9) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def v1_cosine(spark, sf_dir):
     v = source(spark, sf_dir, "embeddings").select("vec_id", "embedding")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import date
 
 from pyspark.sql import functions as F
 
 from ..operators import addresses, boundaries, candidates, dedup, evaluate, labels, members, notify, records
-from ..sources import cursors
 from .overlay import NOW, source, table, with_tables
 from .registry import Registry
 
@@ -212,12 +210,6 @@ def d8_bounds(spark, sf_dir):
     return e.select("id", labels.bounds(F.col("created_at"), F.col("id") % 5, F.col("id") % 7).alias("b")).select("id", "b.*")
 
 
-@_R.add("SELECT 'd' || i AS day FROM (SELECT strftime(TIMESTAMP '2024-01-31' - to_days(CAST(i AS INTEGER)), '%Y-%m-%d') AS i FROM range(31) r(i)) x")
-def d5_days_backward(spark, sf_dir):
-    days = cursors.days_back(spark, date(2024, 1, 31), date(2024, 1, 1))
-    return days.select(F.concat(F.lit("d"), F.date_format("day", "yyyy-MM-dd")).alias("day"))
-
-
 DRAFTS = """ , d AS (SELECT id, source, CASE WHEN id % 40 = 0 THEN 'draft:' || id ELSE 'known:' || (id + 1) END AS source_msg_id, address_id, id % 7 + 1 AS x, id % 11 AS y, id % 13 AS z FROM city_events WHERE id % 20 = 0),
     e AS (SELECT id, CASE WHEN id % 20 = 1 THEN (SELECT source FROM city_events p WHERE p.id = c.id - 1) ELSE source END AS source, 'known:' || id AS source_msg_id, CASE WHEN id % 9 <> 0 THEN address_id END AS address_id, id % 7 + 1 AS x, id % 11 AS y, id % 13 AS z FROM city_events c WHERE id % 20 <> 0),
     same AS (SELECT d.id, max(e.id) AS same_id FROM d JOIN e USING (source, source_msg_id) GROUP BY d.id),

@@ -76,3 +76,9 @@ def days_back(spark: SparkSession, today: date, since: date) -> DataFrame:
     """The days from one back to another, the latest first."""
     days = F.sequence(F.lit(today), F.lit(since), F.expr("interval -1 day"))
     return spark.range(1).select(F.explode(days).alias("day"))
+
+
+def days_between(ranges: DataFrame) -> DataFrame:
+    """D5 of a column: (day, place) for each row of today and since, the latest day first; place counts from 1."""
+    days = ranges.select(F.posexplode(F.sequence("today", "since", F.expr("interval -1 day"))).alias("i", "day"))
+    return days.select("day", (F.col("i") + 1).cast("long").alias("place"))

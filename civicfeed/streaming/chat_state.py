@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,3 +103,44 @@ def high_water(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpo
         write(batch.dropDuplicates(keys).join(existing().select(*keys).distinct(), keys, "left_anti"), batch_id)
 
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def near_duplicates(drafts: DataFrame, duplicate: float, days: int = 30, late: str = "1 hour") -> DataFrame:
+    """ST9: drafts (id, address_id, v, ts) with match_id, the live event of their address that they repeat, null for new events.
+
+    A draft that is like no event of its address since ``days`` days before it becomes one. Drafts without an address
+    are a lane of their own. State has the ids, times and vectors of a lane's live events and drops each once the watermark
+    or a later draft has passed its horizon; a lane without live events has no state. Drafts of one batch come by time, then id;
+    the best match is the most similar, then the one of the higher id.
+    """
+    horizon = days * 86_400.0
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ids, times, flat = (list(x) for x in state.get) if state.exists else ([], [], [])
+        mark = state.getCurrentWatermarkMs() / 1000 - horizon
+        live = [i for i, t in enumerate(times) if t >= mark]
+        width = len(flat) // len(ids) if ids else 0
+        events = [(ids[i], times[i], np.array(flat[i * width : (i + 1) * width])) for i in live]
+        if not state.hasTimedOut:
+            for f in frames:
+                found = []
+                for n, v, t in f.sort_values(["ts", "id"])[["id", "v", "ts"]].itertuples(index=False):
+                    at, x = t.timestamp(), np.asarray(v, float)
+                    x = x / max(float(np.linalg.norm(x)), 1e-12)
+                    scores = [(round(float(x @ e[2]), 9), e[0]) for e in events if e[1] >= at - horizon]
+                    best = max(scores, default=(-2.0, None))
+                    if best[0] >= duplicate:
+                        found.append((n, best[1], best[0]))
+                    else:
+                        events.append((n, at, x))
+                        found.append((n, None, None))
+                yield pd.DataFrame({"id": [r[0] for r in found], "match_id": pd.array([r[1] for r in found], "Int64"), "score": pd.array([r[2] for r in found], "Float64")})
+        if not events:
+            if state.exists:
+                state.remove()
+            return
+        state.update(([e[0] for e in events], [e[1] for e in events], np.concatenate([e[2] for e in events]).tolist()))
+        state.setTimeoutTimestamp(max(int((min(e[1] for e in events) + horizon) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+
+    lanes = drafts.select("id", F.coalesce(F.col("address_id").cast("long"), F.lit(-1).cast("long")).alias("lane"), F.col("v").cast("array<double>").alias("v"), "ts").withWatermark("ts", late)
+    return lanes.groupBy("lane").applyInPandasWithState(step, "id long, match_id long, score double", "ids array<long>, times array<double>, v array<double>", "append", GroupStateTimeout.EventTimeTimeout)
