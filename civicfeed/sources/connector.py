@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import importlib
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import date
 from pathlib import Path
+from urllib.parse import quote
 
+from pyarrow import fs as pafs
 from pyspark.errors import PySparkNotImplementedError
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
@@ -30,11 +33,37 @@ def local_pages(options: dict[str, str], cursor: str) -> list[dict]:
 
 
 def fetch(options: dict[str, str], listing: str) -> list[dict]:
-    """The rows of a listing, by the function that the options name."""
+    """The rows of a listing, by the function that the options name; from the log if they are there."""
+    if "log" in options:
+        return logged(options, listing)
     module, _, name = options.get("fetch", f"{__name__}:local_pages").partition(":")
     return getattr(importlib.import_module(module), name)(options, listing)
 
 
+def logged(options: dict[str, str], listing: str) -> list[dict]:
+    """``fetch`` through a log: what is fetched first is written before it is used, and from then on is what the listing says.
+
+    So a batch that is replayed has the rows that it had, whatever the page has become. ``log`` is a folder that driver and
+    executors share (a path or a URI of file, hdfs, s3 or gs). Writers write apart and rename; of two at once the
+    rows that are there after the rename hold for both.
+    """
+    uri = options["log"].rstrip("/")
+    fs, root = pafs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (pafs.LocalFileSystem(), uri)
+    path = f"{root}/{options.get('source_key', 'pages')}/{quote(listing, safe='')}.jsonl"
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        rows = fetch({k: v for k, v in options.items() if k != "log"}, listing)
+        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        apart = f"{path}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(apart) as out:
+            out.write("".join(json.dumps(r) + "\n" for r in rows).encode())
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            fs.move(apart, path)
+        else:
+            fs.delete_file(apart)
+    with fs.open_input_stream(path) as f:
+        return [json.loads(x) for x in f.read().decode().splitlines()]
+
+
 def tuples(options: dict[str, str], rows: list[dict]) -> Iterator[tuple]:
     """Rows in the order of SCHEMA, less those that were published before ``since``."""
     since, key = options.get("since", ""), options.get("source_key")
@@ -52,7 +81,8 @@ class ArticleSource(DataSource):
     """``spark.readStream.format("articles")``, after ``spark.dataSource.register(ArticleSource)``.
 
     Options: source_key; walk (by default that of the source); since and today (ISO dates); fetch, "module:function" of
-    (options, cursor) to rows, by default files under path. Days and months are known beforehand: all that are due are
+    (options, cursor) to rows, by default files under path; log, a shared folder in which fetched rows are kept, so that a
+    replayed batch is what it was and nothing is fetched twice. Days and months are known beforehand: all that are due are
     one micro-batch, a task for each listing. Pages, ids and sitemaps are read one listing a batch, since what one has
     decides about the next. Rows from before ``since`` are left out, and listings that have nothing else end a walk.
     """
