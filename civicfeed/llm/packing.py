@@ -9,6 +9,7 @@ items that remain fill sequences one by one. Then items are ranked within their
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 
@@ -195,11 +196,15 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, key: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_coder(tokenizer, end_id, dtype, False)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                coded = coder.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(c) // width for c in coded], pa.int64()), pa.array(coded, pa.binary())], names=["doc", "n", "ids"])
+        gc.disable()  # no cycles arise here, and the word tables are large
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    coded = coder.encode(part.column(1).to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(c) // width for c in coded], pa.int64()), pa.array(coded, pa.binary())], names=["doc", "n", "ids"])
+        finally:
+            gc.enable()
 
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc long, n long, ids binary").withColumn("row", F.monotonically_increasing_id())
@@ -288,18 +293,21 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                out: dict[str, list] = {c: [] for c in ("doc", "start", "length", "ids", "n", "sequence_id", "offset")}
-                for r in batch.slice(at, 256).to_pylist():
-                    ids = np.frombuffer(r["ids"], f"<u{width}").astype("<u4")
-                    pieces = [(i * size, size, (r["full"] + i) * step, 0) for i in range(r["n"] // size)] if r["full"] is not None else []
-                    pieces += [(e["start"], e["length"], e["sequence_id"], e["offset"]) for e in r["ends"] or []]
-                    for start, length, sequence, offset in pieces:
-                        values = (r["doc"], start, length, ids[start : start + length].tobytes(), r["n"], sequence, offset)
-                        for c, x in zip(out, values, strict=True):
-                            out[c].append(x)
-                kinds = {c: pa.binary() if c == "ids" else pa.int64() for c in out}
-                yield pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in out.items()], names=list(out))
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                which, rows = [], []
+                for i, (n, full, ends) in enumerate(zip(*(part.column(c).to_pylist() for c in (1, 3, 4)), strict=True)):
+                    pieces = [(j * size, size, (full + j) * step, 0) for j in range(n // size)] if full is not None else []
+                    pieces += sorted((e["start"], e["length"], e["sequence_id"], e["offset"]) for e in ends or [])
+                    which += [i] * len(pieces)
+                    rows += pieces
+                start, length, sequence, offset = np.array(rows, np.int64).reshape(-1, 4).T
+                # pieces in order hold all ids in order, so their ids are those of the batch with other bounds
+                ids = np.frombuffer(b"".join(part.column(2).to_pylist()), f"<u{width}").astype("<u4")
+                bounds = np.concatenate([[0], np.cumsum(length * 4)]).astype("<i4")
+                cut = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
+                doc, n = (part.column(c).take(pa.array(which, pa.int64())) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([doc, *map(pa.array, (start, length)), cut, n, *map(pa.array, (sequence, offset))], names=["doc", "start", "length", "ids", "n", "sequence_id", "offset"])
 
     joined = coded.join(plan, "row").select("doc", "n", "ids", "full", "ends")
     cut = joined.mapInArrow(run, "doc long, start long, length long, ids binary, n long, sequence_id long, offset long")

@@ -23,6 +23,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -261,7 +262,8 @@ class WordCoder:
         self.seen.turn()
         self.parts.turn()
         split = [words(t) for t in texts]
-        new = set().union(*split).difference(self.seen)
+        # not by set.difference, which goes through all of a dictionary that is of a class of its own
+        new = set(filterfalse(self.seen.__contains__, set().union(*split)))
         if new:
             self._learn(self.seen.absent(new))
         get = self.seen.__getitem__
