@@ -148,17 +148,15 @@ class LabelModel:
         return 1 / (1 + F.exp(-odds))
 
 
-def fit_em(votes: np.ndarray, counts: np.ndarray, beliefs: np.ndarray, rounds: int = 200) -> LabelModel:
-    """Expectation-maximisation over vote patterns (rows of -1, 0, 1) and how many documents have each.
+def starts(votes: np.ndarray) -> list[np.ndarray]:
+    """What EM may begin with, as P(good) of each pattern: the majority of its votes, any bad vote, several, each rule alone."""
+    bad, good = (votes == -1).sum(1), (votes == 1).sum(1)
+    each = [votes[:, i] == -1 for i in range(votes.shape[1])]
+    return [np.where(x, 0.1, 0.9) for x in (bad > good, bad > 0, bad > 1, *each)]
 
-    Estimated are the share of good documents and, for good and for bad ones, how often each rule votes bad,
-    abstains and votes good (``beliefs``: rules x 2 x 3, BELIEF documents strong). So a rule that never votes good
-    has accuracies like any other: its bad votes and its abstentions are each set against the two classes. A document
-    starts as bad if any rule votes bad. Rules are no worse than chance: a bad vote never speaks for a
-    document, a good one never against it. Without documents the prior is one half and the beliefs decide.
-    """
-    seen = np.stack([votes == -1, votes == 0, votes == 1], 2).astype(float)  # patterns, rules, outcomes
-    good = np.where((votes == -1).any(1), 0.1, 0.9)
+
+def _em(seen: np.ndarray, counts: np.ndarray, beliefs: np.ndarray, good: np.ndarray, rounds: int) -> tuple[float, LabelModel]:
+    """The model that EM reaches from P(good) of each pattern, and its log likelihood with that of its beliefs."""
     for _ in range(rounds):
         weight = np.stack([good * counts, (1 - good) * counts])
         prior = (weight[0].sum() + 1) / (counts.sum() + 2)
@@ -174,7 +172,26 @@ def fit_em(votes: np.ndarray, counts: np.ndarray, beliefs: np.ndarray, rounds: i
         good = new
         if change < 1e-9:
             break
-    return LabelModel(float(prior), tuple(tuple(map(float, a)) for a in adds))
+    logs = np.log(np.where(share > 0, share, 1))
+    by_class = np.einsum("prs,rcs->cp", seen, logs) + np.log([prior, 1 - prior])[:, None]
+    fits = float(counts @ np.logaddexp(*by_class)) + BELIEF * float((beliefs * logs).sum())
+    return fits, LabelModel(float(prior), tuple(tuple(map(float, a)) for a in adds))
+
+
+def fit_em(votes: np.ndarray, counts: np.ndarray, beliefs: np.ndarray, rounds: int = 200) -> LabelModel:
+    """Expectation-maximisation over vote patterns (rows of -1, 0, 1) and how many documents have each.
+
+    Estimated are the share of good documents and, for good and for bad ones, how often each rule votes bad,
+    abstains and votes good (``beliefs``: rules x 2 x 3, BELIEF documents strong). So a rule that never votes good
+    has accuracies like any other: its bad votes and its abstentions are each set against the two classes. EM runs from
+    several ``starts``; the model that explains the votes best is taken, the first among equals. So a rule that others
+    do not bear out weighs little, and its lone bad vote does not decide. Rules are no worse than chance: a bad vote never
+    speaks for a document, a good one never against it. Without documents the prior is one half and the beliefs decide.
+    """
+    seen = np.stack([votes == -1, votes == 0, votes == 1], 2).astype(float)  # patterns, rules, outcomes
+    tried = [_em(seen, counts, beliefs, good, rounds) for good in starts(votes)]
+    best = max(fits for fits, _ in tried)
+    return next(model for fits, model in tried if fits >= best - 1e-6 * abs(best))
 
 
 def text_features(df: DataFrame, text: str = "text") -> DataFrame:
