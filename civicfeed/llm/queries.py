@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, byte_bpe, hard_negatives, language, lexical, mixing, near_dup, packing, quality_crf, suffix_tree, token_store, toxicity
-from .common import table, train_bucket
+from .common import clear, table, train_bucket  # noqa: F401
 from .quality_rules import quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
