@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,10 +85,47 @@ def prefix_groups(values: DataFrame, name: str, longest: int = 4, groups: tuple[
 
 
 def capped_classes(df: DataFrame, label: str, trust: str, key: str, most: int, seed: int = 7) -> DataFrame:
-    """At most ``most`` rows of each class, of the sources that are trusted first, by a seeded hash within a source; ``n`` is their place."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(trust, order)).cast("long")
-    return df.withColumn("n", place).filter(F.col("n") <= most)
+    """At most ``most`` rows of each class, of the sources that are trusted first, by a seeded hash within a source; ``n`` is their place.
+
+    A source's rows of a class are in 4,096 slices by the head of their hash. Counts of slices say which of them a class's
+    places begin in; only these slices' rows are numbered, each slice on its own.
+    """
+    slot = ("cf_label", "cf_trust", "cf_slice")
+    hashed = df.withColumn("cf_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")))
+    rows = hashed.withColumns({"cf_label": F.col(label), "cf_trust": F.col(trust), "cf_slice": F.left("cf_hash", F.lit(3))})
+    before = Window.partitionBy("cf_label").orderBy("cf_trust", "cf_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*slot).count().withColumn("cf_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    sizes = sizes.filter(F.col("cf_before") < most).select("cf_before", *[F.col(c).alias(f"{c}_") for c in slot])
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in slot]
+    within = F.row_number().over(Window.partitionBy(*slot).orderBy("cf_hash"))
+    placed = rows.join(sizes, same[0] & same[1] & same[2]).withColumn("n", (F.col("cf_before") + within).cast("long"))
+    return placed.filter(F.col("n") <= most).drop("cf_hash", "cf_before", *slot, *[f"{c}_" for c in slot])
+
+
+def training_set(sources: Sequence[tuple[str, DataFrame]], decide: Callable[[Column], Column], most: int, share: float, least: float = 0.5, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """A training set from texts of several sources, the most trusted first, and its report.
+
+    Each text (column ``text``) is decided (importance, disaster_flag, confidence, reason); decisions under ``least``
+    are left out. Of equal texts the first source's counts; each class gets at most ``most`` texts, exactly so many if it has
+    them; a seeded hash parts them into train and valid. Rows: text, source, importance, disaster_flag, reason, part. The report
+    (outcome, source, importance, part, n) has what was taken, was over its class's quota (capped) or was skipped, by reason.
+    """
+    tagged = [df.select("text", F.lit(name).alias("source"), F.lit(i).alias("cf_rank")) for i, (name, df) in enumerate(sources)]
+    both = tagged[0]
+    for more in tagged[1:]:
+        both = both.unionByName(more)
+    decided = both.filter(F.col("text").isNotNull()).withColumn("d", decide(F.col("text"))).select("text", "source", "cf_rank", "d.*")
+    sure = F.col("confidence") >= least
+    words = F.lower(F.trim("text")).alias("cf_key")
+    first = decided.filter(sure).groupBy(words).agg(F.min_by(F.struct("text", "source", "cf_rank", "importance", "disaster_flag", "reason"), F.struct("cf_rank", "text")).alias("x")).select("x.*")
+    kept = split(capped_classes(first, "importance", "cf_rank", "text", most, seed), "text", share, seed)
+    rows = kept.select("text", "source", "importance", "disaster_flag", "reason", "part")
+    taken = kept.groupBy("source", "importance", "part").count().select(F.lit("taken").alias("outcome"), "source", "importance", "part", F.col("count").alias("n"))
+    had = first.groupBy("source", "importance").agg(F.count("*").alias("had")).join(kept.groupBy("source", "importance").agg(F.count("*").alias("got")), ["source", "importance"], "left")
+    over = had.withColumn("n", F.col("had") - F.coalesce("got", F.lit(0))).filter("n > 0").select(F.lit("capped").alias("outcome"), "source", "importance", F.lit("").alias("part"), "n")
+    skipped = decided.filter(~sure).groupBy("source", "reason").agg(F.count("*").alias("n"))
+    skipped = skipped.select(F.concat(F.lit("skipped:"), "reason").alias("outcome"), "source", F.lit(0).alias("importance"), F.lit("").alias("part"), "n")
+    return rows, taken.unionByName(over).unionByName(skipped)
 
 
 def bound_counts(df: DataFrame, start: str = "active_from", end: str = "active_to") -> DataFrame:

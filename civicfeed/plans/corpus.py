@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import digest
+from ..operators import digest, labels
 from ..sources import pages as P
 from ..sources.cursors import days_between
 from .overlay import NOW, source, table, with_tables
@@ -115,3 +115,22 @@ def c22_digest_cycle(spark, sf_dir):
     now = F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_LTZ"))
     done = digest.outcomes(chats, messages, now, 30, 2, 0)
     return done.select("chat_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "sent", F.coalesce("last_message_id", F.lit(0)).alias("last_message_id"), C("last_message_at").cast("timestamp_ntz").alias("last_message_at"))
+
+
+DECIDED = r"""WITH d AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
+    r AS (SELECT text, doc_id % 3 AS k, CASE WHEN length(t) < 12 THEN 3 WHEN lower(t) LIKE '%ung%' THEN 1 WHEN lower(t) LIKE '%ción%' THEN 2 ELSE 3 END AS importance,
+        CASE WHEN length(t) < 12 THEN 'too_short' WHEN lower(t) LIKE '%ung%' THEN 'cat1:ung' WHEN lower(t) LIKE '%ción%' THEN 'cat2:cion' ELSE 'default_info' END AS reason FROM d),
+    f AS (SELECT lower(trim(text)) AS key, min_by({'text': text, 'k': k, 'importance': importance}, {'k': k, 'text': text}) AS x FROM r WHERE reason <> 'too_short' GROUP BY 1),
+    p AS (SELECT x.text AS text, x.k AS k, x.importance AS importance, row_number() OVER (PARTITION BY x.importance ORDER BY x.k, md5('1:' || x.text)) AS n FROM f),
+    g AS (SELECT *, CASE WHEN n > 120 THEN '' WHEN ('0x' || left(md5('1:' || text), 8))::BIGINT < 858993459 THEN 'valid' ELSE 'train' END AS part FROM p)
+    SELECT CASE WHEN n > 120 THEN 'capped' ELSE 'taken' END AS outcome, ['gold', 'chat', 'web'][k + 1] AS source, importance, part, count(*) AS n FROM g GROUP BY ALL
+    UNION ALL SELECT 'skipped:too_short', ['gold', 'chat', 'web'][k + 1], 0, '', count(*) FROM r WHERE reason = 'too_short' GROUP BY ALL"""
+
+
+@_R.add(DECIDED)
+def c26_training_set(spark, sf_dir):
+    """The report of a training set from all documents: three sources, rules by letters, 120 texts of a class."""
+    d = source(spark, sf_dir, "documents")
+    rules = [("cat1:ung", "ung", 1, True, 0.92), ("cat2:cion", "ción", 2, False, 0.9)]
+    sources = [(name, d.filter(C("doc_id") % 3 == k)) for k, name in enumerate(("gold", "chat", "web"))]
+    return labels.training_set(sources, lambda text: labels.first_rule(text, rules, (3, False, 0.75)), 120, 0.2)[1]
