@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..functions.likeness import indel_ratio, weighted_ratio
+from .lineage import saved
 from .records import by_margin, split_conflicts
 
 
@@ -23,9 +24,12 @@ def hierarchy(addresses: DataFrame, postal_code: str | None = None) -> DataFrame
 
 
 def street_entries(addresses: DataFrame) -> DataFrame:
-    """One row for each street of each city: its least address id and the keys under which it is found."""
-    streets = addresses.filter(F.col("street").isNotNull()).groupBy("city", "street").agg(F.min("id").alias("pin_id"))
-    return streets.withColumn("keys", T.alias_keys(F.col("street")))
+    """One row for each street of each city: its least address id and the keys under which it is found.
+
+    The keys are those of an aggregate and not of a grouping column: else filters on them go down to every address.
+    """
+    streets = addresses.filter(F.col("street").isNotNull()).groupBy("city", "street").agg(F.min("id").alias("pin_id"), F.max("street").alias("keys"))
+    return streets.withColumn("keys", T.alias_keys(F.col("keys")))
 
 
 def _pieces(key: Column, n: int, first_only: bool = False) -> Column:
@@ -49,10 +53,12 @@ def lookup(hints: DataFrame, addresses: DataFrame, least: float = 82.0, margin:
     equal keys, most of them first; keys of four letters or more that contain one another, the longest shared first;
     the likeness of the longest key to each street's own longest key, if ``least`` is reached and the next is
     ``margin`` behind. Keys that contain one another share the first four letters of the shorter one, and like ones
-    three letters in a row, so that both steps are equi joins.
+    three letters in a row, so that both steps are equi joins. Hints of one text are looked up once.
     """
-    entries = street_entries(addresses)
-    asked = hints.select("hint_id", T.alias_keys(F.col("hint")).alias("keys")).filter(F.size("keys") > 0)
+    entries = saved(street_entries(addresses))
+    # up to the houses a hint is its text
+    asked = hints.groupBy(F.col("hint").alias("hint_id")).agg(F.max("hint").alias("keys"))
+    asked = saved(asked.withColumn("keys", T.alias_keys(F.col("keys")))).filter(F.size("keys") > 0)
     flat = lambda df: df.select("hint_id", F.explode("keys").alias("key"))
     known = entries.select("pin_id", F.explode("keys").alias("known"))
 
@@ -86,7 +92,7 @@ def lookup(hints: DataFrame, addresses: DataFrame, least: float = 82.0, margin:
 
     sure = lambda df: df.filter("alone").select("hint_id", "pin_id", F.lit(100.0).alias("score"))
     found = sure(exact).unionByName(sure(contained)).unionByName(fuzzy.withColumn("score", F.lit(100.0)))
-    hit = found.join(hints.select("hint_id", "house"), "hint_id").join(entries.select("pin_id", "city", "street"), "pin_id")
+    hit = found.withColumnRenamed("hint_id", "hint").join(hints.select("hint_id", "hint", "house"), "hint").drop("hint").join(entries.select("pin_id", "city", "street"), "pin_id")
     keyed = hit.withColumns({"h": T.house_keys(F.col("house"))}).select("*", F.posexplode_outer("h").alias("turn", "hk"))
     houses = addresses.select("city", "street", F.col("id").alias("address_id"), F.explode(T.house_keys(F.col("house"))).alias("hk")).groupBy("city", "street", "hk").agg(F.min("address_id").alias("address_id"))
     at = keyed.join(houses, ["city", "street", "hk"], "left")
