@@ -238,13 +238,13 @@ def prepare(rows: DataFrame, bounds: DataFrame, points: DataFrame) -> tuple[Data
     """(accepted, rejected, report) of address rows (source_key, address_text, city, street, house, lat, lon, postal_code, is_private).
 
     Texts whose rows disagree are rejected whole; the others get the district that they lie in, and where they have no
-    postcode that of the one register point at their house. The report is one row of counts.
+    postcode that of the one register point at their house. ``n`` counts an accepted text's rows. The report is one row of counts.
     """
     from . import geo
 
     compared = ["city", "street", "house", "lat", "lon", "postal_code", "is_private"]
     agree, rejected = split_conflicts(rows, "address_text", compared, "source_key")
-    placed = geo.districts(agree.drop("n").withColumn("id", F.xxhash64("address_text")), bounds)
+    placed = geo.districts(agree.withColumn("id", F.xxhash64("address_text")), bounds)
     codes = match_postcodes(placed.filter("postal_code IS NULL"), points).select("id", "gar_guid", F.col("postal_code").alias("cf_code"))
     accepted = placed.join(codes, "id", "left").withColumn("postal_code", F.coalesce("postal_code", "cf_code")).drop("cf_code", "id")
     given = accepted.agg(F.count("*").alias("accepted"), F.count("gar_guid").alias("filled"), F.count_if(F.col("postal_code").isNull()).alias("missing"))
