@@ -1,11 +1,13 @@
 """Work that must not grow with copies: distinct texts, places and vectors are worked on once."""
 
+import math
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from civicfeed.functions import text as T
-from civicfeed.operators import address_search
+from civicfeed.operators import address_search, corpus, dedup, geo, notify
 from civicfeed.operators import addresses as A
 from civicfeed.plans import catalog, overlay
 
@@ -74,3 +76,64 @@ def test_pairs_meet_by_key(spark, sf_dir):
     plan = spark._jvm.PythonSQLUtils.explainString(pairs._jdf.queryExecution(), "simple")
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert rows(pairs.toPandas()) == rows(duck(sf_dir).sql(overlay.SQL["pairs"]).df())
+
+
+def test_nearest_at_shared_places(spark, monkeypatch):
+    # 40 points at each of 9 places, 40 origins at one: distances are of places
+    seen, count = counted(spark, "double")
+    own = geo.R.haversine
+    monkeypatch.setattr(geo.R, "haversine", lambda *at: count(own(*at)))
+    spots = [(55.7 + i / 1000, 37.6 + j / 1000) for i in range(3) for j in range(3)]
+    points = spark.createDataFrame([(n * 9 + s, *spots[s], "x") for n in range(40) for s in range(9)], "id long, lat double, lon double, street string")
+    origins = spark.createDataFrame([(n, *spots[4], "x") for n in range(40)], "origin_id long, o_lat double, o_lon double, o_street string")
+    got = {(r.origin_id, r["rank"]): r.id for r in geo.nearest(points, origins, 45, 2000.0).collect()}
+    d2 = lambda s: (spots[s][0] - spots[4][0]) ** 2 + ((spots[s][1] - spots[4][1]) * math.cos(math.radians(spots[4][0]))) ** 2
+    want = [i for _, i in sorted((d2(i % 9), i) for i in range(360))][:45]
+    assert all([got[n, k + 1] for k in range(40)] == want[:40] for n in range(40)) and len(got) == 40 * 45
+    assert geo.near(points, origins, 2000.0).count() == 360 * 40
+    assert seen.value <= 40
+
+
+def test_circles_of_a_place_once(spark):
+    rows_ = spark.createDataFrame([(1, 55.7, 37.6), (2, 55.7, 37.6), (3, None, 37.6)], "id long, lat double, lon double")
+    got = {r.id: r.circle for r in geo.circles(rows_, 800.0).collect()}
+    want = rows_.select("id", geo.R.circle(F.col("lat"), F.col("lon"), 800.0).alias("circle")).collect()
+    assert got == {r.id: r.circle for r in want}
+    assert "Join" in geo.circles(rows_, 800.0)._sc._jvm.PythonSQLUtils.explainString(geo.circles(rows_, 800.0)._jdf.queryExecution(), "simple")
+
+
+def test_negatives_without_a_global_sort(spark):
+    pool = spark.range(20_000).withColumnRenamed("id", "k").unionByName(spark.createDataFrame([(None,), (7,)], "k long"))
+    own = spark.range(-901, 0).withColumnRenamed("id", "k")
+    df = corpus.negatives_to_ratio(own, pool, 3.7, "k", 5)
+    order = F.md5(F.concat(F.lit("5:"), F.col("k").cast("string")).cast("binary"))
+    want = [r.k for r in pool.orderBy(order, "k").limit(int(901 * 3.7)).collect()]
+    key = lambda k: (k is not None, k or 0)
+    assert sorted((r.k for r in df.filter("k IS NULL OR k >= 0").collect()), key=key) == sorted(want, key=key)
+    assert "Limit" not in spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple").replace("WindowGroupLimit", "")
+
+
+def test_trigrams_of_equal_texts_once(spark, monkeypatch):
+    own, seen = corpus._trigrams, []
+    monkeypatch.setattr(corpus, "_trigrams", lambda texts, *more: (seen.append(texts), own(texts, *more))[1])
+    rows_ = spark.createDataFrame([(i, f"Notice {i % 3}") for i in range(90)] + [(90, "ab"), (91, "")], "id long, text string")
+    got = corpus.trigram_embedding(rows_, "id").groupBy("id").agg(F.round(F.sum(F.col("value") ** 2), 9).alias("s")).collect()
+    assert len(got) == 92 and {r.s for r in got} == {1.0}
+    assert seen[0].count() == 5
+
+
+def test_recipients_without_a_distinct_of_all(spark):
+    events = spark.createDataFrame([(1, "city", 1), (2, "home", 1), (3, "street", 3), (4, "city", 1), (4, "home", 2), (5, "other", 1)], "id long, geo_by string, address_id long")
+    a = spark.createDataFrame([(1, "A", "s"), (2, "A", "t"), (3, "B", "s")], "id long, city string, street string")
+    m = spark.createDataFrame([(10, 1, 1, "chat"), (10, 1, 2, "chat"), (11, 1, 2, "chat"), (12, 1, 3, "chat"), (13, 1, 1, "removed")], "user_id long, chat_id long, address_id long, chat_type string")
+    got = sorted((r.event_id, r.user_id) for r in notify.recipients(events, a, m).collect())
+    assert got == [(1, 10), (1, 11), (2, 10), (3, 12), (4, 10), (4, 11)]
+
+
+def test_equal_events_meet_drafts_once(spark, monkeypatch):
+    own, seen = dedup._meet, []
+    monkeypatch.setattr(dedup, "_meet", lambda d, e, *more: (seen.append((d.count(), e.count())), own(d, e, *more))[1])
+    rows_ = spark.createDataFrame([(i, i % 3 or None, [1.0, float(i % 4)]) for i in range(240)], "id long, address_id long, v array<double>")
+    got = {r.draft_id: (r.best_id, r.score) for r in dedup.best_matches(rows_.filter("id % 2 = 0"), rows_.filter("id % 2 = 1")).collect()}
+    assert len(got) == 120 and seen == [(6, 6)]
+    assert got[0] == got[12] == got[24]
