@@ -12,14 +12,24 @@ def linked_groups(members: DataFrame) -> DataFrame:
 
 
 def recipients(events: DataFrame, addresses: DataFrame, members: DataFrame) -> DataFrame:
-    """Users to tell of an event: of its house, its street, or its city, by the event's precision."""
+    """Users to tell of an event: of its house, its street, or its city, by the event's precision.
+
+    An event that goes to one house, street or city, as nearly all do, names each user there once; only those whose id
+    comes with several targets are made distinct after they met users.
+    """
     live = linked_groups(members).join(addresses.select(F.col("id").alias("address_id"), "city", "street"), "address_id")
-    own = events.join(addresses.select(F.col("id").alias("address_id"), F.col("city"), F.col("street")), "address_id").select("id", "geo_by", "address_id", "city", "street")
-    homes = own.filter("geo_by = 'home'").select("id", "address_id").join(live.select("user_id", "address_id").distinct(), "address_id")
-    streets = own.filter("geo_by = 'street'").select("id", "city", "street").join(live.select("user_id", "city", "street").distinct(), ["city", "street"])
-    cities = own.filter("geo_by = 'city'").select("id", "city").join(live.select("user_id", "city").distinct(), "city")
-    found = homes.select("id", "user_id").unionByName(streets.select("id", "user_id")).unionByName(cities.select("id", "user_id"))
-    return found.distinct().withColumnRenamed("id", "event_id")
+    own = events.join(addresses.select(F.col("id").alias("address_id"), F.col("city"), F.col("street")), "address_id").filter(F.col("geo_by").isin("home", "street", "city"))
+    only = lambda c, *kinds: F.when(F.col("geo_by").isin(*kinds), F.col(c)).alias(c)
+    target = F.struct("geo_by", only("address_id", "home"), only("city", "street", "city"), only("street", "street"))
+    targets = own.groupBy("id").agg(F.collect_set(target).alias("t"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        at = rows.select("id", F.explode("t").alias("t")).select("id", "t.*")
+        users = lambda kind, *on: at.filter(F.col("geo_by") == kind).select("id", *on).join(live.select("user_id", *on).distinct(), list(on)).select("id", "user_id")
+        return users("home", "address_id").unionByName(users("street", "city", "street")).unionByName(users("city", "city"))
+
+    found = met(targets.filter(F.size("t") == 1)).unionByName(met(targets.filter(F.size("t") > 1)).distinct())
+    return found.withColumnRenamed("id", "event_id")
 
 
 def enqueue(events: DataFrame, addresses: DataFrame, members: DataFrame, deliveries: DataFrame, cursor: int | None) -> tuple[DataFrame, DataFrame]:
