@@ -84,16 +84,24 @@ def _meet(drafts: DataFrame, events: DataFrame, block: int, choose: Callable[[np
 def best_matches(drafts: DataFrame, events: DataFrame, block: int = 4096) -> DataFrame:
     """Each draft's most similar event whose address does not conflict; the higher id among equals.
 
-    Of a pair of blocks only a best row for each draft leaves the task.
+    Of a pair of blocks only a best row for each draft leaves the task. Drafts of equal vectors and addresses are one, and of
+    such events only the highest id can be a best match.
     """
+    told = ("address_id", "v")
+    given = drafts.select("id", F.col("address_id").cast("long").alias("address_id"), F.col("v").cast("array<double>").alias("v"))
+    one = given.groupBy(*told).agg(F.min("id").alias("id"))
+    events = events.select("id", F.col("address_id").cast("long").alias("address_id"), F.col("v").cast("array<double>").alias("v")).groupBy(*told).agg(F.max("id").alias("id"))
 
     def best_of(scores: np.ndarray, own: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         best = scores.argmax(1)
         some = np.flatnonzero(np.isfinite(scores[np.arange(len(own)), best]))
         return some, best[some]
 
-    found = _meet(drafts, events, block, best_of)
-    return found.groupBy("draft_id").agg(F.max(F.struct("score", "best_id")).alias("x")).select("draft_id", "x.best_id", "x.score")
+    found = _meet(one, events, block, best_of)
+    best = found.groupBy("draft_id").agg(F.max(F.struct("score", "best_id")).alias("x"))
+    led = one.select(F.col("id").alias("draft_id"), *[F.col(c).alias(f"l_{c}") for c in told]).join(best, "draft_id").select("x", *[f"l_{c}" for c in told])
+    same = [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in told]
+    return given.join(led, same[0] & same[1]).select(F.col("id").alias("draft_id"), "x.best_id", "x.score")
 
 
 def similar_pairs(rows: DataFrame, least: float, block: int = 4096) -> DataFrame:
