@@ -109,7 +109,8 @@ def test_negatives_without_a_global_sort(spark):
     want = [r.k for r in pool.orderBy(order, "k").limit(int(901 * 3.7)).collect()]
     key = lambda k: (k is not None, k or 0)
     assert sorted((r.k for r in df.filter("k IS NULL OR k >= 0").collect()), key=key) == sorted(want, key=key)
-    assert "Limit" not in spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple").replace("WindowGroupLimit", "")
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple").replace("WindowGroupLimit", "")
+    assert "Limit" not in plan and "TakeOrdered" not in plan
 
 
 def test_trigrams_of_equal_texts_once(spark, monkeypatch):
