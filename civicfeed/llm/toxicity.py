@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from math import sqrt
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -15,20 +15,81 @@ from pyspark.sql import functions as F
 
 from .common import materialize, sigmoid, table, train_bucket, with_scores, words
 
-#: Distinct words that a Python worker keeps at most; on overflow it starts anew.
+#: Distinct words of which a Python worker starts anew.
 CACHE = 300_000
+#: Bytes of words whose n-grams are hashed together.
+PORTION = 1 << 14
 #: Entries of bags that are added up at once.
 AT_ONCE = 1 << 19
 #: Words of no meaning that every text has besides its own, so that a few words alone decide little.
 NEUTRAL = 15
 
 
-def grams(word: bytes, low: int, high: int, buckets: int) -> np.ndarray:
-    """Hashed character n-grams of a word in angle brackets, and the word itself."""
-    w = f"<{word.decode('utf-8', 'replace').lower()}>"
-    parts = [w[i : i + n] for n in range(low, high + 1) for i in range(len(w) - n + 1)]
-    parts.append("=" + w)
-    return np.fromiter((xxhash.xxh3_64_intdigest(p) % buckets for p in parts), np.int64, len(parts))
+def short_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """xxh3_64 of data[start:end] for each pair, of one byte or more; ``data`` ends with four bytes that no pair has.
+
+    Up to eight bytes are hashed together, by the hash's formulas for such lengths; others by the library.
+    """
+    size = end - start
+    out = np.empty(len(size), np.uint64)
+    quads = np.ascontiguousarray(data[:-3]).astype(np.uint64)
+    for k in (1, 2, 3):
+        quads |= data[k : len(data) - 3 + k].astype(np.uint64) << np.uint64(8 * k)
+    for at in (size <= 3, (size >= 4) & (size <= 8)):
+        if at.all():
+            at = slice(None)
+        elif not at.any():
+            continue
+        s, e, n = start[at], end[at], size[at].astype(np.uint64)
+        if n[0] <= 3:
+            x = data[s].astype(np.uint64) << np.uint64(16) | data[s + (e - s >> 1)].astype(np.uint64) << np.uint64(24) | data[e - 1] | n << np.uint64(8)
+            x ^= np.uint64(0x87275A9B)
+            x = (x ^ x >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            x = (x ^ x >> np.uint64(29)) * np.uint64(0x165667B19E3779F9)
+            out[at] = x ^ x >> np.uint64(32)
+        else:
+            x = (quads[e - 4] | quads[s] << np.uint64(32)) ^ np.uint64(0xC73AB174C5ECD5A2)
+            x ^= (x << np.uint64(49) | x >> np.uint64(15)) ^ (x << np.uint64(24) | x >> np.uint64(40))
+            x *= np.uint64(0x9FB21C651E98DF25)
+            x = (x ^ (x >> np.uint64(35)) + n) * np.uint64(0x9FB21C651E98DF25)
+            out[at] = x ^ x >> np.uint64(28)
+    for i in np.flatnonzero(size > 8).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
+def grams(found: list[bytes], low: int, high: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams of each word in angle brackets, then the word itself; and how many each word has."""
+    marked = f"<{b'\n'.join(found).decode('utf-8', 'replace').lower().replace('\n', '>\n<')}>"
+    data = np.frombuffer(marked.encode() + bytes(4), np.uint8)
+    begin = np.append(np.flatnonzero((data[:-4] & 0xC0) != 0x80), len(data) - 4)  # of characters
+    cut = np.flatnonzero(data[begin[:-1]] == 10)
+    first = np.append(0, cut + 1)
+    chars = np.append(cut, len(begin) - 1) - first
+    sizes = sum(np.maximum(chars - n + 1, 0) for n in range(low, high + 1)) + 1
+    to = np.cumsum(sizes) - sizes
+    ids = np.empty(int(sizes.sum()), np.int64)
+    ids[to + sizes - 1] = [xxhash.xxh3_64_intdigest("=" + w) % buckets for w in marked.split("\n")]
+    for n in range(low, high + 1):
+        count = np.maximum(chars - n + 1, 0)
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(first, count) + step
+        ids[np.repeat(to, count) + step] = short_hashes(data, begin[at], begin[at + n]) % np.uint64(buckets)
+        to = to + count
+    return ids, sizes
+
+
+def portions(found: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Words in lists of about PORTION bytes."""
+    part, size = [], 0
+    for w in found:
+        part.append(w)
+        size += len(w)
+        if size >= PORTION:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 @dataclass
@@ -49,30 +110,30 @@ class SubwordModel:
     def __getstate__(self):
         return self.__dict__ | {"seen": {}}
 
-    def word(self, w: bytes) -> float:
-        got = self.seen.get(w)
-        if got is None:
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            ids = grams(w, self.low, self.high, len(self.weight))
-            got = self.seen[w] = float(self.weight[ids].mean())
-        return got
+    def learn(self, new: Iterable[bytes]) -> None:
+        """The mean weight of each new word's n-grams."""
+        for part in portions(new):
+            ids, sizes = grams(part, self.low, self.high, len(self.weight))
+            means = np.add.reduceat(self.weight[ids], np.cumsum(sizes) - sizes) / sizes
+            self.seen.update(zip(part, means.tolist(), strict=True))
 
-    def score(self, text: str | None) -> float:
-        """P(toxic). A text without words has the bias alone."""
-        counts = Counter(words(text))
-        if not counts:
-            return float(sigmoid(self.bias))
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """P(toxic) of each text. A text without words has the bias alone."""
+        counts = [Counter(words(t)) for t in texts]
         seen = self.seen
-        total = size = 0.0
-        for w, c in counts.items():
-            got = seen.get(w)
-            if got is None:
-                got = self.word(w)
-            times = 1.0 if c == 1 else sqrt(c)
-            total += times * got
-            size += times
-        return float(sigmoid(self.scale * total / (size + NEUTRAL) + self.bias))
+        if len(seen) >= CACHE:
+            seen.clear()
+        self.learn(filterfalse(seen.__contains__, set().union(*counts)))
+        odds = np.full(len(texts), self.bias)
+        for i, own in enumerate(counts):
+            if own:
+                times = np.sqrt(np.fromiter(own.values(), float, len(own)))
+                parts = np.fromiter(map(seen.__getitem__, own), float, len(own))
+                odds[i] += self.scale * float(times @ parts) / (float(times.sum()) + NEUTRAL)
+        return sigmoid(odds).tolist()
+
+    def score(self, text: str | None) -> float:
+        return self.scores([text])[0]
 
 
 def bag(text: str | None, low: int, high: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +142,8 @@ def bag(text: str | None, low: int, high: int, buckets: int) -> tuple[np.ndarray
     if not counts:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     times = np.sqrt(np.fromiter(counts.values(), float, len(counts)))
-    got = [grams(w, low, high, buckets) for w in counts]
-    sizes = np.array([len(g) for g in got])
-    own, back = np.unique(np.concatenate(got), return_inverse=True)
+    got, sizes = (np.concatenate(x) for x in zip(*(grams(part, low, high, buckets) for part in portions(counts)), strict=True))
+    own, back = np.unique(got, return_inverse=True)
     part = np.bincount(back, np.repeat(times / (times.sum() + NEUTRAL) / sizes, sizes))
     return own.astype(np.int32), part.astype(np.float32)
 
@@ -200,7 +260,7 @@ def score(df: DataFrame, model: SubwordModel, text: str = "text", threshold: flo
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the number of buckets
 
     def fn(texts: list[str | None]) -> dict[str, list]:
-        found = [shared.value.score(t) for t in texts]
+        found = shared.value.scores(texts)
         return {"score": found, "predicted": [int(s >= threshold) for s in found]}
 
     return with_scores(df, text, fn, {"score": "double", "predicted": "int"})
