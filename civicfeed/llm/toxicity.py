@@ -35,13 +35,11 @@ def short_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     quads = np.ascontiguousarray(data[:-3]).astype(np.uint64)
     for k in (1, 2, 3):
         quads |= data[k : len(data) - 3 + k].astype(np.uint64) << np.uint64(8 * k)
-    for at in (size <= 3, (size >= 4) & (size <= 8)):
+    for few, at in ((True, size <= 3), (False, (size >= 4) & (size <= 8))):
         if at.all():
             at = slice(None)
-        elif not at.any():
-            continue
         s, e, n = start[at], end[at], size[at].astype(np.uint64)
-        if n[0] <= 3:
+        if few:
             x = data[s].astype(np.uint64) << np.uint64(16) | data[s + (e - s >> 1)].astype(np.uint64) << np.uint64(24) | data[e - 1] | n << np.uint64(8)
             x ^= np.uint64(0x87275A9B)
             x = (x ^ x >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
