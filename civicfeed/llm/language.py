@@ -14,41 +14,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import train_bucket, with_scores
-from .token_store import Recent
 
-LETTERS = regex.compile(r"\p{L}+").findall
-#: The longest n-gram, and how many n-grams a profile ranks.
-LONGEST, RANKS = 3, 300
+LETTERS = regex.compile(r"\p{L}+").finditer
+#: The longest n-gram is of three characters; how many n-grams a profile ranks.
+RANKS = 300
 #: Bits of an id's hash that name a slice of a language's rows.
 SLICE_BITS = 10
-#: Distinct words that each of a Python worker's two generations keeps.
-CACHE = 100_000
-
-
-def word_grams(word: str) -> np.ndarray:
-    """The n-grams of a word between two spaces, each packed into 63 bits, 21 a character; the lone space is none."""
-    codes = np.array([32, *map(ord, word), 32], np.int64)
-    parts = [codes[1:-1]]
-    for n in range(2, LONGEST + 1):
-        packed = codes[: len(codes) - n + 1].copy()
-        for k in range(1, n):
-            packed = packed << 21 | codes[k : len(codes) - n + 1 + k]
-        parts.append(packed)
-    return np.concatenate(parts)
-
-
-def gram_counts(text: str | None, seen: Recent) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a whole text's letter runs, lower-cased, and their counts."""
-    counts = Counter(LETTERS(text.lower())) if text else Counter()
-    if not counts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    seen.turn()
-    for w in seen.absent(set(counts)):
-        seen[w] = word_grams(w)
-    got = [seen[w] for w in counts]
-    times = np.repeat(np.fromiter(counts.values(), np.int64, len(got)), [len(g) for g in got])
-    grams, back = np.unique(np.concatenate(got), return_inverse=True)
-    return grams, np.bincount(back, times).astype(np.int64)
+#: Letters of a text that are counted at once.
+AT_ONCE = 1 << 18
+SPACE = 32
+
+
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    out = np.zeros(0x110000, bool)
+    for run in LETTERS("".join(map(chr, range(len(out))))):
+        out[run.start() : run.end()] = True
+    return out
+
+
+def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a whole text's letter runs, lower-cased and each between two spaces, and their counts.
+
+    An n-gram is packed into 63 bits, 21 a character; the lone space is none. Those of a text are made together from
+    each letter and what stands beside it.
+    """
+    codes = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    known = letters()[codes]
+    codes, at = np.where(known, codes, SPACE).astype(np.int64), np.flatnonzero(known)
+    grams, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(at), AT_ONCE):
+        part = at[i : i + AT_ONCE]
+        one, after = codes[part], codes[part + 1]
+        two = codes[part - 1] << 21 | one
+        own = np.sort(np.concatenate([one, two, two << 21 | after, one[after == SPACE] << 21 | SPACE]))
+        begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        grams.append(own[begin])
+        counts.append(np.diff(np.append(begin, len(own))))
+    if len(grams) <= 2:
+        return grams[-1], counts[-1]
+    own, back = np.unique(np.concatenate(grams), return_inverse=True)
+    return own, np.bincount(back, np.concatenate(counts)).astype(np.int64)
 
 
 def ranked(grams: np.ndarray, counts: np.ndarray, most: int = RANKS) -> np.ndarray:
@@ -76,13 +83,14 @@ class Profiles:
             places[i, np.searchsorted(grams, ranks[x])] = np.arange(len(ranks[x]))
         return cls(languages, grams, places)
 
-    def predict(self, text: str | None, seen: Recent) -> tuple[str, float]:
+    def predict(self, text: str | None, _seen: dict | None = None) -> tuple[str, float]:
         """The language whose profile is nearest and how near, 0 to 1; ties go to the first language by name.
 
         Each of the text's n-grams adds the difference of its two ranks, RANKS at most and if the profile lacks
-        it. Texts without letters, and all texts where there are no profiles, are ``und`` with 0.
+        it. Texts without letters, and all texts where there are no profiles, are ``und`` with 0. No words are kept
+        between texts; callers of the earlier form may still pass a table of them.
         """
-        own = ranked(*gram_counts(text, seen))
+        own = ranked(*gram_counts(text))
         if not len(own) or not self.languages:
             return "und", 0.0
         at = np.searchsorted(self.grams, own).clip(max=len(self.grams) - 1)
@@ -111,10 +119,10 @@ def fit(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_i
     sample = rows.join(F.broadcast(chosen.select("lang", "k").distinct()), ["lang", "k"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, totals = Recent(CACHE), {}
+        totals: dict[str, Counter] = {}
         for batch in batches:
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grams, counts = gram_counts(text, seen)
+                grams, counts = gram_counts(text)
                 totals.setdefault(language, Counter()).update(dict(zip(grams.tolist(), counts.tolist(), strict=True)))
         for language, total in totals.items():
             yield pa.RecordBatch.from_pydict({"lang": [language] * len(total), "gram": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
@@ -137,19 +145,12 @@ def identify(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame
     shared = df.sparkSession.sparkContext.broadcast(profiles)  # RANKS entries a language
 
     def fn(texts: list[str | None]) -> dict[str, list]:
-        seen = recent()
-        found = [shared.value.predict(t, seen) for t in texts]
+        found = [shared.value.predict(t) for t in texts]
         return {"lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
 
     return with_scores(df, text, fn, {"lang_pred": "string", "score": "double"})
 
 
-@lru_cache(maxsize=1)
-def recent() -> Recent:
-    """Each Python worker's n-grams of recent words."""
-    return Recent(CACHE)
-
-
 def trained(docs: DataFrame) -> Profiles:
     """The production profiles: learnt outside the held-out fifth."""
     return fit(docs.filter(train_bucket("doc_id", 5) != 0))

@@ -3,11 +3,30 @@
 from __future__ import annotations
 
 import random
+import sys
+from collections import Counter
 
 import numpy as np
 import xxhash
 
-from civicfeed.llm import toxicity
+from civicfeed.llm import language, toxicity
+from civicfeed.llm.token_store import Recent
+
+
+def calls_of(run) -> int:
+    """How many functions run() calls, Python's and built in."""
+    n = 0
+
+    def count(_frame, event, _arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        run()
+    finally:
+        sys.setprofile(None)
+    return n
 
 
 def odd_words(n: int) -> list[bytes]:
@@ -29,6 +48,15 @@ def test_grams_of_many_words_are_the_librarys():
         assert ids.tolist() == [xxhash.xxh3_64_intdigest(g) % buckets for x in want for g in x]
 
 
+def test_words_too_short_for_the_longest_grams():
+    for found in ([b"a"], [b"ab", b"c"], ["é".encode()], ["漢".encode()]):
+        ids, sizes = toxicity.grams(found, 3, 5, 1 << 17)
+        marked = [f"<{w.decode()}>" for w in found]
+        assert sizes.tolist() == [sum(max(len(w) - n + 1, 0) for n in (3, 4, 5)) + 1 for w in marked] and len(ids) == sizes.sum()
+    model = toxicity.SubwordModel(3, 5, np.ones(1 << 12), -0.4, 3.0)
+    assert abs(model.score("a") - 1 / (1 + np.exp(0.4 - 3 / 16))) < 1e-12
+
+
 def test_new_words_are_hashed_together(monkeypatch):
     """Of a new word only the whole goes to the library by itself, not each of its n-grams."""
     calls, plain = [], xxhash.xxh3_64_intdigest
@@ -50,3 +78,27 @@ def test_scores_do_not_depend_on_the_batch(monkeypatch):
     monkeypatch.setattr(toxicity, "PORTION", 64)
     for size in (1, 7, 63):
         assert [s for i in range(0, len(texts), size) for s in model.scores(texts[i : i + size])] == want
+
+
+def test_languages_of_new_words_need_no_call_for_each():
+    """A text's n-grams are made from its letters together, whatever the number of words not seen before."""
+    model = language.Profiles.of({"a": [97, 98, 99], "b": [100, 101, 102]})
+    rng = random.Random(7)
+    long, short = (" ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(n)) for n in (5000, 1))
+    model.predict(short, Recent(10))
+    assert calls_of(lambda: model.predict(long, Recent(10))) < 200
+
+
+def test_gram_counts_against_a_loop(monkeypatch):
+    pack = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    rng = random.Random(8)
+    letters = "abzé漢\U0001f600İΣσ'.­́ß 1²Ⅷ\n\tªÁ"
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(300)] + [None, "", "12 !", "a", "ΑΣ", " a "]
+    for at_once in (1 << 18, 5):
+        monkeypatch.setattr(language, "AT_ONCE", at_once)
+        for t in texts:
+            runs = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+            want = Counter(w[i : i + n] for w in map(" {} ".format, runs) for n in (1, 2, 3) for i in range(len(w) - n + 1) if w[i : i + n] != " ")
+            grams, counts = language.gram_counts(t)
+            assert dict(zip(grams.tolist(), counts.tolist(), strict=True)) == {pack(g): n for g, n in want.items()}
+            assert (np.diff(grams) > 0).all()
