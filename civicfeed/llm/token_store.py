@@ -16,14 +16,14 @@ import gc
 import json
 import os
 import re
+import string
 import struct
 import uuid
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -174,9 +174,25 @@ class Recent(dict):
         return out
 
 
+class Made(Recent):
+    """Recent values, of which a missing one is made when it is asked for."""
+
+    def __init__(self, most: int, make: Callable[[bytes], bytes]) -> None:
+        super().__init__(most)
+        self.make = make
+
+    def __missing__(self, key: bytes) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        return got
+
+
 #: Fixed values of one tokenizer layout: pre-tokens of letters, single digits and the rest, without white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PUNCTUATION = string.punctuation.encode()
 
 
 class WordCoder:
@@ -194,7 +210,7 @@ class WordCoder:
 
         self.model, self.dtype, self.whole = Tokenizer.from_file(path), dtype, whole
         self.end = np.array([end_id], dtype).tobytes()
-        self.seen, self.parts = Recent(CACHE), Recent(CACHE // 2)
+        self.seen, self.parts = Made(CACHE, self._word), Made(CACHE // 2, self._bpe)
         layout = json.loads(self.model.to_str())
         steps = (layout.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.plain = None
@@ -208,8 +224,6 @@ class WordCoder:
         self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.table = dict(enumerate(byte_letters()))
         self.tokenize = self.model.model.tokenize
-        # of bytes, isalpha means ASCII letters; a stop or comma after them is a pre-token of its own
-        self.points = {p: self._bpe(p) for p in (b".", b",")} if self.plain else {}
 
     def _cut(self, w: bytes) -> list[bytes] | None:
         """The lower-cased pre-tokens of a plain word; None for a word that the library must cut itself."""
@@ -220,39 +234,28 @@ class WordCoder:
             return None
         return [x.encode() for x in (self.cut_plain if len(t) == len(w) else self.cut_latin)(t.lower())]
 
-    def _learn(self, new: list[bytes]) -> None:
-        hard, easy, parts = [], [], set()
-        known, old, seen, points = self.parts, self.parts.old, self.seen, self.points
-        for w in new:
-            if self.plain:  # most new words are new spellings of parts that are known
-                end = b""
-                p = w
-                if w[-1:] in points:
-                    p, end = w[:-1], points[w[-1:]]
-                if p.isalpha():
-                    p = p.lower()
-                    got = known.get(p) or old.get(p)
-                    if got is None:
-                        got = known[p] = self._bpe(p)
-                    seen[w] = got + end
-                    continue
-            if (cut := self._cut(w)) is None:
-                hard.append(w)
+    def _word(self, w: bytes) -> bytes:
+        """The ids of a word as raw bytes: of its parts, most of which are known, or the library's."""
+        if self.plain:
+            # letters and what ASCII punctuation follows are a pre-token each; of bytes, isalpha means ASCII letters
+            p, parts = w.rstrip(PUNCTUATION), self.parts
+            if p.isalpha():
+                got = parts[p.lower()]
+            elif p and not p.isascii() and (t := p.decode("utf-8", "surrogatepass")).isalpha() and max(t) < "\u0250" and (t := t.lower()).isalpha():
+                got = parts[t.encode()]
             else:
-                easy.append((w, cut))
-                parts.update(cut)
-        for p in known.absent(parts):
-            known[p] = self._bpe(p)
-        for w, cut in easy:
-            seen[w] = b"".join([known[p] for p in cut])
-        for i in range(0, len(hard), 4096):
-            texts = [w.decode("utf-8", "surrogatepass") for w in hard[i : i + 4096]]
-            coded = self.model.encode_batch_fast(texts, add_special_tokens=False)
-            seen.update((w, array(self.code, x.ids).tobytes()) for w, x in zip(hard[i : i + 4096], coded, strict=True))
+                got = None
+            if got is not None:
+                return got + parts[w[len(p) :]] if len(p) < len(w) else got
+        if (cut := self._cut(w)) is not None:
+            return b"".join([self.parts[p] for p in cut])
+        coded = self.model.encode_batch_fast([w.decode("utf-8", "surrogatepass")], add_special_tokens=False)
+        return array(self.code, coded[0].ids).tobytes()
 
     def _bpe(self, part: bytes) -> bytes:
-        """The ids of one pre-token as raw bytes."""
-        return array(self.code, [x.id for x in self.tokenize(part.decode("latin-1").translate(self.table))]).tobytes()
+        """The ids of one pre-token, of printable characters, as raw bytes; ASCII ones stand for themselves."""
+        letters = part.decode() if part.isascii() else part.decode("latin-1").translate(self.table)
+        return array(self.code, [x.id for x in self.tokenize(letters)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text and the end id, as raw bytes; null is the empty text."""
@@ -261,13 +264,8 @@ class WordCoder:
             return [np.array(x.ids, self.dtype).tobytes() + self.end for x in found]
         self.seen.turn()
         self.parts.turn()
-        split = [words(t) for t in texts]
-        # not by set.difference, which goes through all of a dictionary that is of a class of its own
-        new = set(filterfalse(self.seen.__contains__, set().union(*split)))
-        if new:
-            self._learn(self.seen.absent(new))
         get = self.seen.__getitem__
-        return [b"".join(map(get, ws)) + self.end for ws in split]
+        return [b"".join(map(get, words(t))) + self.end for t in texts]
 
 
 @lru_cache(maxsize=2)

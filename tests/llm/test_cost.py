@@ -7,9 +7,10 @@ import sys
 from collections import Counter
 
 import numpy as np
+import public_tokenizers as P
 import xxhash
 
-from civicfeed.llm import language, toxicity
+from civicfeed.llm import language, token_store, toxicity
 from civicfeed.llm.token_store import Recent
 
 
@@ -102,3 +103,28 @@ def test_gram_counts_against_a_loop(monkeypatch):
             grams, counts = language.gram_counts(t)
             assert dict(zip(grams.tolist(), counts.tolist(), strict=True)) == {pack(g): n for g, n in want.items()}
             assert (np.diff(grams) > 0).all()
+
+
+def test_new_spellings_are_not_cut_by_patterns(monkeypatch):
+    """Letters below U+0250 and the punctuation after them are two pre-tokens, without a search for them."""
+    coder = token_store.WordCoder(P.path("word_bpe_49k.json"), 1, "<u2")
+    text = "House HOUSE; house!! Häuser*** ÉTÉ?! été... Ñandú%%% ª. (x) don't İs <|endoftext|>"
+    want = coder.model.encode(text, add_special_tokens=False).ids + [1]
+    assert np.frombuffer(coder.encode([text])[0], "<u2").tolist() == want
+    cut = []
+    fresh = token_store.WordCoder(P.path("word_bpe_49k.json"), 1, "<u2")
+    monkeypatch.setattr(fresh, "_cut", lambda w: cut.append(w))  # None: the library cuts
+    assert np.frombuffer(fresh.encode([text])[0], "<u2").tolist() == want
+    assert cut == ["(x)".encode(), b"don't", "İs".encode(), b"<|endoftext|>"]
+
+
+def test_word_ids_whatever_is_forgotten(monkeypatch):
+    monkeypatch.setattr(token_store, "CACHE", 8)
+    coder = token_store.WordCoder(P.path("word_bpe_49k.json"), 1, "<u2")
+    rng = random.Random(9)
+    letters = [*"aZbst.,!<>|é漢İΣσ1²ªǰɐµ-­\x85", "'s", "<|endoftext|>", "\u0307", " "]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(600)] + [None]
+    got = [x for i in range(0, len(texts), 7) for x in coder.encode(texts[i : i + 7])]
+    for t, x in zip(texts, got, strict=True):
+        assert np.frombuffer(x, "<u2").tolist() == coder.model.encode(t or "", add_special_tokens=False).ids + [1]
+    assert len(coder.seen) < 8 + 7 * 31
