@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,9 @@ WINDOWS = 1_000_000
 #: Words in each of the two generations that a Python worker keeps.
 CACHE = 150_000
 #: Transitions that a plain tree keeps; symbols of which the windows are looked up at once.
-MOVES, AT_ONCE = 1_000_000, 1_000_000
+MOVES, AT_ONCE = 1_000_000, 1 << 18
+#: Bytes of texts that are split into words at once, and keys that a counting task holds before it hands them on.
+SLICE_BYTES, HELD = 1 << 20, 2_000_000
 #: Times that a context must occur in what is learnt from, whatever its size.
 LEAST = 2
 
@@ -58,7 +61,8 @@ def windows(texts: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b"".join([pad + t for t in texts]), np.uint8)
     out = np.zeros(max(0, len(data) - DEPTH), np.int64)
     for k in range(DEPTH + 1):
-        out = out << 8 | data[k : k + len(out)]
+        out <<= 8
+        out |= data[k : k + len(out)]
     # a window whose last byte is in the padding of the next text is none
     last = np.ones(len(data), bool)
     at = 0
@@ -68,31 +72,52 @@ def windows(texts: list[bytes]) -> np.ndarray:
     return out[last[DEPTH:]]
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows and SLICE_BYTES of the texts in a column, or of one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, done = 0, 0
+    while at < batch.num_rows:
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right"))))
+        part = batch.slice(at, end - at)
+        at, done = at + part.num_rows, int(ends[at + part.num_rows - 1])
+        yield part
+
+
 class Counts:
-    """Counts of long keys, kept as sorted arrays that are merged now and then."""
+    """Counts of long keys: one sorted table, to which new counts are added in place, so that only new keys move it."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
 
     def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        """Count keys, each of them once or ``counts`` times."""
         if counts is None:
             keys, counts = np.unique(keys, return_counts=True)
-        self.parts.append((keys, counts))
-        if len(self.parts) >= 16:
-            self.parts = [self.merged()]
+        else:
+            keys, back = np.unique(keys, return_inverse=True)
+            counts = np.bincount(back, counts, len(keys)).astype(np.int64)
+        at = np.searchsorted(self.keys, keys)
+        there = at < len(self.keys)
+        there[there] = self.keys[at[there]] == keys[there]
+        self.counts[at[there]] += counts[there]
+        if not there.all():
+            at = at[~there]
+            self.keys = np.insert(self.keys, at, keys[~there])
+            self.counts = np.insert(self.counts, at, counts[~there])
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, back = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
-        return keys, np.bincount(back, np.concatenate([c for _, c in self.parts])).astype(np.int64)
+        return self.keys, self.counts
 
 
 def count_corpus(texts: DataFrame) -> DataFrame:
     """(kind, key, n): how often each token (kind 0) and each window (kind 1) occurs in the learnt of texts (learns, text).
 
-    Windows that only the others have are there with an n of 0. Each task sums what it reads; a task's tables are
-    handed on when they reach two million keys.
+    Windows that only the others have are there with an n of 0. Each task sums what it reads, in slices; its tables are
+    handed on when they have HELD keys, so its memory depends on its longest text alone. Those keys are distinct, so
+    they go to the shuffle as they are, not through another table of the task.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +131,7 @@ def count_corpus(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(keys[i : i + n]), pa.array(counts[i : i + n])], names=["kind", "key", "n"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1, 8192):
                 split: tuple[list, list] = [], []
                 for learns, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     split[learns].append(tokens(t))
@@ -118,19 +142,19 @@ def count_corpus(texts: DataFrame) -> DataFrame:
                         seen[w] = seen.get(w, 0) + 1
                 if learnt:
                     keys = np.fromiter(map(word_key, seen), np.int64, len(seen))
-                    order = np.argsort(keys)
-                    found[0].add(np.append(keys[order], END_KEY), np.append(np.fromiter(seen.values(), np.int64, len(seen))[order], len(learnt)))
+                    found[0].add(np.append(keys, END_KEY), np.append(np.fromiter(seen.values(), np.int64, len(seen)), len(learnt)))
                     found[1].add(windows([symbols(ws) for ws in learnt]))
                 if other:
                     keys = np.unique(windows([symbols(ws) for ws in other]))
                     found[1].add(keys, np.zeros(len(keys), np.int64))
-                for kind in (0, 1):
-                    if sum(len(k) for k, _ in found[kind].parts) > 4_000_000:
+                if len(found[0]) + len(found[1]) > HELD:
+                    for kind in (0, 1):
                         yield from out(kind)
         for kind in (0, 1):
             yield from out(kind)
 
-    return texts.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    found = texts.mapInArrow(count, "kind int, key long, n long")
+    return found.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -411,8 +435,7 @@ def lm_score(df: DataFrame, training, key: str = "doc_id", text: str = "text") -
         cache = Recent(CACHE)
         logs = {c: np.log10((c + 0.5) / floor) for c in set(counts.values())}
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 2, 256):
                 cache.turn()
                 begin, firsts = uid, []
                 rare: list[tuple[int, int, int]] = []
@@ -420,19 +443,17 @@ def lm_score(df: DataFrame, training, key: str = "doc_id", text: str = "text") -
                 for ws in words:
                     base, seen, rest = 0.0, 0, {}
                     for w in ws:
-                        got = cache.get(w)
+                        got = cache.get(w)  # a frequent word's log, the key of another
                         if got is None:
                             got = cache.old.get(w)
                             if got is None:
                                 k = word_key(w)
-                                c = counts.get(k, 0)
-                                got = (k, logs[c] if c else None)
+                                got = logs.get(counts.get(k), k)
                             cache[w] = got
-                        k, log = got
-                        if log is None:
-                            rest[k] = rest.get(k, 0) + 1
+                        if type(got) is int:
+                            rest[got] = rest.get(got, 0) + 1
                         else:
-                            base += log
+                            base += got
                             seen += 1
                     end = counts.get(END_KEY, 0)
                     base += logs[end] if end else np.log10(0.5 / floor)

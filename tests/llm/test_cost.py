@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import random
 import sys
+import tracemalloc
 from collections import Counter
+from unittest.mock import MagicMock
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import xxhash
 
-from civicfeed.llm import language, token_store, toxicity
+from civicfeed.llm import language, suffix_tree, token_store, toxicity
 from civicfeed.llm.token_store import Recent
 
 
@@ -128,3 +131,69 @@ def test_word_ids_whatever_is_forgotten(monkeypatch):
     for t, x in zip(texts, got, strict=True):
         assert np.frombuffer(x, "<u2").tolist() == coder.model.encode(t or "", add_special_tokens=False).ids + [1]
     assert len(coder.seen) < 8 + 7 * 31
+
+
+def peak_mb(run) -> float:
+    """The most that run() held at once."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def counting(texts: list[tuple[bool, str | None]]):
+    """What a counting task of the suffix tree hands on for a batch of rows."""
+    frame = MagicMock()
+    suffix_tree.count_corpus(frame)
+    learns, column = (pa.array(x, t) for x, t in zip(zip(*texts, strict=True), (pa.bool_(), pa.string()), strict=True))
+    return frame.mapInArrow.call_args[0][0](iter([pa.RecordBatch.from_arrays([learns, column], names=["learns", "text"])]))
+
+
+def test_counts_hold_one_table():
+    """New counts of the same keys take no room beside the table and themselves (3 MB and some copies)."""
+    rng = np.random.default_rng(3)
+    counts, keys = suffix_tree.Counts(), rng.integers(0, 1 << 40, 200_000)
+    assert peak_mb(lambda: [counts.add(rng.permutation(keys)) for _ in range(20)]) < 20
+    got, n = counts.merged()
+    assert got.tolist() == np.unique(keys).tolist() and (n % 20 == 0).all() and n.sum() == 20 * len(keys)
+
+
+def test_a_counting_task_takes_long_texts_in_slices(spark):
+    """Its memory is that of a slice, not of as many texts as come in a batch."""
+    rows = [(i % 5 > 0, "some words of a long text " * 8000) for i in range(30)]
+    assert peak_mb(lambda: [None for _ in counting(rows)]) < 70
+
+
+def test_counts_and_spellings_whatever_a_slice_is(spark, monkeypatch):
+    rng = random.Random(10)
+    texts = ["".join(rng.choices("abAB é漢\n\t", k=rng.randint(0, 90))) for _ in range(150)] + [None, "", " ", "long " * 200]
+    rows = [(i % 3 > 0, t) for i, t in enumerate(texts)]
+    want: Counter = Counter()
+    for learns, t in rows:
+        ws = suffix_tree.tokens(t)
+        padded = b"\xff" * suffix_tree.DEPTH + suffix_tree.symbols(ws)
+        for w in [*map(suffix_tree.word_key, ws), suffix_tree.END_KEY] * learns:
+            want[0, w] += 1
+        for i in range(len(padded) - suffix_tree.DEPTH):
+            want[1, int.from_bytes(padded[i : i + suffix_tree.DEPTH + 1], "big")] += learns
+    words, whole = [suffix_tree.tokens(t) for t in texts], pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    some = np.array([k for kind, k in want if kind][::2], np.int64)
+    sums, rest = [], []
+    for size, held, at_once in ((1 << 20, 2_000_000, 1 << 18), (200, 500, 70), (1, 1, 1)):
+        monkeypatch.setattr(suffix_tree, "SLICE_BYTES", size)
+        monkeypatch.setattr(suffix_tree, "HELD", held)
+        monkeypatch.setattr(suffix_tree, "AT_ONCE", at_once)
+        got: Counter = Counter()
+        for batch in counting(rows):
+            for kind, key, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got[kind, key] += n
+        assert dict(got) == dict(want)
+        parts = list(suffix_tree.slices(whole, 0, 9))
+        assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+        assert all(0 < p.num_rows <= 9 and (p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(0).to_pylist()) <= size) for p in parts)
+        found, *others = suffix_tree.spelt(words, suffix_tree.Frequent(some, np.arange(len(some), dtype=float)))
+        sums.append(found.tolist())
+        rest.append(sorted(zip(*(x.tolist() for x in others), strict=True)))
+    assert sums[0] == sums[1] == sums[2] and rest[0] == rest[1] == rest[2] and len(rest[0]) > 100
