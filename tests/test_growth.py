@@ -137,3 +137,50 @@ def test_equal_events_meet_drafts_once(spark, monkeypatch):
     got = {r.draft_id: (r.best_id, r.score) for r in dedup.best_matches(rows_.filter("id % 2 = 0"), rows_.filter("id % 2 = 1")).collect()}
     assert len(got) == 120 and seen == [(6, 6)]
     assert got[0] == got[12] == got[24]
+
+
+def shuffled(spark):
+    """Rows that this session's stages have shuffled so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_pairs_within_a_radius_shuffle_places(spark, tmp_path, monkeypatch):
+    # 60 addresses at each of six places, three of them near each other (keys 10,000 apart stand at one place), and one null
+    seen, count = counted(spark, "double")
+    own = geo.R.haversine
+    monkeypatch.setattr(geo.R, "haversine", lambda *at: count(own(*at)))
+    con = duckdb.connect()
+    keys = [k + 10_000 * n for k in (0, 4022, 5627, 1, 2, 3) for n in range(60)]
+    con.execute(f"copy (select unnest({keys} || [NULL])::BIGINT as c_custkey, 1 as c_nationkey, 'A' as c_mktsegment) to '{tmp_path}/customer.parquet'")
+    con.execute(f"copy (select 1 as n_nationkey, 'B' as n_name) to '{tmp_path}/nation.parquet'")
+    for t in ("customer", "nation"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    want = rows(con.sql(catalog.ORACLE_SQL["j3_within_radius"]).df())
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large for it
+    try:
+        got = catalog.QUERIES["j3_within_radius"](spark, str(tmp_path)).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows(got) == want and len(want) >= 6 * 60 * 60
+    assert shuffled(spark) - before <= 4 * len(keys)  # each address once, and nine tiles for a place; not 45 cells for an address
+    assert seen.value <= 2 * 6 * 6
+
+
+@pytest.mark.parametrize("points, ids", [(geo.POINTS, geo.IDS), (4, 3)])
+def test_pairs_within_a_radius_in_slices(spark, monkeypatch, points, ids):
+    # across the meridian of 180 degrees; 25 points at one place, so tiles and arrays are cut
+    monkeypatch.setattr(geo, "POINTS", points)
+    monkeypatch.setattr(geo, "IDS", ids)
+    at = [(-17 + i / 400, (179.97 + i / 300 + 180) % 360 - 180) for i in range(25)] + [(-16.99, 180.0), (-16.99, -180.0)] + [(-16.98, 179.99)] * 25 + [(None, 179.99), (-16.98, None)]
+    got = geo.pairs_within(spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "id long, lat double, lon double"), 2000.0).collect()
+
+    def metres(a, b):
+        (la, lo), (lb, lp) = ([math.radians(x) for x in p] for p in (a, b))
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lp - lo) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(min(1.0, math.sqrt(h)))
+
+    want = {(i, j): metres(p, q) for i, p in enumerate(at[:-2]) for j, q in enumerate(at[:-2]) if metres(p, q) <= 2000}
+    assert len(got) == len(want) > 25 * 25 and all(abs(r.distance - want[r.origin_id, r.id]) < 1e-6 for r in got)
