@@ -166,7 +166,7 @@ def test_pairs_within_a_radius_shuffle_places(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert rows(got) == want and len(want) >= 6 * 60 * 60
     assert shuffled(spark) - before <= 4 * len(keys)  # each address once, and nine tiles for a place; not 45 cells for an address
-    assert seen.value <= 2 * 6 * 6
+    assert seen.value <= 2 * (6 * math.ceil(60 / geo.IDS)) ** 2  # of arrays
 
 
 @pytest.mark.parametrize("points, ids", [(geo.POINTS, geo.IDS), (4, 3)])
